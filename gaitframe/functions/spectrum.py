@@ -5,6 +5,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gaitframe.schema import TARGET_HZ
 
@@ -31,7 +32,7 @@ def spectrum(signals: np.ndarray, rate_hz: float = TARGET_HZ) -> np.ndarray:
     return np.stack(columns, axis=-1)
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def spectrum_udf(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series, pd.Series,
                                          pd.Series]]) -> Iterator[pd.Series]:
     for channels in batches:
