@@ -40,8 +40,8 @@ CTES = {
     "seg": """
   SELECT *, row_number() OVER (PARTITION BY recording_id, segment ORDER BY timestamp) - 1 AS pos FROM seg0""",
     "wr": """
-  SELECT *, pos // 50 AS k, pos % 50 AS at FROM seg
-  UNION ALL SELECT *, pos // 50 - 1 AS k, pos % 50 + 50 AS at FROM seg WHERE pos >= 50""",
+  SELECT *, pos // 50 AS k, pos % 50 AS spot FROM seg
+  UNION ALL SELECT *, pos // 50 - 1 AS k, pos % 50 + 50 AS spot FROM seg WHERE pos >= 50""",
     "wcount": """
   SELECT recording_id, segment, k, label, count(*) AS n, min(timestamp) AS start_ts,
     min(subject_id) AS subject_id, min(dataset_id) AS dataset_id
@@ -56,7 +56,7 @@ CTES = {
     CASE WHEN has_fall THEN 'falling' ELSE top END AS label
   FROM wall WHERE has_fall OR purity >= 0.6""",
     "wrow": """
-  SELECT wr.recording_id, wr.segment, wr.k, wr.at, wr.timestamp, ax, ay, az, gx, gy, gz, wr.label AS row_label,
+  SELECT wr.recording_id, wr.segment, wr.k, wr.spot, wr.timestamp, ax, ay, az, gx, gy, gz, wr.label AS row_label,
     win.label, win.subject_id, win.dataset_id
   FROM wr JOIN win ON wr.recording_id = win.recording_id AND wr.segment = win.segment AND wr.k = win.k""",
     "pred": """
