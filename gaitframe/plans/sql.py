@@ -1,5 +1,7 @@
 """Common table expressions of the check SQL (DuckDB), mirroring the plans in ``sensor.py``."""
 
+import re
+
 SENSORS = ["ax", "ay", "az", "gx", "gy", "gz"]
 
 CTES = {
@@ -68,15 +70,13 @@ CTES = {
 def with_ctes(body: str, *extra: tuple[str, str]) -> str:
     """``WITH`` the expressions that ``body`` needs, in order, then ``body``."""
     parts = {**CTES, **dict(extra)}
-    needed: list[str] = []
+    needed: set[str] = set()
 
     def need(text: str) -> None:
-        import re
         for name in parts:
-            if re.search(rf"\b(FROM|JOIN)\s+{name}\b", text) and name not in needed:
+            if name not in needed and re.search(rf"\b(FROM|JOIN)\s+{name}\b", text):
+                needed.add(name)
                 need(parts[name])
-                if name not in needed:
-                    needed.append(name)
 
     need(body)
     if not needed:
