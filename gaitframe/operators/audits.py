@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaitframe.operators import joins as J
-from gaitframe.schema import FALL, SENSORS
+from gaitframe.schema import BASE_TIMESTAMP_MS, FALL, SENSORS
 
 # Name parts that must not occur in a feature name.
 FORBIDDEN_TOKENS = ["time", "timestamp", "subject", "subject_id", "id", "row", "row_id", "index", "segment",
@@ -81,7 +81,8 @@ def label_correlations(df: DataFrame, cols: Sequence[str] = ("timestamp", *SENSO
     code = F.col("_code").cast("double")
 
     def corr(c):
-        x = F.col(c).cast("double")
+        # clock values are shifted near zero first: correlation is unchanged and keeps its digits
+        x = (F.col(c) - (BASE_TIMESTAMP_MS if c == "timestamp" else 0)).cast("double")
         both = F.when(x.isNotNull(), code)
         varied = (F.min(x) < F.max(x)) & (F.min(both) < F.max(both))
         return F.when(varied, F.try_divide(F.covar_pop(x, both), F.stddev_pop(x) * F.stddev_pop(both)))
