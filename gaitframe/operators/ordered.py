@@ -52,6 +52,15 @@ def slice_hot_keys(df: DataFrame, keys: list[str], order: str, width: int, out:
     return df.join(F.broadcast(hot), keys, "left").withColumn(out, cut.cast("long")).drop("_hot")
 
 
+def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Distribute by (key, slice).
+
+    The window over (key, slice) needs this exchange anyway, but would take rows that an earlier
+    join left distributed by the key alone as they are, with a whole hot key in one task.
+    """
+    return df.repartition(*keys, "_slice")
+
+
 def ordered_position(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
                      slice_by: Column | None, out: str = "pos") -> DataFrame:
     """0-based position of every row inside its key. ``keys`` may be empty (one global order).
@@ -63,7 +72,7 @@ def ordered_position(df: DataFrame, keys: Sequence[str], order: Sequence[Column
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(out, (F.row_number().over(w) - 1).cast("long"))
     sliced = df.withColumn("_slice", slice_by)
-    local = sliced.withColumn(
+    local = spread(sliced, keys).withColumn(
         "_local", F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(*order)))
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     base = (
@@ -98,7 +107,7 @@ def carry_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     ordering = [F.desc(c) if descending else F.asc(c) for c in order]
     running = (Window.partitionBy(*keys, "_slice").orderBy(*ordering)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = sliced.select(
+    local = spread(sliced, keys).select(
         "*", *[F.last(f"_v_{n}", ignorenulls=True).over(running).alias(f"_l_{n}") for n in names])
     pick = F.min_by if descending else F.max_by
     by = F.struct(*order)
@@ -124,7 +133,7 @@ def add_segments(df: DataFrame, keys: Sequence[str] = ("recording_id",), ts: str
     ``slice_ms=None`` is for recordings of proven length: they are ordered in one piece.
     """
     keys = list(keys)
-    rows = df if slice_ms is None else df.withColumn("_slice", time_slice(ts, slice_ms))
+    rows = df if slice_ms is None else spread(df.withColumn("_slice", time_slice(ts, slice_ms)), keys)
     w = Window.partitionBy(*keys, *([] if slice_ms is None else ["_slice"])).orderBy(ts)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.select("*", F.row_number().over(w).alias("_rn"),
