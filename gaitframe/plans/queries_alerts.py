@@ -13,7 +13,7 @@ from gaitframe.plans.sensor import clean_samples, table
 from gaitframe.plans.sql import with_ctes
 
 DAY_MS = 86_400_000
-WEEK = time_slice("timestamp", 7 * DAY_MS)
+
 
 # Alerts of the events table: one per 'error' event.
 ALERTS = ("alerts", """SELECT CAST(event_id AS VARCHAR) AS id, user_id AS device_id, epoch_us(ts) // 1000 AS timestamp,
@@ -108,7 +108,7 @@ def r6_escalation(spark, sf_dir):
     action = F.when(F.col("event_type") == "click", "dismiss").when(F.col("event_type") == "purchase", "sos").otherwise("stop")
     answers = events.select(F.col("user_id").alias("device_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"), action.alias("action"))
     confirmed = alerts(spark, sf_dir).drop("outcome")
-    return L.escalate(confirmed, answers, countdown_s=21_600, slice_by=WEEK).select("id", "decided_at", "outcome")
+    return L.escalate(confirmed, answers, countdown_s=21_600, slice_by=time_slice("timestamp", 7 * DAY_MS)).select("id", "decided_at", "outcome")
 
 
 @query("r7_sos_body", with_ctes(
