@@ -10,7 +10,7 @@ from gaitframe.functions import columns as C
 from gaitframe.operators.detector import PRESETS
 from gaitframe.operators.joins import asof
 from gaitframe.operators.ordered import add_segments, carry_forward, ordered_position, time_slice
-from gaitframe.schema import ALERT_OUTCOMES, ALERT_SCHEMA, CONTACT_SCHEMA
+from gaitframe.schema import ALERT_OUTCOMES, ALERT_SCHEMA, CONTACT_SCHEMA, SLICE_MS
 
 HISTORY_LIMIT = 100
 COUNTDOWN_SECONDS = 30
@@ -90,7 +90,7 @@ def dispatch_summary(contacts: DataFrame, device: str = "device_id") -> DataFram
 
 
 def escalate(alerts: DataFrame, responses: DataFrame, countdown_s: int = COUNTDOWN_SECONDS, device: str = "device_id",
-             slice_by: Column | None = None) -> DataFrame:
+             slice_ms: int | None = SLICE_MS) -> DataFrame:
     """Outcome of every confirmed fall.
 
     The first response within the countdown decides: ``dismiss`` gives DISMISSED_SAFE, ``sos``
@@ -98,7 +98,7 @@ def escalate(alerts: DataFrame, responses: DataFrame, countdown_s: int = COUNTDO
     sent when the countdown ends. Alerts and responses meet as an as-of lookup, not as pairs.
     """
     answer = responses.select(device, "timestamp", F.col("timestamp").alias("answered_at"), "action")
-    rows = asof(alerts, answer, [device], ["answered_at", "action"], forward=True, slice_by=slice_by)
+    rows = asof(alerts, answer, [device], ["answered_at", "action"], forward=True, slice_ms=slice_ms)
     deadline = F.col("timestamp") + countdown_s * 1000
     in_time = F.coalesce(F.col("answered_at") <= deadline, F.lit(False))
     outcome = (F.when(in_time & (F.col("action") == "dismiss"), "DISMISSED_SAFE")
@@ -134,7 +134,7 @@ def calibrate(df: DataFrame, preset: str = "desk_safe", custom_spike: float = 24
 
 
 def throttle(df: DataFrame, every_ms: int = 100, keys: Sequence[str] = ("recording_id",), ts: str = "timestamp",
-             slice_ms: int | None = 3_600_000) -> DataFrame:
+             slice_ms: int | None = SLICE_MS) -> DataFrame:
     """At most one row per ``every_ms``: the first of each interval, counted from the first row
     after a pause of at least ``every_ms``."""
     rows = add_segments(df.drop("segment", "pos"), keys, ts, gap_ms=every_ms - 1, slice_ms=slice_ms)
@@ -145,9 +145,10 @@ def throttle(df: DataFrame, every_ms: int = 100, keys: Sequence[str] = ("recordi
     return placed.groupBy(*keys, "segment", "_slot").agg(first).select("r.*")
 
 
-def recording_progress(df: DataFrame, every: int = 10, keys: Sequence[str] = ("recording_id",), ts: str = "timestamp") -> DataFrame:
+def recording_progress(df: DataFrame, every: int = 10, keys: Sequence[str] = ("recording_id",), ts: str = "timestamp",
+                       slice_ms: int | None = SLICE_MS) -> DataFrame:
     """Every tenth sample: how many so far, and full seconds since the start of the recording."""
-    rows = ordered_position(df.select(*keys, ts), keys, [ts], time_slice(ts), out="_n")
+    rows = ordered_position(df.select(*keys, ts), keys, [ts], time_slice(ts, slice_ms), out="_n")
     began = rows.groupBy(*keys).agg(F.min(ts).alias("_began"))
     seconds = F.floor((F.col(ts) - F.col("_began")) / 1000)
     return rows.filter((F.col("_n") + 1) % every == 0).join(began, list(keys)).select(

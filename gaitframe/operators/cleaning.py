@@ -52,13 +52,16 @@ def decimate(df: DataFrame, every: int, keys: Sequence[str] = ("recording_id",),
     of the channels over each run of ``every`` rows instead."""
     rows = ordered_position(df, keys, list(order),
                             time_slice(order[0]) if slice_by is None else slice_by, out="_nth")
-    if not average:
-        return rows.filter(F.col("_nth") % every == 0).drop("_nth")
-    first = [c for c in df.columns if c not in SENSORS and c not in keys]
+    return (average_runs(rows, every, keys) if average else rows.filter(F.col("_nth") % every == 0)).select(*df.columns)
+
+
+def average_runs(rows: DataFrame, every: int, keys: Sequence[str], nth: str = "_nth") -> DataFrame:
+    """Mean of the channels over each run of ``every`` rows; other columns from its first row."""
+    first = [c for c in rows.columns if c not in SENSORS and c not in keys]
     return (
-        rows.withColumn("_run", F.floor(F.col("_nth") / every)).groupBy(*keys, "_run")
-        .agg(*[F.min_by(c, "_nth").alias(c) for c in first], *[F.avg(c).alias(c) for c in SENSORS])
-        .select(*df.columns))
+        rows.withColumn("_run", F.floor(F.col(nth) / every)).groupBy(*keys, "_run")
+        .agg(*[F.min_by(c, nth).alias(c) for c in first], *[F.avg(c).alias(c) for c in SENSORS])
+        .select(*rows.columns))
 
 
 def synth_timestamps(df: DataFrame, rate_hz: int, keys: Sequence[str] = ("recording_id",),
@@ -94,7 +97,7 @@ def keep_trainable(df: DataFrame, label: str = "unified_label") -> DataFrame:
 
 def interpolate(df: DataFrame, limit: int = 3, cols: Sequence[str] = tuple(SENSORS),
                 keys: Sequence[str] = ("recording_id",), ts: str = "timestamp",
-                slice_ms: int = SLICE_MS) -> DataFrame:
+                slice_ms: int | None = SLICE_MS) -> DataFrame:
     """Fill gaps by the row-number line between the neighbours, at most ``limit`` rows from a
     valid one on either side; before the first and after the last valid row its value is held."""
     rows = ordered_position(df, keys, [ts], time_slice(ts, slice_ms), out="_row")

@@ -112,7 +112,8 @@ def as_ticks(ticks: DataFrame, label: Column | str = "label", p_fall: Column | f
         "ox": F.col("orientation.x"), "oy": F.col("orientation.y"), "oz": F.col("orientation.z")})
 
 
-def episodes(ticks: DataFrame, limits: tuple, keys: Sequence[str], cooldown_ms: int, slot_ms: int = SLICE_MS) -> DataFrame:
+def episodes(ticks: DataFrame, limits: tuple, keys: Sequence[str], cooldown_ms: int, slot_ms: int = SLICE_MS,
+             slice_ms: int | None = SLICE_MS) -> DataFrame:
     """``episode`` per tick, starting where the detector is surely idle on a quiet tick.
 
     Suspicion can last no longer than the phase limits and the cooldown after the last tick that
@@ -124,7 +125,7 @@ def episodes(ticks: DataFrame, limits: tuple, keys: Sequence[str], cooldown_ms:
         (F.col("acc_peak") > spike) | (dip & (F.col("gyr_peak") > START_GYRO)))
     spark_at = F.when(starts | (F.col("acc_peak") > spike), F.col("tick_ts"))
     calm = 2 * PHASE_LIMIT_MS + REST_LIMIT_MS + cooldown_ms
-    rows = carry_forward(ticks, keys, ["tick_ts"], {"_spark": spark_at}, time_slice("tick_ts"))
+    rows = carry_forward(ticks, keys, ["tick_ts"], {"_spark": spark_at}, time_slice("tick_ts", slice_ms))
     quiet = (F.col("label") != "falling") & (F.col("p_fall") < fall_conf) & (F.col("acc_std") < QUIET_STD) & ~starts
     # by the tick before this one every phase had timed out; the first such tick of a slot cuts
     slot = Window.partitionBy(*keys, F.floor(F.col("tick_ts") / slot_ms))
@@ -132,18 +133,18 @@ def episodes(ticks: DataFrame, limits: tuple, keys: Sequence[str], cooldown_ms:
     settled = F.coalesce(before - F.col("_spark") > calm, F.col("_spark").isNull())
     rows = rows.withColumn("_calm", F.when(quiet & settled, F.col("tick_ts")))
     rows = rows.withColumn("_cut", F.when(F.min("_calm").over(slot) == F.col("tick_ts"), F.col("tick_ts")))
-    return carry_forward(rows, keys, ["tick_ts"], {"episode": F.col("_cut")}, time_slice("tick_ts")).drop(
+    return carry_forward(rows, keys, ["tick_ts"], {"episode": F.col("_cut")}, time_slice("tick_ts", slice_ms)).drop(
         "_cut", "_calm", "_spark").withColumn("episode", F.coalesce("episode", F.lit(-1)))
 
 
 def confirm_falls(ticks: DataFrame, limits: tuple, keys: Sequence[str] = ("recording_id",), cooldown_ms: int = 30_000,
-                  slot_ms: int = SLICE_MS) -> DataFrame:
+                  slot_ms: int = SLICE_MS, slice_ms: int | None = SLICE_MS) -> DataFrame:
     """Batch twin of the streaming detector: phase before and after every tick.
 
     Groups are (key, episode); an episode's ticks are the only rows brought together.
     """
     keys = list(keys)
-    cut = episodes(ticks, limits, keys, cooldown_ms, slot_ms).select(*keys, "episode", *TICK_COLUMNS)
+    cut = episodes(ticks, limits, keys, cooldown_ms, slot_ms, slice_ms).select(*keys, "episode", *TICK_COLUMNS)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         _, trace = run_ticks(START, pdf.sort_values("tick_ts"), limits, cooldown_ms)

@@ -20,7 +20,7 @@ from gaitframe.operators.features import feature_names
 from gaitframe.operators.ordered import carry_forward, time_slice
 from gaitframe.operators.reports import balanced_weights
 from gaitframe.operators.splits import shuffled_rank
-from gaitframe.schema import FALL, SENSORS, VALID_LABELS
+from gaitframe.schema import FALL, SENSORS, SLICE_MS, VALID_LABELS
 
 # The forest's parameters.
 TREES, DEPTH, MIN_LEAF, SEED = 200, 16, 4, 42
@@ -216,7 +216,7 @@ def augment_windows(windows: DataFrame, seed: int = SEED, sigma: float = 0.02, l
 
 
 def on_device_gates(ticks: DataFrame, classes: Sequence[str] = tuple(VALID_LABELS), keys: Sequence[str] = ("recording_id",),
-                    ts: str = "tick_ts") -> DataFrame:
+                    ts: str = "tick_ts", slice_ms: int | None = SLICE_MS) -> DataFrame:
     """Final label per tick: resting posture from the third still tick in a row, walking for
     gentle motion on low power, else the model's ``model_label`` and ``model_probs``.
 
@@ -224,7 +224,7 @@ def on_device_gates(ticks: DataFrame, classes: Sequence[str] = tuple(VALID_LABEL
     says which rule decided.
     """
     moved = F.when(~F.col("stationary"), F.col("tick"))
-    rows = carry_forward(ticks, keys, [ts], {"_moved": moved}, time_slice(ts))
+    rows = carry_forward(ticks, keys, [ts], {"_moved": moved}, time_slice(ts, slice_ms))
     still = F.col("tick") - F.coalesce("_moved", F.lit(-1))
     rows = rows.withColumn("still_ticks", F.when(F.col("stationary"), still).otherwise(0)).drop("_moved")
     gate = (F.when(F.col("still_ticks") > 2, "rest").when(F.col("low_power") & F.col("gentle"), "gentle").otherwise("model"))

@@ -21,8 +21,10 @@ from gaitframe.schema import PAUSE_MS, SLICE_MS
 HOT_ROWS = 1_000_000
 
 
-def time_slice(ts: str = "timestamp", slice_ms: int = SLICE_MS) -> Column:
-    return F.floor(F.col(ts) / F.lit(slice_ms))
+def time_slice(ts: str = "timestamp", slice_ms: int | None = SLICE_MS) -> Column | None:
+    """Slice number of a growing numeric column. ``slice_ms=None`` stands for no slices: the caller
+    knows a bound on the rows of a key."""
+    return None if slice_ms is None else F.floor(F.col(ts) / F.lit(slice_ms))
 
 
 def digest_slice(digest: Column) -> Column:

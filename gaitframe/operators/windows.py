@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gaitframe.functions import columns as C
 from gaitframe.operators.ordered import add_segments, ordered_position, time_slice
-from gaitframe.schema import FALL, MIN_PURITY, SENSORS, WINDOW_SIZE, WINDOW_STEP
+from gaitframe.schema import FALL, MIN_PURITY, SENSORS, SLICE_MS, WINDOW_SIZE, WINDOW_STEP
 
 WINDOW_KEYS = ["recording_id", "segment", "k"]
 
@@ -120,7 +120,7 @@ def latest_n(df: DataFrame, n: int = WINDOW_SIZE, keys: Sequence[str] = ("record
 
 
 def peak_windows(df: DataFrame, size: int = WINDOW_SIZE, step: int = WINDOW_STEP,
-                 keys: Sequence[str] = ("recording_id",)) -> DataFrame:
+                 keys: Sequence[str] = ("recording_id",), slice_ms: int | None = SLICE_MS) -> DataFrame:
     """Windows of fall recordings labelled by their distance from the impact.
 
     Centre within half a window of the recording's strongest sample: falling; more than a whole
@@ -128,7 +128,7 @@ def peak_windows(df: DataFrame, size: int = WINDOW_SIZE, step: int = WINDOW_STEP
     is moved for it beyond one per recording and map task.
     """
     keys = list(keys)
-    rows = ordered_position(df, keys, ["timestamp"], time_slice())
+    rows = ordered_position(df, keys, ["timestamp"], time_slice("timestamp", slice_ms))
     svm = C.acc_magnitude()
     peaks = rows.groupBy(*keys).agg(
         F.min_by("pos", F.struct((-svm).alias("s"), F.col("pos").alias("p"))).alias("peak_pos"))
@@ -144,13 +144,13 @@ def peak_windows(df: DataFrame, size: int = WINDOW_SIZE, step: int = WINDOW_STEP
 
 def inference_ticks(df: DataFrame, every_ms: int = 400, size: int = WINDOW_SIZE,
                     sample_ms: int = 20, keys: Sequence[str] = ("recording_id",),
-                    extra: Sequence[Column] = ()) -> DataFrame:
+                    extra: Sequence[Column] = (), slice_ms: int | None = SLICE_MS) -> DataFrame:
     """Trailing windows at a fixed tick: the latest ``size`` rows every ``every_ms``.
 
     Like the device's ring buffer, a tick looks back over pauses. ``extra`` are further
     aggregates over the rows of the window (``at`` is the place inside it).
     """
-    rows = ordered_position(df, keys, ["timestamp"], time_slice())
+    rows = ordered_position(df, keys, ["timestamp"], time_slice("timestamp", slice_ms))
     return (
         window_rows(rows, size, every_ms // sample_ms).groupBy(*keys, F.col("k").alias("tick"))
         .agg(F.count(F.lit(1)).alias("n_rows"), F.max("timestamp").alias("tick_ts"), *extra)

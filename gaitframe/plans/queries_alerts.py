@@ -6,7 +6,6 @@ from gaitframe.functions import columns as C
 from gaitframe.operators import alerts as L
 from gaitframe.operators import detector as D
 from gaitframe.operators import joins as J
-from gaitframe.operators.ordered import time_slice
 from gaitframe.plans.catalog import query
 from gaitframe.plans.queries_windows import TICKS, device_ticks
 from gaitframe.plans.sensor import clean_samples, table
@@ -14,7 +13,6 @@ from gaitframe.plans.sql import with_ctes
 
 DAY_MS = 86_400_000
 
-
 # Alerts of the events table: one per 'error' event.
 ALERTS = ("alerts", """SELECT CAST(event_id AS VARCHAR) AS id, user_id AS device_id, epoch_us(ts) // 1000 AS timestamp,
   CASE event_id % 4 WHEN 0 THEN 'DISMISSED_SAFE' WHEN 1 THEN 'SOS_DISPATCHED' WHEN 2 THEN 'CANCELLED_EARLY' ELSE 'DISMISSED_SAFE' END AS outcome,
@@ -108,7 +106,7 @@ def r6_escalation(spark, sf_dir):
     action = F.when(F.col("event_type") == "click", "dismiss").when(F.col("event_type") == "purchase", "sos").otherwise("stop")
     answers = events.select(F.col("user_id").alias("device_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"), action.alias("action"))
     confirmed = alerts(spark, sf_dir).drop("outcome")
-    return L.escalate(confirmed, answers, countdown_s=21_600, slice_by=time_slice("timestamp", 7 * DAY_MS)).select("id", "decided_at", "outcome")
+    return L.escalate(confirmed, answers, countdown_s=21_600, slice_ms=7 * DAY_MS).select("id", "decided_at", "outcome")
 
 
 @query("r7_sos_body", with_ctes(
@@ -171,14 +169,14 @@ def r10(spark, sf_dir):
     " CASE WHEN timestamp - lag(timestamp) OVER (PARTITION BY recording_id ORDER BY timestamp) >= 100 THEN 1 ELSE 0 END AS c FROM clean)))) WHERE r = 1"))
 def r11(spark, sf_dir):
     rows = clean_samples(spark, sf_dir).select("recording_id", "timestamp", F.round(C.acc_magnitude(), 6).alias("acc"))
-    return L.throttle(rows)
+    return L.throttle(rows, slice_ms=None)
 
 
 @query("r12_recording_progress", with_ctes(
     "SELECT recording_id, timestamp, n AS samples, (timestamp - began) // 1000 AS seconds, printf('%02d:%02d', (timestamp - began) // 60000, (timestamp - began) // 1000 % 60) AS elapsed FROM"
     " (SELECT recording_id, timestamp, row_number() OVER w AS n, min(timestamp) OVER (PARTITION BY recording_id) AS began FROM clean WINDOW w AS (PARTITION BY recording_id ORDER BY timestamp)) WHERE n % 10 = 0"))
 def r12(spark, sf_dir):
-    return L.recording_progress(clean_samples(spark, sf_dir))
+    return L.recording_progress(clean_samples(spark, sf_dir), slice_ms=None)
 
 
 def detector_ticks(spark, sf_dir):
@@ -223,7 +221,7 @@ def detect(name):
     # a recording of this view is 10 s long, so a confirmed fall stays confirmed to its end
     @query(f"r4_confirm_falls_{name}", detector_sql(name))
     def run(spark, sf_dir):
-        trace = D.confirm_falls(detector_ticks(spark, sf_dir), D.preset(name))
+        trace = D.confirm_falls(detector_ticks(spark, sf_dir), D.preset(name), slice_ms=None)
         return trace.select("recording_id", "tick_ts", "phase", "still")
 
 

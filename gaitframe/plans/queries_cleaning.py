@@ -200,7 +200,7 @@ def interpolate(spark, sf_dir):
     phase = F.floor(F.col("timestamp") / 20) % 50
     holed = F.when(phase.isin(3, 10, 11, 20, 21, 22, 30, 31, 32, 33, 34, 35, 36, 37), None).otherwise(F.col("ax"))
     rows = sensor_view(spark, sf_dir).withColumn("ax", holed).select("recording_id", "timestamp", "ax")
-    return K.interpolate(rows, 3, cols=["ax"]).withColumn("ax", F.round("ax", 6))
+    return K.interpolate(rows, 3, cols=["ax"], slice_ms=None).withColumn("ax", F.round("ax", 6))
 
 
 @query("p15_segments", with_ctes(

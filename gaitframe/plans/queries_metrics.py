@@ -9,12 +9,12 @@ from gaitframe.operators import joins as J
 from gaitframe.operators import metrics as M
 from gaitframe.operators import splits as G
 from gaitframe.operators import windows as W
-from gaitframe.operators.ordered import time_slice
 from gaitframe.plans.catalog import query
 from gaitframe.plans.queries_reports import GROUPS, SPLIT
 from gaitframe.plans.sensor import clean_samples, segments, sensor_view, table, windows
 from gaitframe.plans.sql import SENSORS, r6, with_ctes
 from gaitframe.schema import ACC, GYR, VALID_LABELS
+from gaitframe.session import materialize
 
 
 def scored_windows(spark, sf_dir):
@@ -36,7 +36,8 @@ def rounded(df, *names):
 def j1(spark, sf_dir):
     rows = clean_samples(spark, sf_dir)
     gyr = rows.filter(F.col("timestamp") % 60 == 0).select("recording_id", "timestamp", *GYR)
-    return J.fuse_asof(rows.select("recording_id", "timestamp", *ACC), gyr).select("recording_id", "timestamp", "ax", "gx")
+    return J.fuse_asof(rows.select("recording_id", "timestamp", *ACC), gyr, slice_ms=None).select(
+        "recording_id", "timestamp", "ax", "gx")
 
 
 @query("j1_fuse_asof_events", """SELECT event_id, user_id, coalesce(seen, 0.0) AS reading FROM (
@@ -47,7 +48,7 @@ def j1_events(spark, sf_dir):
     events = table(spark, sf_dir, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
     acc = events.filter("event_type = 'click'").select("event_id", "user_id", "us")
     gyr = events.filter("event_type = 'error'").select("user_id", "us", F.col("value").alias("reading"))
-    fused = J.asof(acc, gyr, ["user_id"], ["reading"], ts="us", slice_by=time_slice("us", 7 * 86_400_000_000))
+    fused = J.asof(acc, gyr, ["user_id"], ["reading"], ts="us", slice_ms=7 * 86_400_000_000)
     return fused.select("event_id", "user_id", F.coalesce("reading", F.lit(0.0)).alias("reading"))
 
 
@@ -71,7 +72,7 @@ def j4(spark, sf_dir):
 
 
 def halves(spark, sf_dir):
-    w = windows(spark, sf_dir)
+    w = materialize(windows(spark, sf_dir), "windows")
     split = G.group_shuffle(w, 0.2)
     return G.not_in_split(w, split, "test"), G.in_split(w, split, "test")
 
@@ -277,7 +278,7 @@ def parity(df):
     " (SELECT count(*) FROM (SELECT recording_id FROM win GROUP BY 1 HAVING count(DISTINCT k % 2) > 1)) AS recordings_crossing", *WINDOW_GROUPS))
 def q13(spark, sf_dir):
     # windows dealt out by parity after windowing, against subjects split before: the first leaks
-    labels = W.label_windows(segments(spark, sf_dir))
+    labels = materialize(W.label_windows(segments(spark, sf_dir)), "labels")
     before = G.apply_split(labels, G.group_shuffle(labels, 0.2))
     rows = W.window_rows(segments(spark, sf_dir)).join(labels.select("recording_id", "segment", "k"), ["recording_id", "segment", "k"])
     return Q.windowing_audit(before, parity(labels), parity(rows))

@@ -62,7 +62,7 @@ def m3(spark, sf_dir):
     " (SELECT subject_id FROM gs WHERE split = 'train') GROUP BY 1)) AS prediction, count(*) AS n FROM win WHERE subject_id IN"
     " (SELECT subject_id FROM gs WHERE split = 'test') GROUP BY 1", ("gs", GROUPS[1].replace("FROM sensor", "FROM win"))))
 def m4(spark, sf_dir):
-    labels = W.label_windows(segments(spark, sf_dir))
+    labels = materialize(W.label_windows(segments(spark, sf_dir)), "labels")
     train, test = X.holdout(labels)
     return M.confusion(MO.majority_baseline(train, test))
 
@@ -159,7 +159,7 @@ def m14(spark, sf_dir):
         "gentle": (F.col("even_acc_max") < 40) & (F.col("even_acc_min") > 1),
         "low_power": F.col("tick") % 2 == 0, "model_label": F.lit("running"),
         "model_probs": F.array(*[F.lit(0.5 if c == "running" else 0.1) for c in VALID_LABELS])})
-    return MO.on_device_gates(ticks).select("recording_id", "tick", "still_ticks", "gate", "label", "confidence")
+    return MO.on_device_gates(ticks, slice_ms=None).select("recording_id", "tick", "still_ticks", "gate", "label", "confidence")
 
 
 @query("q11_cross_dataset")

@@ -8,7 +8,7 @@ from gaitframe.plans.queries_reports import SPLIT, report_rows
 from gaitframe.plans.sensor import clean_samples, sensor_view, windows
 from gaitframe.plans.sql import r6, with_ctes
 from gaitframe.schema import SENSORS
-from gaitframe.session import scratch_path
+from gaitframe.session import materialize, scratch_path
 from gaitframe.sources import recordings as R
 from gaitframe.sources import sinks as S
 from gaitframe.sources.lines import quarantine, with_header
@@ -19,13 +19,13 @@ def text(c):
 
 
 def as_lines(rows, path, header, value):
-    """Rows of the view as the lines of one file per recording, header first."""
+    """Rows of the view as the lines of one file per recording, header first, written once."""
     body = rows.select(path.alias("file_path"), F.lit(0).cast("long").alias("block_start"), F.col("timestamp").alias("line_id"), value.alias("value"))
     if header is None:
-        return body
+        return materialize(body, "lines")
     heads = rows.select(path.alias("file_path"), header.alias("value")).distinct().select(
         "file_path", F.lit(0).cast("long").alias("block_start"), F.lit(-1).cast("long").alias("line_id"), "value")
-    return body.unionByName(heads)
+    return materialize(body.unionByName(heads), "lines")
 
 
 def session_lines(spark, sf_dir):
@@ -53,7 +53,7 @@ GOOD = ("good", "SELECT * FROM sensor WHERE timestamp // 20 % 61 <> 0")
     ("parts", "SELECT *, CAST(sum(c) OVER (PARTITION BY recording_id ORDER BY timestamp ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INTEGER) AS segment FROM jumps"),
     ("numbered", "SELECT *, row_number() OVER (PARTITION BY recording_id, segment ORDER BY timestamp) - 1 AS pos FROM parts")))
 def s1(spark, sf_dir):
-    return R.session_rows(session_lines(spark, sf_dir)).groupBy("subject_id", "recording_id", "segment").agg(
+    return R.session_rows(session_lines(spark, sf_dir), bounded=True).groupBy("subject_id", "recording_id", "segment").agg(
         F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("ax"), 6).alias("sum_ax"), F.max("pos").alias("last_pos"))
 
 
@@ -147,7 +147,7 @@ def s6(spark, sf_dir):
 @query("s8_quarantine", with_ctes(
     f"SELECT concat('/in/', {STEM}, '.csv') AS file_path, 'malformed lines' AS reason, count(*) AS n_lines FROM sensor WHERE timestamp // 20 % 61 = 0 GROUP BY 1"))
 def s8(spark, sf_dir):
-    return quarantine(with_header(session_lines(spark, sf_dir)), R.SESSION_COLUMNS)
+    return quarantine(with_header(session_lines(spark, sf_dir), R.SESSION_COLUMNS))
 
 
 HARMONIZED = ("harm", "SELECT dataset_id, subject_id, CASE WHEN subject_id LIKE '%older%' THEN 'older_adult' WHEN subject_id LIKE '%young%' THEN 'young_adult' WHEN subject_id LIKE 'own%' THEN 'unknown' ELSE 'adult' END AS age_group,"

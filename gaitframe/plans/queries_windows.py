@@ -1,10 +1,14 @@
-"""Queries over the sample windows, the 134 features and the on-device window metrics."""
+"""Queries over the sample windows, the 134 features and the on-device window metrics.
+
+Recordings of the sensor view hold at most 500 rows, so they are ordered without slices.
+"""
 
 from pyspark.sql import functions as F
 
 from gaitframe.functions import columns as C
 from gaitframe.operators import features as FE
 from gaitframe.operators import windows as W
+from gaitframe.operators.ordered import ordered_position
 from gaitframe.plans.catalog import query
 from gaitframe.plans.sensor import clean_samples, segments, sensor_view, windows
 from gaitframe.plans.sql import SENSORS, r6, with_ctes
@@ -52,13 +56,12 @@ PEAK = (
     "SELECT recording_id, k, start_ts, peak AS peak_pos, CASE WHEN abs(k * 50 + 50 - peak) <= 50 THEN 'falling' ELSE 'lying' END AS label"
     " FROM pwin JOIN peaks USING (recording_id) WHERE abs(k * 50 + 50 - peak) <= 50 OR k * 50 + 50 > peak + 100", *PEAK))
 def peak_windows(spark, sf_dir):
-    return W.peak_windows(clean_samples(spark, sf_dir))
+    return W.peak_windows(clean_samples(spark, sf_dir), slice_ms=None)
 
 
 @query("j9_peak_position", with_ctes("SELECT recording_id, peak AS peak_pos FROM peaks", *PEAK))
 def peak_position(spark, sf_dir):
-    from gaitframe.operators.ordered import ordered_position, time_slice
-    rows = ordered_position(clean_samples(spark, sf_dir), ["recording_id"], ["timestamp"], time_slice())
+    rows = ordered_position(clean_samples(spark, sf_dir), ["recording_id"], ["timestamp"], None)
     strongest = F.struct((-C.acc_magnitude()).alias("s"), F.col("pos").alias("p"))
     return rows.groupBy("recording_id").agg(F.min_by("pos", strongest).alias("peak_pos"))
 
@@ -79,12 +82,12 @@ TICKS = (
 
 
 def device_ticks(spark, sf_dir):
-    return FE.with_device_flags(W.inference_ticks(clean_samples(spark, sf_dir), 400, extra=FE.device_metrics()))
+    return FE.with_device_flags(W.inference_ticks(clean_samples(spark, sf_dir), 400, extra=FE.device_metrics(), slice_ms=None))
 
 
 @query("w5_inference_ticks", with_ctes("SELECT recording_id, tick, tick_ts FROM ticks", *TICKS))
 def ticks(spark, sf_dir):
-    return W.inference_ticks(clean_samples(spark, sf_dir), 400)
+    return W.inference_ticks(clean_samples(spark, sf_dir), 400, slice_ms=None)
 
 
 @query("w6_window_summary", with_ctes(

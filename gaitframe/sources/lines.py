@@ -6,7 +6,7 @@ are looked up by name. A file of any size is read in splits: the order of its li
 (offset of the split, running id inside it).
 """
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,13 +22,17 @@ def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return rows.filter(F.length(F.trim("value")) > 0)
 
 
+def file_name(path: Column | str = "file_path") -> Column:
+    return F.substring_index(path, "/", -1)
+
+
 def stem(path: Column | str = "file_path") -> Column:
     """File name without folder and extension."""
-    return F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1)
+    return F.regexp_extract(file_name(path), r"^(.+?)(\.[^.]*)?$", 1)
 
 
 def parent(path: Column | str = "file_path") -> Column:
-    return F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
+    return F.substring_index(F.substring_index(path, "/", -2), "/", 1)
 
 
 def stem_part(i: int, default: str) -> Column:
@@ -36,55 +40,65 @@ def stem_part(i: int, default: str) -> Column:
     return F.coalesce(F.get(F.split(stem(), "_"), F.lit(i)), F.lit(default))
 
 
-def with_header(lines: DataFrame, comment: str | None = None) -> DataFrame:
-    """Data lines with ``fields`` and their file's ``header`` (trimmed, lower case).
+def computed_once(*columns: Column) -> Column:
+    """Columns for ``select`` that are worked out once per row.
+
+    Filters on a parsed field would else be moved below the parsing, and every use would parse the
+    line again; they are not moved below a generator.
+    """
+    return F.inline(F.array(F.struct(*columns)))
+
+
+def with_file_columns(lines: DataFrame, describe: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Lines with columns that depend on the file alone. ``describe`` gets one row per file and may
+    drop files; names are parsed once per file and not once per line."""
+    return lines.join(describe(lines.select("file_path").distinct()), "file_path")
+
+
+def with_header(lines: DataFrame, columns: dict[str, Sequence[str]], comment: str | None = None,
+                describe: Callable[[DataFrame], DataFrame] = lambda files: files) -> DataFrame:
+    """Data lines with their ``fields`` and, per wanted column, its place in the file's header.
 
-    The header table has one row per file and comes from a map-side combined aggregate.
+    ``columns`` lists the accepted names per column. The header table has one row per file, made
+    by a map-side combined aggregate over the first split of each file; places, missing columns
+    and everything ``describe`` adds are worked out on it.
     """
     if comment:
         lines = lines.withColumn("value", F.split("value", comment)[0]).filter(F.length(F.trim("value")) > 0)
-    rows = lines.withColumn("fields", F.transform(F.split("value", ","), lambda v: F.trim(F.translate(v, '"', ""))))
     at = F.struct(*LINE_ORDER)
-    first = rows.groupBy("file_path").agg(F.min_by("fields", at).alias("header"), F.min(at).alias("_at"))
-    first = first.withColumn("header", F.transform("header", lambda v: F.lower(v)))
-    return rows.join(first, "file_path").filter(at != F.col("_at")).drop("_at")
-
-
-def field(*names: str) -> Column:
-    """Text of the first of ``names`` that the file's header has; NULL if it has none."""
-    hits = []
-    for name in names:
-        place = F.array_position("header", F.lit(name))
-        hits.append(F.when(place > 0, F.get("fields", (place - 1).cast("int"))))
-    return F.coalesce(*hits)
+    files = lines.filter(F.col("block_start") == 0).groupBy("file_path").agg(F.min_by("value", at).alias("_h"), F.min(at).alias("_at"))
+    files = files.withColumn("_h", F.transform(F.split("_h", ","), lambda v: F.lower(F.trim(F.translate(v, '"', "")))))
+    places = {f"_at_{c}": F.coalesce(*[F.nullif(F.array_position("_h", F.lit(n)), F.lit(0)) for n in names]) - 1
+              for c, names in columns.items()}
+    files = files.withColumns({n: p.cast("int") for n, p in places.items()}).withColumn("_width", F.size("_h"))
+    lacking = F.array(*[F.when(F.col(f"_at_{c}").isNull(), F.lit(c)) for c in columns])
+    files = describe(files.withColumn("_missing", F.array_join(lacking, ",")).drop("_h"))
+    return (lines.join(files, "file_path").filter(at != F.col("_at")).drop("_at")
+            .select("*", computed_once(F.split("value", ",").alias("fields"))))
 
 
-def has_any(*names: str) -> Column:
-    return F.arrays_overlap("header", F.array(*[F.lit(n) for n in names]))
+def field(column: str) -> Column:
+    """Text of a column of :func:`with_header`; NULL where the file or the line lacks it."""
+    return F.trim(F.translate(F.get("fields", F.col(f"_at_{column}")), '"', ""))
 
 
-def number(*names: str) -> Column:
-    return field(*names).try_cast("double")
+def number(column: str) -> Column:
+    return field(column).try_cast("double")
 
 
 def too_long() -> Column:
     """A line with more fields than its header: malformed, skipped by every reader."""
-    return F.size("fields") > F.size("header")
+    return F.size("fields") > F.col("_width")
 
 
-def quarantine(rows: DataFrame, required: dict[str, Sequence[str]]) -> DataFrame:
-    """What the readers leave out: malformed lines, and files lacking a required column."""
-    lacking = F.array_join(F.array_compact(F.array(*[
-        F.when(~has_any(*names), F.lit(key)) for key, names in required.items()])), ",")
-    files = rows.select("file_path", lacking.alias("missing")).filter("missing <> ''").groupBy("file_path", "missing").agg(
-        F.count(F.lit(1)).alias("n_lines")).select("file_path", F.concat(F.lit("missing columns: "), "missing").alias("reason"), "n_lines")
-    bad = rows.filter(too_long()).groupBy("file_path").agg(F.count(F.lit(1)).alias("n_lines")).select(
-        "file_path", F.lit("malformed lines").alias("reason"), "n_lines")
-    return files.unionByName(bad)
+def quarantine(rows: DataFrame) -> DataFrame:
+    """What the readers leave out: malformed lines, and files lacking a column."""
+    reason = F.when(F.col("_missing") != "", F.concat(F.lit("missing columns: "), "_missing")).when(too_long(), "malformed lines")
+    return rows.select("file_path", reason.alias("reason")).filter(F.col("reason").isNotNull()).groupBy("file_path", "reason").agg(
+        F.count(F.lit(1)).alias("n_lines"))
 
 
-def usable(rows: DataFrame, required: dict[str, Sequence[str]]) -> DataFrame:
-    keep = ~too_long()
-    for names in required.values():
-        keep = keep & has_any(*names)
-    return rows.filter(keep)
+def usable(rows: DataFrame, optional: Sequence[str] = ()) -> DataFrame:
+    """Well-formed lines of files that have every column but the ``optional`` ones."""
+    missing = F.filter(F.split("_missing", ","), lambda c: ~c.isin("", *optional))
+    return rows.filter((F.size(missing) == 0) & ~too_long())

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gaitframe.functions import columns as C
 from gaitframe.operators import cleaning as K
-from gaitframe.operators.ordered import add_segments
+from gaitframe.operators.ordered import add_segments, ordered_position
 from gaitframe.operators.registry import map_labels, own_label
 from gaitframe.schema import ACC, BASE_TIMESTAMP_MS, SAMPLE_MS, SENSORS, TARGET_HZ
 from gaitframe.sources import lines as L
@@ -20,12 +20,28 @@ AXIS_NAMES = {
     "az": ["acc_z", "accel_z", "az", "accelerometerz"], "gx": ["gyro_x", "gyr_x", "gx", "gyroscopex"],
     "gy": ["gyro_y", "gyr_y", "gy", "gyroscopey"], "gz": ["gyro_z", "gyr_z", "gz", "gyroscopez"],
 }
-TIME_NAMES = ["timestamp", "time", "ts"]
+TIMED_AXIS_NAMES = {"timestamp": ["timestamp", "time", "ts"], **AXIS_NAMES}
 FILE_KEY = ["file_path"]
 
 
-def _channels(names: dict[str, list[str]]):
-    return [L.number(*names[c]).alias(c) for c in SENSORS]
+def _channels():
+    return [L.number(c).alias(c) for c in SENSORS]
+
+
+def _clock():
+    return L.field("timestamp").try_cast("double").cast("long")
+
+
+def _on_target_clock(rows: DataFrame, rate_hz: int, average: bool = False) -> DataFrame:
+    """Lines of a file numbered once: synthetic clock, then the target rate."""
+    nth, every = F.col("_nth"), rate_hz // TARGET_HZ
+    rows = ordered_position(rows, FILE_KEY, L.LINE_ORDER, F.col("block_start"), out="_nth")
+    rows = rows.withColumn("timestamp", (F.lit(BASE_TIMESTAMP_MS) + nth * (1000 // rate_hz)).cast("long"))
+    return (K.average_runs(rows, every, FILE_KEY) if average else rows.filter(nth % every == 0)).drop("_nth")
+
+
+def _session_names(files: DataFrame) -> DataFrame:
+    return files.withColumns({"subject_id": L.stem_part(0, "unknown"), "recording_id": L.stem()})
 
 
 def session_rows(lines: DataFrame, segments: bool = True, bounded: bool = False) -> DataFrame:
@@ -34,10 +50,9 @@ def session_rows(lines: DataFrame, segments: bool = True, bounded: bool = False)
     The subject is the file stem before its first underscore, the recording is the file.
     ``bounded=True`` says that a file holds few enough rows to be ordered in one piece.
     """
-    rows = L.usable(L.with_header(lines), SESSION_COLUMNS).select(
-        F.element_at(F.split(L.stem(), "_"), 1).alias("subject_id"), L.stem().alias("recording_id"),
-        L.field(*SESSION_COLUMNS["timestamp"]).try_cast("double").cast("long").alias("timestamp"),
-        *_channels(SESSION_COLUMNS), L.field("label").alias("label"))
+    rows = L.usable(L.with_header(lines, SESSION_COLUMNS, describe=_session_names)).select(
+        "subject_id", "recording_id",
+        L.computed_once(_clock().alias("timestamp"), *_channels(), L.field("label").alias("label")))
     rows = K.drop_missing(K.drop_out_of_range(K.clean_labels(rows)), [*SENSORS, "timestamp"])
     return add_segments(rows, slice_ms=None) if segments and bounded else add_segments(rows) if segments else rows
 
@@ -57,23 +72,27 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     The rows have the session layout plus ``impact_peak`` and ``modified``, so they can be added
     to the training recordings.
     """
-    rows = L.usable(L.with_header(L.read_lines(spark, path)), SESSION_COLUMNS).select(
-        F.element_at(F.split(L.stem(), "_"), 1).alias("subject_id"), L.stem().alias("recording_id"),
-        L.field(*SESSION_COLUMNS["timestamp"]).try_cast("long").alias("timestamp"), *_channels(SESSION_COLUMNS),
-        L.field("label").alias("label"), L.number("impact_peak").alias("impact_peak"), "modified")
+    rows = L.usable(L.with_header(L.read_lines(spark, path), {**SESSION_COLUMNS, "impact_peak": ["impact_peak"]}, describe=_session_names),
+                    optional=["impact_peak"]).select(
+        "subject_id", "recording_id", L.computed_once(
+            _clock().alias("timestamp"), *_channels(), L.field("label").alias("label"), L.number("impact_peak").alias("impact_peak")),
+        "modified")
     return rows.orderBy(F.desc("modified"), "recording_id", "timestamp")
 
 
 def own_rows(lines: DataFrame) -> DataFrame:
     """Own recordings: ``<subject>_<session>[_<position>[_<orientation>]]`` in the file stem."""
-    rows = L.usable(L.with_header(lines), SESSION_COLUMNS)
-    subject, session = L.stem_part(0, "unknown"), L.stem_part(1, "s01")
+    def names(files: DataFrame) -> DataFrame:
+        subject, session = L.stem_part(0, "unknown"), L.stem_part(1, "s01")
+        return files.withColumns({
+            "subject_id": F.concat(F.lit("own_"), subject), "recording_id": F.concat(F.lit("own_"), subject, F.lit("_"), session),
+            "phone_position": L.stem_part(2, "unknown")})
+
+    rows = L.usable(L.with_header(lines, SESSION_COLUMNS, describe=names))
     return K.conform(rows.select(
-        F.lit("own").alias("dataset_id"), F.concat(F.lit("own_"), subject).alias("subject_id"),
-        F.concat(F.lit("own_"), subject, F.lit("_"), session).alias("recording_id"),
-        L.field(*SESSION_COLUMNS["timestamp"]).try_cast("double").cast("long").alias("timestamp"), *_channels(SESSION_COLUMNS),
-        F.lower(F.trim(L.field("label"))).alias("original_label"), own_label(L.field("label")).alias("unified_label"),
-        L.stem_part(2, "unknown").alias("phone_position"), F.lit(0).alias("segment")))
+        F.lit("own").alias("dataset_id"), "subject_id", "recording_id", _clock().alias("timestamp"), *_channels(),
+        F.lower(L.field("label")).alias("original_label"), own_label(L.field("label")).alias("unified_label"),
+        "phone_position", F.lit(0).alias("segment")))
 
 
 def read_own(spark: SparkSession, path: str) -> DataFrame:
@@ -82,19 +101,18 @@ def read_own(spark: SparkSession, path: str) -> DataFrame:
 
 def mobiact_rows(lines: DataFrame, average: bool = False) -> DataFrame:
     """Per-label folders, 200 Hz, gyroscope in deg/s; folders with an unknown label are skipped."""
-    lines = lines.withColumns({"dataset_id": F.lit("mobiact"), "original_label": F.upper(L.parent())})
-    lines = map_labels(lines).filter(F.col("unified_label") != "unknown")
-    rows = L.usable(L.with_header(lines, comment="#"), AXIS_NAMES)
-    subject = F.format_string("%03d", L.stem_part(1, "00").cast("int"))
-    rows = rows.select(
-        "file_path", *L.LINE_ORDER, "dataset_id", "original_label", "unified_label",
-        F.concat(F.lit("mobiact_"), subject).alias("subject_id"),
-        F.concat(F.lit("mobiact_"), subject, F.lit("_"), "original_label", F.lit("_"), L.stem_part(2, "1")).alias("recording_id"),
-        L.field(*TIME_NAMES).try_cast("double").cast("long").alias("_clock"), L.has_any(*TIME_NAMES).alias("_timed"), *_channels(AXIS_NAMES))
+    def names(files: DataFrame) -> DataFrame:
+        files = files.withColumns({"dataset_id": F.lit("mobiact"), "original_label": F.upper(L.parent())})
+        subject = F.concat(F.lit("mobiact_"), F.format_string("%03d", L.stem_part(1, "00").cast("int")))
+        return map_labels(files).filter(F.col("unified_label") != "unknown").withColumns({
+            "subject_id": subject, "recording_id": F.concat_ws("_", subject, "original_label", L.stem_part(2, "1"))})
+
+    rows = L.usable(L.with_header(lines, TIMED_AXIS_NAMES, "#", names), optional=["timestamp"]).select(
+        "file_path", *L.LINE_ORDER, "dataset_id", "original_label", "unified_label", "subject_id", "recording_id",
+        F.col("_at_timestamp").isNotNull().alias("_timed"), L.computed_once(_clock().alias("_clock"), *_channels()))
     rows = K.to_si(rows, gyr_unit="deg/s")
-    rows = K.synth_timestamps(rows, 200, FILE_KEY, L.LINE_ORDER, F.col("block_start"))
+    rows = _on_target_clock(rows, 200, average)
     rows = rows.withColumn("timestamp", F.when(F.col("_timed"), F.col("_clock")).otherwise(F.col("timestamp")))
-    rows = K.decimate(rows, 200 // TARGET_HZ, FILE_KEY, L.LINE_ORDER, F.col("block_start"), average)
     return K.conform(rows.withColumns({"phone_position": F.lit("trouser_right_pocket"), "segment": F.lit(0)}))
 
 
@@ -104,25 +122,27 @@ def read_mobiact(spark: SparkSession, path: str) -> DataFrame:
 
 def sisfall_rows(lines: DataFrame, max_recordings: int | None = None, scheme: str = "nine") -> DataFrame:
     """Headerless ADC text with a trailing semicolon, 200 Hz; the folder tells the cohort."""
-    name = L.stem()
-    code = F.regexp_extract(name, "^([A-Z][0-9]+)", 1)
-    trial = F.coalesce(F.nullif(F.regexp_extract(name, "[Rn]([0-9]+)", 1), F.lit("")).cast("int"), F.lit(0))
-    cohort = F.when(F.upper(F.substring(L.parent(), 1, 2)) == "SA", "older").otherwise("young")
-    subject = F.concat(F.lit("sisfall_"), cohort, F.format_string("%02d", F.regexp_extract(L.parent(), "([0-9]+)", 1).cast("int")))
+    def names(files: DataFrame) -> DataFrame:
+        code = F.regexp_extract(L.stem(), "^([A-Z][0-9]+)", 1)
+        trial = F.coalesce(F.nullif(F.regexp_extract(L.stem(), "[Rn]([0-9]+)", 1), F.lit("")).cast("int"), F.lit(0))
+        cohort = F.when(F.upper(F.substring(L.parent(), 1, 2)) == "SA", "older").otherwise("young")
+        number = F.format_string("%02d", F.regexp_extract(L.parent(), "([0-9]+)", 1).cast("int"))
+        files = files.withColumns({
+            "dataset_id": F.lit("sisfall"), "subject_id": F.concat(F.lit("sisfall_"), cohort, number),
+            "original_label": F.when(code == "", "UNK").otherwise(code), "_trial": trial})
+        return map_labels(files, scheme).withColumn("recording_id", F.concat_ws(
+            "_", "subject_id", "original_label", F.concat(F.lit("r"), F.format_string("%02d", "_trial"))))
+
     if max_recordings is not None:
         files = lines.select("file_path", L.parent().alias("_folder")).distinct()
         nth = F.row_number().over(Window.partitionBy("_folder").orderBy("file_path"))
         lines = lines.join(files.withColumn("_n", nth).filter(F.col("_n") <= max_recordings).select("file_path"), "file_path", "left_semi")
     values = F.transform(F.split(F.rtrim(F.trim("value"), F.lit(";")), ","), lambda v: F.trim(v).try_cast("double"))
-    rows = lines.select(
-        "file_path", *L.LINE_ORDER, F.lit("sisfall").alias("dataset_id"), subject.alias("subject_id"),
-        F.when(code == "", "UNK").otherwise(code).alias("original_label"), trial.alias("_trial"), values.alias("_v"))
+    rows = L.with_file_columns(lines, names).select("*", L.computed_once(values.alias("_v")))
     rows = rows.filter(F.size("_v") >= len(SENSORS)).select("*", *[F.get("_v", F.lit(i)).alias(c) for i, c in enumerate(SENSORS)])
-    rows = K.to_si(rows, "adc", "adc").withColumn("recording_id", F.concat(
-        "subject_id", F.lit("_"), "original_label", F.lit("_r"), F.format_string("%02d", "_trial")))
-    rows = K.synth_timestamps(rows, 200, FILE_KEY, L.LINE_ORDER, F.col("block_start"))
-    rows = K.decimate(rows, 200 // TARGET_HZ, FILE_KEY, L.LINE_ORDER, F.col("block_start"))
-    return K.conform(map_labels(rows, scheme).withColumns({"phone_position": F.lit("waist_belt"), "segment": F.lit(0)}))
+    rows = K.to_si(rows, "adc", "adc")
+    rows = _on_target_clock(rows, 200)
+    return K.conform(rows.withColumns({"phone_position": F.lit("waist_belt"), "segment": F.lit(0)}))
 
 
 def read_sisfall(spark: SparkSession, path: str, max_recordings: int | None = None) -> DataFrame:
@@ -136,16 +156,18 @@ def read_sisfall(spark: SparkSession, path: str, max_recordings: int | None = No
 
 def kfall_rows(lines: DataFrame) -> DataFrame:
     """Two positions per trial, 100 Hz, SI units: ``<subject>_<activity>_<trial>_<position>``."""
-    rows = L.usable(L.with_header(lines), AXIS_NAMES)
-    subject = F.concat(F.lit("kfall_"), F.format_string("%02d", F.regexp_extract(L.parent(), "S([0-9]+)", 1).cast("int")))
-    code, trial, position = L.stem_part(1, "UNK"), L.stem_part(2, "T01"), L.stem_part(3, "unknown")
-    rows = rows.select(
-        "file_path", *L.LINE_ORDER, F.lit("kfall").alias("dataset_id"), subject.alias("subject_id"),
-        F.concat_ws("_", subject, code, trial, position).alias("recording_id"), code.alias("original_label"),
-        C.phone_position(position).alias("phone_position"), *_channels(AXIS_NAMES))
-    rows = K.synth_timestamps(rows, 100, FILE_KEY, L.LINE_ORDER, F.col("block_start"))
-    rows = K.decimate(rows, 100 // TARGET_HZ, FILE_KEY, L.LINE_ORDER, F.col("block_start"))
-    return K.conform(map_labels(rows).withColumn("segment", F.lit(0)))
+    def names(files: DataFrame) -> DataFrame:
+        subject = F.concat(F.lit("kfall_"), F.format_string("%02d", F.regexp_extract(L.parent(), "S([0-9]+)", 1).cast("int")))
+        code, position = L.stem_part(1, "UNK"), L.stem_part(3, "unknown")
+        return map_labels(files.withColumns({
+            "dataset_id": F.lit("kfall"), "subject_id": subject, "original_label": code, "phone_position": C.phone_position(position),
+            "recording_id": F.concat_ws("_", subject, code, L.stem_part(2, "T01"), position)}))
+
+    rows = L.usable(L.with_header(lines, AXIS_NAMES, describe=names)).select(
+        "file_path", *L.LINE_ORDER, "dataset_id", "subject_id", "recording_id", "original_label", "unified_label", "phone_position",
+        L.computed_once(*_channels()))
+    rows = _on_target_clock(rows, 100)
+    return K.conform(rows.withColumn("segment", F.lit(0)))
 
 
 def read_kfall(spark: SparkSession, path: str) -> DataFrame:

@@ -31,7 +31,7 @@ def test_sessions_with_different_headers(spark, tmp_path):
         ("s01", 0, 1.0, "walking", 0, 0), ("s01", 600, 3.0, "falling", 1, 0), ("s02", 100, 4.0, "lying", 0, 0)]
     assert (rows[2]["gx"], rows[2]["gz"]) == (1.0, 3.0)
     bad = {os.path.basename(r["file_path"]): (r["reason"], r["n_lines"]) for r in
-           T.quarantine(T.with_header(T.read_lines(spark, str(tmp_path))), R.SESSION_COLUMNS).collect()}
+           T.quarantine(T.with_header(T.read_lines(spark, str(tmp_path)), R.SESSION_COLUMNS)).collect()}
     assert bad == {"bad_file.csv": ("missing columns: gz", 1), "s02_a.csv": ("malformed lines", 1)}
 
 
