@@ -21,6 +21,10 @@ MOTION = ["acc_svm_mean", "acc_svm_std", "acc_svm_peak", "gyr_svm_mean", "gyr_sv
           "gyr_svm_peak", "acc_jerk_mean", "acc_jerk_peak", "gyr_jerk_mean", "gyr_jerk_peak",
           "resultant_mean", "resultant_peak"]
 
+#: A sample this close to the window's mean is on it: the rest is rounding of the mean, which
+#: depends on the order of summation.
+AT_MEAN = 1e-9
+
 
 def feature_names() -> list[str]:
     names = [f"{c}_{s}" for c in SENSORS for s in TIME_DOMAIN]
@@ -79,7 +83,7 @@ def time_features(windows: DataFrame) -> DataFrame:
         power[f"{c}_mad"] = _mean(F.transform(d, lambda v: F.abs(v)))
         power[f"{c}_min"] = F.array_min(f"_{c}")
         power[f"{c}_max"] = F.array_max(f"_{c}")
-        sign = F.transform(d, lambda v: F.signum(v))
+        sign = F.transform(d, lambda v: F.when(F.abs(v) < AT_MEAN, 0.0).otherwise(F.signum(v)))
         power[f"{c}_zcr"] = _mean(F.transform(_steps(sign), lambda v: F.when(v != 0, 1.0).otherwise(0.0)))
         power[f"{c}_iqr"] = _quantile(F.col(f"_o_{c}"), 0.75) - _quantile(F.col(f"_o_{c}"), 0.25)
     for a, b in AXIS_PAIRS:

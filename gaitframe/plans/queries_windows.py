@@ -136,8 +136,9 @@ feature_query("f19_resultant", FE.MOTION[10:],
 CENTRED = (
     ("means", "SELECT *, " + ", ".join(f"{c} - avg({c}) OVER w AS d{c}" for c in SENSORS) +
      f", min(gx) OVER w AS lo_gx, max(gx) OVER w AS hi_gx FROM wrow WINDOW w AS (PARTITION BY {KEYSQL})"),
-    ("signs", "SELECT *, " + ", ".join(f"CASE WHEN spot > 0 THEN CASE WHEN sign(d{c}) <> sign(lag(d{c}) OVER w) THEN 1.0 ELSE 0.0 END END AS z{c}" for c in SENSORS) +
-     f" FROM means WINDOW w AS (PARTITION BY {KEYSQL} ORDER BY spot)"),
+    ("sides", "SELECT *, " + ", ".join(f"CASE WHEN abs(d{c}) < 1e-9 THEN 0 ELSE sign(d{c}) END AS side_{c}" for c in SENSORS) + " FROM means"),
+    ("signs", "SELECT *, " + ", ".join(f"CASE WHEN spot > 0 THEN CASE WHEN side_{c} <> lag(side_{c}) OVER w THEN 1.0 ELSE 0.0 END END AS z{c}" for c in SENSORS) +
+     f" FROM sides WINDOW w AS (PARTITION BY {KEYSQL} ORDER BY spot)"),
 )
 
 
