@@ -67,39 +67,47 @@ def per_class(scored: DataFrame, classes: Sequence[str] | None = None, by: Seque
     return with_scores(counts).drop("predicted", "hits")
 
 
-def overall(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Accuracy, macro and weighted F1 and balanced accuracy per group."""
+def evaluate(scored: DataFrame, by: Sequence[str] = (), positive: str = FALL,
+             classes: Sequence[str] | None = None) -> DataFrame:
+    """Overall and safety metrics in one row per group, with the fall-recall verdict.
+
+    One pass over the scored rows: the counts of the positive class give the safety metrics (a
+    false alarm is a predicted row that is no hit). With ``classes``, ``macro_precision`` and
+    ``macro_recall`` average over all of them, absent ones counting 0. Rates are 0 where a
+    denominator is empty.
+    """
     scores = with_scores(class_counts(confusion(scored, by), by))
-    return scores.groupBy(*by).agg(
-        (F.sum("hits") / F.sum("support")).alias("accuracy"), F.avg("f1").alias("macro_f1"),
-        (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("weighted_f1"),
-        F.avg(F.when(F.col("support") > 0, F.col("recall"))).alias("balanced_accuracy"))
-
-
-def safety(scored: DataFrame, by: Sequence[str] = (), positive: str = FALL) -> DataFrame:
-    """Counts and rates of the fall class against the rest; 0 where a denominator is empty."""
-    t, p, n = F.col("label") == positive, F.col("prediction") == positive, F.col("n")
-
-    def total(cond):
-        return F.sum(F.when(cond, n).otherwise(0))
-
-    df = confusion(scored, by).groupBy(*by).agg(
-        total(t & p).alias("tp"), total(t & ~p).alias("fn"), total(~t & p).alias("fp"), total(~t & ~p).alias("tn"))
+    hits, support, predicted = F.col("hits"), F.col("support"), F.col("predicted")
+
+    def of_positive(value):
+        return F.sum(F.when(F.col("class") == positive, value).otherwise(0))
+
+    macro = [] if classes is None else [
+        (F.sum(F.when(F.col("class").isin(list(classes)), F.col(c))) / len(classes)).alias(f"macro_{c}")
+        for c in ("precision", "recall")]
+    df = scores.groupBy(*by).agg(
+        (F.sum(hits) / F.sum(support)).alias("accuracy"), F.avg("f1").alias("macro_f1"),
+        (F.sum(F.col("f1") * support) / F.sum(support)).alias("weighted_f1"),
+        F.avg(F.when(support > 0, F.col("recall"))).alias("balanced_accuracy"), *macro,
+        of_positive(hits).alias("tp"), of_positive(support - hits).alias("fn"), of_positive(predicted - hits).alias("fp"),
+        F.sum(support).alias("_n"))
     tp, fn, fp, tn = (F.col(c) for c in ("tp", "fn", "fp", "tn"))
-    df = df.withColumns({
+    df = df.withColumn("tn", F.col("_n") - tp - fn - fp).drop("_n").withColumns({
         "fall_recall": _ratio(tp, tp + fn), "fall_precision": _ratio(tp, tp + fp),
         "specificity": _ratio(tn, tn + fp), "fpr": _ratio(fp, tn + fp), "fnr": _ratio(fn, tp + fn)})
-    return df.withColumn("fall_f1", _f1(F.col("fall_precision"), F.col("fall_recall")))
+    return df.withColumn("fall_f1", _f1(F.col("fall_precision"), F.col("fall_recall"))).withColumn(
+        "below_recall_target", F.col("fall_recall") < FALL_RECALL_TARGET)
+
+
+def overall(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Accuracy, macro and weighted F1 and balanced accuracy per group."""
+    return evaluate(scored, by).select(*by, "accuracy", "macro_f1", "weighted_f1", "balanced_accuracy")
 
 
-def evaluate(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Overall and safety metrics in one row per group, with the fall-recall verdict."""
-    left, right = overall(scored, by), safety(scored, by)
-    keys = list(by)
-    if not keys:
-        left, right, keys = left.withColumn("_one", F.lit(1)), right.withColumn("_one", F.lit(1)), ["_one"]
-    return (left.join(right, keys).withColumn("below_recall_target", F.col("fall_recall") < FALL_RECALL_TARGET)
-            .drop("_one"))
+def safety(scored: DataFrame, by: Sequence[str] = (), positive: str = FALL) -> DataFrame:
+    """Counts and rates of the fall class against the rest."""
+    return evaluate(scored, by, positive).select(
+        *by, "tp", "fn", "fp", "tn", "fall_recall", "fall_precision", "specificity", "fpr", "fnr", "fall_f1")
 
 
 def fall_report(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -154,11 +162,9 @@ def diagnose(df: DataFrame, train: str, test: str, signed: bool) -> DataFrame:
 def loso_table(scored: DataFrame, classes: Sequence[str]) -> DataFrame:
     """Metrics per held-out subject (``fold``). Macro precision and recall average over all
     ``classes``, absent ones counting 0; macro F1 over the classes present in the fold."""
-    by = ["fold"]
-    scores = per_class(scored, classes, by).groupBy("fold").agg(
-        F.avg("precision").alias("precision"), F.avg("recall").alias("recall"))
-    m = evaluate(scored, by).select("fold", "accuracy", F.col("macro_f1").alias("f1"), "fall_recall", "fall_precision", "fpr")
-    return m.join(scores, "fold")
+    return evaluate(scored, ["fold"], classes=classes).select(
+        "fold", "accuracy", F.col("macro_precision").alias("precision"), F.col("macro_recall").alias("recall"),
+        F.col("macro_f1").alias("f1"), "fall_recall", "fall_precision", "fpr")
 
 
 def loso_summary(table: DataFrame) -> DataFrame:

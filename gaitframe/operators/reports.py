@@ -143,18 +143,21 @@ def median_duration(df: DataFrame) -> DataFrame:
 def duration_histogram(df: DataFrame, bins: int = 40) -> DataFrame:
     """Equal-width bins from the shortest to the longest recording, empty bins included."""
     durations = recording_durations(df)
-    lo, hi = durations.agg(F.min("minutes")).scalar(), durations.agg(F.max("minutes")).scalar()
-    edges = durations.sparkSession.range(1, bins + 1).select(
-        F.col("id").alias("bin"), F.when(lo == hi, lo - 0.5).otherwise(lo).alias("_lo"),
-        F.when(lo == hi, hi + 0.5).otherwise(hi).alias("_hi"))
+    ends = durations.agg(F.struct(F.min("minutes").alias("lo"), F.max("minutes").alias("hi"))).scalar()
+    placed = durations.withColumn("_e", ends)
+    lo, hi = F.col("_e.lo"), F.col("_e.hi")
     flat = F.when(lo == hi, F.lit(bins // 2 + 1))
     number = flat.otherwise(F.least(F.lit(bins), F.floor((F.col("minutes") - lo) / (hi - lo) * bins) + 1))
-    counts = durations.withColumn("bin", number.cast("long")).groupBy("bin").agg(F.count(F.lit(1)).alias("n_recordings"))
-    width = (F.col("_hi") - F.col("_lo")) / bins
-    return edges.join(counts, "bin", "left").select(
-        "bin", (F.col("_lo") + (F.col("bin") - 1) * width).alias("from_minutes"),
-        (F.col("_lo") + F.col("bin") * width).alias("to_minutes"),
-        F.coalesce("n_recordings", F.lit(0)).alias("n_recordings"))
+    # the ends ride along with the counts, so the recordings are counted once more for them only
+    counts = placed.groupBy(number.cast("long").alias("bin"), "_e").agg(F.count(F.lit(1)).alias("n"))
+    edges = counts.groupBy().agg(
+        F.first("_e").alias("_e"), F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("_n"))
+    rows = edges.select("_e", "_n", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(bins).cast("long"))).alias("bin"))
+    left = F.when(lo == hi, lo - 0.5).otherwise(lo)
+    width = F.when(lo == hi, 1.0).otherwise(hi - lo) / bins
+    return rows.select(
+        "bin", (left + (F.col("bin") - 1) * width).alias("from_minutes"), (left + F.col("bin") * width).alias("to_minutes"),
+        F.coalesce(F.try_element_at("_n", F.col("bin")), F.lit(0)).alias("n_recordings"))
 
 
 def position_counts(df: DataFrame) -> DataFrame:
