@@ -117,12 +117,12 @@ def maps_url(lat: Column | str, lon: Column | str) -> Column:
                     col(lon).cast("string"))
 
 
-def sos_body(ts_ms: Column | str, lat: Column | str, lon: Column | str) -> Column:
-    """Text of the emergency message."""
+def sos_body(ts_ms: Column | str, lat: Column | str, lon: Column | str, sender: str = "motion monitor") -> Column:
+    """Text of the emergency message; ``sender`` names the application that detected the fall."""
     clock = F.date_format(F.timestamp_millis(col(ts_ms)), "HH:mm:ss dd-MMM")
     place = F.coalesce(maps_url(lat, lon), F.lit("Location unavailable"))
     return F.concat(
-        F.lit("EMERGENCY SOS: Fall detected by FallGuard! User did not respond to check-in. Time: "),
+        F.lit(f"EMERGENCY SOS: Fall detected by {sender}! User did not respond to check-in. Time: "),
         clock, F.lit(". Location: "), place, F.lit(". Please call or assist immediately!"))
 
 

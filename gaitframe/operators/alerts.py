@@ -63,8 +63,8 @@ def parse_contacts(df: DataFrame, column: str = "contacts_json") -> DataFrame:
     return kept.withColumn("position", place).drop("_pos")
 
 
-def with_sos_body(alerts: DataFrame) -> DataFrame:
-    return alerts.withColumn("body", C.sos_body("timestamp", "latitude", "longitude"))
+def with_sos_body(alerts: DataFrame, sender: str = "motion monitor") -> DataFrame:
+    return alerts.withColumn("body", C.sos_body("timestamp", "latitude", "longitude", sender))
 
 
 def newest_fix(fixes: DataFrame, keys: Sequence[str] = ("alert_id",)) -> DataFrame:

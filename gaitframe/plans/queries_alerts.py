@@ -110,7 +110,7 @@ def r6_escalation(spark, sf_dir):
 
 
 @query("r7_sos_body", with_ctes(
-    "SELECT id, concat('EMERGENCY SOS: Fall detected by FallGuard! User did not respond to check-in. Time: ',"
+    "SELECT id, concat('EMERGENCY SOS: Fall detected by motion monitor! User did not respond to check-in. Time: ',"
     " strftime(make_timestamp(timestamp * 1000), '%H:%M:%S %d-%b'), '. Location: ', CASE WHEN latitude IS NULL THEN 'Location unavailable'"
     " ELSE concat('https://maps.google.com/?q=', CAST(CAST(latitude AS DOUBLE) AS VARCHAR), ',', CAST(CAST(longitude AS DOUBLE) AS VARCHAR)) END, '. Please call or assist immediately!') AS body FROM alerts", ALERTS))
 def r7(spark, sf_dir):
