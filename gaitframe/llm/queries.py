@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaitframe.llm import bpe, simhash
+from gaitframe.llm import bpe, decontaminate, linededup, simhash
 
 QUERIES, ORACLES = {}, {}
 
@@ -29,6 +29,20 @@ def op1_simhash(spark, sf_dir):
     return docs.withColumn("fingerprint", simhash.as_hex("fingerprint"))
 
 
+@query("op6_decontaminate")
+def op6_decontaminate(spark, sf_dir):
+    """A row per document and benchmark item with a passage within the edit bound."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), similarity=0.8, recall=0.98)
+
+
+@query("op9_line_dedup")
+def op9_line_dedup(spark, sf_dir):
+    """A row per document: the text without repeated passages and the deleted runs of lines."""
+    out = linededup.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=50, spans="removed")
+    return out.select("doc_id", F.size("removed").alias("n_runs"),
+                      F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["n_words"]).alias("removed_words"), "removed", "text")
+
+
 @query("op10_bpe")
 def op10_bpe(spark, sf_dir):
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
