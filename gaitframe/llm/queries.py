@@ -4,7 +4,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaitframe.llm import bpe, decontaminate, linededup, simhash
+from gaitframe.llm import bpe, decontaminate, linededup, quality, simhash, toxicity
+from gaitframe.llm.labels import fold
 
 QUERIES, ORACLES = {}, {}
 
@@ -23,10 +24,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def classified(scored: DataFrame, folds: int, held_out: int) -> DataFrame:
+    return scored.select("doc_id", (fold(F.col("doc_id"), folds) == held_out).alias("held_out"), "score",
+                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query("op1_simhash")
 def op1_simhash(spark, sf_dir):
     docs = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
-    return docs.withColumn("fingerprint", simhash.as_hex("fingerprint"))
+    return docs.withColumn("fingerprint", simhash.as_hex(F.col("fingerprint")[0]))
+
+
+@query("op4_quality")
+def op4_quality(spark, sf_dir):
+    """Conditional random field fitted outside the fold crc32 mod 5 = 0."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), "quality", folds=5, held_out=0)
+    return classified(quality.score(docs.select("doc_id", "text"), model), folds=5, held_out=0)
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark, sf_dir):
+    """FTRL logistic regression fitted outside the fold crc32 mod 4 = 2."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), "toxic", folds=4, held_out=2)
+    return classified(toxicity.score(docs.select("doc_id", "text"), model), folds=4, held_out=2)
 
 
 @query("op6_decontaminate")

@@ -1,9 +1,13 @@
-"""SimHash near duplicates: 64-bit fingerprints of word shingles, linked at a few differing bits.
+"""SimHash near duplicates: fingerprints of word shingles, linked at a few differing bits.
 
 Method (deletion variants). A fingerprint is cut into segments so few that one of them differs by at most
 one bit (``max_bits // 2 + 1``). Every bit of a segment is wildcarded in turn; equal variants meet in one
 sorted run and are verified by the whole distance. A pair is emitted only by the first variant it shares.
 
+Sixty-four bits linked at four find copies with a word or two changed. For a similarity of 0.8 of the shingle
+sets a fingerprint of 128 bits linked at 22 is used (``SIMILAR``): about a seventh of the bits differ at that
+similarity, so eight segments hold one that differs by at most a bit in 93 of 100 such pairs, more above it.
+
 Scale. Equal texts are one fingerprint from the start, so a group of copies is one row. Runs of up to
 ``RUN`` fingerprints are compared in arrays and emit a spanning set of links, never all pairs. A longer run
 is passed on and cut into blocks; every pair of blocks is a small group of its own (``RUN`` rows of each),
@@ -24,202 +28,220 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaitframe.llm.components import connected_components
+from gaitframe.llm.textvec import mix
 from gaitframe.session import materialize
 
-BITS = 64
+WORD = 64
 RUN = 4096
 SHORT = 32
+DENSE = 512
+#: Fingerprint, segments and distance for pairs with a shingle similarity of 0.8 or more.
+SIMILAR = {"shingle": 5, "bits": 128, "segments": 8, "max_bits": 22}
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _BLOCK = 1 << 15
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
-    """Majority bits of the XXH64 (seed 42) of all word shingles, as a signed long."""
+def fingerprint(text: str | None, shingle: int = 4, bits: int = WORD) -> list[int]:
+    """Majority bits over all word shingles, as signed longs: first those of the XXH64 (seed 42), then those
+    of mixtures of it where more than 64 bits are asked for."""
     tokens = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not tokens:
-        return 0
+        return [0] * (bits // WORD)
     joined, hashed = b" ".join(tokens), xxhash.xxh64_intdigest
-    end = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1)
-    start, k = (end - np.fromiter(map(len, tokens), np.int64, len(tokens)) - 1).tolist(), min(shingle, len(tokens))
-    stop = (end[k - 1:] - 1).tolist()
-    counts = np.zeros(BITS, np.int64)
+    size = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    end, k = np.cumsum(size + 1) - 1, min(shingle, len(tokens))
+    start, stop = (end - size).tolist(), end[k - 1:].tolist()
+    counts = np.zeros(bits, np.int64)
     for i in range(0, len(stop), _BLOCK):
         h = np.array([hashed(joined[s:e], 42) for s, e in zip(start[i:i + _BLOCK], stop[i:i + _BLOCK], strict=False)], np.uint64)
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(stop), bitorder="little").view(np.int64)[0])
+        wide = np.stack([h] + [mix(h + np.uint64(j)) for j in range(1, bits // WORD)], axis=1)
+        counts += np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(stop), bitorder="little").view(np.int64).tolist()
 
 
-def fingerprints(df: DataFrame, text: str = "text", out: str = "fingerprint", shingle: int = 4) -> DataFrame:
-    """Adds the fingerprint as a long."""
+def fingerprints(df: DataFrame, text: str = "text", out: str = "fingerprint", shingle: int = 4, bits: int = WORD) -> DataFrame:
+    """Adds the fingerprint as an array of longs."""
 
-    @F.arrow_udf(T.LongType())
+    @F.arrow_udf(T.ArrayType(T.LongType()))
     def of(column: pa.Array) -> pa.Array:
-        return pa.array([fingerprint(t.as_py(), shingle) for t in column], pa.int64())
+        return pa.array([fingerprint(t.as_py(), shingle, bits) for t in column], pa.list_(pa.int64()))
 
     return df.withColumn(out, of(F.col(text)))
 
 
-def as_hex(fp) -> "F.Column":
-    return F.lower(F.lpad(F.hex(fp), 16, "0"))
+def as_hex(word: "F.Column") -> "F.Column":
+    return F.lower(F.lpad(F.hex(word), 16, "0"))
+
+
+def _cuts(bits: int, segments: int) -> list[tuple[int, int, int]]:
+    """(word, offset in it, width) of the segments; none crosses a word."""
+    each, out = -(-segments // (bits // WORD)), []
+    for word in range(bits // WORD):
+        at = [round(WORD * i / each) for i in range(each + 1)]
+        out += [(word, a, b - a) for a, b in zip(at, at[1:], strict=False)]
+    return out
 
 
-def _segments(max_bits: int) -> list[tuple[int, int]]:
-    """(offset, width) of the segments."""
-    n = max_bits // 2 + 1
-    cuts = [round(BITS * i / n) for i in range(n + 1)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+def _variants(fps: DataFrame, bits: int, cuts: list[tuple[int, int, int]]) -> DataFrame:
+    """A row for each wildcarded bit: the low bits of ``key`` are its place, the others hash the rest of its segment."""
+    p, part, off, width = F.col("p"), F.lit(0).cast("long"), F.lit(0), F.lit(0)
+    for word, a, w in cuts:
+        here = p >= word * WORD + a
+        part = F.when(here, F.col(f"f{word}")).otherwise(part)
+        off, width = F.when(here, F.lit(a)).otherwise(off), F.when(here, F.lit(w)).otherwise(width)
+    one = F.lit(1).cast("long")
+    segment = F.call_function("shiftrightunsigned", part, off).bitwiseAND(F.call_function("shiftleft", one, width) - 1)
+    rest = segment.bitwiseAND(F.bitwise_not(F.call_function("shiftleft", one, p % WORD - off)))
+    key = F.xxhash64(rest).bitwiseAND(F.lit(-bits)).bitwiseOR(p.cast("long"))
+    return fps.select("*", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("p")).select(key.alias("key"), *fps.columns)
 
 
-def _variants(fps: DataFrame, max_bits: int) -> DataFrame:
-    """A row for each wildcarded bit: the low six bits of ``key`` are its place, the others hash the rest of its segment."""
-    p, off, width = F.col("p"), F.lit(0), F.lit(0)
-    for a, w in _segments(max_bits):
-        off, width = F.when(p >= a, F.lit(a)).otherwise(off), F.when(p >= a, F.lit(w)).otherwise(width)
-    mask = F.lit(1).cast("long")
-    shift = F.call_function("shiftleft", mask, width) - 1
-    segment = F.call_function("shiftrightunsigned", F.col("fp"), off).bitwiseAND(shift)
-    bit = F.call_function("shiftleft", mask, p - off)
-    rest = segment.bitwiseAND(F.bitwise_not(bit))
-    key = F.xxhash64(rest).bitwiseAND(F.lit(-BITS)).bitwiseOR(p.cast("long"))
-    return fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(BITS - 1))).alias("p")).select(key.alias("key"), "fp")
+def _distance(x: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x).sum(axis=-1, dtype=np.int64)
 
 
-def _first_variant(x: np.ndarray, max_bits: int) -> np.ndarray:
+def _first_variant(x: np.ndarray, cuts: list[tuple[int, int, int]]) -> np.ndarray:
     """Place of the first wildcard under which two fingerprints of difference ``x`` are equal."""
     first = np.full(len(x), -1, np.int64)
-    for a, w in _segments(max_bits):
-        part = (x >> np.uint64(a)) & np.uint64((1 << w) - 1)
+    for word, a, w in cuts:
+        part = (x[:, word] >> np.uint64(a)) & np.uint64((1 << w) - 1)
         low = np.where(part > 0, np.log2(np.maximum(part, 1).astype(np.float64)).astype(np.int64), 0)
-        first = np.where((first < 0) & (np.bitwise_count(part) <= 1), a + low, first)
+        first = np.where((first < 0) & (np.bitwise_count(part) <= 1), word * WORD + a + low, first)
     return first
 
 
 def _spanning(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what is connected within one run: each member meets those not reached yet."""
-    a, b, left = [], [], fps
+    """Places of links that connect what is connected within one run: each member meets those not reached yet."""
+    none = np.zeros(0, np.int64)
+    if len(fps) <= DENSE:
+        i, j = np.nonzero(np.triu(_distance(fps[:, None] ^ fps[None, :]) <= max_bits, 1))
+        if len(i) <= 4 * len(fps):
+            return i, j
+    a, b, left = [none], [none], np.arange(len(fps))
     while len(left):
         ahead, left = [left[0]], left[1:]
         while ahead and len(left):
             x = ahead.pop()
-            near = np.bitwise_count(left ^ x) <= max_bits
+            near = _distance(fps[left] ^ fps[x]) <= max_bits
             if near.any():
                 hit, left = left[near], left[~near]
                 a.append(np.full(len(hit), x))
                 b.append(hit)
                 ahead.extend(hit)
-    none = np.zeros(0, np.uint64)
-    return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
+    return np.concatenate(a), np.concatenate(b)
 
 
-def _links_of_runs(max_bits: int, longest: int | None):
-    """mapInArrow over rows sorted by (key, fp): links, and the rows of runs longer than ``longest``."""
+def _links_of_runs(bits: int, cuts: list[tuple[int, int, int]], max_bits: int, longest: int | None):
+    """mapInArrow over rows sorted by key: links, and the rows of runs longer than ``longest``."""
+    k = bits // WORD
 
-    def rows(hot: bool, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    def rows(key: np.ndarray | None, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        n = len(a)
+        key = pa.nulls(n, pa.int64()) if key is None else pa.array(key)
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(a), hot)), pa.array(a.astype(np.int64)), pa.array(b.view(np.int64))], ["hot", "a", "b"])
+            [key, *(pa.array(np.ascontiguousarray(x[:, i]).view(np.int64)) for x in (a, b) for i in range(k))],
+            ["key", *(f"{x}{i}" for x in "ab" for i in range(k))])
 
-    def work(keys: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def compare(keys: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Links within the runs; those longer than the limit are passed on."""
         cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
         size = np.diff(cut)
-        reach = np.repeat(cut[1:], size)
-        reach[np.repeat(size > SHORT, size)] = 0
+        reach = np.repeat(np.where(size > SHORT, 0, cut[1:]), size)
         for lag in range(1, min(SHORT, int(size.max(initial=0)))):
             i = np.flatnonzero(np.arange(len(keys)) + lag < reach)
             x = fps[i] ^ fps[i + lag]
-            near = (x != 0) & (np.bitwise_count(x) <= max_bits)
-            i = i[near]
+            i = i[near := x.any(axis=1) & (_distance(x) <= max_bits)]
             if longest is not None:
-                i = i[_same_variant(keys[i], fps[i], fps[i + lag], max_bits)]
+                i = i[(keys[i] & (bits - 1)) == _first_variant(x[near], cuts)]
             if len(i):
-                yield rows(False, fps[i].view(np.int64), fps[i + lag])
-        for k in np.flatnonzero(size > SHORT):
-            a, b = _spanning(fps[cut[k]:cut[k + 1]], max_bits)
+                yield rows(None, fps[i], fps[i + lag])
+        for r in np.flatnonzero(size > SHORT):
+            run = fps[cut[r]:cut[r + 1]]
+            if longest is not None and len(run) > longest:
+                yield rows(keys[cut[r]:cut[r + 1]], run, run)
+                continue
+            a, b = _spanning(run, max_bits)
             if len(a):
-                yield rows(False, a.view(np.int64), b)
+                yield rows(None, run[a], run[b])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps, passing = np.zeros(0, np.int64), np.zeros(0, np.uint64), None
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, fps, passing = np.zeros(0, np.int64), np.zeros((0, k), np.uint64), None
         for batch in batches:
             keys = np.concatenate([keys, batch.column("key").to_numpy()])
-            fps = np.concatenate([fps, batch.column("fp").to_numpy().view(np.uint64)])
+            fps = np.concatenate([fps, np.stack([batch.column(f"f{i}").to_numpy().view(np.uint64) for i in range(k)], axis=1)])
             if passing is not None and len(keys):
                 stop = int(np.searchsorted(keys, passing, side="right")) if keys[0] == passing else 0
                 if stop:
-                    yield rows(True, keys[:stop], fps[:stop])
+                    yield rows(keys[:stop], fps[:stop], fps[:stop])
                     keys, fps = keys[stop:], fps[stop:]
-                if len(keys):
-                    passing = None
+                passing = None if len(keys) else passing
             if len(keys) < 1 << 16:
                 continue
             last = int(np.searchsorted(keys, keys[-1], side="left"))
-            yield from work_below(keys[:last], fps[:last])
-            keys, fps = keys[last:], fps[last:]
+            if last:
+                yield from compare(keys[:last], fps[:last])
+                keys, fps = keys[last:], fps[last:]
             if longest is not None and len(keys) > longest:
                 passing = keys[0]
-                yield rows(True, keys, fps)
+                yield rows(keys, fps, fps)
                 keys, fps = keys[:0], fps[:0]
-        yield from work_below(keys, fps)
-
-    def work_below(keys: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Runs up to the limit are compared, longer ones passed on."""
-        if not len(keys):
-            return
-        if longest is not None:
-            cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
-            long = np.repeat(np.diff(cut) > longest, np.diff(cut))
-            if long.any():
-                yield rows(True, keys[long], fps[long])
-                keys, fps = keys[~long], fps[~long]
         if len(keys):
-            yield from work(keys, fps)
-
-    return run
-
+            yield from compare(keys, fps)
 
-def _same_variant(keys: np.ndarray, a: np.ndarray, b: np.ndarray, max_bits: int) -> np.ndarray:
-    """Whether the run is that of the pair's first shared variant: its key's low bits name the place."""
-    return (keys & (BITS - 1)) == _first_variant(a ^ b, max_bits)
+    return over
 
 
-def fingerprint_links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
-    """Links ``a, b`` that span every component of distinct fingerprints (column ``fp``) at ``max_bits``.
+def fingerprint_links(fps: DataFrame, max_bits: int = 4, bits: int = WORD, segments: int | None = None) -> DataFrame:
+    """Links that span every component of distinct fingerprints (long columns ``f0`` ...) at ``max_bits``: columns
+    ``a0 ... b0 ...``.
 
-    Each link is a verified pair within ``max_bits``; within a long run only a spanning set is given.
+    Each link is a verified pair within ``max_bits``; within a long run only a spanning set is given. With the
+    default number of segments no pair within ``max_bits`` is missed.
     """
-    schema = "hot boolean, a long, b long"
-    keyed = _variants(fps, max_bits)
-    met = materialize(keyed.repartition("key").sortWithinPartitions("key", "fp")
-                      .mapInArrow(_links_of_runs(max_bits, RUN), schema), "variants")
-    hot = met.filter("hot").select(F.col("a").alias("key"), F.col("b").alias("fp"))
+    cuts, k = _cuts(bits, segments or max_bits // 2 + 1), bits // WORD
+    ends = [f"{x}{i}" for x in "ab" for i in range(k)]
+    schema = ", ".join(f"{c} long" for c in ["key", *ends])
+    words = [f"f{i}" for i in range(k)]
+    met = materialize(_variants(fps.select(*words), bits, cuts).repartition("key").sortWithinPartitions("key", "f0")
+                      .mapInArrow(_links_of_runs(bits, cuts, max_bits, RUN), schema), "variants")
+    hot = met.filter("key IS NOT NULL").select("key", *[F.col(f"a{i}").alias(f"f{i}") for i in range(k)])
     blocks = hot.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / RUN).cast("int").alias("n"))
-    cut = hot.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("fp"), "n").cast("int")).select(
-        "key", "fp", "block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
-    pairs = cut.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "fp")
-    rest = pairs.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_links_of_runs(max_bits, None), schema)
-    return met.filter("NOT hot").union(rest).select("a", "b")
+    cut = hot.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64(*words), "n").cast("int")).select(
+        "key", *words, "block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
+    pairs = cut.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), *words)
+    rest = pairs.repartition("key").sortWithinPartitions("key", "f0").mapInArrow(_links_of_runs(bits, cuts, max_bits, None), schema)
+    return met.filter("key IS NULL").union(rest).select(*ends)
 
 
-def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 4, max_bits: int = 4) -> DataFrame:
+def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 4, max_bits: int = 4,
+                    bits: int = WORD, segments: int | None = None) -> DataFrame:
     """``doc_id, fingerprint, component_id`` per document; the component is named by its smallest id.
 
     Runs jobs (fingerprints and links are written tables).
     """
-    docs = materialize(fingerprints(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")),
-                                    "text", "fp", shingle).select("doc_id", "fp"), "fingerprints")
-    fps = docs.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    parts = connected_components(fingerprint_links(fps.select("fp"), max_bits))
-    named = fps.join(parts, fps["fp"] == parts["node"], "left").select(
-        "fp", "first", F.coalesce("component", "fp").alias("component"))
+    k = bits // WORD
+    words = [f"f{i}" for i in range(k)]
+    made = fingerprints(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "text", "f", shingle, bits)
+    docs = materialize(made.select("doc_id", *[F.col("f")[i].alias(f"f{i}") for i in range(k)]), "fingerprints")
+    fps = docs.groupBy(*words).agg(F.min("doc_id").alias("first"))
+
+    def node(x: str) -> "F.Column":
+        return F.col(f"{x}0") if k == 1 else F.xxhash64(*[f"{x}{i}" for i in range(k)])
+
+    links = fingerprint_links(fps, max_bits, bits, segments)
+    parts = connected_components(links.select(node("a").alias("a"), node("b").alias("b")))
+    fps = fps.withColumn("of", node("f"))
+    named = fps.join(parts, fps["of"] == parts["node"], "left").select(*words, "first", F.coalesce("component", "of").alias("component"))
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    return docs.join(named.join(smallest, "component").select("fp", "component_id"), "fp").select(
-        "doc_id", F.col("fp").alias("fingerprint"), "component_id")
+    return docs.join(named.join(smallest, "component").select(*words, "component_id"), words).select(
+        "doc_id", F.array(*words).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 4, max_bits: int = 4) -> DataFrame:
+def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """``docs`` with one document of each near-duplicate group, the one with the smallest id.
 
     Rows with a null id stay. Of rows that repeat the kept id all stay, as the id names one document.
     """
-    gone = near_duplicates(docs, text, doc_id, shingle, max_bits).filter("doc_id != component_id").select(
+    gone = near_duplicates(docs, text, doc_id, **options).filter("doc_id != component_id").select(
         F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")

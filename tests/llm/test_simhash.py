@@ -35,7 +35,7 @@ def brute_components(ids, fps, bits=4):
 
 @pytest.mark.parametrize("text", [None, "", " \t ", "One", "a b c", "A b\tc\nd", "É a b É c É d e f g", "x " * 70000])
 def test_fingerprint_matches_definition(text):
-    assert simhash.fingerprint(text) & (1 << 64) - 1 == brute_fingerprint(text)
+    assert simhash.fingerprint(text)[0] & (1 << 64) - 1 == brute_fingerprint(text)
 
 
 def test_hash_is_sparks(spark):
@@ -56,8 +56,8 @@ def test_links_lose_nothing(spark, monkeypatch, run):
     fps = {rng.getrandbits(64) for _ in range(400)} | {flipped(rng, centre, rng.randint(0, 6)) for _ in range(300)}
     fps |= {flipped(rng, f, rng.randint(1, 5)) for f in list(fps)[:300]}
     values = np.array(sorted(fps), np.uint64)
-    frame = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long")
-    links = [(r.a & (1 << 64) - 1, r.b & (1 << 64) - 1) for r in simhash.fingerprint_links(frame).collect()]
+    frame = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "f0 long")
+    links = [(r.a0 & (1 << 64) - 1, r.b0 & (1 << 64) - 1) for r in simhash.fingerprint_links(frame).collect()]
     assert all((a ^ b).bit_count() <= 4 for a, b in links)
     want = brute_components([int(v) for v in values], values)
     from gaitframe.llm.components import connected_components
@@ -82,3 +82,26 @@ def test_near_duplicates_of_documents(spark):
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(none).count() == 0
+
+
+def test_similar_documents_are_linked(spark):
+    """Pairs of five-word similarity from 0.85 are found, unrelated texts are left alone."""
+    rng = random.Random(2)
+    rows, edited = [], []
+    for d in range(300):
+        tokens = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(120, 400))]
+        rows.append((d, " ".join(tokens)))
+        for _ in range(int(len(tokens) * 0.012)):
+            tokens[rng.randrange(len(tokens))] = "changed"
+        edited.append((1000 + d, " ".join(tokens)))
+    frame = spark.createDataFrame(rows + edited, "doc_id long, text string")
+    part = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame, **simhash.SIMILAR).collect()}
+
+    def similarity(a, b):
+        a, b = ({tuple(t.split()[i:i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+        return len(a & b) / len(a | b)
+
+    close = [d for d in range(300) if similarity(rows[d][1], edited[d][1]) >= 0.85]
+    assert len(close) > 150
+    assert sum(part[d] == part[1000 + d] for d in close) >= 0.95 * len(close)
+    assert all(part[d] == d for d in range(300))
