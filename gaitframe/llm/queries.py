@@ -4,8 +4,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaitframe.llm import bpe, decontaminate, linededup, quality, simhash, toxicity
+from gaitframe.llm import bpe, decontaminate, linededup, quality, sharding, simhash, toxicity, warc
 from gaitframe.llm.labels import fold
+from gaitframe.session import scratch_path
 
 QUERIES, ORACLES = {}, {}
 
@@ -35,6 +36,27 @@ def op1_simhash(spark, sf_dir):
     return docs.withColumn("fingerprint", simhash.as_hex(F.col("fingerprint")[0]))
 
 
+@query("op3_warc")
+def op3_warc(spark, sf_dir):
+    """Archives of all pages, read back: sizes and digests are those of the payloads read, for revisits those of their headers."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html", F.col("page_id").alias("revisit_order"),
+                                                 F.concat(F.lit("urn:page:"), F.col("page_id")).alias("record_id"))
+    path = scratch_path(spark, "warc")
+    warc.write_archive(pages, path, "record_id", "url", "html", revisit_bytes=1000)
+    back = warc.read_archive(spark, path, ["record_id", "record_type", "payload_digest", "refers_to", "payload_length", "payload"])
+
+    def page(c):
+        return F.substring_index(c, ":", -1).cast("long")
+
+    return back.select(page("record_id").alias("page_id"), F.coalesce(F.octet_length("payload").cast("long"), "payload_length").alias("payload_bytes"),
+                       F.coalesce(F.sha1("payload"), "payload_digest").alias("payload_digest"), "record_type", page("refers_to").alias("refers_to"))
+
+
+@query("op7_sharding")
+def op7_sharding(spark, sf_dir):
+    return sharding.assign_shards(table(spark, sf_dir, "documents"), shards=16)
+
+
 @query("op4_quality")
 def op4_quality(spark, sf_dir):
     """Conditional random field fitted outside the fold crc32 mod 5 = 0."""
