@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaitframe.llm import bpe, decontaminate, linededup, quality, sharding, simhash, toxicity, warc
+from gaitframe.llm import bpe, decontaminate, hmm, linededup, quality, sharding, simhash, toxicity, warc
 from gaitframe.llm.labels import fold
 from gaitframe.session import scratch_path
 
@@ -87,6 +87,12 @@ def op9_line_dedup(spark, sf_dir):
                       F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["n_words"]).alias("removed_words"), "removed", "text")
 
 
+@query("op8_hmm_lm")
+def op8_hmm_lm(spark, sf_dir):
+    """Hidden Markov model fitted outside the fold crc32 mod 7 = 2."""
+    return hmm.score_documents(table(spark, sf_dir, "documents"), folds=7, held_out=2)
+
+
 @query("op10_bpe")
 def op10_bpe(spark, sf_dir):
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
