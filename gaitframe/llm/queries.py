@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaitframe.llm import bpe, decontaminate, hmm, linededup, quality, sharding, simhash, toxicity, warc
+from gaitframe.llm import bpe, decontaminate, embeddings, hmm, linededup, quality, sharding, simhash, toxicity, warc
 from gaitframe.llm.labels import fold
 from gaitframe.session import scratch_path
 
@@ -36,6 +36,11 @@ def op1_simhash(spark, sf_dir):
     return docs.withColumn("fingerprint", simhash.as_hex(F.col("fingerprint")[0]))
 
 
+@query("op2_embeddings")
+def op2_embeddings(spark, sf_dir):
+    return embeddings.similar_vectors(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 @query("op3_warc")
 def op3_warc(spark, sf_dir):
     """Archives of all pages, read back: sizes and digests are those of the payloads read, for revisits those of their headers."""
