@@ -1,5 +1,5 @@
-"""Streaming queries: the derived rows are replayed in two parts with a restart in between, and
-the result is checked against the SQL of the batch operator."""
+"""Streaming queries: the derived rows are replayed in two parts with a restart in between, rows near the
+cut (equal clocks too) fall into either part, and the result is checked against the SQL of the batch operator."""
 
 from pyspark.sql import functions as F
 
@@ -14,7 +14,7 @@ from gaitframe.plans.sql import r6, with_ctes
 from gaitframe.schema import ACC, GYR, SENSORS, VALID_LABELS
 from gaitframe.session import scratch_path
 from gaitframe.streaming import live as L
-from gaitframe.streaming.replay import replay, start_available
+from gaitframe.streaming.replay import replay, start_available, stream_session
 
 #: The view's recordings are cut here: the state has to carry over the restart.
 CUT_MS = 1_600_000_004_000
@@ -24,8 +24,11 @@ def samples(spark, sf_dir):
     return clean_samples(spark, sf_dir).select(F.col("recording_id").alias("device_id"), "timestamp", *SENSORS)
 
 
-def halves(df, ts="timestamp", cut=CUT_MS):
-    return [df.filter(F.col(ts) % 10_000_000 < cut % 10_000_000), df.filter(F.col(ts) % 10_000_000 >= cut % 10_000_000)]
+def halves(df, ts="timestamp", cut=CUT_MS, mixed_ms=1_500):
+    """Two parts, swapped by a digest of the row within ``mixed_ms`` of the cut."""
+    near = F.abs(F.col(ts) - cut) <= mixed_ms
+    first = F.when(near, F.xxhash64(F.to_json(F.struct(*df.columns))) % 2 == 0).otherwise(F.col(ts) < cut)
+    return [df.filter(first), df.filter(~first)]
 
 
 @query("s19_live_source", with_ctes("SELECT recording_id AS device_id, count(*) AS n_rows, max(timestamp) AS last_ts FROM clean GROUP BY 1"))
@@ -33,8 +36,8 @@ def s19(spark, sf_dir):
     base = scratch_path(spark, "live")
     rows = samples(spark, sf_dir)
     rows.write.parquet(f"{base}/in")
-    stream = L.stream_samples(spark, f"{base}/in", rows.schema)
-    start_available(spark, stream, f"{base}/out", f"{base}/checkpoint")
+    stream = L.stream_samples(stream_session(spark), f"{base}/in", rows.schema)
+    start_available(stream, f"{base}/out", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/out").groupBy("device_id").agg(
         F.count(F.lit(1)).alias("n_rows"), F.unix_millis(F.max("event_time")).alias("last_ts"))
 
@@ -50,11 +53,11 @@ def r1(spark, sf_dir):
         return df.select("device_id", "timestamp", F.lit(name).alias("sensor"), *[F.col(c).alias(x) for c, x in zip(channels, "xyz")])
 
     both = feed("acc", ACC, rows).unionByName(feed("gyr", GYR, rows.filter(F.col("timestamp") % 60 == 0)))
-    return replay(halves(both), L.stream_fuse, "fuse").select("device_id", "timestamp", "ax", "gx")
+    return replay(halves(both), L.stream_fuse, "fuse", close="timestamp").select("device_id", "timestamp", "ax", "gx")
 
 
 def replayed_ticks(spark, sf_dir):
-    return FE.with_device_flags(replay(halves(samples(spark, sf_dir)), L.stream_ticks, "ticks"))
+    return FE.with_device_flags(replay(halves(samples(spark, sf_dir)), L.stream_ticks, "ticks", close="timestamp"))
 
 
 @query("r2_stream_ticks", with_ctes(
@@ -74,13 +77,13 @@ def r3(spark, sf_dir):
         ((F.col("even_acc_var") < 60) & (F.col("even_gyr_l1") < 6)).alias("stationary"),
         ((F.col("even_acc_max") < 40) & (F.col("even_acc_min") > 1)).alias("gentle"), (F.col("tick") % 2 == 0).alias("low_power"),
         F.lit("running").alias("model_label"), F.array(*[F.lit(0.5 if c == "running" else 0.1) for c in VALID_LABELS]).alias("model_probs"))
-    return replay(halves(ticks, "tick_ts"), L.stream_gates, "gates").select("device_id", "tick", "still_ticks", "gate", "label")
+    return replay(halves(ticks, "tick_ts"), L.stream_gates, "gates", close="tick_ts").select("device_id", "tick", "still_ticks", "gate", "label")
 
 
 @query("r4_stream_confirm", detector_sql("balanced").replace("SELECT recording_id, t AS tick_ts", "SELECT recording_id AS device_id, t AS tick_ts"))
 def r4(spark, sf_dir):
     ticks = detector_ticks(spark, sf_dir).select(F.col("recording_id").alias("device_id"), *D.TICK_COLUMNS)
-    trace = replay(halves(ticks, "tick_ts"), lambda s: L.stream_confirm(s, D.preset("balanced")), "confirm")
+    trace = replay(halves(ticks, "tick_ts"), lambda s: L.stream_confirm(s, D.preset("balanced")), "confirm", close="tick_ts")
     return trace.select("device_id", "tick_ts", "phase", "still")
 
 

@@ -1,14 +1,16 @@
 """Live fusion, ticks, gates, fall confirmation and escalation as stateful streams.
 
-Every operator is one keyed state per device. A micro-batch is sorted by event time per device;
-rows not newer than the last one processed for the device are late and dropped. State is a fixed
-number of values per device, except for the escalation's open alerts.
+Every operator is one keyed state per device. Rows wait in state until the watermark has passed them and are
+processed in event order then, so the result does not depend on where micro-batches fall. Only rows older than
+the watermark on arrival are dropped. State holds the rows of one watermark delay and a fixed number of values
+per device (the escalation: open alerts), and ends when a device has been silent for ``IDLE_MS``.
 """
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +20,10 @@ from gaitframe.operators import detector as D
 from gaitframe.schema import SENSORS, VALID_LABELS, WINDOW_SIZE
 
 WATERMARK = "10 seconds"
+#: Silence after which a device's state is dropped.
+IDLE_MS = 3_600_000
+#: Rows of a device that are processed at a time.
+CHUNK_ROWS = 10_000
 
 
 def stream_samples(spark: SparkSession, path: str, schema: T.StructType | str, fmt: str = "parquet",
@@ -33,16 +39,51 @@ def stream_samples(spark: SparkSession, path: str, schema: T.StructType | str, f
     return rows.withWatermark("event_time", watermark) if watermark else rows
 
 
-def _batch(frames: Iterator[pd.DataFrame], ts: str, last: int) -> pd.DataFrame:
-    """The device's rows of this micro-batch in event order, late ones removed."""
-    rows = pd.concat(list(frames), ignore_index=True)
-    return rows[rows[ts] > last].sort_values(ts, kind="stable")
-
-
 def _types(df: DataFrame, cols: Sequence[str]) -> str:
     return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*cols).schema.fields)
 
 
+def _held(rows: pd.DataFrame) -> bytes:
+    sink = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_pandas(rows, preserve_index=False)
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def in_event_order(df: DataFrame, device: str, ts: str, out: str, state: str, start: tuple,
+                   step: Callable[[tuple, tuple, pd.DataFrame], tuple[tuple, pd.DataFrame | None]],
+                   then: Sequence[str] = (), watermark: str = WATERMARK) -> DataFrame:
+    """``step(key, state, rows)`` over each device's rows, sorted by ``ts`` and ``then``, once the watermark has
+    passed them. Rows without a clock are dropped."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        *now, held = group.get if group.exists else (*start, None)
+        parts = [] if group.hasTimedOut else list(frames)
+        if held:
+            parts.insert(0, pa.ipc.open_stream(bytes(held)).read_pandas())
+        mark = group.getCurrentWatermarkMs()
+        rows = pd.concat(parts, ignore_index=True) if parts else None
+        ready = None if rows is None else rows[ts] <= mark
+        due = pd.DataFrame() if rows is None else rows[ready].sort_values([ts, *then], kind="stable")
+        for i in range(0, len(due), CHUNK_ROWS):
+            now, made = step(key, tuple(now), due.iloc[i:i + CHUNK_ROWS].reset_index(drop=True))
+            if made is not None and len(made):
+                yield made
+        if rows is not None and not ready.all():
+            waiting = rows[~ready]
+            group.update((*now, _held(waiting)))
+            group.setTimeoutTimestamp(int(waiting[ts].min()))
+        elif group.hasTimedOut and due.empty:
+            group.remove()
+        else:
+            group.update((*now, None))
+            group.setTimeoutTimestamp(max(mark, 0) + IDLE_MS)
+
+    timed = df.filter(F.col(ts).isNotNull()).withColumn("event_time", F.timestamp_millis(ts)).withWatermark("event_time", watermark)
+    return timed.groupBy(device).applyInPandasWithState(run, out, f"{state}, held binary", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def stream_fuse(feed: DataFrame, device: str = "device_id", ts: str = "timestamp") -> DataFrame:
     """Accelerometer samples with the latest gyroscope reading.
 
@@ -51,22 +92,16 @@ def stream_fuse(feed: DataFrame, device: str = "device_id", ts: str = "timestamp
     """
     out = f"{_types(feed, [device, ts])}, " + ", ".join(f"{c} double" for c in SENSORS)
 
-    def fuse(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        gx, gy, gz, last = state.get if state.exists else (0.0, 0.0, 0.0, -1)
-        rows = _batch(frames, ts, last)
-        if rows.empty:
-            return
-        rows = rows.assign(_side=(rows["sensor"] == "acc").astype(int)).sort_values([ts, "_side"], kind="stable")
+    def fuse(key: tuple, state: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
         turn = rows["sensor"] == "gyr"
         fused = pd.DataFrame({device: key[0], ts: rows[ts]}, index=rows.index)
-        for c, g, start in zip("xyz", ("gx", "gy", "gz"), (gx, gy, gz)):
+        for c, g, start in zip("xyz", ("gx", "gy", "gz"), state):
             fused[f"a{c}"] = rows[c]
             fused[g] = rows[c].where(turn).ffill().fillna(start)
-        state.update((*map(float, fused[["gx", "gy", "gz"]].iloc[-1]), int(rows[ts].iloc[-1])))
-        yield fused.loc[~turn, [device, ts, *SENSORS]]
+        return tuple(map(float, fused[["gx", "gy", "gz"]].iloc[-1])), fused.loc[~turn, [device, ts, *SENSORS]]
 
-    return feed.groupBy(device).applyInPandasWithState(
-        fuse, out, "gx double, gy double, gz double, last long", "append", GroupStateTimeout.NoTimeout)
+    side = feed.withColumn("_side", (F.col("sensor") == "acc").cast("int"))
+    return in_event_order(side, device, ts, out, "gx double, gy double, gz double", (0.0, 0.0, 0.0), fuse, ["_side"])
 
 
 METRICS = ("tick long, tick_ts long, acc_peak double, acc_min double, gyr_peak double, acc_std double, mean_ax double, "
@@ -93,26 +128,21 @@ def stream_ticks(samples: DataFrame, size: int = WINDOW_SIZE, every_ms: int = 40
     step = every_ms // sample_ms
     width = len(SENSORS)
 
-    def tick(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept, seen, last = state.get if state.exists else ([], 0, -1)
-        rows = _batch(frames, ts, last)
-        if rows.empty:
-            return
+    def tick(key: tuple, state: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame | None]:
+        kept, seen = state
         old = np.array(kept, dtype=float).reshape(-1, width)
         data = np.concatenate([old, rows[SENSORS].to_numpy(float)])
-        clock = rows[ts].to_numpy()
+        clock, made = rows[ts].to_numpy(), None
         first, end = seen - len(old), seen + len(rows)      # numbers of the first and one past the last row held
-        number = max(0, -(-(seen - size + 1) // step))      # first tick that ends in this batch
+        number = max(0, -(-(seen - size + 1) // step))      # first tick that ends in these rows
         ends = np.arange(number * step + size - 1, end, step)
         if len(ends):
             block = np.stack([data[e - first - size + 1:e - first + 1] for e in ends])
-            yield pd.DataFrame({device: key[0], "tick": (ends - size + 1) // step, "tick_ts": clock[ends - seen],
-                                **tick_metrics(block)})
-        state.update((data[-(size - 1):].ravel().tolist(), end, int(clock[-1])))
+            made = pd.DataFrame({device: key[0], "tick": (ends - size + 1) // step, "tick_ts": clock[ends - seen],
+                                 **tick_metrics(block)})
+        return (data[-(size - 1):].ravel().tolist(), end), made
 
-    return samples.groupBy(device).applyInPandasWithState(
-        tick, f"{_types(samples, [device])}, {METRICS}", "kept array<double>, seen long, last long", "append",
-        GroupStateTimeout.NoTimeout)
+    return in_event_order(samples, device, ts, f"{_types(samples, [device])}, {METRICS}", "kept array<double>, seen long", ([], 0), tick)
 
 
 def stream_gates(ticks: DataFrame, classes: Sequence[str] = tuple(VALID_LABELS), device: str = "device_id") -> DataFrame:
@@ -125,11 +155,8 @@ def stream_gates(ticks: DataFrame, classes: Sequence[str] = tuple(VALID_LABELS),
     keep = [c for c in ticks.columns if c in ("tick", "tick_ts")]
     out = f"{_types(ticks, [device, *keep])}, still_ticks long, gate string, label string, confidence double, probabilities array<double>"
 
-    def gate(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        still, last = state.get if state.exists else (0, -1)
-        rows = _batch(frames, "tick_ts", last)
-        if rows.empty:
-            return
+    def gate(key: tuple, state: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        still = state[0]
         block = (~rows["stationary"]).cumsum()
         runs = rows["stationary"].astype(int).groupby(block).cumsum() + np.where((block == 0) & rows["stationary"], still, 0)
         rest, gentle = runs > 2, rows["low_power"] & rows["gentle"]
@@ -137,29 +164,22 @@ def stream_gates(ticks: DataFrame, classes: Sequence[str] = tuple(VALID_LABELS),
         probs = [
             [0.95 if c == lb else 0.01 for c in classes] if r else [0.88 if c == lb else 0.02 for c in classes] if g else list(p)
             for r, g, lb, p in zip(rest, gentle, label, rows["model_probs"])]
-        state.update((int(runs.iloc[-1]), int(rows["tick_ts"].iloc[-1])))
-        yield rows[keep].assign(**{
+        return (int(runs.iloc[-1]),), rows[keep].assign(**{
             device: key[0], "still_ticks": runs, "gate": np.select([rest, gentle], ["rest", "gentle"], "model"), "label": label,
             "confidence": [max(p) for p in probs], "probabilities": probs})
 
-    return ticks.groupBy(device).applyInPandasWithState(gate, out, "still long, last long", "append", GroupStateTimeout.NoTimeout)
+    return in_event_order(ticks, device, "tick_ts", out, "still long", (0,), gate)
 
 
 def stream_confirm(ticks: DataFrame, limits: tuple, device: str = "device_id", cooldown_ms: int | None = 30_000) -> DataFrame:
     """Phase of the fall detector after every tick; state is the detector's state."""
 
-    def confirm(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.get if state.exists else D.START
-        rows = _batch(frames, "tick_ts", now[6])
-        if rows.empty:
-            return
-        now, trace = D.run_ticks(tuple(now), rows, limits, cooldown_ms)
-        state.update(now)
+    def confirm(key: tuple, state: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        now, trace = D.run_ticks(state, rows, limits, cooldown_ms)
         trace.insert(0, device, key[0])
-        yield trace
+        return tuple(now), trace
 
-    return ticks.groupBy(device).applyInPandasWithState(
-        confirm, f"{_types(ticks, [device])}, {D.TRACE_SCHEMA}", D.STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    return in_event_order(ticks, device, "tick_ts", f"{_types(ticks, [device])}, {D.TRACE_SCHEMA}", D.STATE_SCHEMA, D.START, confirm)
 
 
 def stream_escalate(events: DataFrame, countdown_s: int = 30, device: str = "device_id", watermark: str = WATERMARK) -> DataFrame:

@@ -132,23 +132,27 @@ def test_stream_detector_equals_batch_over_many_batches(spark):
     df = spark.createDataFrame(ticks)
     cuts = [0, 60_000, 61_000, 200_000, 10**9]
     parts = [df.filter((F.col("tick_ts") >= a) & (F.col("tick_ts") < b)) for a, b in zip(cuts, cuts[1:])]
-    got = replay(parts, lambda s: L.stream_confirm(s, limits), "t-confirm").toPandas()
+    got = replay(parts, lambda s: L.stream_confirm(s, limits), "t-confirm", close="tick_ts").toPandas()
     want = pd.concat([D.run_ticks(D.START, g.sort_values("tick_ts"), limits, 30_000)[1].assign(device_id=d) for d, g in ticks.groupby("device_id")])
     a, b = (x.sort_values(["device_id", "tick_ts"]).reset_index(drop=True) for x in (got, want))
     assert len(a) == len(b) and (a["phase"] == b["phase"]).all()
 
 
+#: Clocks of the streamed samples begin here: the first watermark of a stream is the epoch.
+BEGAN = 1_600_000_000_000
+
+
 def sample_frame(spark, n=700):
     rng = np.random.default_rng(3)
-    rows = [("d", 20 * i, *map(float, rng.normal(size=6))) for i in range(n)]
+    rows = [("d", BEGAN + 20 * i, *map(float, rng.normal(size=6))) for i in range(n)]
     return spark.createDataFrame(rows, "device_id string, timestamp long, " + ", ".join(f"{c} double" for c in SENSORS))
 
 
 def test_stream_ticks_equal_batch_ticks(spark):
     df = sample_frame(spark)
-    cuts = [0, 30, 1_990, 2_000, 2_410, 9_000, 10**9]
+    cuts = [BEGAN + c for c in (0, 30, 1_990, 2_000, 2_410, 9_000, 10**9)]
     parts = [df.filter((F.col("timestamp") >= a) & (F.col("timestamp") < b)) for a, b in zip(cuts, cuts[1:])]
-    got = FE.with_device_flags(replay(parts, L.stream_ticks, "t-ticks")).orderBy("tick").toPandas()
+    got = FE.with_device_flags(replay(parts, L.stream_ticks, "t-ticks", close="timestamp")).orderBy("tick").toPandas()
     batch = W.inference_ticks(df.withColumnRenamed("device_id", "recording_id"), 400, extra=FE.device_metrics())
     want = FE.with_device_flags(batch).orderBy("tick").toPandas()
     assert got["tick"].tolist() == want["tick"].tolist() and got["tick_ts"].tolist() == want["tick_ts"].tolist()
@@ -157,11 +161,26 @@ def test_stream_ticks_equal_batch_ticks(spark):
     assert got["posture"].tolist() == want["posture"].tolist()
 
 
-def test_late_samples_are_dropped(spark):
-    df = sample_frame(spark, 300)
-    late = df.filter("timestamp < 100").withColumn("ax", F.lit(1e6))
-    got = replay([df, late], L.stream_ticks, "t-late").toPandas()
-    assert len(got) == 11 and got["acc_peak"].max() < 1e3
+def test_late_rows_count_within_the_watermark_only(spark):
+    """Rows of a later part are used while the watermark (10 s) has not passed them, and dropped beyond it."""
+    df = sample_frame(spark, 1200)
+    clock = F.col("timestamp") - BEGAN
+    late, lost = (clock >= 17_000) & (clock < 17_200), (clock >= 1_000) & (clock < 1_200)
+    parts = [df.filter(~late & ~lost), df.filter(late | lost)]
+    got = replay(parts, L.stream_ticks, "t-late", close="timestamp").orderBy("tick").toPandas()
+    want = FE.with_device_flags(W.inference_ticks(df.filter(~lost).withColumnRenamed("device_id", "recording_id"), 400, extra=FE.device_metrics())).orderBy("tick").toPandas()
+    assert got["tick_ts"].tolist() == want["tick_ts"].tolist()
+    np.testing.assert_allclose(got["acc_peak"], want["acc_peak"])
+
+
+def test_fusion_keeps_every_accelerometer_row(spark):
+    """Equal clocks split over parts: the gyroscope reading still goes first and no row is lost."""
+    rows = [("d", 0, "acc", 1.0), ("d", 20, "gyr", 7.0), ("d", 20, "acc", 2.0), ("d", 40, "acc", 3.0), ("d", 60, "gyr", 8.0), ("d", 60, "acc", 4.0)]
+    df = spark.createDataFrame([(d, BEGAN + t, s, x, x, x) for d, t, s, x in rows], "device_id string, timestamp long, sensor string, x double, y double, z double")
+    early = (F.col("sensor") == "gyr") | (F.col("timestamp") == BEGAN + 40)
+    parts = [df.filter(early), df.filter(~early)]
+    got = replay(parts, L.stream_fuse, "t-fuse", close="timestamp").orderBy("timestamp").collect()
+    assert [(r.timestamp - BEGAN, r.ax, r.gx) for r in got] == [(0, 1.0, 0.0), (20, 2.0, 7.0), (40, 3.0, 7.0), (60, 4.0, 8.0)]
 
 
 def test_stream_escalation_waits_for_answer_or_deadline(spark):
