@@ -1,16 +1,21 @@
 """The 134 features of a sample window and the on-device window metrics.
 
-Time-domain features are array expressions inside the JVM; only the Fourier transform goes
-through Arrow. The window arrays are already grouped, so features add no shuffle.
+All features come from one vectorised pass over Arrow batches: array lambdas inside the JVM are interpreted
+element by element and took several times as long. The window arrays are already grouped, so features add no
+shuffle.
 """
 
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gaitframe.functions import columns as C
-from gaitframe.functions.spectrum import SPECTRAL, spectrum_udf
+from gaitframe.functions.spectrum import SPECTRAL, spectrum, spectrum_udf
 from gaitframe.schema import ACC, GYR, SENSORS
 
 # Feature names in the order of the feature vector.
@@ -33,90 +38,57 @@ def feature_names() -> list[str]:
     return names + MOTION
 
 
-def _total(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
-
-
-def _mean(values: Column) -> Column:
-    return _total(values) / F.size(values)
-
-
-def _quantile(ordered: Column, share: float) -> Column:
-    """Linear-interpolated quantile of a sorted array."""
-    h = (F.size(ordered) - 1) * F.lit(share)
-    lo, hi = F.floor(h).cast("int"), F.ceil(h).cast("int")
-    low, high = F.get(ordered, lo), F.get(ordered, hi)
-    return low + (high - low) * (h - lo)
-
-
-def _steps(values: Column) -> Column:
-    """Absolute first differences, one fewer than the values."""
-    return F.zip_with(F.slice(values, F.lit(2), F.size(values) - 1),
-                      F.slice(values, F.lit(1), F.size(values) - 1), lambda b, a: F.abs(b - a))
-
-
-def time_features(windows: DataFrame) -> DataFrame:
-    """``windows`` plus every time-domain feature (86 columns and the channel arrays).
-
-    A constant channel has no skewness, kurtosis or correlation: those are NULL.
-    """
-    df = windows.withColumns({f"_{c}": F.col(f"samples.{c}") for c in SENSORS})
-    df = df.withColumns({f"{c}_mean": _mean(F.col(f"_{c}")) for c in SENSORS})
-
-    def centred(c):
-        return F.zip_with(F.col(f"_{c}"), F.array_repeat(f"{c}_mean", F.size(f"_{c}")), lambda v, m: v - m)
-
-    df = df.withColumns({
-        **{f"_d_{c}": centred(c) for c in SENSORS},
-        **{f"_o_{c}": F.sort_array(f"_{c}") for c in SENSORS},
-        "_acc": F.transform("samples", lambda s: F.sqrt(s["ax"] * s["ax"] + s["ay"] * s["ay"] + s["az"] * s["az"])),
-        "_gyr": F.transform("samples", lambda s: F.sqrt(s["gx"] * s["gx"] + s["gy"] * s["gy"] + s["gz"] * s["gz"])),
-        "acc_sma": _mean(F.transform("samples", lambda s: F.abs(s["ax"]) + F.abs(s["ay"]) + F.abs(s["az"]))),
-        "gyr_sma": _mean(F.transform("samples", lambda s: F.abs(s["gx"]) + F.abs(s["gy"]) + F.abs(s["gz"]))),
-    })
-    power = {}
-    for c in SENSORS:
-        d = F.col(f"_d_{c}")
-        power[f"_m2_{c}"] = _mean(F.transform(d, lambda v: v * v))
-        power[f"_m3_{c}"] = _mean(F.transform(d, lambda v: v * v * v))
-        power[f"_m4_{c}"] = _mean(F.transform(d, lambda v: v * v * v * v))
-        power[f"{c}_mad"] = _mean(F.transform(d, lambda v: F.abs(v)))
-        power[f"{c}_min"] = F.array_min(f"_{c}")
-        power[f"{c}_max"] = F.array_max(f"_{c}")
-        sign = F.transform(d, lambda v: F.when(F.abs(v) < AT_MEAN, 0.0).otherwise(F.signum(v)))
-        power[f"{c}_zcr"] = _mean(F.transform(_steps(sign), lambda v: F.when(v != 0, 1.0).otherwise(0.0)))
-        power[f"{c}_iqr"] = _quantile(F.col(f"_o_{c}"), 0.75) - _quantile(F.col(f"_o_{c}"), 0.25)
-    for a, b in AXIS_PAIRS:
-        power[f"_cov_{a}_{b}"] = _mean(F.zip_with(f"_d_{a}", f"_d_{b}", lambda x, y: x * y))
-    power["_r"] = F.zip_with("_acc", "_gyr", lambda a, g: F.sqrt(a * a + g * g))
-    for kind in ("acc", "gyr"):
-        power[f"{kind}_svm_mean"] = _mean(F.col(f"_{kind}"))
-        power[f"{kind}_svm_peak"] = F.array_max(f"_{kind}")
-        power[f"_j_{kind}"] = _steps(F.col(f"_{kind}"))
-    df = df.withColumns(power)
-
-    moving = {c: F.col(f"{c}_min") < F.col(f"{c}_max") for c in SENSORS}
-    last = {}
-    for c in SENSORS:
-        m2 = F.col(f"_m2_{c}")
-        last[f"{c}_std"] = F.sqrt(m2)
-        last[f"{c}_range"] = F.col(f"{c}_max") - F.col(f"{c}_min")
-        last[f"{c}_peak2peak"] = F.col(f"{c}_max") - F.col(f"{c}_min")
-        last[f"{c}_rms"] = F.sqrt(m2 + F.col(f"{c}_mean") * F.col(f"{c}_mean"))
-        last[f"{c}_skew"] = F.when(moving[c], F.try_divide(F.col(f"_m3_{c}"), m2 * F.sqrt(m2)))
-        last[f"{c}_kurt"] = F.when(moving[c], F.try_divide(F.col(f"_m4_{c}"), m2 * m2) - 3.0)
-    for a, b in AXIS_PAIRS:
-        last[f"corr_{a}_{b}"] = F.when(moving[a] & moving[b], F.try_divide(
-            F.col(f"_cov_{a}_{b}"), F.sqrt(F.col(f"_m2_{a}") * F.col(f"_m2_{b}"))))
-    for kind in ("acc", "gyr"):
-        mean = F.col(f"{kind}_svm_mean")
-        last[f"{kind}_svm_std"] = F.sqrt(_mean(F.zip_with(
-            f"_{kind}", F.array_repeat(mean, F.size(f"_{kind}")), lambda v, m: (v - m) * (v - m))))
-        last[f"{kind}_jerk_mean"] = _mean(F.col(f"_j_{kind}"))
-        last[f"{kind}_jerk_peak"] = F.array_max(f"_j_{kind}")
-    last["resultant_mean"] = _mean(F.col("_r"))
-    last["resultant_peak"] = F.array_max("_r")
-    return df.withColumns(last)
+def _statistics(x: np.ndarray) -> list[np.ndarray]:
+    """The time-domain features of (windows, channels, samples), each (windows, channels)."""
+    mean, low, high = x.mean(-1), x.min(-1), x.max(-1)
+    d = x - mean[..., None]
+    m2, m3, m4 = (d * d).mean(-1), (d ** 3).mean(-1), (d ** 4).mean(-1)
+    side = np.where(np.abs(d) < AT_MEAN, 0.0, np.sign(d))
+    crossings = (np.diff(side, axis=-1) != 0).mean(-1) if x.shape[-1] > 1 else np.full(mean.shape, np.nan)
+    q1, q3 = np.quantile(x, [0.25, 0.75], axis=-1)
+    moving = low < high
+    skew = np.where(moving, m3 / (m2 * np.sqrt(m2)), np.nan)
+    kurt = np.where(moving, m4 / (m2 * m2) - 3.0, np.nan)
+    return [mean, np.sqrt(m2), low, high, high - low, np.sqrt(m2 + mean * mean), high - low, crossings, np.abs(d).mean(-1), skew, kurt, q3 - q1]
+
+
+def _correlations(x: np.ndarray) -> list[np.ndarray]:
+    d = x - x.mean(-1, keepdims=True)
+    m2, moving = (d * d).mean(-1), x.min(-1) < x.max(-1)
+    places = [(SENSORS.index(a), SENSORS.index(b)) for a, b in AXIS_PAIRS]
+    return [np.where(moving[:, i] & moving[:, j], (d[:, i] * d[:, j]).mean(-1) / np.sqrt(m2[:, i] * m2[:, j]), np.nan) for i, j in places]
+
+
+def _motion(x: np.ndarray) -> list[np.ndarray]:
+    size = [np.sqrt((x[:, i:i + 3] ** 2).sum(1)) for i in (0, 3)]
+    out = [f(s) for s in size for f in (lambda s: s.mean(-1), lambda s: s.std(-1), lambda s: s.max(-1))]
+    for s in size:
+        step = np.abs(np.diff(s, axis=-1))
+        out += [step.mean(-1), step.max(-1)] if step.shape[-1] else [np.full(len(s), np.nan)] * 2
+    whole = np.sqrt(size[0] ** 2 + size[1] ** 2)
+    return [*out, whole.mean(-1), whole.max(-1)]
+
+
+def window_features(x: np.ndarray) -> np.ndarray:
+    """(windows, 6, samples) to (windows, 134) in the order of :func:`feature_names`; NaN stands for no value."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        per_channel = np.stack(_statistics(x), axis=-1).reshape(len(x), -1)
+        sma = [np.abs(x[:, i:i + 3]).sum(1).mean(-1) for i in (0, 3)]
+        return np.concatenate([per_channel, np.stack([*sma, *_correlations(x)], axis=1), spectrum(x).reshape(len(x), -1),
+                               np.stack(_motion(x), axis=1)], axis=1)
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _features_udf(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for channels in batches:
+        size = channels[0].map(len).to_numpy()
+        out = pd.Series([None] * len(size), dtype=object)
+        for n in np.unique(size[size > 0]):
+            rows = np.flatnonzero(size == n)
+            block = np.stack([np.stack(c.to_numpy()[rows]) for c in channels], axis=1).astype(float)
+            for i, values in zip(rows, window_features(block), strict=True):
+                out[i] = values
+        yield out
 
 
 def spectral_features(windows: DataFrame) -> DataFrame:
@@ -130,11 +102,14 @@ def spectral_columns() -> list[Column]:
 
 
 def extract_features(windows: DataFrame) -> DataFrame:
-    """The 134 features of every window beside its other columns (``samples`` excepted)."""
+    """The 134 features of every window beside its other columns (``samples`` excepted).
+
+    A constant channel has no skewness, kurtosis or correlation: those are NULL, as all are of a window without samples.
+    """
     meta = [c for c in windows.columns if c != "samples"]
-    df = time_features(spectral_features(windows))
-    spectral = {c: e for c, e in zip([f"{c}_{s}" for c in SENSORS for s in SPECTRAL], spectral_columns())}
-    return df.select(*meta, *[spectral.get(n, F.col(n)) for n in feature_names()])
+    df = windows.select(*meta, _features_udf(*[F.col(f"samples.{c}") for c in SENSORS]).alias("_features"))
+    value = [F.get("_features", F.lit(i)) for i in range(len(feature_names()))]
+    return df.select(*meta, *[F.when(~F.isnan(v), v).alias(n) for v, n in zip(value, feature_names(), strict=True)])
 
 
 def device_metrics() -> list[Column]:

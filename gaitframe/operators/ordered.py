@@ -17,9 +17,6 @@ from pyspark.sql import functions as F
 
 from gaitframe.schema import PAUSE_MS, SLICE_MS
 
-#: A key with more rows than this is cut into slices by :func:`slice_hot_keys`.
-HOT_ROWS = 1_000_000
-
 
 def time_slice(ts: str = "timestamp", slice_ms: int | None = SLICE_MS) -> Column | None:
     """Slice number of a growing numeric column. ``slice_ms=None`` stands for no slices: the caller
@@ -32,28 +29,6 @@ def digest_slice(digest: Column) -> Column:
     return F.substring(digest, 1, 4)
 
 
-def groups_fit(df: DataFrame, keys: Sequence[str], rows: int = HOT_ROWS) -> bool:
-    """Whether no key of ``df`` has more than ``rows`` rows (runs a counting job).
-
-    The total is looked at first; for a file source it comes from the footers alone.
-    """
-    if df.select().count() <= rows:
-        return True
-    return df.groupBy(*keys).count().filter(F.col("count") > rows).isEmpty()
-
-
-def slice_hot_keys(df: DataFrame, keys: list[str], order: str, width: int, out: str = "slice",
-                   hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Slice number ``order div width`` for keys with more than ``hot_rows`` rows, 0 for others.
-
-    The broadcast side holds at most ``rows / hot_rows`` keys.
-    """
-    hot = df.groupBy(*keys).count().filter(F.col("count") > hot_rows).drop("count")
-    hot = hot.withColumn("_hot", F.lit(True))
-    cut = F.when(F.col("_hot"), F.floor(F.col(order) / width)).otherwise(F.lit(0))
-    return df.join(F.broadcast(hot), keys, "left").withColumn(out, cut.cast("long")).drop("_hot")
-
-
 def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Distribute by (key, slice).
 

@@ -17,7 +17,7 @@ def rounded(*names):
 def mapping_values(scheme):
     changes = R.SISFALL_SCHEMES[scheme]
     rows = [(ds, code, changes.get(code, label) if ds == "sisfall" else label)
-            for ds, groups in R.SOURCE_LABELS.items() for label, codes in groups for code in codes]
+            for ds, code, _, label in R.SOURCE_LABELS]
     return "VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in rows)
 
 

@@ -293,12 +293,12 @@ def q14(spark, sf_dir):
     return rounded(Q.duplicate_audit(*halves(spark, sf_dir)), "pct_near_duplicates", "mean_min_distance", "std_min_distance")
 
 
-@query("q17_metadata_names")
+@query("q17_metadata_names", with_ctes(
+    "SELECT feature, n_values, list_has_any(string_split(lower(feature), '_'), " + str(list(Q.FORBIDDEN_TOKENS)) + ") AS suspicious FROM"
+    " (SELECT unnest(" + str(FE.feature_names()) + ") AS feature, (SELECT count(*) FROM win) AS n_values)"))
 def q17(spark, sf_dir):
-    features = FE.extract_features(windows(spark, sf_dir))
-    names = FE.feature_names()
-    used = features.agg(*[F.count(n).alias(n) for n in names]).unpivot([], names, "feature", "n_values")
-    return Q.suspicious_names(used)
+    counted = W.label_windows(segments(spark, sf_dir)).agg(F.count(F.lit(1)).alias("n_values"))
+    return Q.suspicious_names(counted.select(F.explode(F.array(*map(F.lit, FE.feature_names()))).alias("feature"), "n_values"))
 
 
 @query("q18_label_correlations", with_ctes(
@@ -326,12 +326,11 @@ def q19(spark, sf_dir):
 
 
 @query("q20_speed", with_ctes(
-    "SELECT recording_id, segment, k, spot, " + ", ".join(r6(f"lo_{c} + (hi_{c} - lo_{c}) * (p - floor(p))", c) for c in SENSORS) + " FROM blended",
+    "SELECT recording_id, segment, k, spot, " + ", ".join(r6(f"{c}[1 + CAST(floor(p) AS INT)] + ({c}[1 + CAST(ceil(p) AS INT)] - {c}[1 + CAST(floor(p) AS INT)]) * (p - floor(p))", c)
+                                                          for c in SENSORS) + " FROM spots",
+    ("lists", "SELECT recording_id, segment, k, any_value(label) AS label, " + ", ".join(f"list({c} ORDER BY spot) AS {c}" for c in SENSORS) + " FROM wrow GROUP BY 1, 2, 3"),
     ("spots", "SELECT *, CASE WHEN label IN ('walking', 'running') THEN least(spot * CASE WHEN k % 2 = 0 THEN CAST(1.3 AS DOUBLE) ELSE CAST(0.7 AS DOUBLE) END, 99.0)"
-              " ELSE CAST(spot AS DOUBLE) END AS p FROM wrow"),
-    ("blended", "SELECT s.recording_id, s.segment, s.k, s.spot, s.p, " + ", ".join(f"a.{c} AS lo_{c}, b.{c} AS hi_{c}" for c in SENSORS) +
-     " FROM spots s JOIN wrow a ON a.recording_id = s.recording_id AND a.segment = s.segment AND a.k = s.k AND a.spot = floor(s.p)"
-     " JOIN wrow b ON b.recording_id = s.recording_id AND b.segment = s.segment AND b.k = s.k AND b.spot = ceil(s.p)")))
+              " ELSE CAST(spot AS DOUBLE) END AS p FROM (SELECT *, unnest(range(100)) AS spot FROM lists)")))
 def q20(spark, sf_dir):
     return stressed(spark, sf_dir, Q.speed_windows)
 

@@ -1,7 +1,5 @@
 """Queries over the models. Spark ML results have no SQL; they are checked for rows."""
 
-from functools import cache
-
 from pyspark.sql import functions as F
 
 from gaitframe.operators import metrics as M
@@ -19,42 +17,31 @@ from gaitframe.schema import VALID_LABELS
 from gaitframe.session import materialize, scratch_path
 
 
-@cache
-def _shared(spark, application, sf_dir):
-    """Feature vectors, their holdout parts and the full forest, made once per session."""
+def parts(spark, sf_dir):
+    """Feature vectors and their holdout parts, written because the fits read them many times."""
     vectors = X.feature_vectors(windows(spark, sf_dir))
     train, test = (materialize(part, "part") for part in X.holdout(vectors))
     return vectors, train, test
 
 
-def parts(spark, sf_dir):
-    return _shared(spark, spark.sparkContext.applicationId, sf_dir)
-
-
-@cache
-def _forest(spark, application, sf_dir):
-    return MO.fit_forest(_shared(spark, application, sf_dir)[1])
-
-
-def forest(spark, sf_dir):
-    return _forest(spark, spark.sparkContext.applicationId, sf_dir)
-
-
 @query("m1_random_forest")
 def m1(spark, sf_dir):
-    return M.evaluate(MO.predict(forest(spark, sf_dir), parts(spark, sf_dir)[2]))
+    _, train, test = parts(spark, sf_dir)
+    return M.evaluate(MO.predict(MO.fit_forest(train), test))
 
 
 @query("m2_predictions")
 def m2(spark, sf_dir):
-    return MO.predict(forest(spark, sf_dir), parts(spark, sf_dir)[2])
+    _, train, test = parts(spark, sf_dir)
+    return MO.predict(MO.fit_forest(train), test)
 
 
 @query("m3_saved_model")
 def m3(spark, sf_dir):
+    _, train, test = parts(spark, sf_dir)
     path = scratch_path(spark, "model")
-    MO.save_model(forest(spark, sf_dir), path)
-    return M.confusion(MO.predict(MO.load_model(path), parts(spark, sf_dir)[2]))
+    MO.save_model(MO.fit_forest(train), path)
+    return M.confusion(MO.predict(MO.load_model(path), test))
 
 
 @query("m4_majority_baseline", with_ctes(
@@ -86,16 +73,10 @@ def m7(spark, sf_dir):
     return M.evaluate(MO.predict(MO.fit_perceptron(train), test))
 
 
-@cache
-def _importance(spark, application, sf_dir):
-    train = _shared(spark, application, sf_dir)[1]
-    fall = MO.fit_fall_forest(train)
-    permuted = MO.permutation_importance(fall, train, feature_names())
-    return materialize(permuted.join(MO.impurity_importance(_forest(spark, application, sf_dir), feature_names(), spark), "feature"), "importance")
-
-
 def importance(spark, sf_dir):
-    return _importance(spark, spark.sparkContext.applicationId, sf_dir)
+    _, train, _ = parts(spark, sf_dir)
+    permuted = MO.permutation_importance(MO.fit_fall_forest(train), train, feature_names())
+    return materialize(permuted.join(MO.impurity_importance(MO.fit_forest(train), feature_names(), spark), "feature"), "importance")
 
 
 @query("m8_fall_forest")
@@ -107,7 +88,7 @@ def m8(spark, sf_dir):
 
 @query("m9_impurity_importance")
 def m9(spark, sf_dir):
-    return MO.impurity_importance(forest(spark, sf_dir), feature_names(), spark)
+    return MO.impurity_importance(MO.fit_forest(parts(spark, sf_dir)[1]), feature_names(), spark)
 
 
 @query("m10_permutation_importance")
@@ -117,8 +98,8 @@ def m10(spark, sf_dir):
 
 @query("m11_importance_narrative")
 def m11(spark, sf_dir):
-    return MO.top_features(importance(spark, sf_dir), "mdi_importance", 5).join(
-        MO.importance_narrative(importance(spark, sf_dir), "mdi_importance"), "feature", "left")
+    table = importance(spark, sf_dir)
+    return MO.top_features(table, "mdi_importance", 5).join(MO.importance_narrative(table, "mdi_importance"), "feature", "left")
 
 
 @query("t2_top_features")
@@ -129,7 +110,7 @@ def t2(spark, sf_dir):
 @query("m12_best_model")
 def m12(spark, sf_dir):
     _, train, test = parts(spark, sf_dir)
-    table = M.comparison({"forest": MO.predict(forest(spark, sf_dir), test), "tree": MO.predict(MO.fit_tree(train, 6), test)})
+    table = M.comparison({"forest": MO.predict(MO.fit_forest(train), test), "tree": MO.predict(MO.fit_tree(train, 6), test)})
     return M.best_model(table)
 
 
@@ -170,7 +151,7 @@ def q11(spark, sf_dir):
 @query("q15_baselines")
 def q15(spark, sf_dir):
     _, train, test = parts(spark, sf_dir)
-    return X.baselines(train, test, forest(spark, sf_dir))
+    return X.baselines(train, test, MO.fit_forest(train))
 
 
 @query("q16_label_shuffle")
@@ -181,9 +162,10 @@ def q16(spark, sf_dir):
 
 @query("q22_stress_table")
 def q22(spark, sf_dir):
-    test = parts(spark, sf_dir)[2].select("recording_id", "segment", "k")
-    held = windows(spark, sf_dir).join(test, ["recording_id", "segment", "k"], "left_semi")
-    return X.stress_table(forest(spark, sf_dir), materialize(held, "stress"))
+    _, train, test = parts(spark, sf_dir)
+    keys = ["recording_id", "segment", "k"]
+    held = windows(spark, sf_dir).join(test.select(*keys), keys, "left_semi")
+    return X.stress_table(MO.fit_forest(train), materialize(held, "stress"))
 
 
 @query("q23_real_data_report")

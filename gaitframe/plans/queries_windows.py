@@ -111,7 +111,7 @@ def feature_query(name, columns, sql_columns, extra=()):
 
     @query(name, with_ctes(body, *extra))
     def run(spark, sf_dir):
-        return FE.time_features(windows(spark, sf_dir)).select(*KEYS, *rounded(*columns))
+        return FE.extract_features(windows(spark, sf_dir)).select(*KEYS, *rounded(*columns))
 
 
 feature_query("f1_mean", [f"{c}_mean" for c in SENSORS], [f"avg({c})" for c in SENSORS])
@@ -148,7 +148,7 @@ def centred_query(name, stat, expression):
 
     @query(name, with_ctes(body, *CENTRED))
     def run(spark, sf_dir):
-        return FE.time_features(windows(spark, sf_dir)).select(*KEYS, *rounded(*columns))
+        return FE.extract_features(windows(spark, sf_dir)).select(*KEYS, *rounded(*columns))
 
 
 centred_query("f6_zcr", "zcr", "avg(z{c})")
@@ -164,7 +164,7 @@ centred_query("f9_kurt", "kurt", "CASE WHEN min({c}) < max({c}) THEN avg(d{c}**4
     ("jerks", f"SELECT {KEYSQL}, abs({SVM} - lag({SVM}) OVER w) AS ja, abs({GSVM} - lag({GSVM}) OVER w) AS jg"
               f" FROM wrow WINDOW w AS (PARTITION BY {KEYSQL} ORDER BY spot)")))
 def jerk(spark, sf_dir):
-    return FE.time_features(windows(spark, sf_dir)).select(*KEYS, *rounded(*FE.MOTION[6:10]))
+    return FE.extract_features(windows(spark, sf_dir)).select(*KEYS, *rounded(*FE.MOTION[6:10]))
 
 
 POWER = (

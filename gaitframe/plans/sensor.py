@@ -4,11 +4,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaitframe.operators.cleaning import add_gyro_flag, drop_out_of_range
-from gaitframe.operators.ordered import add_segments, groups_fit, ordered_position, slice_hot_keys
+from gaitframe.operators.ordered import add_segments, ordered_position
 from gaitframe.operators.windows import collect_windows
 
-#: Order keys per slice of a supplier that holds very many rows.
-ORDER_KEYS_PER_SLICE = 262_144
+#: Order keys per slice in which the rows of a supplier are ordered.
+ORDER_KEYS_PER_SLICE = 8_192
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,14 +19,10 @@ def sensor_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select(
         "l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate",
         "l_quantity", "l_discount", "l_tax")
-    slice_by = None
-    if not groups_fit(lines, ["l_suppkey"]):
-        lines = slice_hot_keys(lines, ["l_suppkey"], "l_orderkey", ORDER_KEYS_PER_SLICE)
-        slice_by = F.col("slice")
     lines = ordered_position(
         lines, ["l_suppkey"],
         ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate"],
-        slice_by, out="i")
+        F.floor(F.col("l_orderkey") / ORDER_KEYS_PER_SLICE), out="i")
     makers = (
         table(spark, sf_dir, "supplier").join(
             table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))

@@ -6,8 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaitframe.operators.cleaning import decimate, interpolate
-from gaitframe.operators.ordered import (add_segments, carry_forward, exact_quantiles, groups_fit, ordered_position,
-                                         slice_hot_keys, time_slice)
+from gaitframe.operators.ordered import add_segments, carry_forward, exact_quantiles, ordered_position, time_slice
 
 
 @pytest.fixture(scope="module")
@@ -83,8 +82,9 @@ def test_exact_quantiles_match_numpy(df, frame):
             np.testing.assert_allclose(got.loc[key, ["q05", "q50", "q99"]].to_numpy(float), np.quantile(values, [0.05, 0.5, 0.99]))
 
 
-def test_only_hot_keys_are_sliced(df):
-    cut = slice_hot_keys(df, ["recording_id"], "timestamp", 1_000, hot_rows=100)
-    slices = {r[0]: r[1] for r in cut.groupBy("recording_id").agg(F.countDistinct("slice")).collect()}
-    assert slices["hot"] > 10 and slices["cold"] == slices["one"] == 1
-    assert groups_fit(df, ["recording_id"], 900) and not groups_fit(df, ["recording_id"], 899)
+def test_suppliers_are_ordered_in_several_slices(spark):
+    """The one plan of the sensor view cuts suppliers at the checked size already."""
+    from gaitframe.plans import sensor
+    lines = sensor.table(spark, "/root/testdata/sf0.01", "lineitem")
+    slices = lines.groupBy("l_suppkey").agg(F.countDistinct(F.floor(F.col("l_orderkey") / sensor.ORDER_KEYS_PER_SLICE)).alias("n"))
+    assert slices.agg(F.min("n")).first()[0] >= 2
