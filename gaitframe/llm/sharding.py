@@ -7,8 +7,8 @@ one changes places with an unlinked row of t. It ends when nothing moves. Counts
 most (the ``rows`` law) whatever moves; a group larger than a shard fills several.
 
 Scale. DataFrame operations only. Ranks within a shard come from bucket totals and a window within (shard,
-bucket), so no window holds a shard. Per-group state is a few counts; members meet it in joins that Spark may
-split by skew. The driver sees counts per pair of shards only. Every round is a written table.
+bucket), so no window holds a shard. Per-group state is a few counts, written before its members meet it, so that
+Spark knows its size and may split the join by skew (it can't split a join that shares a stage with a grouping). The driver sees counts per pair of shards only. Every round is a written table.
 
 Cases. A null text has size 1 (no bytes), crc 0 and no links; empty texts are equal to each other. Ids may be
 null or repeated: every row gets a place. Fewer rows than shards leave shards empty.
@@ -57,6 +57,7 @@ def _round(rows: DataFrame, buckets: int) -> tuple[DataFrame | None, int]:
     open_to = held.filter((_table(free, "shard") > 0) | F.lit(not free)).filter(F.col("shard").isin(room))
     best = open_to.groupBy("group").agg(F.max(F.struct("weight", "shard")).alias("best"))
     leaving = held.join(best, "group").filter(F.col("weight") < F.col("best.weight")).select("group", "shard", F.col("best.shard").alias("to"))
+    leaving = materialize(leaving, "leaving")
     movers = materialize(rows.filter("linked").join(leaving, ["group", "shard"]).select("row", "shard", "to"), "movers")
     asked = _counts(movers, "shard", "to")
     if not asked:
@@ -84,6 +85,7 @@ def assign_shards(df: DataFrame, shards: int = 16, text: str = "text", doc_id: s
     rows = materialize(rows, "rows")
     buckets = max(1, rows.count() // BUCKET_ROWS)
     groups = rows.filter("group IS NOT NULL").groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("group", F.lit(True).alias("linked"))
+    groups = materialize(groups, "groups")
     placed = _ranked(rows.withColumn("all", F.lit(0)), ["all"], max(buckets, 1) * shards, "rank").drop("all")
     placed = materialize(placed.join(groups, "group", "left").select(
         "row", "doc_id", "size", "text_crc32", "group", F.coalesce("linked", F.lit(False)).alias("linked"),
