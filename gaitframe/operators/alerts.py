@@ -2,6 +2,8 @@
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -133,16 +135,72 @@ def calibrate(df: DataFrame, preset: str = "desk_safe", custom_spike: float = 24
         "high_impact", F.col("peak") >= threshold).select(*df.columns, "peak", "high_impact")
 
 
+def _next_emits(clock: np.ndarray, every_ms: int) -> np.ndarray:
+    """For each clock the place of the first one at least ``every_ms`` later."""
+    return np.searchsorted(clock, clock + every_ms, side="left")
+
+
+def _emits(clock: np.ndarray, after: int, every_ms: int) -> np.ndarray:
+    """Clocks emitted when the last one before them was at ``after``."""
+    step, out, i = _next_emits(clock, every_ms), [], int(np.searchsorted(clock, after + every_ms, side="left"))
+    while i < len(clock):
+        out.append(clock[i])
+        i = int(step[i])
+    return np.array(out, dtype=np.int64)
+
+
+def _last_emits(clock: np.ndarray, begin: int, every_ms: int) -> np.ndarray:
+    """Last clock emitted in a slice from ``begin`` on, for each last clock ``begin - every_ms ... begin - 1``
+    before it (all earlier ones act like the first); -1 if none is emitted."""
+    first = np.searchsorted(clock, begin + np.arange(every_ms), side="left")
+    step = np.append(_next_emits(clock, every_ms), len(clock))
+    last = np.arange(len(clock) + 1)
+    for i in range(len(clock) - 1, -1, -1):
+        last[i] = last[step[i]] if step[i] < len(clock) else i
+    return np.append(clock, -1)[last[first]]
+
+
 def throttle(df: DataFrame, every_ms: int = 100, keys: Sequence[str] = ("recording_id",), ts: str = "timestamp",
-             slice_ms: int | None = SLICE_MS) -> DataFrame:
-    """At most one row per ``every_ms``: the first of each interval, counted from the first row
-    after a pause of at least ``every_ms``."""
-    rows = add_segments(df.drop("segment", "pos"), keys, ts, gap_ms=every_ms - 1, slice_ms=slice_ms)
-    begins = rows.groupBy(*keys, "segment").agg(F.min(ts).alias("_began"))
-    slot = F.floor((F.col(ts) - F.col("_began")) / every_ms)
-    placed = rows.join(begins, [*keys, "segment"]).withColumn("_slot", slot)
-    first = F.min_by(F.struct(*df.columns), ts).alias("r")
-    return placed.groupBy(*keys, "segment", "_slot").agg(first).select("r.*")
+             slice_ms: int = 600_000) -> DataFrame:
+    """At most one row per ``every_ms``: a row is emitted when that much has passed since the last emitted one.
+    Of rows of one clock the smallest is emitted; rows without a clock are dropped.
+
+    A key is cut into slices. What a slice emits depends on the last emission before it only, which matters for
+    ``every_ms`` values at most: every slice turns these into its own last emission, the short tables are folded
+    over a key's slices in order, and every slice is run once more from its known start.
+    """
+    keys = list(keys)
+    begin = F.floor(F.col(ts) / slice_ms) * slice_ms
+    slices = df.filter(F.col(ts).isNotNull()).groupBy(*keys, begin.cast("long").alias("_begin")).agg(
+        F.sort_array(F.collect_set(F.col(ts).cast("long"))).alias("_clock"))
+
+    @F.pandas_udf("array<long>")
+    def last_emits(clock: pd.Series, begin: pd.Series) -> pd.Series:
+        return pd.Series([_last_emits(np.asarray(c), b, every_ms) for c, b in zip(clock, begin, strict=True)])
+
+    @F.pandas_udf("array<struct<_begin:long,_after:long>>")
+    def fold(tables: pd.Series) -> pd.Series:
+        out = []
+        for table in tables:
+            after, rows = None, []
+            for r in table:
+                offset = 0 if after is None else max(0, after - (r["_begin"] - every_ms))
+                rows.append({"_begin": r["_begin"], "_after": r["_begin"] - every_ms + offset})
+                last = int(r["_last"][offset])
+                after = last if last >= 0 else after
+            out.append(rows)
+        return pd.Series(out)
+
+    @F.pandas_udf("array<long>")
+    def emits(clock: pd.Series, after: pd.Series) -> pd.Series:
+        return pd.Series([_emits(np.asarray(c), a, every_ms) for c, a in zip(clock, after, strict=True)])
+
+    tables = slices.withColumn("_last", last_emits("_clock", "_begin")).groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("_begin", "_last"))).alias("_tables"))
+    starts = tables.select(*keys, F.explode(fold("_tables")).alias("_s")).select(*keys, "_s._begin", "_s._after")
+    kept = slices.join(starts, [*keys, "_begin"]).select(*keys, F.explode(emits("_clock", "_after")).alias(ts))
+    first = df.groupBy(*keys, ts).agg(F.min(F.struct(*[c for c in df.columns if c not in (*keys, ts)])).alias("_r"))
+    return first.join(kept, [*keys, ts]).select(*[F.col(c) if c in (*keys, ts) else F.col(f"_r.{c}") for c in df.columns])
 
 
 def recording_progress(df: DataFrame, every: int = 10, keys: Sequence[str] = ("recording_id",), ts: str = "timestamp",

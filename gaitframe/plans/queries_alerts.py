@@ -162,14 +162,24 @@ def r10(spark, sf_dir):
     return L.calibrate(rows).select("recording_id", "timestamp", F.round("peak", 6).alias("peak"), "high_impact")
 
 
-@query("r11_throttle", with_ctes(
-    "SELECT recording_id, timestamp, round(acc, 6) AS acc FROM (SELECT *, row_number() OVER (PARTITION BY recording_id, sg, (timestamp - began) // 100 ORDER BY timestamp) AS r FROM"
-    " (SELECT *, min(timestamp) OVER (PARTITION BY recording_id, sg) AS began FROM (SELECT *, sum(c) OVER (PARTITION BY recording_id ORDER BY timestamp"
-    " ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sg FROM (SELECT recording_id, timestamp, sqrt(ax*ax + ay*ay + az*az) AS acc,"
-    " CASE WHEN timestamp - lag(timestamp) OVER (PARTITION BY recording_id ORDER BY timestamp) >= 100 THEN 1 ELSE 0 END AS c FROM clean)))) WHERE r = 1"))
+# The emitted rows as a recursion: each is the first at least 100 ms (or another interval) after the one before.
+def throttle_sql(source, key, clock, value, every):
+    return (f"WITH RECURSIVE src AS ({source}), emitted AS (SELECT {key}, min({clock}) AS {clock} FROM src GROUP BY 1 UNION ALL SELECT e.{key},"
+            f" (SELECT min(s.{clock}) FROM src s WHERE s.{key} = e.{key} AND s.{clock} >= e.{clock} + {every}) AS {clock} FROM emitted e WHERE e.{clock} IS NOT NULL)"
+            f" SELECT {key}, {clock}, min({value}) AS {value} FROM src JOIN emitted USING ({key}, {clock}) GROUP BY 1, 2")
+
+
+@query("r11_throttle", throttle_sql(with_ctes("SELECT recording_id, timestamp, round(sqrt(ax*ax + ay*ay + az*az), 6) AS acc FROM clean"), "recording_id", "timestamp", "acc", 100))
 def r11(spark, sf_dir):
     rows = clean_samples(spark, sf_dir).select("recording_id", "timestamp", F.round(C.acc_magnitude(), 6).alias("acc"))
-    return L.throttle(rows, slice_ms=None)
+    return L.throttle(rows, slice_ms=1_000)
+
+
+@query("r11_throttle_events", throttle_sql("SELECT user_id, epoch_ms(ts) // 60000 AS minute, event_id FROM events", "user_id", "minute", "event_id", 360))
+def r11_events(spark, sf_dir):
+    """An irregular clock: one event per user and six hours, by the minute."""
+    minute = F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 60_000).alias("minute")
+    return L.throttle(table(spark, sf_dir, "events").select("user_id", minute, "event_id"), 360, ["user_id"], "minute", slice_ms=14_400)
 
 
 @query("r12_recording_progress", with_ctes(

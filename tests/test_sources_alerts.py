@@ -4,6 +4,7 @@ import json
 import math
 import os
 
+import numpy as np
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -176,3 +177,21 @@ def test_bounds_let_missing_values_pass(spark):
     df = spark.createDataFrame([(1.0, None), (41.0, None), (None, 36.0), (40.0, 35.0)], "ax double, gx double")
     df = df.withColumns({c: F.lit(0.0) for c in ("ay", "az", "gy", "gz")})
     assert sorted(r["ax"] for r in K.drop_out_of_range(df).collect()) == [1.0, 40.0]
+
+
+@pytest.mark.parametrize("slice_ms", [50, 170, 10**6])
+def test_throttle_counts_from_the_last_emitted_row(spark, slice_ms):
+    rng = np.random.default_rng(2)
+    clocks = {"a": [0, 40, 80, 120, 160, 190, 210, 260, 310], "b": np.cumsum(rng.choice([1, 7, 60, 99, 100, 450], 400)).tolist(), "c": [5, 5, 5]}
+    df = spark.createDataFrame([(k, int(t), i) for k, v in clocks.items() for i, t in enumerate(v)], "recording_id string, timestamp long, n int")
+    got = {}
+    for r in L.throttle(df, slice_ms=slice_ms).orderBy("timestamp").collect():
+        got.setdefault(r.recording_id, []).append(r.timestamp)
+    for k, v in clocks.items():
+        want, last = [], None
+        for t in v:
+            if last is None or t - last >= 100:
+                want.append(t)
+                last = t
+        assert got[k] == want
+    assert got["a"] == [0, 120, 260] and L.throttle(df.limit(0)).count() == 0
