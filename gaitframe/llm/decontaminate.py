@@ -20,6 +20,7 @@ with one id are items of their own. Ids may be null. Other columns are ignored.
 
 import math
 from collections.abc import Iterator
+from types import SimpleNamespace
 from typing import NamedTuple
 
 import numpy as np
@@ -126,7 +127,7 @@ class Items:
         self.start, self.n = first[:-1], np.diff(first)
         self.ids = [i for i, _ in rows]
         self.edits = np.floor((1 - similarity) * self.n + 1e-9).astype(np.int64)
-        self.similarity, self.tables = similarity, tables
+        self.similarity, self.tables = similarity, tuple(tables)
         some = np.flatnonzero(self.n > 0)
         low = self.start[some]
         keys = signatures(self.h, low, self.n[some], low, low + self.n[some], tables)
@@ -213,10 +214,11 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id:
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     for part in range(parts):
         rows = named.filter(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part).collect()
-        known = docs.sparkSession.sparkContext.broadcast(Items([tuple(r) for r in rows], similarity, tables))
+        known = docs.sparkSession.sparkContext.broadcast(vars(Items([tuple(r) for r in rows], similarity, tables)))
 
         def run(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
-            table = known.value
+            table = SimpleNamespace(**known.value)
+            table.tables = Tables(*table.tables)
             for batch in batches:
                 ids = batch.column("doc_id")
                 for i, _, data, at in textvec.slices(batch.column("text"), _SLICE):

@@ -215,12 +215,12 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 def _baum_welch(texts: DataFrame, chain: Chain) -> Chain:
     """One iteration over all ``texts``: expected counts are added up by slot on the cluster."""
-    shared, shapes = texts.sparkSession.sparkContext.broadcast(chain), [p.shape for p in chain]
+    shared, shapes = texts.sparkSession.sparkContext.broadcast(tuple(chain)), [p.shape for p in chain]
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(sum(int(np.prod(s)) for s in shapes))
         for _, _, _, h, first in _text_batches(batches):
-            counts, _ = expected_counts(classes(h), first, shared.value)
+            counts, _ = expected_counts(classes(h), first, Chain(*shared.value))
             total += np.concatenate([p.ravel() for p in counts])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["slot", "n"])
 
@@ -292,10 +292,11 @@ def score(df: DataFrame, model: Model, text: str = "text", held_out: Column | No
     head, known, least = _head(model.counts)
     n, v = int(model.class_tokens.sum()), int(model.class_words.sum())
     own = np.log10(model.class_tokens + model.class_words + 1)
-    shared = spark.sparkContext.broadcast((model.chain, own, head, np.log10(known + 1.0)))
+    shared = spark.sparkContext.broadcast((tuple(model.chain), own, head, np.log10(known + 1.0)))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain, own, head, gain = shared.value
+        chain = Chain(*chain)
         for batch, i, j, h, first in _text_batches(batches):
             c, text_of = classes(h), np.repeat(np.arange(j - i), np.diff(first))
             likelihood = log_likelihood(c, first, chain) / np.log(10) - np.bincount(text_of, weights=own[c], minlength=j - i)

@@ -114,11 +114,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """Adds the probability of the label as a double."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(model))
 
     @F.arrow_udf(T.DoubleType())
     def probability(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = shared.value
+        model = Model(*shared.value)
         known = np.zeros(1 << BITS, dtype=bool)
         known[model.bucket] = True
         for column in batches:
