@@ -26,7 +26,7 @@ def spectrum(signals: np.ndarray, rate_hz: float = TARGET_HZ) -> np.ndarray:
         freq[top],
         np.take_along_axis(share, top[..., None], axis=-1)[..., 0],
         -(share * np.log(share + EPS)).sum(axis=-1) / np.log(len(freq)),
-        share @ freq,
+        (share * freq).sum(axis=-1),
     ]
     columns += [share[..., (freq >= lo) & (freq < hi)].sum(axis=-1) for lo, hi in BANDS]
     return np.stack(columns, axis=-1)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaitframe.operators import joins as J
-from gaitframe.schema import BASE_TIMESTAMP_MS, FALL, SENSORS
+from gaitframe.schema import BASE_TIMESTAMP_MS, FALL, SENSORS, WINDOW_SIZE, WINDOW_STEP
 
 # Name parts that must not occur in a feature name.
 FORBIDDEN_TOKENS = ["time", "timestamp", "subject", "subject_id", "id", "row", "row_id", "index", "segment",
@@ -32,27 +32,27 @@ def split_audit(df: DataFrame) -> DataFrame:
     return left.select("*", right.scalar().alias("recordings_crossing"))
 
 
-def windowing_audit(before: DataFrame, after: DataFrame, rows: DataFrame) -> DataFrame:
-    """Window counts of the two orders of splitting and windowing, and shared samples.
+def windowing_audit(before: DataFrame, after: DataFrame, size: int = WINDOW_SIZE, step: int = WINDOW_STEP) -> DataFrame:
+    """Window counts of the two orders of splitting and windowing, and test windows that share samples with training.
 
-    ``before`` are windows cut inside each part, ``after`` windows cut first and then assigned;
-    both have ``split``. ``rows`` are the samples of ``after`` (recording_id, timestamp, segment,
-    k, split). A sample is in at most a few windows, so its group is small.
+    ``before`` are windows cut inside each part, ``after`` windows cut first and then assigned; both have
+    ``split``. Windows k and k' of a segment share samples when ``|k - k'| * step < size``, so no sample is read.
     """
-    def count(df, part):
-        return df.agg(F.count(F.when(F.col("split") == part, 1))).scalar()
-
-    tests = F.collect_set(F.when(F.col("split") == "test", F.struct("segment", "k")))
-    shared = rows.groupBy("recording_id", "timestamp").agg(
-        F.bool_or(F.col("split") == "train").alias("in_train"), tests.alias("tests"))
-    shared = shared.filter(F.col("in_train") & (F.size("tests") > 0)).select("recording_id", F.explode("tests").alias("w"))
-    leaked = shared.distinct().agg(F.count(F.lit(1)).alias("overlapping_test_windows"))
+    def counts(df, name):
+        return df.agg(*[F.count(F.when(F.col("split") == p, 1)).alias(f"{name}_{p}") for p in ("train", "test")])
+
+    reach = (size - 1) // step
+    near = F.explode(F.array(*[F.col("k") + d for d in range(-reach, reach + 1) if d]))
+    keys = ["recording_id", "segment", "k"]
+    touched = after.filter("split = 'train'").select("recording_id", "segment", near.alias("k")).distinct()
+    leaked = after.filter("split = 'test'").select(*keys).join(touched, keys, "left_semi").agg(F.count(F.lit(1)).alias("overlapping_test_windows"))
     crossing = after.groupBy("recording_id").agg(F.countDistinct("split").alias("n")).agg(
-        F.count(F.when(F.col("n") > 1, 1)))
-    return leaked.select(
-        "overlapping_test_windows", count(before, "train").alias("before_train"), count(before, "test").alias("before_test"),
-        count(after, "train").alias("after_train"), count(after, "test").alias("after_test"),
-        crossing.scalar().alias("recordings_crossing"))
+        F.count(F.when(F.col("n") > 1, 1)).alias("recordings_crossing"))
+    one = F.lit(1)
+    out = leaked.withColumn("_", one)
+    for part in (counts(before, "before"), counts(after, "after"), crossing):
+        out = out.join(part.withColumn("_", one), "_")
+    return out.drop("_")
 
 
 def duplicate_audit(train: DataFrame, test: DataFrame, n: int = 200, threshold: float = 0.01, seed: int = 42) -> DataFrame:

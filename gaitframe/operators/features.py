@@ -101,15 +101,20 @@ def spectral_columns() -> list[Column]:
             for i, (c, s) in enumerate((c, s) for c in SENSORS for s in SPECTRAL)]
 
 
+def named_features(df: DataFrame, values: str) -> DataFrame:
+    """``df`` with the array column ``values`` of :func:`window_features` as 134 named columns; NaN becomes NULL."""
+    kept = [c for c in df.columns if c != values]
+    value = [F.get(values, F.lit(i)) for i in range(len(feature_names()))]
+    return df.select(*kept, *[F.when(~F.isnan(v), v).alias(n) for v, n in zip(value, feature_names(), strict=True)])
+
+
 def extract_features(windows: DataFrame) -> DataFrame:
     """The 134 features of every window beside its other columns (``samples`` excepted).
 
     A constant channel has no skewness, kurtosis or correlation: those are NULL, as all are of a window without samples.
     """
     meta = [c for c in windows.columns if c != "samples"]
-    df = windows.select(*meta, _features_udf(*[F.col(f"samples.{c}") for c in SENSORS]).alias("_features"))
-    value = [F.get("_features", F.lit(i)) for i in range(len(feature_names()))]
-    return df.select(*meta, *[F.when(~F.isnan(v), v).alias(n) for v, n in zip(value, feature_names(), strict=True)])
+    return named_features(windows.select(*meta, _features_udf(*[F.col(f"samples.{c}") for c in SENSORS]).alias("_features")), "_features")
 
 
 def device_metrics() -> list[Column]:

@@ -148,14 +148,17 @@ def permutation_importance(model: PipelineModel, scored: DataFrame, names: Seque
     """Mean drop of the positive class's F1 when one feature is permuted.
 
     All permutations are scored in one job: a row meets its donor of each repeat, and one copy
-    per feature takes that feature from the donor. ``scored`` has ``features`` and ``label``.
+    per feature takes that feature from the donor. A feature in no split of the model can't change a
+    prediction, so it gets no copies and a drop of 0. ``scored`` has ``features`` and ``label``.
     """
+    found = [s.featureImportances for s in model.stages if hasattr(s, "featureImportances")]
+    used = [i for i in range(len(names)) if not found or found[0][i] > 0]
     rows = scored.select(*keys, "label", vector_to_array("features").alias("_x"))
     donors = shuffled_by(rows.withColumnRenamed("_x", "_y"), keys, ["_y"], range(1, repeats + 1))
     both = rows.join(donors, list(keys))
     spot = F.col("_f")
     mixed = F.transform("_x", lambda v, i: F.when(i == spot, F.get("_y", i)).otherwise(v))
-    copies = both.withColumn("_f", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1)))).select(
+    copies = both.withColumn("_f", F.explode(F.array(*map(F.lit, used)).cast("array<int>"))).select(
         "label", "seed", "_f", array_to_vector(mixed).alias("features"))
 
     def fall_f1(df, by):
@@ -163,8 +166,8 @@ def permutation_importance(model: PipelineModel, scored: DataFrame, names: Seque
 
     base = fall_f1(scored, []).scalar()
     drops = fall_f1(copies, ["_f", "seed"]).groupBy("_f").agg((base - F.avg("fall_f1")).alias("fall_perm_importance"))
-    listed = F.array(*[F.lit(n) for n in names])
-    return drops.select(F.get(listed, F.col("_f")).alias("feature"), "fall_perm_importance")
+    listed = scored.sparkSession.createDataFrame(list(enumerate(names)), "_f int, feature string")
+    return listed.join(drops, "_f", "left").select("feature", F.coalesce("fall_perm_importance", F.lit(0.0)).alias("fall_perm_importance"))
 
 
 # Feature groups of the importance narrative, first match wins.

@@ -279,9 +279,7 @@ def parity(df):
 def q13(spark, sf_dir):
     # windows dealt out by parity after windowing, against subjects split before: the first leaks
     labels = materialize(W.label_windows(segments(spark, sf_dir)), "labels")
-    before = G.apply_split(labels, G.group_shuffle(labels, 0.2))
-    rows = W.window_rows(segments(spark, sf_dir)).join(labels.select("recording_id", "segment", "k"), ["recording_id", "segment", "k"])
-    return Q.windowing_audit(before, parity(labels), parity(rows))
+    return Q.windowing_audit(G.apply_split(labels, G.group_shuffle(labels, 0.2)), parity(labels))
 
 
 @query("q14_duplicate_audit", with_ctes(

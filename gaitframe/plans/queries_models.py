@@ -1,4 +1,5 @@
-"""Queries over the models. Spark ML results have no SQL; they are checked for rows."""
+"""Queries over the models. Spark ML results have no SQL; what SQL can state about them (rows scored, probabilities,
+saved against live models, sums of importances) has queries of its own."""
 
 from pyspark.sql import functions as F
 
@@ -120,6 +121,56 @@ def m13(spark, sf_dir):
     return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg("ax").alias("mean_ax"), F.stddev_pop("ax").alias("std_ax"))
 
 
+TEST_ROWS = ("gs", GROUPS[1].replace("FROM sensor", "FROM win"))
+IN_TEST = "FROM win WHERE subject_id IN (SELECT subject_id FROM gs WHERE split = 'test')"
+
+
+@query("m2_probabilities", with_ctes(f"SELECT label, count(*) AS n_rows, count(*) AS n_summing_to_one {IN_TEST} GROUP BY 1", TEST_ROWS))
+def m2_probabilities(spark, sf_dir):
+    _, train, test = parts(spark, sf_dir)
+    total = F.aggregate("probabilities", F.lit(0.0), lambda a, p: a + p)
+    return MO.predict(MO.fit_tree(train, 6), test).groupBy("label").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.abs(total - 1) < 1e-9).alias("n_summing_to_one"))
+
+
+@query("m3_saved_equals_live", with_ctes(f"SELECT label, count(*) AS n_rows, 0 AS n_differing {IN_TEST} GROUP BY 1", TEST_ROWS))
+def m3_saved(spark, sf_dir):
+    _, train, test = parts(spark, sf_dir)
+    model, path, keys = MO.fit_forest(train, trees=20), scratch_path(spark, "model"), ["recording_id", "segment", "k"]
+    MO.save_model(model, path)
+    saved = MO.predict(MO.load_model(path), test).select(*keys, F.col("prediction").alias("saved"))
+    return MO.predict(model, test).join(saved, keys, "left").groupBy("label").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(~F.col("saved").eqNullSafe(F.col("prediction"))).alias("n_differing"))
+
+
+@query("m5_scored_rows", with_ctes(f"SELECT model, label, count(*) AS n_rows FROM (SELECT label, unnest(['logistic', 'depth 3', 'depth 6', 'forest']) AS model {IN_TEST}) GROUP BY 1, 2",
+                                   TEST_ROWS))
+def m5_scored(spark, sf_dir):
+    """Every model labels every test row with a known label."""
+    _, train, test = parts(spark, sf_dir)
+    models = {"logistic": MO.fit_logistic(train), "depth 3": MO.fit_tree(train, 3), "depth 6": MO.fit_tree(train, 6), "forest": MO.fit_forest(train, trees=20)}
+    out = None
+    for name, model in models.items():
+        known = F.col("prediction").isin(MO.label_order(model))
+        rows = MO.predict(model, test).filter(known).groupBy("label").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("model", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("m9_importance_sums", with_ctes("SELECT 134 AS n_features, 1.0 AS total, (SELECT count(DISTINCT label) FROM win) AS n_labels"))
+def m9_sums(spark, sf_dir):
+    _, train, _ = parts(spark, sf_dir)
+    model = MO.fit_forest(train, trees=20)
+    return MO.impurity_importance(model, feature_names(), spark).agg(
+        F.count(F.lit(1)).alias("n_features"), F.round(F.sum("mdi_importance"), 6).alias("total"), F.lit(len(MO.label_order(model))).alias("n_labels"))
+
+
+@query("m13_augmented_rows", with_ctes("SELECT label, count(*) * 100 AS n_rows, 0 AS n_missing FROM win GROUP BY 1"))
+def m13_rows(spark, sf_dir):
+    rows = W.explode_windows(MO.augment_windows(windows(spark, sf_dir)))
+    return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("ax").isNull() | F.isnan("ax")).alias("n_missing"))
+
+
 RULED = (
     *TICKS,
     ("flags", "SELECT *, even_var < 60 AND even_l1 < 6 AS st, even_max < 40 AND even_min > 1 AS ge,"

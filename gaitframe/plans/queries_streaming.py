@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 
 from gaitframe.operators import detector as D
 from gaitframe.operators import features as FE
+from gaitframe.operators import models as MO
+from gaitframe.operators import windows as W
+from gaitframe.plans import experiments as X
 from gaitframe.plans.catalog import query
 from gaitframe.plans.queries_alerts import ALERTS, ANSWERS, detector_sql, detector_ticks
 from gaitframe.plans.queries_models import RULED
@@ -80,6 +83,18 @@ def r3(spark, sf_dir):
     return replay(halves(ticks, "tick_ts"), L.stream_gates, "gates", close="tick_ts").select("device_id", "tick", "still_ticks", "gate", "label")
 
 
+@query("r3_live_model", with_ctes("SELECT recording_id AS device_id, count(*) AS n_ticks, 0 AS n_differing FROM ticks GROUP BY 1", *TICKS))
+def r3_model(spark, sf_dir):
+    """Samples to windows, features and a model's label in one stream; labels that differ from those of the batch are counted."""
+    model = MO.fit_tree(X.holdout(X.feature_vectors(windows(spark, sf_dir)))[0], 6)
+    live = replay(halves(samples(spark, sf_dir)), lambda s: L.classify_ticks(L.stream_ticks(s, features="features_134"), model), "model", close="timestamp")
+    batch = W.inference_ticks(clean_samples(spark, sf_dir), 400, slice_ms=None,
+                              extra=[F.sort_array(F.collect_list(F.struct("at", "timestamp", *SENSORS))).alias("samples")])
+    labels = MO.predict(model, MO.with_vector(FE.extract_features(batch))).select(F.col("recording_id").alias("device_id"), "tick", "prediction")
+    return live.join(labels, ["device_id", "tick"], "full").groupBy("device_id").agg(
+        F.count(F.lit(1)).alias("n_ticks"), F.count_if(~F.col("model_label").eqNullSafe(F.col("prediction"))).alias("n_differing"))
+
+
 @query("r4_stream_confirm", detector_sql("balanced").replace("SELECT recording_id, t AS tick_ts", "SELECT recording_id AS device_id, t AS tick_ts"))
 def r4(spark, sf_dir):
     ticks = detector_ticks(spark, sf_dir).select(F.col("recording_id").alias("device_id"), *D.TICK_COLUMNS)

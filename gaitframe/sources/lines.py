@@ -15,13 +15,24 @@ LINE_ORDER = ["block_start", "line_id"]
 
 
 def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """(file_path, block_start, line_id, value) of every non-empty line."""
-    rows = spark.read.option("recursiveFileLookup", "true").text(path).select(
+    """(file_path, block_start, line_id, value) of every non-empty line. A file that can't be read is skipped
+    from the place where reading fails; :func:`unread_files` lists those of which nothing came."""
+    rows = spark.read.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").text(path).select(
         F.url_decode("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block_start"),
         F.monotonically_increasing_id().alias("line_id"), "value", F.col("_metadata.file_modification_time").alias("modified"))
     return rows.filter(F.length(F.trim("value")) > 0)
 
 
+def unread_files(spark: SparkSession, path: str | Sequence[str], lines: DataFrame) -> DataFrame:
+    """``file_path, reason, n_lines`` of the files with bytes but no line in ``lines`` (of the same path), as
+    :func:`quarantine` has them. Only the listing of the files is read."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter("length > 0").select(
+        F.url_decode(F.col("path")).alias("file_path"))
+    seen = lines.select(F.regexp_replace("file_path", "^file:/+", "/").alias("_seen")).distinct()
+    return listed.join(seen, F.regexp_replace("file_path", "^file:/+", "/") == F.col("_seen"), "left_anti").select(
+        "file_path", F.lit("no readable line").alias("reason"), F.lit(0).cast("long").alias("n_lines"))
+
+
 def file_name(path: Column | str = "file_path") -> Column:
     return F.substring_index(path, "/", -1)
 

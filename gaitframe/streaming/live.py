@@ -11,12 +11,15 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gaitframe.operators import detector as D
+from gaitframe.operators.features import feature_names, named_features, window_features
+from gaitframe.operators.models import predict, with_vector
 from gaitframe.schema import SENSORS, VALID_LABELS, WINDOW_SIZE
 
 WATERMARK = "10 seconds"
@@ -123,8 +126,11 @@ def tick_metrics(block: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def stream_ticks(samples: DataFrame, size: int = WINDOW_SIZE, every_ms: int = 400, sample_ms: int = 20,
-                 device: str = "device_id", ts: str = "timestamp") -> DataFrame:
-    """Metrics of the latest ``size`` samples at every tick; the last samples are kept as state."""
+                 device: str = "device_id", ts: str = "timestamp", features: str | None = None) -> DataFrame:
+    """Metrics of the latest ``size`` samples at every tick; the last samples are kept as state.
+
+    ``features`` names a column for the 134 window features (an array), which :func:`classify_ticks` takes.
+    """
     step = every_ms // sample_ms
     width = len(SENSORS)
 
@@ -140,9 +146,18 @@ def stream_ticks(samples: DataFrame, size: int = WINDOW_SIZE, every_ms: int = 40
             block = np.stack([data[e - first - size + 1:e - first + 1] for e in ends])
             made = pd.DataFrame({device: key[0], "tick": (ends - size + 1) // step, "tick_ts": clock[ends - seen],
                                  **tick_metrics(block)})
+            if features:
+                made[features] = list(window_features(np.ascontiguousarray(block.transpose(0, 2, 1))))
         return (data[-(size - 1):].ravel().tolist(), end), made
 
-    return in_event_order(samples, device, ts, f"{_types(samples, [device])}, {METRICS}", "kept array<double>, seen long", ([], 0), tick)
+    out = f"{_types(samples, [device])}, {METRICS}" + (f", {features} array<double>" if features else "")
+    return in_event_order(samples, device, ts, out, "kept array<double>, seen long", ([], 0), tick)
+
+
+def classify_ticks(ticks: DataFrame, model: PipelineModel, features: str = "features_134") -> DataFrame:
+    """Ticks with the model's label and probabilities, as :func:`stream_gates` takes them (works on streams)."""
+    scored = predict(model, with_vector(named_features(ticks, features))).drop(*feature_names())
+    return scored.withColumnsRenamed({"prediction": "model_label", "probabilities": "model_probs"})
 
 
 def stream_gates(ticks: DataFrame, classes: Sequence[str] = tuple(VALID_LABELS), device: str = "device_id") -> DataFrame:

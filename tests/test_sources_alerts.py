@@ -195,3 +195,15 @@ def test_throttle_counts_from_the_last_emitted_row(spark, slice_ms):
                 last = t
         assert got[k] == want
     assert got["a"] == [0, 120, 260] and L.throttle(df.limit(0)).count() == 0
+
+
+def test_unreadable_file_is_skipped_and_listed(spark, tmp_path):
+    import gzip
+    write(tmp_path / "in" / "good_1.csv", "a,b\n1,2\n3,4\n")
+    (tmp_path / "in" / "bad_1.csv.gz").write_bytes(gzip.compress(b"a,b\n" * 5)[:-12] + b"rubbish rubbish")
+    (tmp_path / "in" / "worse_1.csv.gz").write_bytes(b"not compressed at all")
+    (tmp_path / "in" / "empty_1.csv").write_bytes(b"")
+    lines = T.read_lines(spark, str(tmp_path / "in"))
+    assert [r.value for r in lines.filter(lines.file_path.contains("good")).orderBy("line_id").collect()] == ["a,b", "1,2", "3,4"]
+    lost = T.unread_files(spark, str(tmp_path / "in"), lines).collect()
+    assert "worse_1.csv.gz" in {r.file_path.rpartition("/")[2] for r in lost} and not {"good_1.csv", "empty_1.csv"} & {r.file_path.rpartition("/")[2] for r in lost}
