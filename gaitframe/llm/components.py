@@ -11,8 +11,9 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Alternates the large star (neighbours above a node are tied to the smallest one around it) and the
     small star (the same below) until nothing changes, a logarithmic number of rounds in practice. A round
-    is a combined minimum and a join that Spark may split by skew, so a hub with any number of links is
-    never one group; every round is a written table, so a lost executor repeats one round at most.
+    is a combined minimum and a join that Spark may split by skew (the minima are written first, as a join that
+    shares a stage with a grouping can't be split), so a hub with any number of links is never one group; every
+    round is a written table, so a lost executor repeats one round at most.
     Nulls and self links are ignored; an empty table gives an empty one. Runs jobs.
     """
     x, y = F.col(a).cast("long"), F.col(b).cast("long")
@@ -26,9 +27,9 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
                 edges.select("v", "v").distinct())
         before = tuple(now)
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialize(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "least")
+        large = materialize(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "links")
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(
             F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         edges = materialize(small.select("e.u", "e.v").filter("u != v").distinct(), "links")

@@ -232,7 +232,7 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s
     parts = connected_components(links.select(node("a").alias("a"), node("b").alias("b")))
     fps = fps.withColumn("of", node("f"))
     named = fps.join(parts, fps["of"] == parts["node"], "left").select(*words, "first", F.coalesce("component", "of").alias("component"))
-    smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    smallest = materialize(named.groupBy("component").agg(F.min("first").alias("component_id")), "smallest")
     return docs.join(named.join(smallest, "component").select(*words, "component_id"), words).select(
         "doc_id", F.array(*words).alias("fingerprint"), "component_id")
 
