@@ -188,7 +188,7 @@ def similar_vectors(df: DataFrame, cosine: float = 0.9, vector: str = "embedding
     degree = counted.filter("n > 0").groupBy("key").agg(F.sum("n").alias("n"))
     parts = connected_components(counted.filter("other IS NOT NULL").select(F.col("key").alias("a"), F.col("other").alias("b")))
     named = distinct.join(parts, distinct["key"] == parts["node"], "left").select("v", "key", "id", "copies", F.coalesce("component", "key").alias("component"))
-    first = named.groupBy("component").agg(F.min("id").alias("component_id"))
+    first = materialize(named.groupBy("component").agg(F.min("id").alias("component_id")), "smallest")
     known = named.join(first, "component").join(degree, "key", "left").select(
         "v", "component_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     ids = F.when(F.col("v").isNull(), F.col("id")).otherwise(F.col("component_id"))
