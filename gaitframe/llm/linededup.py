@@ -154,7 +154,8 @@ def repeated_positions(df: DataFrame, text: str, doc_id: str, gram_words: int, m
                       F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("text")).filter("text != ''")
     places = materialize(keyed.mapInArrow(_positions(gram_words, min_words), "key long, doc long, mark long, line int"), "line-places")
     first = places.groupBy("key").agg(F.min(F.struct("doc", "mark", "line")).alias("first"), F.max(F.struct("doc", "mark", "line")).alias("last"))
-    later = places.join(first.filter("first != last").select("key", "first"), "key").filter(F.struct("doc", "mark", "line") != F.col("first"))
+    first = materialize(first.filter("first != last").select("key", "first"), "first-places")
+    later = places.join(first, "key").filter(F.struct("doc", "mark", "line") != F.col("first"))
     gram = F.col("key").bitwiseAND(F.lit(1)) == 0
     return later.groupBy("doc", "mark").agg(F.collect_list(F.when(gram, F.col("line"))).alias("grams"),
                                             F.collect_list(F.when(~gram, F.col("line"))).alias("pairs")).filter("size(grams) > 0")
