@@ -11,7 +11,6 @@ the table is an error. Pieces of any length are folded in O(n log n). Other colu
 
 import base64
 import heapq
-import json
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -125,33 +124,34 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str =
     return df.withColumn(out, F.array_join(piece, "").cast("binary"))
 
 
-def fold_expression(piece: Column, ranks: dict[bytes, int], buckets: int = 4096) -> Column:
-    """The fold as a higher-order expression: ids of a piece by merges over its array of hex bytes.
+def fold_expression(piece: Column, ranks: dict[bytes, int], buckets: int = 8192) -> Column:
+    """The fold as a higher-order expression: ids of a binary piece by merges over its array of hex bytes.
 
-    The rank map is a literal array of small maps, so that a look-up reads about ten entries.
+    The rank map is a pair of literal arrays with an equal number of slots for each hash bucket, so that a look-up
+    reads one short slice (a literal map of this size would be searched from its start).
     """
-    tables: list[dict[str, int]] = [{} for _ in range(buckets)]
+    rows: list[list[tuple[str, int]]] = [[] for _ in range(buckets)]
     for p, r in ranks.items():
-        tables[_bucket(p.hex(), buckets)][p.hex().upper()] = r
-    table = F.from_json(F.lit(json.dumps(tables)), "array<map<string,int>>")
+        text = p.hex().upper()
+        rows[zlib.crc32(text.encode()) % buckets].append((text, r))
+    slots = max(map(len, rows))
+    keys = F.split(F.lit(",".join(",".join([t for t, _ in row] + ["-"] * (slots - len(row))) for row in rows)), ",")
+    values = F.split(F.lit(",".join(",".join([str(r) for _, r in row] + ["0"] * (slots - len(row))) for row in rows)), ",").cast("array<int>")
 
     def rank(p: Column) -> Column:
-        return F.try_element_at(F.get(table, F.pmod(F.crc32(p), F.lit(buckets)).cast("int")), p)
+        start = (F.pmod(F.crc32(p.cast("binary")), F.lit(buckets)) * slots).cast("int")
+        place = F.array_position(F.slice(keys, start + 1, slots), p).cast("int")
+        return F.when(place > 0, F.get(values, start + place - 1))
 
     text = F.hex(piece)
     letters = F.transform(F.sequence(F.lit(1), F.octet_length(piece)), lambda i: F.substring(text, i * 2 - 1, F.lit(2)))
 
     def merge(parts: Column, _: Column) -> Column:
-        ranked = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.struct(
+        ranked = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.struct(
             rank(F.concat(F.get(parts, i - 1), F.get(parts, i))).alias("r"), i.alias("i")))
         best = F.array_min(F.filter(ranked, lambda x: x["r"].isNotNull()))
-        joined = F.concat(F.slice(parts, 1, best["i"] - 1),
-                          F.array(F.concat(F.get(parts, best["i"] - 1), F.get(parts, best["i"]))),
-                          F.slice(parts, best["i"] + 2, F.size(parts)))
-        return F.when((F.size(parts) > 1) & best.isNotNull(), joined).otherwise(parts)
+        joined = F.transform(F.array(best), lambda b: F.concat(
+            F.slice(parts, 1, b["i"] - 1), F.array(F.concat(F.get(parts, b["i"] - 1), F.get(parts, b["i"]))), F.slice(parts, b["i"] + 2, F.size(parts))))[0]
+        return F.coalesce(joined, parts)
 
     return F.transform(F.aggregate(F.sequence(F.lit(1), F.size(letters)), letters, merge), rank)
-
-
-def _bucket(hex_piece: str, buckets: int) -> int:
-    return zlib.crc32(hex_piece.upper().encode()) % buckets
