@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 
 from gaitframe.session import materialize
 
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
 
 
 def _ranked(df: DataFrame, keys: list[str], buckets: int, out: str) -> DataFrame:

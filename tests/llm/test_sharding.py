@@ -33,7 +33,7 @@ def spread(rows, got):
     return {t: len(c) for t, c in used.items() if sum(c.values()) > 1}
 
 
-@pytest.mark.parametrize("bucket_rows", [20_000, 50])
+@pytest.mark.parametrize("bucket_rows", [4_000, 50])
 def test_groups_come_together(spark, monkeypatch, bucket_rows):
     monkeypatch.setattr(sharding, "BUCKET_ROWS", bucket_rows)
     rng = random.Random(1)
