@@ -4,9 +4,9 @@ Method (deletion variants). A fingerprint is cut into segments so few that one o
 one bit (``max_bits // 2 + 1``). Every bit of a segment is wildcarded in turn; equal variants meet in one
 sorted run and are verified by the whole distance. A pair is emitted only by the first variant it shares.
 
-Sixty-four bits linked at four find copies with a word or two changed. For a similarity of 0.8 of the shingle
-sets a fingerprint of 128 bits linked at 22 is used (``SIMILAR``): about a seventh of the bits differ at that
-similarity, so eight segments hold one that differs by at most a bit in 93 of 100 such pairs, more above it.
+Sixty-four bits linked at four find copies with a word or two changed. Differing bits do not tell a similarity of
+0.8 of the shingle sets from one of 0.7, so with ``similarity`` (``SIMILAR``) documents are linked by the exact
+Jaccard similarity of their sets, and the candidates come from MinHash bands: see :mod:`gaitframe.llm.similar`.
 
 Scale. Equal texts are one fingerprint from the start, so a group of copies is one row. Runs of up to
 ``RUN`` fingerprints are compared in arrays and emit a spanning set of links, never all pairs. A longer run
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gaitframe.llm import similar
 from gaitframe.llm.components import connected_components
 from gaitframe.llm.textvec import mix
 from gaitframe.session import materialize
@@ -35,28 +36,40 @@ WORD = 64
 RUN = 4096
 SHORT = 32
 DENSE = 512
-#: Fingerprint, segments and distance for pairs with a shingle similarity of 0.8 or more.
-SIMILAR = {"shingle": 5, "bits": 128, "segments": 8, "max_bits": 22}
+#: Pairs with a similarity of 0.8 or more of their five-word shingle sets.
+SIMILAR = {"shingle": 5, "bits": 128, "similarity": 0.8}
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _BLOCK = 1 << 15
 
 
-def fingerprint(text: str | None, shingle: int = 4, bits: int = WORD) -> list[int]:
-    """Majority bits over all word shingles, as signed longs: first those of the XXH64 (seed 42), then those
-    of mixtures of it where more than 64 bits are asked for."""
+def shingle_hashes(text: str | None, shingle: int = 4) -> np.ndarray:
+    """XXH64 (seed 42) of every word shingle, in order and with repeats."""
     tokens = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not tokens:
-        return [0] * (bits // WORD)
+        return np.zeros(0, np.uint64)
     joined, hashed = b" ".join(tokens), xxhash.xxh64_intdigest
     size = np.fromiter(map(len, tokens), np.int64, len(tokens))
     end, k = np.cumsum(size + 1) - 1, min(shingle, len(tokens))
     start, stop = (end - size).tolist(), end[k - 1:].tolist()
+    return np.fromiter((hashed(joined[s:e], 42) for s, e in zip(start, stop, strict=False)), np.uint64, len(stop))
+
+
+def majority(hashes: np.ndarray, bits: int = WORD) -> list[int]:
+    """Majority bits over all hashes, as signed longs: first those of the hashes, then those of mixtures of them
+    where more than 64 bits are asked for."""
+    if not len(hashes):
+        return [0] * (bits // WORD)
     counts = np.zeros(bits, np.int64)
-    for i in range(0, len(stop), _BLOCK):
-        h = np.array([hashed(joined[s:e], 42) for s, e in zip(start[i:i + _BLOCK], stop[i:i + _BLOCK], strict=False)], np.uint64)
+    for i in range(0, len(hashes), _BLOCK):
+        h = hashes[i:i + _BLOCK]
         wide = np.stack([h] + [mix(h + np.uint64(j)) for j in range(1, bits // WORD)], axis=1)
         counts += np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(counts * 2 > len(stop), bitorder="little").view(np.int64).tolist()
+    return np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.int64).tolist()
+
+
+def fingerprint(text: str | None, shingle: int = 4, bits: int = WORD) -> list[int]:
+    """Majority bits over all word shingles."""
+    return majority(shingle_hashes(text, shingle), bits)
 
 
 def fingerprints(df: DataFrame, text: str = "text", out: str = "fingerprint", shingle: int = 4, bits: int = WORD) -> DataFrame:
@@ -214,11 +227,14 @@ def fingerprint_links(fps: DataFrame, max_bits: int = 4, bits: int = WORD, segme
 
 
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 4, max_bits: int = 4,
-                    bits: int = WORD, segments: int | None = None) -> DataFrame:
+                    bits: int = WORD, segments: int | None = None, similarity: float | None = None) -> DataFrame:
     """``doc_id, fingerprint, component_id`` per document; the component is named by its smallest id.
 
+    With ``similarity`` documents are linked where their shingle sets are as similar, whatever their fingerprints.
     Runs jobs (fingerprints and links are written tables).
     """
+    if similarity is not None:
+        return _similar_documents(df, text, doc_id, shingle, bits, similarity)
     k = bits // WORD
     words = [f"f{i}" for i in range(k)]
     made = fingerprints(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "text", "f", shingle, bits)
@@ -237,6 +253,45 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s
         "doc_id", F.array(*words).alias("fingerprint"), "component_id")
 
 
+def _similar_documents(df: DataFrame, text: str, doc_id: str, shingle: int, bits: int, similarity: float) -> DataFrame:
+    k = bits // WORD
+    words = [f"f{i}" for i in range(k)]
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints, nodes, bands = [], [], []
+            for t in batch.column("text"):
+                h = shingle_hashes(t.as_py(), shingle)
+                own = np.unique(h)
+                prints.append(majority(h, bits))
+                nodes.append(similar.digest(own))
+                bands.append(similar.bands(own))
+            columns = np.array(prints, np.int64).reshape(-1, k)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("t"), *(pa.array(np.ascontiguousarray(columns[:, i])) for i in range(k)), pa.array(nodes, pa.int64()),
+                 pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "t", *words, "node", "bands"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([pa.array([similar.digest(h) for h in own], pa.int64()),
+                                              pa.array([h.view(np.int64) for h in own], pa.list_(pa.int64()))], ["node", "held"])
+
+    texts = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("t", F.xxhash64("text"))
+    docs = materialize(texts.mapInArrow(sketch, f"doc_id long, t long, {', '.join(f'{w} long' for w in words)}, node long, bands array<long>"), "sketches")
+    met = similar.shared_bands(docs)
+    # One text of each set that shares a band with another.
+    wanted = materialize(docs.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("t").alias("t")), "wanted")
+    found = materialize(texts.select("t", "text").join(wanted.select("t"), "t", "left_semi"), "texts")
+    held = materialize(found.groupBy("t").agg(F.min("text").alias("text")).select("text").mapInArrow(sets, "node long, held array<long>"), "sets")
+    parts = connected_components(similar.verified_links(met, held, similarity))
+    firsts = materialize(docs.groupBy("node").agg(F.min("doc_id").alias("first")), "firsts")
+    named = materialize(firsts.join(parts, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component")), "named")
+    smallest = materialize(named.groupBy("component").agg(F.min("first").alias("component_id")), "smallest")
+    of = materialize(named.join(smallest, "component").select("node", "component_id"), "components")
+    return docs.join(of, "node").select("doc_id", F.array(*words).alias("fingerprint"), "component_id")
+
+
 def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """``docs`` with one document of each near-duplicate group, the one with the smallest id.
 
