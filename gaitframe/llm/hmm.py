@@ -5,10 +5,9 @@ classes, and one for the end of a text), and a class emits its words by their tr
 one count left over for all unknown words. So P(text) = P(classes | chain) * prod P(word | class), exact by
 the scaled forward recursion; it sums to one over texts up to hash collisions of 64-bit word keys.
 
-Training. Word counts are summed by Spark over the whole training part; Baum-Welch first runs on a bounded
-sample (``sample`` texts, to leave the symmetric start) and then ``iterations`` times over all training texts:
-each task sums expected counts of its texts, Spark adds them by slot, the driver normalises some
-``states * CLASSES`` numbers.
+Training. Word counts are summed by Spark over the whole training part; every Baum-Welch round runs over all words
+of all training texts, from random emissions: each task sums expected counts of its texts, Spark adds them by
+slot, the driver normalises some ``states * CLASSES`` numbers.
 
 Scoring. Counts of the ``HEAD`` commonest words (a fixed number) are broadcast; rarer words of a text are
 joined with the count table by hash, so nothing that grows with the vocabulary leaves the cluster, and no
@@ -231,30 +230,12 @@ def _baum_welch(texts: DataFrame, chain: Chain) -> Chain:
     return maximise(Chain(*(p.reshape(s) for p, s in zip(np.split(flat, cut), shapes, strict=True))))
 
 
-def _start(texts: DataFrame, states: int, sample: int, rounds: int) -> Chain:
-    """Baum-Welch over about ``sample`` different texts, in one task (2,000 words of each at most there)."""
-    n = max(1, texts.count())
-    some = texts.filter(F.pmod(F.xxhash64("row"), F.lit(1_000_003)) < int(min(1.0, sample / n) * 1_000_003)) if n > sample else texts
-
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
-        for _, _, _, h, first in _text_batches(batches):
-            parts += [classes(h[a:min(b, a + 2000)]) for a, b in zip(first[:-1], first[1:], strict=True)]
-        chain = random_chain(states)
-        if parts:
-            c, first = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-            for _ in range(rounds):
-                chain = maximise(expected_counts(c, first, chain)[0])
-        yield pa.RecordBatch.from_arrays([pa.array([p.ravel().tolist()]) for p in chain], list(Chain._fields))
-
-    made = some.dropDuplicates(["row"]).repartition(1).sortWithinPartitions("row").select("text").mapInArrow(
-        learn, ", ".join(f"{p} array<double>" for p in Chain._fields)).first()
-    fresh = random_chain(states)
-    return fresh if made is None else Chain(*(np.array(made[p]).reshape(getattr(fresh, p).shape) for p in Chain._fields))
-
-
 def train(df: DataFrame, states: int = 6, iterations: int = 2, sample: int = 1_500, sample_rounds: int = 20, text: str = "text") -> Model:
-    """Fits on every row of ``df`` (runs jobs; the count table is a written table)."""
+    """Fits on every row of ``df`` (runs jobs; the count table is a written table).
+
+    There are ``sample_rounds + iterations`` rounds, all over the whole of ``df``; nothing is sampled, and ``sample``
+    is taken for the sake of callers only.
+    """
     texts = df.select(F.xxhash64(text).alias("row"), F.col(text).alias("text"))
     counts = materialize(word_counts(texts), "words")
     ends = F.col("h") == int(END)
@@ -262,8 +243,8 @@ def train(df: DataFrame, states: int = 6, iterations: int = 2, sample: int = 1_5
     n, v = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
     for r in counts.groupBy(of.alias("k")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect():
         n[r.k], v[r.k] = r.n, r.v
-    chain = _start(texts, states, sample, sample_rounds)
-    for _ in range(iterations if n.sum() else 0):
+    chain = random_chain(states)
+    for _ in range(sample_rounds + iterations if n.sum() else 0):
         chain = _baum_welch(texts, chain)
     return Model(chain, n, v, counts)
 

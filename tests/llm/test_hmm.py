@@ -135,3 +135,15 @@ def test_empty(spark):
     some = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     rows = hmm.score(some, hmm.train(none)).collect()
     assert all(r.n_known == 0 and r.base_score == 0 and r.score <= 0 and r.train_tokens == 0 for r in rows)
+
+
+def test_every_round_sees_all_words_of_all_texts(spark):
+    """The chain is that of plain Baum-Welch over everything, whatever ``sample``; tails and other texts count."""
+    rows = [(i, f"head{i % 3} " * 2100 + f"tail{i % 5} " * 300) for i in range(6)] + [(10 + i, f"x{i} y{i % 7} z") for i in range(60)]
+    model = hmm.train(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), states=2, iterations=2, sample=3, sample_rounds=4)
+    raw = [t.encode() for _, t in rows]
+    h, first = hmm.tokens(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    want = hmm.random_chain(2)
+    for _ in range(6):
+        want = hmm.maximise(hmm.expected_counts(hmm.classes(h), first, want)[0])
+    assert all(np.allclose(g, w, rtol=1e-6) for g, w in zip(model.chain, want, strict=True))
