@@ -6,18 +6,66 @@ are looked up by name. A file of any size is read in splits: the order of its li
 (offset of the split, running id inside it).
 """
 
+import re
+import warnings
 from collections.abc import Callable, Sequence
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LINE_ORDER = ["block_start", "line_id"]
 
 
+_COMPRESSED = r"\.(gz|gzip|bz2|zst|lz4|snappy|deflate)$"
+#: Where a decoder fails on its bytes; a failure of the disk or the network has its first frame elsewhere and is raised.
+_DECODERS = ("at org.apache.hadoop.io.compress.", "at java.util.zip.", "at java.base/java.util.zip.")
+
+
+class UnreadableFile(UserWarning):
+    """A file that can't be decoded and is skipped whole: ``path`` and ``reason``."""
+
+    def __init__(self, path: str, reason: str):
+        super().__init__(f"skipping {path}: {reason}")
+        self.path, self.reason = path, reason
+
+
+def _escaped(path: str) -> str:
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
+
+
+def _undecodable(spark: SparkSession, files: list[str]) -> dict[str, str]:
+    """Those of ``files`` that can't be decoded to the end, and why; halved until each stands alone (runs jobs)."""
+    if not files:
+        return {}
+    try:
+        spark.read.option("ignoreCorruptFiles", "false").text([_escaped(f) for f in files]).agg(F.count("value")).collect()
+    except (Py4JJavaError, PySparkException) as problem:
+        reason, _, frames = str(problem).rpartition("Caused by: ")[2].partition("\n")
+        if not frames.lstrip().startswith(_DECODERS):
+            raise
+        if len(files) == 1:
+            return {files[0]: reason}
+        half = len(files) // 2
+        return _undecodable(spark, files[:half]) | _undecodable(spark, files[half:])
+    return {}
+
+
 def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """(file_path, block_start, line_id, value) of every non-empty line. A file that can't be read is skipped
-    from the place where reading fails; :func:`unread_files` lists those of which nothing came."""
-    rows = spark.read.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").text(path).select(
+    """(file_path, block_start, line_id, value) of every non-empty line.
+
+    Compressed files are decoded once before (a job; other bytes are always text). One that can't be decoded to its
+    end is skipped whole with an :class:`UnreadableFile` warning, and :func:`unread_files` lists it. Every other
+    failure of reading, then or later, fails the job: no line is lost in silence.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    bad = _undecodable(spark, sorted(r.path for r in listed.filter(F.col("path").rlike(_COMPRESSED)).collect()))
+    for file, reason in bad.items():
+        warnings.warn(UnreadableFile(file, reason), stacklevel=2)
+    good = [_escaped(r.path) for r in listed.collect() if r.path not in bad] if bad else path
+    found = spark.read.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "false").text(good or path)
+    rows = (found if good else found.filter(F.lit(False))).select(
         F.url_decode("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block_start"),
         F.monotonically_increasing_id().alias("line_id"), "value", F.col("_metadata.file_modification_time").alias("modified"))
     return rows.filter(F.length(F.trim("value")) > 0)

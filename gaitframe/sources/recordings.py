@@ -1,5 +1,6 @@
 """Readers of the recording formats. ``read_*`` opens files, ``*_rows`` parses their lines."""
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -207,13 +208,19 @@ def read_unimib(spark: SparkSession, path: str) -> DataFrame:
 def harmonize(sources: dict[str, DataFrame | Callable[[], DataFrame]]) -> tuple[DataFrame, dict[str, str]]:
     """One canonical frame from the sources that are there, and why the others are not.
 
-    A source given as a function is opened here; a missing path is listed, not raised. With no
-    source left it is an error.
+    A source given as a function is opened here; a missing path is listed, not raised, and so is every
+    file of it that can't be decoded. With no source left it is an error.
     """
     merged, skipped = None, {}
     for name, source in sources.items():
         try:
-            df = source() if callable(source) else source
+            with warnings.catch_warnings(record=True) as said:
+                warnings.simplefilter("always", L.UnreadableFile)
+                df = source() if callable(source) else source
+            for w in said:
+                if isinstance(w.message, L.UnreadableFile):
+                    skipped[w.message.path] = f"{name}: {w.message.reason}"
+                warnings.warn(w.message, stacklevel=2)
             df = K.coerce_numeric(K.coerce_numeric(K.conform(df), SENSORS), ["timestamp"], "long")
         except (AnalysisException, OSError, ValueError) as problem:
             skipped[name] = str(problem).splitlines()[0]

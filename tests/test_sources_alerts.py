@@ -207,3 +207,30 @@ def test_unreadable_file_is_skipped_and_listed(spark, tmp_path):
     assert [r.value for r in lines.filter(lines.file_path.contains("good")).orderBy("line_id").collect()] == ["a,b", "1,2", "3,4"]
     lost = T.unread_files(spark, str(tmp_path / "in"), lines).collect()
     assert "worse_1.csv.gz" in {r.file_path.rpartition("/")[2] for r in lost} and not {"good_1.csv", "empty_1.csv"} & {r.file_path.rpartition("/")[2] for r in lost}
+
+
+def test_file_with_a_broken_tail_is_skipped_whole_and_listed(spark, tmp_path):
+    import gzip
+    import random
+    rng, head = random.Random(1), "timestamp,ax,ay,az,gx,gy,gz,label\n"
+    body = head + "".join(f"{20 * i},{rng.random()},1,9,0,0,0,walking\n" for i in range(60_000))
+    (tmp_path / "s01_cut.csv.gz").write_bytes(gzip.compress(body.encode())[:-2000])
+    (tmp_path / "s02_whole.csv.gz").write_bytes(gzip.compress(f"{head}0,1,2,9,0,0,0,walking\n".encode()))
+    write(tmp_path / "s03_plain.csv", f"{head}0,1,2,9,0,0,0,walking\n")
+    with pytest.warns(T.UnreadableFile, match="s01_cut"):
+        lines = T.read_lines(spark, str(tmp_path))
+    assert {(r.file_path.rpartition("/")[2], r.n) for r in lines.groupBy("file_path").agg(F.count("*").alias("n")).collect()} == {
+        ("s02_whole.csv.gz", 2), ("s03_plain.csv", 2)}
+    assert [r.file_path.rpartition("/")[2] for r in T.unread_files(spark, str(tmp_path), lines).collect()] == ["s01_cut.csv.gz"]
+    with pytest.warns(T.UnreadableFile):
+        rows, skipped = R.harmonize({"own": lambda: R.own_rows(T.read_lines(spark, str(tmp_path)))})
+    assert [k.rpartition("/")[2] for k in skipped] == ["s01_cut.csv.gz"] and rows.count() == 2
+    with pytest.warns(T.UnreadableFile):
+        assert T.read_lines(spark, str(tmp_path / "s01_cut.csv.gz")).count() == 0
+
+
+def test_other_read_failures_are_raised(spark, tmp_path, monkeypatch):
+    (tmp_path / "s01.csv.gz").write_bytes(b"not compressed at all")
+    monkeypatch.setattr(T, "_DECODERS", ("at java.net.",))
+    with pytest.raises(Exception, match="FAILED_READ_FILE"):
+        T.read_lines(spark, str(tmp_path))
