@@ -4,7 +4,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaitframe.llm import bpe, decontaminate, embeddings, hmm, linededup, quality, sharding, simhash, toxicity, warc
+from gaitframe.llm import (
+    bpe, decontaminate, embeddings, hmm, licenses, linededup, negatives, quality, ranked, sharding, simhash, toxicity, warc)
 from gaitframe.llm.labels import fold
 from gaitframe.session import scratch_path
 
@@ -105,3 +106,75 @@ def op10_bpe(spark, sf_dir):
     return bpe.decode(coded.drop("text"), ranks).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_TERMS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
+
+
+@query("op11_hard_negatives", """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda e: floor(256 * e::DOUBLE)) AS x
+           FROM embeddings WHERE label IS NOT NULL AND vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score
+      FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other)::INT AS rank,
+       other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other) <= 10
+""")
+def op11_hard_negatives(spark, sf_dir):
+    """Negatives of every hundredth vector; every seventh label is moved on by one first."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+@query("op12_ranked_search", f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, {_TERMS} AS terms FROM documents),
+c AS (SELECT count(*) AS big_n, sum(len(terms))::BIGINT AS big_l FROM d WHERE len(terms) > 0),
+tf AS (SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(terms) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(big_n) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, c GROUP BY term),
+i AS (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark),
+m AS (SELECT k, doc_id, 100 - 25 + (25 * len(terms) * big_n) // big_l AS m FROM d, c),
+s AS (SELECT item_id, k, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+      FROM i JOIN w USING (term) JOIN tf USING (term) JOIN m USING (k) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 20
+""")
+def op12_ranked_search(spark, sf_dir):
+    return ranked.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top=20)
+
+
+def _license_sql(gram: int = 3, similarity: float = 0.8) -> str:
+    """The same scan in SQL, from the list of the templates' runs."""
+    runs = licenses.template_grams(licenses.NOTICES, licenses.PHRASES, gram)
+    values = ", ".join(f"({t}, '{label}', {phrase}, {n}, {size}, {j}, '{run}')" for t, label, phrase, n, size, j, _, run in runs)
+    covered = "len(list_distinct(flatten(list_transform({0}, lambda p: range(p, p + size)))))"
+    return f"""
+WITH t(template, label, phrase, n, size, j, run) AS (VALUES {values}),
+d AS (SELECT row_number() OVER () AS k, doc_id, {_TERMS} AS w FROM documents),
+g AS (SELECT k, size, i, array_to_string(w[i + 1:i + size], ' ') AS run
+      FROM (SELECT k, w, size, unnest(range(len(w) - size + 1)) AS i FROM d, (SELECT DISTINCT size FROM t))),
+diag AS (SELECT k, template, label, phrase, n, size, i - j AS diagonal, list(i) AS i, list(j) AS j FROM g JOIN t USING (size, run) GROUP BY ALL),
+based AS (SELECT *, phrase AND len(i) = n - size + 1 AS base, floor(diagonal / greatest(2, n // 5))::INT AS win FROM diag),
+near AS (SELECT k, label, n, size, false AS base, flatten(list(i)) AS i, flatten(list(j)) AS j
+         FROM (SELECT *, unnest([win - 1, win]) AS side FROM based) GROUP BY k, template, label, n, size, side),
+spans AS (SELECT k, label, base, list_min(i) AS first,
+                 least({covered.format('i')}, {covered.format('j')}) / greatest(n, list_max(i) - list_min(i) + size) AS similarity
+          FROM (SELECT k, label, n, size, base, i, j FROM based UNION ALL SELECT * FROM near)),
+known AS (SELECT k, count(*) FILTER (base) AS n_base, min(first) FILTER (base) AS first_word, max(first) FILTER (base) AS last_word,
+                 string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
+                 string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base OR similarity >= {similarity}) AS labels, max(similarity) AS score
+          FROM spans GROUP BY k)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN known USING (k)
+"""
+
+
+@query("op13_license_scan", _license_sql())
+def op13_license_scan(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), gram=3, similarity=0.8).drop("spans")

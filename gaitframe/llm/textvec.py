@@ -1,7 +1,7 @@
 """Text columns as numpy arrays: word spans and word hashes of whole Arrow batches, without per-word Python.
 
-Words are ``[^\\x20\\x09-\\x0D]+`` over UTF-8 bytes with A-Z lower-cased, as everywhere in this subpackage.
-Null texts are empty.
+Words are ``[^\\x20\\x09-\\x0D]+`` over UTF-8 bytes with A-Z lower-cased, or with ``blank=NO_TERM`` the runs of
+letters, digits and characters beyond ASCII. Null texts are empty.
 """
 
 from collections.abc import Iterator
@@ -15,6 +15,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+NO_TERM = np.ones(256, dtype=bool)
+NO_TERM[[*range(48, 58), *range(97, 123), *range(128, 256)]] = False
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -53,12 +55,12 @@ def slices(column: pa.Array, limit: int = BATCH_BYTES) -> Iterator[tuple[int, in
         i = j
 
 
-def words(data: np.ndarray, at: np.ndarray) -> Words:
+def words(data: np.ndarray, at: np.ndarray, blank: np.ndarray = SPACE) -> Words:
     n = len(data)
     if not n:
         return Words(data, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(at), np.int64))
     data = LOWER[data]
-    inside = ~SPACE[data]
+    inside = ~blank[data]
     edge = np.zeros(n + 1, dtype=bool)
     edge[at] = True
     opens = inside.copy()
@@ -119,3 +121,8 @@ def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     for i in range(n):
         out = mix(out * np.uint64(0x100000001B3) + h[i:i + size])
     return out
+
+
+def slots(h: np.ndarray, bits: int) -> np.ndarray:
+    """Place of each hash in a table of ``2 ** bits`` marks."""
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
