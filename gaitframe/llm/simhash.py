@@ -37,7 +37,7 @@ RUN = 4096
 SHORT = 32
 DENSE = 512
 #: Pairs with a similarity of 0.8 or more of their five-word shingle sets.
-SIMILAR = {"shingle": 5, "bits": 128, "similarity": 0.8}
+SIMILAR = {"shingle": 5, "similarity": 0.8}
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _BLOCK = 1 << 15
 
@@ -230,11 +230,11 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s
                     bits: int = WORD, segments: int | None = None, similarity: float | None = None) -> DataFrame:
     """``doc_id, fingerprint, component_id`` per document; the component is named by its smallest id.
 
-    With ``similarity`` documents are linked where their shingle sets are as similar, whatever their fingerprints.
-    Runs jobs (fingerprints and links are written tables).
+    With ``similarity`` documents are linked where their shingle sets are as similar; no fingerprints are made then and
+    the columns are ``doc_id, component_id``. Runs jobs (fingerprints and links are written tables).
     """
     if similarity is not None:
-        return _similar_documents(df, text, doc_id, shingle, bits, similarity)
+        return _similar_documents(df, text, doc_id, shingle, similarity)
     k = bits // WORD
     words = [f"f{i}" for i in range(k)]
     made = fingerprints(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "text", "f", shingle, bits)
@@ -253,43 +253,37 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s
         "doc_id", F.array(*words).alias("fingerprint"), "component_id")
 
 
-def _similar_documents(df: DataFrame, text: str, doc_id: str, shingle: int, bits: int, similarity: float) -> DataFrame:
-    k = bits // WORD
-    words = [f"f{i}" for i in range(k)]
-
+def _similar_documents(df: DataFrame, text: str, doc_id: str, shingle: int, similarity: float) -> DataFrame:
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, nodes, bands = [], [], []
-            for t in batch.column("text"):
-                h = shingle_hashes(t.as_py(), shingle)
-                own = np.unique(h)
-                prints.append(majority(h, bits))
-                nodes.append(similar.digest(own))
-                bands.append(similar.bands(own))
-            columns = np.array(prints, np.int64).reshape(-1, k)
+            sets = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("t"), *(pa.array(np.ascontiguousarray(columns[:, i])) for i in range(k)), pa.array(nodes, pa.int64()),
-                 pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "t", *words, "node", "bands"])
+                [batch.column("doc_id"), batch.column("t"), pa.array([similar.digest(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int64()),
+                 pa.array([similar.strata(h) for h in sets], pa.binary()), pa.array([similar.bands(h) for h in sets], pa.list_(pa.int64()))],
+                ["doc_id", "t", "node", "n", "strata", "bands"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array([similar.digest(h) for h in own], pa.int64()),
-                                              pa.array([h.view(np.int64) for h in own], pa.list_(pa.int64()))], ["node", "held"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([np.sort(h.view(np.int64)) for h in own], pa.list_(pa.int64()))], ["node", "held"])
 
     texts = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("t", F.xxhash64("text"))
-    docs = materialize(texts.mapInArrow(sketch, f"doc_id long, t long, {', '.join(f'{w} long' for w in words)}, node long, bands array<long>"), "sketches")
-    met = similar.shared_bands(docs)
-    # One text of each set that shares a band with another.
-    wanted = materialize(docs.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("t").alias("t")), "wanted")
-    found = materialize(texts.select("t", "text").join(wanted.select("t"), "t", "left_semi"), "texts")
-    held = materialize(found.groupBy("t").agg(F.min("text").alias("text")).select("text").mapInArrow(sets, "node long, held array<long>"), "sets")
-    parts = connected_components(similar.verified_links(met, held, similarity))
-    firsts = materialize(docs.groupBy("node").agg(F.min("doc_id").alias("first")), "firsts")
-    named = materialize(firsts.join(parts, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component")), "named")
+    docs = materialize(texts.mapInArrow(sketch, "doc_id long, t long, node long, n long, strata binary, bands array<long>"), "sketches")
+    nodes = docs.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("t").alias("t"), F.any_value("n").alias("n"),
+                                     F.any_value("strata").alias("strata"), F.any_value("bands").alias("bands"))
+    nodes = materialize(nodes, "sets-by-node")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """One text of each wanted set, as its set."""
+        one = materialize(nodes.select("node", "t").join(wanted, "node"), "wanted")
+        found = texts.select("t", "text").join(one, "t").groupBy("node").agg(F.min("text").alias("text"))
+        return found.mapInArrow(sets, "node long, held array<long>")
+
+    parts = similar.similar_parts(nodes, sets_of, similarity)
+    named = materialize(nodes.select("node", "first").join(parts, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component")), "named")
     smallest = materialize(named.groupBy("component").agg(F.min("first").alias("component_id")), "smallest")
     of = materialize(named.join(smallest, "component").select("node", "component_id"), "components")
-    return docs.join(of, "node").select("doc_id", F.array(*words).alias("fingerprint"), "component_id")
+    return docs.join(of, "node").select("doc_id", "component_id")
 
 
 def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:

@@ -181,3 +181,52 @@ def test_near_copies_connect_like_all_pairs(spark):
     assert len(got) == len(rows)
     assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == {i: root(i) for i in range(len(texts))}
     assert len({root(i) for i in range(250)}) > 1
+
+
+@pytest.mark.parametrize("run", [2048, 60])
+def test_few_pairs_are_read_and_parts_are_those_of_all_pairs(spark, monkeypatch, run):
+    """500 near copies, 500 texts with the same 200 words of boilerplate (similarity about 0.5), 500 others."""
+    from gaitframe.llm import similar
+    monkeypatch.setattr(similar, "RUN", run)
+    rng = random.Random(31)
+    base, boilerplate = [f"b{i}" for i in range(150)], [f"c{i}" for i in range(200)]
+    texts = []
+    for _ in range(500):
+        some = list(base)
+        for _ in range(rng.randint(0, 5)):
+            some[rng.randrange(150)] = f"x{rng.randrange(10 ** 6)}"
+        texts.append(some)
+    texts += [boilerplate + [f"y{rng.randrange(10 ** 6)}" for _ in range(rng.randint(60, 120))] for _ in range(500)]
+    texts += [[f"z{rng.randrange(10 ** 6)}" for _ in range(rng.randint(60, 300))] for _ in range(500)]
+    verified, read = similar._verified, []
+
+    def counted(pairs, sets_of, similarity):
+        read.append(pairs.count())
+        return verified(pairs, sets_of, similarity)
+
+    monkeypatch.setattr(similar, "_verified", counted)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), **simhash.SIMILAR).collect()}
+    sets = [_shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i - i % 500, i):
+            if root[i] != root[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if x == high else x for x in root]
+    assert [got[i] for i in range(len(rows))] == root
+    assert sum(read) < 20_000 and len(set(root[:500])) < 500
+
+
+def test_counts_in_common_and_their_bound():
+    from gaitframe.llm import similar
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 5000, n)) for n in (0, 1, 300, 4000, 4000, 900)]
+    want = [[len(np.intersect1d(a, b)) if i != j else None for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+    got = similar.common_counts(sets)
+    assert all(want[i][j] is None or got[i, j] == want[i][j] for i in range(6) for j in range(6))
+    wide = [np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64)) for n in (0, 10, 500)] + [np.arange(10, dtype=np.uint64)]
+    counts = [np.frombuffer(similar.strata(s), "<u2").astype(int) for s in wide]
+    assert all(c.sum() == len(s) for c, s in zip(counts, wide, strict=True))
+    full = np.frombuffer(similar.strata(np.arange(70_000, dtype=np.uint64)), "<u2")
+    assert (full == 65535).all()
