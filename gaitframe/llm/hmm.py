@@ -5,14 +5,17 @@ classes, and one for the end of a text), and a class emits its words by their tr
 one count left over for all unknown words. So P(text) = P(classes | chain) * prod P(word | class), exact by
 the scaled forward recursion; it sums to one over texts up to hash collisions of 64-bit word keys.
 
-Training. Word counts are summed by Spark over the whole training part; every Baum-Welch round runs over all words
-of all training texts, from random emissions: each task sums expected counts of its texts, Spark adds them by
-slot, the driver normalises some ``states * CLASSES`` numbers.
+Training. Word counts are summed by Spark over the whole training part; the classes of all training tokens are written
+once as 16-bit numbers. Every Baum-Welch round runs over all of them, from random emissions and states that seldom change:
+each task sums the expected counts of its texts into one row, ``SUMS`` tasks add those up row by row, the driver
+normalises some ``states * CLASSES`` numbers. From the second round on the step from the old to the new probabilities
+is lengthened (``stride``, on the logarithms; back to the plain step after a round that lost likelihood), which takes about
+half the rounds. Training ends when a round gains less than ``gain`` log10 likelihood a token, or after ``rounds``.
 
 Scoring. Counts of the ``HEAD`` commonest words (a fixed number) are broadcast; rarer words of a text are
 joined with the count table by hash, so nothing that grows with the vocabulary leaves the cluster, and no
-common word makes a hot key. Segments of a text are multiplied as transfer matrices side by side, so that one
-very long text costs no more per word than many short ones.
+common word makes a hot key. Texts are walked side by side; what long texts have beyond the others is cut into segments
+whose transfer matrices are multiplied, so that one very long text costs no more per word than many short ones.
 
 Cases. Null and empty texts are the end token alone. Without training texts every probability is uniform over
 one unknown word: base scores are 0 and states are equal. Repeated rows are scored alike, and each training
@@ -24,6 +27,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,11 +37,13 @@ from gaitframe.session import materialize
 
 CLASSES = 4096
 HEAD = 1 << 17
-SEGMENT = 48
+SEGMENT = 128
+ACTIVE = 128
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
 _SHIFT = np.uint64(52)
-_SLICE = 3 << 20
+_SLICE = 8 << 20
 _COUNTED = 2_000_000
+SUMS = 16
 
 
 class Chain(NamedTuple):
@@ -50,8 +56,8 @@ class Chain(NamedTuple):
 
 def random_chain(states: int, seed: int = 5) -> Chain:
     rng = np.random.default_rng(seed)
-    emit = rng.random((states, CLASSES + 1)) + 0.5
-    move = rng.random((states, states)) + 4 * np.eye(states)
+    emit = rng.random((states, CLASSES + 1)) + 0.02
+    move = rng.random((states, states)) + 300 * np.eye(states)
     return Chain(np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=1, keepdims=True))
 
 
@@ -70,41 +76,47 @@ def classes(h: np.ndarray) -> np.ndarray:
     return np.where(h == END, CLASSES, (h >> _SHIFT).astype(np.int64))
 
 
-class _Segments(NamedTuple):
-    """Runs of tokens after each text's first, the longest first; ``rank`` counts those before in its text."""
+class _Pieces(NamedTuple):
+    """Runs of tokens, the longest first, laid out step by step: the tokens of step ``t`` are ``at[t]:at[t + 1]``."""
 
-    start: np.ndarray
-    size: np.ndarray
     text: np.ndarray
     rank: np.ndarray
-    by_rank: list[np.ndarray]
+    token: np.ndarray
+    at: np.ndarray
+
+
+def _pieces(start: np.ndarray, size: np.ndarray, text: np.ndarray, rank: np.ndarray) -> _Pieces:
+    order = np.argsort(-size, kind="stable")
+    start, size = start[order], size[order]
+    active = np.searchsorted(-size, -np.arange(int(size.max(initial=0))), side="left")
+    at = np.concatenate([[0], np.cumsum(active)]).astype(np.int64)
+    step = np.repeat(np.arange(len(active)), active)
+    return _Pieces(text[order], rank[order], start[np.arange(at[-1]) - at[step]] + step, at)
+
 
+def _cut(first: np.ndarray, segment: int) -> tuple[_Pieces, _Pieces]:
+    """The heads of all texts, and what long texts have beyond them in runs of ``segment`` tokens.
 
-def _segments(first: np.ndarray, length: int) -> _Segments:
-    size = np.diff(first) - 1
-    n = -(-size // length)
+    Heads end where fewer than ``ACTIVE`` texts go on, so that a step is never a few texts wide."""
+    size = np.diff(first)
+    some = np.sort(size)[-min(ACTIVE, len(size)):][:1]
+    length = max(segment, int(some[0]) if len(size) >= ACTIVE else 0)
+    head = np.minimum(size, length)
+    n = -(-(size - head) // segment)
     text = np.repeat(np.arange(len(size)), n)
     rank = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
-    start = first[text] + 1 + rank * length
-    long = np.minimum(length, first[text + 1] - start)
-    order = np.argsort(-long, kind="stable")
-    rank = rank[order]
-    by = np.argsort(rank, kind="stable")
-    cut = np.searchsorted(rank[by], np.arange(int(n.max(initial=0)) + 1))
-    return _Segments(start[order], long[order], text[order], rank, [by[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)])
-
-
-def _active(seg: _Segments, step: int) -> int:
-    return int(np.searchsorted(-seg.size, -step, side="left"))
-
-
-def _transfers(c: np.ndarray, seg: _Segments, chain: Chain) -> tuple[np.ndarray, np.ndarray]:
-    """Scaled transfer matrix of each segment and the logarithm of its scale."""
-    k, n = len(chain.start), len(seg.start)
-    product, scale, emit = np.tile(np.eye(k), (n, 1, 1)), np.zeros(n), np.ascontiguousarray(chain.emit.T)
-    for t in range(int(seg.size.max(initial=0))):
-        m = _active(seg, t)
-        step = (product[:m].reshape(-1, k) @ chain.move).reshape(m, k, k) * emit[c[seg.start[:m] + t]][:, None, :]
+    start = first[:-1][text] + length + rank * segment
+    every = np.arange(len(size))
+    return _pieces(first[:-1], head, every, np.zeros(len(size), np.int64)), _pieces(start, np.minimum(segment, first[text + 1] - start), text, rank)
+
+
+def _transfers(seen: np.ndarray, p: _Pieces, chain: Chain) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled transfer matrix of each piece and the logarithm of its scale."""
+    k, n = len(chain.start), len(p.text)
+    product, scale = np.tile(np.eye(k), (n, 1, 1)), np.zeros(n)
+    for t in range(len(p.at) - 1):
+        m = p.at[t + 1] - p.at[t]
+        step = (product[:m].reshape(-1, k) @ chain.move).reshape(m, k, k) * seen[p.at[t]:p.at[t + 1], None, :]
         if t % 8 == 7 or t == 0:
             top = step.max(axis=(1, 2))
             step /= top[:, None, None]
@@ -113,64 +125,98 @@ def _transfers(c: np.ndarray, seg: _Segments, chain: Chain) -> tuple[np.ndarray,
     return product, scale
 
 
-def _ahead(c: np.ndarray, first: np.ndarray, seg: _Segments, chain: Chain) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Log-likelihood of each text, the state distribution before each segment and the segments' transfers."""
-    now = chain.start * chain.emit.T[c[first[:-1]]]
-    total = now.sum(axis=1)
-    log = np.log(total)
-    now /= total[:, None]
-    product, scale = _transfers(c, seg, chain)
-    before = np.zeros((len(seg.start), len(chain.start)))
-    for some in seg.by_rank:
-        text = seg.text[some]
-        before[some] = now[text]
-        step = np.einsum("si,sij->sj", now[text], product[some])
+def _forward(seen: np.ndarray, p: _Pieces, now: np.ndarray, chain: Chain, starts: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled forward vectors and scales of all tokens; ``now`` becomes the state distribution after each piece."""
+    ahead, scale = np.empty_like(seen), np.empty(len(seen))
+    for t in range(len(p.at) - 1):
+        a, b = p.at[t], p.at[t + 1]
+        step = (now[:b - a] if starts and not t else now[:b - a] @ chain.move) * seen[a:b]
         total = step.sum(axis=1)
-        log[text] += np.log(total) + scale[some]
-        now[text] = step / total[:, None]
-    return log, before, product, scale
+        step /= total[:, None]
+        ahead[a:b], scale[a:b], now[:b - a] = step, total, step
+    return ahead, scale
+
+
+def _backward(seen: np.ndarray, p: _Pieces, ahead: np.ndarray, scale: np.ndarray, before: np.ndarray | None, back: np.ndarray,
+              chain: Chain) -> np.ndarray:
+    """Expected moves; ``ahead`` becomes the state probabilities of the tokens (the scales make them sum to one)."""
+    moves, inverse = np.zeros_like(chain.move), 1 / scale[:, None]
+    for t in range(len(p.at) - 2, -1, -1):
+        a, b = p.at[t], p.at[t + 1]
+        onward = seen[a:b] * back[:b - a] * inverse[a:b]
+        ahead[a:b] *= back[:b - a]
+        last = ahead[p.at[t - 1]:p.at[t - 1] + b - a] if t else before
+        if last is not None:
+            moves += last[:b - a].T @ onward
+            back[:b - a] = onward @ chain.move.T
+    return moves * chain.move
+
+
+class _Ahead(NamedTuple):
+    """The forward pass of a run of texts: heads and tails with the probabilities of what is seen, and scales."""
+
+    log: np.ndarray
+    heads: tuple
+    tails: tuple | None
+
+
+def _ahead(c: np.ndarray, first: np.ndarray, chain: Chain, segment: int) -> _Ahead:
+    heads, tails = _cut(first, segment)
+    emit, k, n = np.ascontiguousarray(chain.emit.T), len(chain.start), len(first) - 1
+    seen, now = emit[c[heads.token]], np.tile(chain.start, (n, 1))
+    ahead, scale = _forward(seen, heads, now, chain, True)
+    step = np.repeat(np.arange(len(heads.at) - 1), np.diff(heads.at))
+    log = np.bincount(heads.text[np.arange(len(scale)) - heads.at[step]], weights=np.log(scale), minlength=n)
+    if not len(tails.text):
+        return _Ahead(log, (heads, seen, ahead, scale, now), None)
+    here = np.empty((n, k))
+    here[heads.text] = now
+    tail_seen = emit[c[tails.token]]
+    product, more = _transfers(tail_seen, tails, chain)
+    before, by = np.empty((len(tails.text), k)), np.argsort(tails.rank, kind="stable")
+    cut = np.searchsorted(tails.rank[by], np.arange(int(tails.rank.max()) + 2))
+    ranks = [by[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    for some in ranks:
+        text = tails.text[some]
+        before[some] = here[text]
+        moved = np.einsum("si,sij->sj", here[text], product[some])
+        total = moved.sum(axis=1)
+        log[text] += np.log(total) + more[some]
+        here[text] = moved / total[:, None]
+    return _Ahead(log, (heads, seen, ahead, scale, now), (tails, tail_seen, product, before, ranks))
 
 
 def log_likelihood(c: np.ndarray, first: np.ndarray, chain: Chain, segment: int = SEGMENT) -> np.ndarray:
     """Natural log-likelihood of the class sequence of each text."""
-    return _ahead(c, first, _segments(first, segment), chain)[0]
+    return _ahead(c, first, chain, segment).log
 
 
 def expected_counts(c: np.ndarray, first: np.ndarray, chain: Chain, segment: int = SEGMENT) -> tuple[Chain, float]:
     """Expected starts, moves and emissions over the texts, and their log-likelihood (the exact E-step)."""
-    k, seg = len(chain.start), _segments(first, segment)
-    log, before, product, _ = _ahead(c, first, seg, chain)
-    after = np.ones((len(seg.start), k))
-    beyond = np.ones((len(first) - 1, k))
-    for some in reversed(seg.by_rank):
-        text = seg.text[some]
-        after[some] = beyond[text]
-        step = np.einsum("sij,sj->si", product[some], beyond[text])
-        beyond[text] = step / step.max(axis=1, keepdims=True)
-    emit, gamma = np.ascontiguousarray(chain.emit.T), np.zeros((len(c), k))
-    head = chain.start * emit[c[first[:-1]]] * beyond
-    head /= head.sum(axis=1, keepdims=True)
-    gamma[first[:-1]] = head
-    steps = int(seg.size.max(initial=0))
-    forward = np.zeros((steps + 1, len(seg.start), k))
-    forward[0] = before
-    for t in range(steps):
-        m = _active(seg, t)
-        now = (forward[t, :m] @ chain.move) * emit[c[seg.start[:m] + t]]
-        forward[t + 1, :m] = now / now.sum(axis=1, keepdims=True)
-    moves, back = np.zeros((k, k)), after
-    for t in range(steps - 1, -1, -1):
-        m = _active(seg, t)
-        at = seg.start[:m] + t
-        seen = emit[c[at]] * back[:m]
-        norm = np.einsum("si,ij,sj->s", forward[t, :m], chain.move, seen)
-        moves += (forward[t, :m] / norm[:, None]).T @ seen
-        own = forward[t + 1, :m] * back[:m]
-        gamma[at] = own / own.sum(axis=1, keepdims=True)
-        pulled = seen @ chain.move.T
-        back[:m] = pulled / pulled.max(axis=1, keepdims=True)
-    emits = np.stack([np.bincount(c, weights=gamma[:, i], minlength=CLASSES + 1) for i in range(k)])
-    return Chain(head.sum(axis=0), moves * chain.move, emits), float(log.sum())
+    k, n = len(chain.start), len(first) - 1
+    log, (heads, seen, ahead, scale, now), rest = _ahead(c, first, chain, segment)
+    moves, beyond, parts = np.zeros((k, k)), np.ones((n, k)), []
+    if rest is not None:
+        tails, tail_seen, product, before, ranks = rest
+        after, out = np.empty_like(before), before.copy()
+        tail_ahead, tail_scale = _forward(tail_seen, tails, out, chain, False)
+        for some in reversed(ranks):
+            text = tails.text[some]
+            after[some] = beyond[text]
+            pulled = np.einsum("sij,sj->si", product[some], beyond[text])
+            beyond[text] = pulled / pulled.max(axis=1, keepdims=True)
+        after /= np.einsum("si,si->s", out, after)[:, None]
+        moves += _backward(tail_seen, tails, tail_ahead, tail_scale, before, after, chain)
+        parts.append((c[tails.token], tail_ahead))
+    after = beyond[heads.text]
+    after /= np.einsum("si,si->s", now, after)[:, None]
+    moves += _backward(seen, heads, ahead, scale, None, after, chain)
+    parts.append((c[heads.token], ahead))
+    emits = np.zeros((k, CLASSES + 1))
+    for of, gamma in parts:
+        for i in range(k):
+            emits[i] += np.bincount(of, weights=gamma[:, i], minlength=CLASSES + 1)
+    return Chain(ahead[:n].sum(axis=0), moves, emits), float(log.sum())
 
 
 def maximise(counts: Chain, prior: float = 0.1) -> Chain:
@@ -212,40 +258,69 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(partial, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def _baum_welch(texts: DataFrame, chain: Chain) -> Chain:
-    """One iteration over all ``texts``: expected counts are added up by slot on the cluster."""
-    shared, shapes = texts.sparkSession.sparkContext.broadcast(tuple(chain)), [p.shape for p in chain]
+def packed_classes(texts: DataFrame) -> DataFrame:
+    """``classes``: the token classes of every text as 16-bit numbers."""
 
-    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(sum(int(np.prod(s)) for s in shapes))
-        for _, _, _, h, first in _text_batches(batches):
-            counts, _ = expected_counts(classes(h), first, Chain(*shared.value))
-            total += np.concatenate([p.ravel() for p in counts])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["slot", "n"])
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, i, j, h, first in _text_batches(batches):
+            data = classes(h).astype("<u2").tobytes()
+            offsets = pa.array(2 * first.astype(np.int64)).buffers()[1]
+            yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.large_binary(), j - i, [None, offsets, pa.py_buffer(data)]).cast(pa.binary())], ["classes"])
 
-    flat = np.zeros(sum(int(np.prod(s)) for s in shapes))
-    for r in texts.select("text").mapInArrow(expect, "slot int, n double").groupBy("slot").agg(F.sum("n").alias("n")).collect():
-        flat[r.slot] = r.n
-    cut = np.cumsum([int(np.prod(s)) for s in shapes])[:-1]
-    return maximise(Chain(*(p.reshape(s) for p, s in zip(np.split(flat, cut), shapes, strict=True))))
+    return texts.select("text").mapInArrow(pack, "classes binary")
 
 
-def train(df: DataFrame, states: int = 6, iterations: int = 2, sample: int = 1_500, sample_rounds: int = 20, text: str = "text") -> Model:
-    """Fits on every row of ``df`` (runs jobs; the count table is a written table).
+def _baum_welch(packed: DataFrame, chain: Chain) -> tuple[Chain, float]:
+    """Expected counts over all texts and their log-likelihood: a row per task, added up by ``SUMS`` tasks."""
+    shapes = [p.shape for p in chain]
+    size = sum(int(np.prod(s)) for s in shapes) + 1
 
-    There are ``sample_rounds + iterations`` rounds, all over the whole of ``df``; nothing is sampled, and ``sample``
-    is taken for the sake of callers only.
-    """
-    texts = df.select(F.xxhash64(text).alias("row"), F.col(text).alias("text"))
+    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            for i, j, data, at in textvec.slices(batch.column("classes"), _SLICE // 4):
+                counts, log = expected_counts(data.view("<u2").astype(np.int64), at // 2, chain)
+                total += np.concatenate([*(p.ravel() for p in counts), [log]])
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % SUMS], pa.int32()), pa.array([total.tobytes()])], ["place", "sums"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, some = np.zeros(size), False
+        for batch in batches:
+            for row in batch.column("sums"):
+                total, some = total + np.frombuffer(row.as_py()), True
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["sums"])
+
+    sums = packed.mapInArrow(expect, "place int, sums binary").repartition(SUMS, "place").select("sums").mapInArrow(add, "sums binary").collect()
+    flat = np.sum([np.frombuffer(r.sums) for r in sums], axis=0)
+    cut = np.cumsum([int(np.prod(s)) for s in shapes])
+    return Chain(*(p.reshape(s) for p, s in zip(np.split(flat[:-1], cut[:-1]), shapes, strict=True))), float(flat[-1])
+
+
+def _lengthened(old: Chain, new: Chain, stride: float) -> Chain:
+    far = Chain(*(o * (n / o) ** stride for o, n in zip(old, new, strict=True)))
+    return Chain(*(p / p.sum(axis=-1, keepdims=True) for p in far))
+
+
+def train(df: DataFrame, states: int = 6, rounds: int = 12, gain: float = 0.005, stride: float = 1.7, text: str = "text") -> Model:
+    """Fits on every row of ``df`` (runs jobs; the count table and the packed classes are written tables)."""
+    texts = df.select(F.col(text).alias("text"))
     counts = materialize(word_counts(texts), "words")
     ends = F.col("h") == int(END)
     of = F.when(ends, F.lit(CLASSES)).otherwise(F.call_function("shiftrightunsigned", F.col("h"), F.lit(int(_SHIFT))).cast("int"))
     n, v = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
     for r in counts.groupBy(of.alias("k")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect():
         n[r.k], v[r.k] = r.n, r.v
-    chain = random_chain(states)
-    for _ in range(sample_rounds + iterations if n.sum() else 0):
-        chain = _baum_welch(texts, chain)
+    chain, last = random_chain(states), -np.inf
+    packed = materialize(packed_classes(texts), "classes") if n.sum() else None
+    for step in range(rounds if n.sum() else 0):
+        sums, log = _baum_welch(packed, chain)
+        better = log / np.log(10) / n.sum() - last
+        last = log / np.log(10) / n.sum()
+        new = maximise(sums)
+        chain = _lengthened(chain, new, stride) if step and better > 0 else new
+        if 0 <= better < gain:
+            break
     return Model(chain, n, v, counts)
 
 

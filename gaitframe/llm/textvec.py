@@ -34,8 +34,8 @@ class Words(NamedTuple):
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of a string column; nulls are empty."""
-    column = column.cast(pa.large_string())
+    """Bytes and offsets of a string or binary column; nulls are empty."""
+    column = column.cast(pa.large_binary() if pa.types.is_binary(column.type) else pa.large_string())
     if column.null_count:
         column = column.fill_null("")
     _, offsets, data = column.buffers()

@@ -98,7 +98,7 @@ def test_scores_against_plain_counts(spark, monkeypatch, head):
     monkeypatch.setattr(hmm, "HEAD", head)
     rows = corpus()
     frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", hmm.F.lit("clash"))
-    got = hmm.score_documents(frame, states=3, iterations=1, sample=100, sample_rounds=5).collect()
+    got = hmm.score_documents(frame, states=3, rounds=6).collect()
     out = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
     counts = collections.Counter(w for i, t in rows if not out(i) for w in words(t))
     n, v = sum(counts.values()), len(counts)
@@ -119,7 +119,7 @@ def test_scores_against_plain_counts(spark, monkeypatch, head):
 def test_score_is_the_models_probability(spark):
     rows = [(i, t) for i, t in corpus() if i != 903]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    model = hmm.train(frame, states=2, iterations=1, sample=50, sample_rounds=2)
+    model = hmm.train(frame, states=2, rounds=3)
     counts = {r.h: r.c for r in model.counts.collect()}
     for r, (i, t) in zip(sorted(hmm.score(frame, model).collect(), key=lambda r: str(r.doc_id)), sorted(rows, key=lambda r: str(r[0])), strict=True):
         raw = (t or "").encode()
@@ -138,12 +138,26 @@ def test_empty(spark):
 
 
 def test_every_round_sees_all_words_of_all_texts(spark):
-    """The chain is that of plain Baum-Welch over everything, whatever ``sample``; tails and other texts count."""
+    """The chain is that of Baum-Welch over everything; heads, tails and other texts count alike."""
     rows = [(i, f"head{i % 3} " * 2100 + f"tail{i % 5} " * 300) for i in range(6)] + [(10 + i, f"x{i} y{i % 7} z") for i in range(60)]
-    model = hmm.train(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), states=2, iterations=2, sample=3, sample_rounds=4)
     raw = [t.encode() for _, t in rows]
     h, first = hmm.tokens(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
-    want = hmm.random_chain(2)
-    for _ in range(6):
-        want = hmm.maximise(hmm.expected_counts(hmm.classes(h), first, want)[0])
-    assert all(np.allclose(g, w, rtol=1e-6) for g, w in zip(model.chain, want, strict=True))
+    for stride in (1.0, 1.7):
+        model = hmm.train(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), states=2, rounds=5, gain=0.0, stride=stride)
+        want, logs = hmm.random_chain(2), [-np.inf]
+        for step in range(5):
+            sums, log = hmm.expected_counts(hmm.classes(h), first, want)
+            new = hmm.maximise(sums)
+            want = hmm._lengthened(want, new, stride) if step and log > logs[-1] else new
+            logs.append(log)
+        assert all(np.allclose(g, w, rtol=1e-5) for g, w in zip(model.chain, want, strict=True))
+
+
+def test_training_ends_when_a_round_gains_little(spark, monkeypatch):
+    rows = corpus()
+    seen, plain = [], hmm._baum_welch
+    monkeypatch.setattr(hmm, "_baum_welch", lambda *a: seen.append(plain(*a)) or seen[-1])
+    hmm.train(spark.createDataFrame(rows, "doc_id long, text string"), states=3, rounds=30, gain=0.01)
+    logs = [log for _, log in seen]
+    n = sum(len(words(t)) for _, t in rows) * math.log(10)
+    assert 2 < len(logs) < 30 and (logs[-1] - logs[-2]) / n < 0.01 and logs[-1] > logs[0]
