@@ -1,6 +1,7 @@
 """Benchmark decontamination: passages of documents within an edit bound of a benchmark item.
 
-Method. Texts are words (A-Z lower-cased, outer punctuation dropped). Windows of an item's length are
+Method. Texts are words (A-Z lower-cased, all outer punctuation dropped; a word of
+marks alone is its first mark). Windows of an item's length are
 embedded by CGK random walks: reading symbol ``x`` at step ``j`` copies it to the output and a random bit of
 (j, x) says whether the reader moves on, so a few edits leave most of the output equal. Tables of sampled
 output positions (bit-sampling LSH) are repeated until a pair that agrees in ``agreement`` of the positions
@@ -41,12 +42,10 @@ _PUNCTUATION[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range
 def symbols(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes (never the padding symbol) and the first word of each text."""
     w = textvec.words(data, at)
-    start, end = w.start.copy(), w.end.copy()
-    for _ in range(3):
-        inner = end - start > 1
-        end -= inner & _PUNCTUATION[w.data[end - 1]] if len(end) else 0
-        inner = end - start > 1
-        start += inner & _PUNCTUATION[w.data[start]] if len(start) else 0
+    kept = np.append(np.flatnonzero(~_PUNCTUATION[w.data]), len(w.data))
+    start, end = kept[np.searchsorted(kept, w.start)], kept[np.searchsorted(kept, w.end) - 1] + 1
+    marks = start >= w.end
+    start, end = np.where(marks, w.start, start), np.where(marks, w.start + 1, end)
     return textvec.span_hashes(w.data, start, end) | np.uint64(1), w.first
 
 

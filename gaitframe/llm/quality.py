@@ -8,8 +8,7 @@ weighted by length in bytes. With two labels the messages are single log-odds, s
 moves one line per step in array operations.
 
 Bounds. ``sample`` labelled rows are read for training (6,000), reduced to a few numbers per line and fitted in
-one task; the model is some 40 numbers. Lines beyond ``line_cap`` of a training text are left out of the fit
-(scores always use all lines).
+one task; the model is some 40 numbers. The fit and the scores use all lines of their texts.
 
 Cases. Null and empty texts are one empty line. Without training rows every score is 0.5; with one class only
 the fit still ends. Repeated rows are scored alike; all other columns stay.
@@ -144,14 +143,14 @@ def untrained() -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, held_out: int = 0, sample: int = 6_000,
-          line_cap: int = 200, text: str = "text", doc_id: str = "doc_id", **options) -> Model:
+          text: str = "text", doc_id: str = "doc_id", **options) -> Model:
     """Fits on labelled rows outside the held-out fold (runs jobs)."""
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, at in textvec.slices(batch.column("text")):
                 x, _, first = observe(data, at)
-                rows = [x[a:min(b, a + line_cap)].astype(np.float32).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+                rows = [x[a:b].astype(np.float32).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("label").slice(i, j - i),
                                                   pa.array(rows, pa.binary())], ["doc_id", "label", "lines"])
 

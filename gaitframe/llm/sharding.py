@@ -3,7 +3,8 @@
 Method. Rows start in shards dealt out one by one. In every round each group of equal texts (the links) names
 the shard that holds most of it among those with room; its members elsewhere ask to move there. Moves are
 granted under quotas that keep every shard's count: as many go from s to t as from t to s, and each further
-one changes places with an unlinked row of t. It ends when nothing moves. Counts therefore differ by one at
+one changes places with an unlinked row of t. It ends when nothing moves, which it must, as every move brings a row of a
+group to a shard that holds at least as many of it: the sum of squares of the groups' counts grows. Counts therefore differ by one at
 most (the ``rows`` law) whatever moves; a group larger than a shard fills several.
 
 Scale. DataFrame operations only. Ranks within a shard come from bucket totals and a window within (shard,
@@ -73,7 +74,7 @@ def _round(rows: DataFrame, buckets: int) -> tuple[DataFrame | None, int]:
     return moves, moves.count()
 
 
-def assign_shards(df: DataFrame, shards: int = 16, text: str = "text", doc_id: str = "doc_id", rounds: int = 24) -> DataFrame:
+def assign_shards(df: DataFrame, shards: int = 16, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` for every row (runs jobs).
 
     ``slot`` numbers the rows of a shard from 0; ``law`` is ``rows``; ``grown_shard`` is null under this law.
@@ -90,7 +91,7 @@ def assign_shards(df: DataFrame, shards: int = 16, text: str = "text", doc_id: s
     placed = materialize(placed.join(groups, "group", "left").select(
         "row", "doc_id", "size", "text_crc32", "group", F.coalesce("linked", F.lit(False)).alias("linked"),
         (F.col("rank") % shards).cast("int").alias("shard")), "shards")
-    for _ in range(rounds):
+    while True:
         moves, n = _round(placed, buckets)
         if not n:
             break

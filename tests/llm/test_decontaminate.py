@@ -103,3 +103,12 @@ def test_empty(spark):
     some = spark.createDataFrame([(1, "some words in a text")], "doc_id long, text string")
     assert D.contaminated(d, b).count() == 0 and D.contaminated(some, b).count() == 0
     assert D.contaminated(d, some.withColumnRenamed("doc_id", "item_id")).count() == 0
+
+
+def test_all_outer_marks_are_dropped(spark):
+    item = [f"k{i}" for i in range(10)]
+    dotted = " ".join(w + "...." if i in (1, 4, 6, 8) else '(("' + w if i == 2 else w for i, w in enumerate(item))
+    assert words_of(dotted) == words_of(" ".join(item)) and len(words_of(".... -- x")) == 3 and words_of("....") == words_of(". ") != words_of("-")
+    docs = spark.createDataFrame([(1, f"some words before {dotted} and after"), (2, "... .... ....... " * 40)], "doc_id long, text string")
+    got = D.contaminated(docs, spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.distance) for r in got] == [(1, 5, 0)]

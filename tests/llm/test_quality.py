@@ -90,3 +90,20 @@ def test_empty(spark):
     assert Q.score(docs.limit(0), Q.train(docs.limit(0), labels)).count() == 0
     one = Q.train(docs, labels.withColumn("quality", Q.F.lit(1)))
     assert all(r.score > 0.5 for r in Q.score(docs.filter("doc_id < 5"), one).collect())
+
+
+def test_training_reads_all_lines(spark):
+    """Clean heads of 250 lines; what is bad comes after them."""
+    clean, junk = "Some plain words, in order.\n", "|||| ### 99 !!!! ||\n"
+    rows = [(i, clean * (250 + i % 7) + (junk * 300 if i % 2 else clean * 300)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(60)], "doc_id long, quality int")
+    model = Q.train(docs, labels)
+    got = {r.doc_id: r.score for r in Q.score(spark.createDataFrame([(1, clean * 9), (2, junk * 9)], "doc_id long, text string"), model).collect()}
+    assert got[1] > 0.6 and got[2] < 0.1
+
+
+def test_other_columns_with_the_same_names_stay(spark):
+    docs = spark.createDataFrame([(1, "A line.", 7.0, "x"), (None, None, None, None)], "doc_id long, text string, score double, label string")
+    got = Q.score(docs, Q.untrained(), out="quality").collect()
+    assert [(r.doc_id, r.score, r.label, r.quality) for r in got] == [(1, 7.0, "x", 0.5), (None, None, None, 0.5)]

@@ -63,3 +63,19 @@ def test_cases(spark):
     got = sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string"), 16).collect()
     check(rows, got, 16)
     assert sharding.assign_shards(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_goes_on_until_nothing_moves(spark, monkeypatch):
+    moved, plain = [], sharding._round
+
+    def counted(rows, buckets):
+        out = plain(rows, buckets)
+        moved.append(out[1])
+        return out
+
+    monkeypatch.setattr(sharding, "_round", counted)
+    rng = random.Random(5)
+    rows = [(i, f"copy {int(rng.paretovariate(0.6)) % 40}") for i in range(500)] + [(1000 + i, f"text {i}") for i in range(40)]
+    got = sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string"), 6).collect()
+    check(rows, got, 6)
+    assert moved[-1] == 0 and all(moved[:-1])
