@@ -78,17 +78,30 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+class _Powers:
+    """Powers of the base and of its inverse modulo 2^64, kept while a worker needs them. They never travel: what is sent
+    to a worker begins empty."""
 
+    def __init__(self):
+        self.held = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64."""
-    if len(_POWERS[0]) < n:
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(max(n, BATCH_BYTES + 4096), base & _MASK, dtype=np.uint64)
-            steps[0] = 1
-            _POWERS[i] = np.cumprod(steps, dtype=np.uint64)
-    return _POWERS[0], _POWERS[1]
+    def __reduce__(self):
+        return _Powers, ()
+
+    def upto(self, n: int) -> list[np.ndarray]:
+        if len(self.held[0]) < n:
+            for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+                steps = np.full(max(n, BATCH_BYTES + 4096), base & _MASK, dtype=np.uint64)
+                steps[0] = 1
+                self.held[i] = np.cumprod(steps, dtype=np.uint64)
+        return self.held
+
+    def trim(self) -> None:
+        if len(self.held[0]) > 4 * BATCH_BYTES:
+            self.__init__()
+
+
+_POWERS = _Powers()
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, block: int = BATCH_BYTES) -> np.ndarray:
@@ -99,14 +112,13 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, block: int
     while i < len(start):
         j = max(i + 1, int(np.searchsorted(end, start[i] + block, side="right")))
         lo, hi = int(start[i]), int(end[j - 1])
-        up, down = _powers(hi - lo + 1)
+        up, down = _POWERS.upto(hi - lo + 1)
         total = np.zeros(hi - lo + 1, dtype=np.uint64)
         np.cumsum((data[lo:hi].astype(np.uint64) + np.uint64(1)) * up[:hi - lo], out=total[1:])
         s, e = start[i:j] - lo, end[i:j] - lo
         out[i:j] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
         i = j
-    if len(_POWERS[0]) > 4 * BATCH_BYTES:
-        _POWERS[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+    _POWERS.trim()
     return out
 
 
