@@ -12,7 +12,9 @@ from gaitframe.functions import columns as C
 from gaitframe.operators.detector import PRESETS
 from gaitframe.operators.joins import asof
 from gaitframe.operators.ordered import add_segments, carry_forward, ordered_position, time_slice
+from gaitframe.operators.stepping import entry_states, join_on
 from gaitframe.schema import ALERT_OUTCOMES, ALERT_SCHEMA, CONTACT_SCHEMA, SLICE_MS
+from gaitframe.session import materialize
 
 HISTORY_LIMIT = 100
 COUNTDOWN_SECONDS = 30
@@ -141,23 +143,24 @@ def _next_emits(clock: np.ndarray, every_ms: int) -> np.ndarray:
 
 
 def _emits(clock: np.ndarray, after: int, every_ms: int) -> np.ndarray:
-    """Clocks emitted when the last one before them was at ``after``."""
+    """Places of the clocks emitted when the last one before them was at ``after``."""
     step, out, i = _next_emits(clock, every_ms), [], int(np.searchsorted(clock, after + every_ms, side="left"))
     while i < len(clock):
-        out.append(clock[i])
+        out.append(i)
         i = int(step[i])
-    return np.array(out, dtype=np.int64)
+    return np.array(out, dtype=np.int32)
 
 
-def _last_emits(clock: np.ndarray, begin: int, every_ms: int) -> np.ndarray:
-    """Last clock emitted in a slice from ``begin`` on, for each last clock ``begin - every_ms ... begin - 1``
-    before it (all earlier ones act like the first); -1 if none is emitted."""
+def _last_emits(clock: np.ndarray, begin: int, every_ms: int, slice_ms: int) -> np.ndarray:
+    """What a slice from ``begin`` on makes of each state before it. State ``i`` says that the last emission was at
+    ``begin - every_ms + i`` (0: then or earlier); the state after is that at the next slice's begin."""
     first = np.searchsorted(clock, begin + np.arange(every_ms), side="left")
     step = np.append(_next_emits(clock, every_ms), len(clock))
     last = np.arange(len(clock) + 1)
     for i in range(len(clock) - 1, -1, -1):
         last[i] = last[step[i]] if step[i] < len(clock) else i
-    return np.append(clock, -1)[last[first]]
+    emitted = np.append(clock, begin - every_ms)[last[first]]
+    return np.maximum(emitted - (begin + slice_ms - every_ms), 0)
 
 
 def throttle(df: DataFrame, every_ms: int = 100, keys: Sequence[str] = ("recording_id",), ts: str = "timestamp",
@@ -165,42 +168,30 @@ def throttle(df: DataFrame, every_ms: int = 100, keys: Sequence[str] = ("recordi
     """At most one row per ``every_ms``: a row is emitted when that much has passed since the last emitted one.
     Of rows of one clock the smallest is emitted; rows without a clock are dropped.
 
-    A key is cut into slices. What a slice emits depends on the last emission before it only, which matters for
-    ``every_ms`` values at most: every slice turns these into its own last emission, the short tables are folded
-    over a key's slices in order, and every slice is run once more from its known start.
+    A key is cut into slices of ``slice_ms`` (never less than ``every_ms``). What a slice emits depends on the last emission before it
+    only, which matters for ``every_ms`` values at most, so slices are tables of states that are composed in
+    logarithmic rounds (:func:`~gaitframe.operators.stepping.entry_states`), and every slice is run once from its known start. Runs jobs.
     """
-    keys = list(keys)
-    begin = F.floor(F.col(ts) / slice_ms) * slice_ms
-    slices = df.filter(F.col(ts).isNotNull()).groupBy(*keys, begin.cast("long").alias("_begin")).agg(
-        F.sort_array(F.collect_set(F.col(ts).cast("long"))).alias("_clock"))
-
-    @F.pandas_udf("array<long>")
-    def last_emits(clock: pd.Series, begin: pd.Series) -> pd.Series:
-        return pd.Series([_last_emits(np.asarray(c), b, every_ms) for c, b in zip(clock, begin, strict=True)])
-
-    @F.pandas_udf("array<struct<_begin:long,_after:long>>")
-    def fold(tables: pd.Series) -> pd.Series:
-        out = []
-        for table in tables:
-            after, rows = None, []
-            for r in table:
-                offset = 0 if after is None else max(0, after - (r["_begin"] - every_ms))
-                rows.append({"_begin": r["_begin"], "_after": r["_begin"] - every_ms + offset})
-                last = int(r["_last"][offset])
-                after = last if last >= 0 else after
-            out.append(rows)
-        return pd.Series(out)
-
-    @F.pandas_udf("array<long>")
-    def emits(clock: pd.Series, after: pd.Series) -> pd.Series:
-        return pd.Series([_emits(np.asarray(c), a, every_ms) for c, a in zip(clock, after, strict=True)])
-
-    tables = slices.withColumn("_last", last_emits("_clock", "_begin")).groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("_begin", "_last"))).alias("_tables"))
-    starts = tables.select(*keys, F.explode(fold("_tables")).alias("_s")).select(*keys, "_s._begin", "_s._after")
-    kept = slices.join(starts, [*keys, "_begin"]).select(*keys, F.explode(emits("_clock", "_after")).alias(ts))
-    first = df.groupBy(*keys, ts).agg(F.min(F.struct(*[c for c in df.columns if c not in (*keys, ts)])).alias("_r"))
-    return first.join(kept, [*keys, ts]).select(*[F.col(c) if c in (*keys, ts) else F.col(f"_r.{c}") for c in df.columns])
+    slice_ms = max(slice_ms, every_ms)
+    keys, others = list(keys), [c for c in df.columns if c not in (*keys, ts)]
+    number, clock = F.floor(F.col(ts) / slice_ms).cast("long"), F.transform("_rows", lambda r: r[ts].cast("long"))
+    slices = df.filter(F.col(ts).isNotNull()).groupBy(*keys, number.alias("_slice")).agg(
+        F.sort_array(F.collect_list(F.struct(ts, *others))).alias("_rows"))
+    slices = materialize(slices, "throttle-slices")
+
+    @F.pandas_udf("array<int>")
+    def table(clock: pd.Series, number: pd.Series) -> pd.Series:
+        return pd.Series([_last_emits(np.asarray(c), n * slice_ms, every_ms, slice_ms).astype(np.int32) for c, n in zip(clock, number, strict=True)])
+
+    @F.pandas_udf("array<int>")
+    def emits(clock: pd.Series, number: pd.Series, entry: pd.Series) -> pd.Series:
+        return pd.Series([_emits(np.asarray(c), n * slice_ms - every_ms + e, every_ms) for c, n, e in zip(clock, number, entry, strict=True)])
+
+    maps = slices.select(*keys, "_slice", table(clock, "_slice").alias("_table"))
+    entries = entry_states(maps, keys, "_slice", "_table", every_ms, gap=0)
+    kept = join_on(slices, entries, [*keys, "_slice"]).withColumn("_at", emits(clock, "_slice", "entry"))
+    picked = kept.select(*keys, F.explode(F.transform("_at", lambda i: F.get("_rows", i))).alias("_r"))
+    return picked.select(*[F.col(c) if c in keys else F.col(f"_r.{c}") for c in df.columns])
 
 
 def recording_progress(df: DataFrame, every: int = 10, keys: Sequence[str] = ("recording_id",), ts: str = "timestamp",

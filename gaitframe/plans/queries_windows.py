@@ -9,6 +9,7 @@ from gaitframe.functions import columns as C
 from gaitframe.operators import features as FE
 from gaitframe.operators import windows as W
 from gaitframe.operators.ordered import ordered_position
+from gaitframe.operators.stepping import adaptive_ticks
 from gaitframe.plans.catalog import query
 from gaitframe.plans.sensor import clean_samples, segments, sensor_view, windows
 from gaitframe.plans.sql import SENSORS, r6, with_ctes
@@ -90,6 +91,29 @@ def ticks(spark, sf_dir):
     return W.inference_ticks(clean_samples(spark, sf_dir), 400, slice_ms=None)
 
 
+def damped(spark, sf_dir):
+    """The sensor view with little motion while resting: gravity and a thousandth of the rest."""
+    rest = F.col("label").isin("standing", "sitting", "lying", "falling")
+    calm = {c: F.when(rest, F.col(c) / 1000 + (9.8 if c == "az" else 0.0)).otherwise(F.col(c)) for c in SENSORS}
+    return clean_samples(spark, sf_dir).withColumns({**calm, "low": F.floor(F.col("timestamp") / 4000) % 3 == 0})
+
+
+@query("w5_adaptive_ticks", with_ctes(
+    "SELECT subject_id, r AS pos, timestamp AS tick_ts, still AS stationary, run::INT AS still_run, 200 * CASE WHEN run > 2 THEN 5 ELSE step END AS interval_ms FROM walk",
+    ("calm", "SELECT subject_id, timestamp, CASE WHEN floor(timestamp / 4000)::BIGINT % 3 = 0 THEN 4 ELSE 2 END AS step,"
+             " CASE WHEN w THEN ax / 1000 ELSE ax END AS x, CASE WHEN w THEN ay / 1000 ELSE ay END AS y, CASE WHEN w THEN az / 1000 + 9.8 ELSE az END AS z,"
+             " (abs(gx) + abs(gy) + abs(gz)) / CASE WHEN w THEN 1000 ELSE 1 END AS g FROM (SELECT *, label IN ('standing', 'sitting', 'lying', 'falling') AS w FROM clean)"),
+    ("placed", "SELECT *, sqrt(x*x + y*y + z*z) AS acc, row_number() OVER (PARTITION BY subject_id ORDER BY timestamp) - 1 AS r FROM calm"),
+    ("trail", "SELECT subject_id, timestamp, step, r, var_pop(CASE WHEN r % 2 = 0 THEN acc END) OVER w < 0.05 AND max(CASE WHEN r % 2 = 0 THEN g END) OVER w < 0.25 AS still"
+              " FROM placed WINDOW w AS (PARTITION BY subject_id ORDER BY r ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)"),
+    ("walk", "SELECT *, CASE WHEN still THEN 1 ELSE 0 END AS run FROM trail WHERE r = 99"
+             " UNION ALL SELECT n.*, CASE WHEN n.still THEN least(p.run + 1, 3) ELSE 0 END FROM walk p JOIN trail n ON n.subject_id = p.subject_id"
+             " AND n.r = p.r + 10 * CASE WHEN p.run > 2 THEN 5 ELSE p.step END")).replace("WITH ", "WITH RECURSIVE ", 1))
+def adaptive(spark, sf_dir):
+    """Ticks of 400 ms, 800 ms on low power and 1000 ms after still ticks, several slices per subject."""
+    return adaptive_ticks(damped(spark, sf_dir), low_power=F.col("low"), keys=["subject_id"], slice_ticks=16)
+
+
 @query("w6_window_summary", with_ctes(
     "SELECT label, count(*) AS n_windows, count(DISTINCT subject_id) AS n_subjects FROM win GROUP BY 1"))
 def summary(spark, sf_dir):
