@@ -94,6 +94,15 @@ def j5(spark, sf_dir):
     return rounded(J.near_duplicates(*halves(spark, sf_dir)), "min_distance")
 
 
+@query("j5_nearest_train_windows", with_ctes(
+    "SELECT p.recording_id, p.segment, p.k, " + r6("min(1 - list_cosine_similarity(p.v, t.v))", "min_distance") + ", min(1 - list_cosine_similarity(p.v, t.v)) < 0.01 AS near_duplicate"
+    " FROM side p JOIN side t ON p.split = 'test' AND t.split = 'train' GROUP BY 1, 2, 3", *WINDOW_GROUPS))
+def j5_all(spark, sf_dir):
+    """Every test window with its nearest train window, none sampled."""
+    near = J.nearest_windows(*halves(spark, sf_dir))
+    return rounded(near, "min_distance")
+
+
 @query("j6_exact_duplicates", with_ctes(
     "SELECT count(*) AS exact_duplicates FROM (SELECT v FROM side WHERE split = 'train' INTERSECT SELECT v FROM side WHERE split = 'test')", *WINDOW_GROUPS))
 def j6(spark, sf_dir):
