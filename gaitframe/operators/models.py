@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from gaitframe.functions import columns as C
 from gaitframe.operators import metrics as M
 from gaitframe.operators.features import feature_names
+from gaitframe.operators.forest import forest_arrays, permuted_counts
 from gaitframe.operators.ordered import carry_forward, time_slice
 from gaitframe.operators.reports import balanced_weights
 from gaitframe.operators.splits import shuffled_rank
@@ -147,25 +148,20 @@ def permutation_importance(model: PipelineModel, scored: DataFrame, names: Seque
                            repeats: int = REPEATS, keys: Sequence[str] = ("recording_id", "segment", "k")) -> DataFrame:
     """Mean drop of the positive class's F1 when one feature is permuted.
 
-    All permutations are scored in one job: a row meets its donor of each repeat, and one copy
-    per feature takes that feature from the donor. A feature in no split of the model can't change a
-    prediction, so it gets no copies and a drop of 0. ``scored`` has ``features`` and ``label``.
+    All permutations are scored in one job: a row meets its donor of each repeat once, and a task walks the
+    forest's trees with each feature in turn taken from the donor (:mod:`gaitframe.operators.forest`), so no row is copied
+    for a feature and only counts leave a task. ``scored`` has ``features`` and ``label``; ``model`` ends in a forest (runs jobs).
     """
-    found = [s.featureImportances for s in model.stages if hasattr(s, "featureImportances")]
-    used = [i for i in range(len(names)) if not found or found[0][i] > 0]
-    rows = scored.select(*keys, "label", vector_to_array("features").alias("_x"))
+    spark, (index, scale, forest) = scored.sparkSession, model.stages[:3]
+    rows = scale.transform(scored).select(*keys, "label", vector_to_array("_scaled").alias("_x"))
     donors = shuffled_by(rows.withColumnRenamed("_x", "_y"), keys, ["_y"], range(1, repeats + 1))
-    both = rows.join(donors, list(keys))
-    spot = F.col("_f")
-    mixed = F.transform("_x", lambda v, i: F.when(i == spot, F.get("_y", i)).otherwise(v))
-    copies = both.withColumn("_f", F.explode(F.array(*map(F.lit, used)).cast("array<int>"))).select(
-        "label", "seed", "_f", array_to_vector(mixed).alias("features"))
-
-    def fall_f1(df, by):
-        return M.safety(predict(model, df), by, positive).select(*by, "fall_f1")
-
-    base = fall_f1(scored, []).scalar()
-    drops = fall_f1(copies, ["_f", "seed"]).groupBy("_f").agg((base - F.avg("fall_f1")).alias("fall_perm_importance"))
+    both = rows.join(donors, list(keys)).select(
+        F.coalesce(F.col("label") == positive, F.lit(False)).alias("is_positive"), "seed", F.col("_x").alias("x"), F.col("_y").alias("y"))
+    place = list(index.labels).index(positive) if positive in index.labels else -1
+    counts = permuted_counts(both, forest_arrays(spark, forest), place)
+    f1 = F.when(F.col("tp") > 0, 2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn"))).otherwise(0.0)
+    base = M.safety(predict(model, scored), (), positive).select("fall_f1").scalar()
+    drops = counts.groupBy(F.col("feature").alias("_f")).agg((base - F.avg(f1)).alias("fall_perm_importance"))
     listed = scored.sparkSession.createDataFrame(list(enumerate(names)), "_f int, feature string")
     return listed.join(drops, "_f", "left").select("feature", F.coalesce("fall_perm_importance", F.lit(0.0)).alias("fall_perm_importance"))
 

@@ -4,8 +4,10 @@ Each function writes its feature table once and fits on it (runs jobs).
 """
 
 import logging
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +17,7 @@ from gaitframe.operators import metrics as M
 from gaitframe.operators import models as MO
 from gaitframe.operators import splits as G
 from gaitframe.operators.features import extract_features
-from gaitframe.session import materialize
+from gaitframe.session import materialize, scratch_path
 
 log = logging.getLogger(__name__)
 KEYS = ["recording_id", "segment", "k"]
@@ -91,34 +93,52 @@ def cross_dataset(vectors: DataFrame, test_dataset: str = "kfall", fit: Fit = MO
     return out
 
 
-def cross_validate(vectors: DataFrame, k: int = 5, fit: Fit = MO.fit_forest, name: str = "Random Forest") -> DataFrame:
-    """Scored rows of a subject-grouped k-fold: ``model``, ``fold``, ``part``, ``label``, ``prediction``."""
+def scored_folds(rows: DataFrame, k: int, fit: Fit, parts: Sequence[str] = ("train", "val"), parallelism: int = 4) -> DataFrame:
+    """``fold, part, subject_id, label, prediction`` of ``k`` models, each fitted without the rows of its ``fold`` (runs jobs).
+
+    ``rows`` is a written table with ``fold`` (a row without one is in every training part). ``parallelism`` folds are fitted
+    at a time; each writes its scored rows, so a lost driver step or executor costs one fold, and no plan grows with ``k``.
+    """
+    spark = rows.sparkSession
+    path = scratch_path(spark, "scored-folds")
+
+    @inheritable_thread_target(spark)
+    def one(fold: int) -> list[str]:
+        side = {"train": rows.filter(~F.col("fold").eqNullSafe(fold)), "val": rows.filter(F.col("fold") == fold)}
+        model, written = fit(side["train"]), []
+        for part in parts:
+            scored = MO.predict(model, side[part].drop("fold")).select(F.lit(fold).alias("fold"), F.lit(part).alias("part"), "subject_id", "label", "prediction")
+            scored.write.parquet(f"{path}/{part}-{fold}")
+            written.append(f"{path}/{part}-{fold}")
+        return written
+
+    with ThreadPool(parallelism) as pool:
+        found = [p for paths in pool.map(one, range(k), chunksize=1) for p in paths]
+    kind = "fold int, part string, subject_id string, label string, prediction string"
+    return spark.read.schema(kind).parquet(*found) if found else spark.createDataFrame([], kind)
+
+
+def cross_validate(vectors: DataFrame, k: int = 5, fit: Fit = MO.fit_forest, name: str = "Random Forest", parallelism: int = 4) -> DataFrame:
+    """Scored rows of a subject-grouped k-fold: ``model``, ``fold``, ``part``, ``subject_id``, ``label``, ``prediction``. With fewer
+    than ``k`` subjects there are as many folds (runs jobs)."""
     folds = materialize(G.group_kfold(vectors, k), "folds")
     rows = materialize(vectors.join(folds.select("subject_id", "fold"), "subject_id"), "folded")
-    out = None
-    for fold in range(k):
-        train, val = rows.filter(F.col("fold") != fold), rows.filter(F.col("fold") == fold)
-        if val.isEmpty():
-            continue
-        model = fit(train)
-        for part, df in (("train", train), ("val", val)):
-            scored = MO.predict(model, df).select(
-                F.lit(name).alias("model"), F.lit(fold).alias("fold"), F.lit(part).alias("part"), "label", "prediction")
-            out = scored if out is None else out.unionByName(scored)
-    return out
+    used = (folds.agg(F.max("fold")).first()[0] + 1) if not folds.isEmpty() else 0
+    return scored_folds(rows, used, fit, parallelism=parallelism).select(F.lit(name).alias("model"), "*")
 
 
-def leave_one_subject_out(vectors: DataFrame, fit: Fit = MO.fit_forest, subjects: list[str] | None = None) -> DataFrame:
-    """Scored rows per held-out subject. One model per subject: give ``subjects`` to fit fewer."""
-    if subjects is None:
-        subjects = [r[0] for r in vectors.select("subject_id").distinct().orderBy("subject_id").collect()]
-    out = None
-    for subject in subjects:
-        held = F.col("subject_id") == subject
-        scored = MO.predict(fit(vectors.filter(~held)), vectors.filter(held)).select(
-            F.lit(subject).alias("fold"), "label", "prediction")
-        out = scored if out is None else out.unionByName(scored)
-    return out
+def leave_one_subject_out(vectors: DataFrame, fit: Fit = MO.fit_forest, subjects: list[str] | None = None, parallelism: int = 4) -> DataFrame:
+    """Scored rows per held-out subject, named by ``fold``. One model per subject: give ``subjects`` to fit fewer (runs jobs).
+
+    Subjects are numbered by rank on the cluster; the driver learns how many there are.
+    """
+    named = vectors.select("subject_id").distinct()
+    if subjects is not None:
+        named = named.filter(F.col("subject_id").isin(subjects))
+    numbered = materialize(G.shuffled_rank(named, [], 42, "subject_id").withColumnRenamed("rank", "fold"), "subjects")
+    rows = materialize(vectors.join(numbered, "subject_id", "left"), "folded")
+    scored = scored_folds(rows, numbered.count(), fit, ("val",), parallelism)
+    return scored.select(F.col("subject_id").alias("fold"), "label", "prediction")
 
 
 def real_data_report(windows: DataFrame, own_windows: DataFrame, fit: Fit = MO.fit_forest) -> DataFrame:

@@ -194,6 +194,30 @@ def m14(spark, sf_dir):
     return MO.on_device_gates(ticks, slice_ms=None).select("recording_id", "tick", "still_ticks", "gate", "label", "confidence")
 
 
+@query("q7_fitted_folds", with_ctes(
+    "SELECT f AS fold, CASE WHEN own = f THEN 'val' ELSE 'train' END AS part, label, count(*) AS n_rows, count(*) AS n_known"
+    " FROM (SELECT win.*, own FROM win JOIN given USING (subject_id)), range(5) t(f) GROUP BY ALL",
+    ("sz", "SELECT subject_id, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, md5(subject_id), subject_id) AS i FROM win GROUP BY 1"),
+    ("assign", "SELECT CAST(0 AS BIGINT) AS i, [0, 0, 0, 0, 0]::BIGINT[] AS loads, ''::VARCHAR AS subject_id, 0 AS own UNION ALL"
+               " SELECT sz.i, list_transform(loads, lambda x, j: CASE WHEN j = list_position(loads, list_min(loads)) THEN x + n ELSE x END), sz.subject_id,"
+               " list_position(loads, list_min(loads))::INT - 1 FROM assign JOIN sz ON sz.i = assign.i + 1"),
+    ("given", "SELECT subject_id, own FROM assign WHERE i > 0")).replace("WITH ", "WITH RECURSIVE ", 1))
+def q7_fitted(spark, sf_dir):
+    """Five forests, each fitted on four folds of subjects: support of every class, and rows labelled with a known class."""
+    vectors = X.feature_vectors(windows(spark, sf_dir))
+    scored = X.cross_validate(vectors, 5, lambda train: MO.fit_forest(train, trees=20))
+    return scored.groupBy(F.col("fold").cast("long").alias("fold"), "part", "label").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("prediction").isin(VALID_LABELS)).alias("n_known"))
+
+
+@query("q10_fitted_subjects", with_ctes("SELECT subject_id AS fold, label, count(*) AS n_rows, count(*) AS n_known FROM win GROUP BY 1, 2"))
+def q10_fitted(spark, sf_dir):
+    """One tree per subject, fitted on all others."""
+    vectors = X.feature_vectors(windows(spark, sf_dir))
+    scored = X.leave_one_subject_out(vectors, lambda train: MO.fit_tree(train, 6), parallelism=8)
+    return scored.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("prediction").isin(VALID_LABELS)).alias("n_known"))
+
+
 @query("q11_cross_dataset")
 def q11(spark, sf_dir):
     return X.cross_dataset(parts(spark, sf_dir)[0])

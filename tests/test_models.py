@@ -53,6 +53,42 @@ def test_permutation_importance_finds_the_feature(vectors):
     assert set(got) == {"a", "b", "c"} and got["a"] > 0.3 and abs(got["b"]) < 0.1 and abs(got["c"]) < 0.1
 
 
+@pytest.mark.parametrize("depth", [2, 6])
+def test_permutation_importance_equals_scoring_copies(spark, vectors, depth):
+    """The walk over node arrays gives the numbers that the model gives for copied rows."""
+    from pyspark.ml.functions import vector_to_array
+    model, keys, names = MO.fit_fall_forest(vectors, trees=9, depth=depth), ["recording_id", "segment", "k"], ["a", "b", "c"]
+    got = {r["feature"]: r["fall_perm_importance"] for r in MO.permutation_importance(model, vectors, names, repeats=4).collect()}
+    rows = vectors.select(*keys, "label", vector_to_array("features").alias("x"))
+    both = rows.join(MO.shuffled_by(rows.withColumnRenamed("x", "y"), keys, ["y"], range(1, 5)), keys).collect()
+    base = M.safety(MO.predict(model, vectors)).first()["fall_f1"]
+    for i, name in enumerate(names):
+        copies = spark.createDataFrame([(r.label, r.seed, [r.y[j] if j == i else v for j, v in enumerate(r.x)]) for r in both], "label string, seed int, x array<double>")
+        scored = MO.predict(model, copies.withColumn("features", array_to_vector("x")))
+        want = base - M.safety(scored, ["seed"]).agg(F.avg("fall_f1")).first()[0]
+        assert got[name] == pytest.approx(want, abs=1e-12)
+
+
+def test_leave_one_subject_out_fits_without_the_subject(vectors):
+    seen = []
+
+    def fit(train):
+        seen.append({r[0] for r in train.select("subject_id").distinct().collect()})
+        return MO.fit_tree(train, 3)
+
+    scored = X.leave_one_subject_out(vectors, fit)
+    assert sorted(12 - len(s) for s in seen) == [1] * 12 and len(set.union(*seen)) == 12
+    assert {r.fold: r.n for r in scored.groupBy("fold").agg(F.count("*").alias("n")).collect()} == {f"s{i}": 20 for i in range(12)}
+    assert M.overall(scored).first()["accuracy"] > 0.95
+
+
+def test_folds_of_few_subjects_and_of_nothing(vectors):
+    two = vectors.filter("subject_id IN ('s0', 's1', 's2')")
+    scored = X.cross_validate(two, 5, lambda train: MO.fit_tree(train, 2))
+    assert {r.fold for r in scored.select("fold").distinct().collect()} == {0, 1, 2} and scored.filter("part = 'val'").count() == 60
+    assert X.leave_one_subject_out(vectors.limit(0)).count() == 0
+
+
 def test_shuffled_labels_are_a_permutation(vectors):
     shuffled = MO.shuffle_labels(vectors)
     before, after = ({r[0]: r[1] for r in d.groupBy("label").count().collect()} for d in (vectors, shuffled))
