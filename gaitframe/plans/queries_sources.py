@@ -1,4 +1,6 @@
-"""Queries over the readers and sinks. The lines of the files are derived from the sensor view."""
+"""Queries over the readers and sinks. The files are written from the sensor view, one per recording, and read back."""
+
+import warnings
 
 from pyspark.sql import functions as F
 
@@ -11,35 +13,38 @@ from gaitframe.schema import SENSORS
 from gaitframe.session import materialize, scratch_path
 from gaitframe.sources import recordings as R
 from gaitframe.sources import sinks as S
-from gaitframe.sources.lines import quarantine, with_header
+from gaitframe.sources.lines import UnreadableFile, quarantine, read_lines, unread_files, with_header
 
 
 def text(c):
     return F.coalesce(F.col(c).cast("string"), F.lit(""))
 
 
-def as_lines(rows, path, header, value):
-    """Rows of the view as the lines of one file per recording, header first, written once."""
+def as_files(rows, path, header, value):
+    """Root of a new folder with the rows of the view as one file per recording, header first."""
     body = rows.select(path.alias("file_path"), F.lit(0).cast("long").alias("block_start"), F.col("timestamp").alias("line_id"), value.alias("value"))
+    root = scratch_path(rows.sparkSession, "recordings")
     if header is None:
-        return materialize(body, "lines")
+        S.write_text_files(body, root)
+        return root
     heads = rows.select(path.alias("file_path"), header.alias("value")).distinct().select(
         "file_path", F.lit(0).cast("long").alias("block_start"), F.lit(-1).cast("long").alias("line_id"), "value")
-    return materialize(body.unionByName(heads), "lines")
+    S.write_text_files(body.unionByName(heads), root)
+    return root
 
 
-def session_lines(spark, sf_dir):
+def session_files(spark, sf_dir):
     """Two header orders, mixed by the parity of the session; every 61st line has a field too many."""
     rows = sensor_view(spark, sf_dir)
     session = F.regexp_extract("recording_id", "(r[0-9]+)$", 1)
     even = F.regexp_extract("recording_id", "r([0-9]+)$", 1).cast("long") % 2 == 0
-    path = F.concat(F.lit("/in/"), F.translate("subject_id", "_", "-"), F.lit("_"), session, F.lit("_"), F.translate("phone_position", "_", "-"), F.lit(".csv"))
+    path = F.concat(F.translate("subject_id", "_", "-"), F.lit("_"), session, F.lit("_"), F.translate("phone_position", "_", "-"), F.lit(".csv"))
     forward = F.concat_ws(",", *[text(c) for c in ("timestamp", *SENSORS)], F.initcap("label"))
     backward = F.concat_ws(",", F.col("label"), *[text(c) for c in (*reversed(SENSORS), "timestamp")])
     extra = F.when(F.floor(F.col("timestamp") / 20) % 61 == 0, ",surplus").otherwise("")
     value = F.concat(F.when(even, forward).otherwise(backward), extra)
     header = F.when(even, "timestamp,ax,ay,az,gx,gy,gz,label").otherwise(" Label,GZ,gy,gx,az,ay,ax, Timestamp")
-    return as_lines(rows, path, header, value)
+    return as_files(rows, path, header, value)
 
 
 STEM = "concat(translate(subject_id, '_', '-'), '_', regexp_extract(recording_id, '(r[0-9]+)$', 1), '_', translate(phone_position, '_', '-'))"
@@ -53,7 +58,7 @@ GOOD = ("good", "SELECT * FROM sensor WHERE timestamp // 20 % 61 <> 0")
     ("parts", "SELECT *, CAST(sum(c) OVER (PARTITION BY recording_id ORDER BY timestamp ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INTEGER) AS segment FROM jumps"),
     ("numbered", "SELECT *, row_number() OVER (PARTITION BY recording_id, segment ORDER BY timestamp) - 1 AS pos FROM parts")))
 def s1(spark, sf_dir):
-    return R.session_rows(session_lines(spark, sf_dir), bounded=True).groupBy("subject_id", "recording_id", "segment").agg(
+    return R.read_sessions(spark, session_files(spark, sf_dir), bounded=True).groupBy("subject_id", "recording_id", "segment").agg(
         F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("ax"), 6).alias("sum_ax"), F.max("pos").alias("last_pos"))
 
 
@@ -61,7 +66,7 @@ def s1(spark, sf_dir):
     "SELECT concat('own_', translate(subject_id, '_', '-')) AS subject_id, concat('own_', translate(subject_id, '_', '-'), '_', regexp_extract(recording_id, '(r[0-9]+)$', 1)) AS recording_id,"
     " translate(phone_position, '_', '-') AS phone_position, label AS unified_label, count(*) AS n_rows, count(gx) AS n_gx FROM good GROUP BY ALL", GOOD))
 def s2(spark, sf_dir):
-    return R.own_rows(session_lines(spark, sf_dir)).groupBy("subject_id", "recording_id", "phone_position", "unified_label").agg(
+    return R.read_own(spark, session_files(spark, sf_dir)).groupBy("subject_id", "recording_id", "phone_position", "unified_label").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count("gx").alias("n_gx"))
 
 
@@ -80,12 +85,12 @@ def s3(spark, sf_dir):
     supp, session = F.regexp_extract("recording_id", "_([0-9]+)_r", 1), F.regexp_extract("recording_id", "_r([0-9]+)$", 1)
     code = F.element_at(F.array(*[F.lit(c) for c in CODES]), ((supp.cast("long") + session.cast("long")) % 6 + 1).cast("int"))
     trial = F.concat(F.translate("dataset_id", "_", "."), session)
-    path = F.concat(F.lit("/in/MobiAct/"), F.lower(code), F.lit("/"), code, F.lit("_"), supp, F.lit("_"), trial, F.lit(".csv"))
+    path = F.concat(F.lit("MobiAct/"), F.lower(code), F.lit("/"), code, F.lit("_"), supp, F.lit("_"), trial, F.lit(".csv"))
     odd = supp.cast("long") % 2 == 1
     header = F.when(odd, "timestamp,acc_x,acc_y,acc_z,gyro_x,gyro_y,gyro_z,azimuth").otherwise("Time,Accel_X,Accel_Y,Accel_Z,GX,GY,GZ")
     value = F.concat_ws(",", *[text(c) for c in ("timestamp", *SENSORS)])
     value = F.concat(value, F.when(F.col("timestamp") % 400 == 0, " # marked").otherwise(""))
-    out = R.mobiact_rows(as_lines(rows, path, header, value))
+    out = R.read_mobiact(spark, as_files(rows, path, header, value))
     return out.select(F.translate("recording_id", ".", "_").alias("recording_id"), "unified_label", "timestamp",
                       F.round("ax", 6).alias("ax"), F.round("gx", 6).alias("gx"))
 
@@ -106,9 +111,9 @@ def s4(spark, sf_dir):
     supp, session = F.regexp_extract("recording_id", "_([0-9]+)_r", 1).cast("long"), F.regexp_extract("recording_id", "_r([0-9]+)$", 1).cast("long")
     code = F.element_at(F.array(F.lit("F05"), F.lit("D06"), F.lit("D10")), (session % 3 + 1).cast("int"))
     folder = F.concat(F.when(supp % 2 == 0, "SA").otherwise("SE"), F.format_string("%02d", supp))
-    path = F.concat(F.lit("/in/SisFall_dataset/"), folder, F.lit("/"), code, F.lit("_"), folder, F.lit("_R"), F.format_string("%02d", session), F.lit(".txt"))
-    lines = as_lines(rows, path, None, F.concat(numbers(*SENSORS), F.lit(";")))
-    return R.sisfall_rows(lines).select("recording_id", "unified_label", "timestamp", F.round("ax", 6).alias("ax"))
+    path = F.concat(F.lit("SisFall_dataset/"), folder, F.lit("/"), code, F.lit("_"), folder, F.lit("_R"), F.format_string("%02d", session), F.lit(".txt"))
+    root = as_files(rows, path, None, F.concat(numbers(*SENSORS), F.lit(";")))
+    return R.read_sisfall(spark, root).select("recording_id", "unified_label", "timestamp", F.round("ax", 6).alias("ax"))
 
 
 @query("s5_two_positions", with_ctes(
@@ -122,11 +127,11 @@ def s5(spark, sf_dir):
     rows = sensor_view(spark, sf_dir)
     supp, session = F.regexp_extract("recording_id", "_([0-9]+)_r", 1).cast("long"), F.regexp_extract("recording_id", "_r([0-9]+)$", 1).cast("long")
     who = F.concat(F.lit("S"), F.format_string("%02d", supp))
-    path = F.concat(F.lit("/in/KFall/KFall_dataset/"), who, F.lit("/"), who, F.lit("_ADL03_T"), F.format_string("%02d", session), F.lit("_"),
+    path = F.concat(F.lit("KFall/KFall_dataset/"), who, F.lit("/"), who, F.lit("_ADL03_T"), F.format_string("%02d", session), F.lit("_"),
                     F.when(supp % 2 == 0, "waist").otherwise("Wrist"), F.lit(".csv"))
     value = F.concat_ws(",", F.lit("7"), *[text(c) for c in SENSORS])
-    lines = as_lines(rows, path, F.lit("SampleTimeFine,acc_x,acc_y,acc_z,gyr_x,gyr_y,gyr_z"), value)
-    return R.kfall_rows(lines).select("recording_id", "phone_position", "unified_label", "timestamp", F.round("ax", 6).alias("ax"), F.round("gx", 6).alias("gx"))
+    root = as_files(rows, path, F.lit("SampleTimeFine,acc_x,acc_y,acc_z,gyr_x,gyr_y,gyr_z"), value)
+    return R.read_kfall(spark, root).select("recording_id", "phone_position", "unified_label", "timestamp", F.round("ax", 6).alias("ax"), F.round("gx", 6).alias("gx"))
 
 
 @query("s6_precut_windows", with_ctes(
@@ -141,13 +146,24 @@ def s6(spark, sf_dir):
     cut = windows(spark, sf_dir).select(F.lit("adl").alias("kind"), number.alias("w"), flat.alias("values"),
                                         (number % 3 + 1).cast("int").alias("class_index"), F.regexp_extract("subject_id", "([0-9]+)$", 1).cast("int").alias("subject"))
     names = spark.createDataFrame([("adl", 1, "WAL"), ("adl", 2, "JOG")], "kind string, class_index int, name string")
-    return R.unimib_rows(cut, names).select("recording_id", "timestamp", F.round("ax", 6).alias("ax"), "unified_label")
+    root = scratch_path(spark, "precut")
+    cut.write.parquet(f"{root}/windows")
+    names.write.parquet(f"{root}/names")
+    return R.read_unimib(spark, root).select("recording_id", "timestamp", F.round("ax", 6).alias("ax"), "unified_label")
 
 
 @query("s8_quarantine", with_ctes(
-    f"SELECT concat('/in/', {STEM}, '.csv') AS file_path, 'malformed lines' AS reason, count(*) AS n_lines FROM sensor WHERE timestamp // 20 % 61 = 0 GROUP BY 1"))
+    f"SELECT concat({STEM}, '.csv') AS file_path, 'malformed lines' AS reason, count(*) AS n_lines FROM sensor WHERE timestamp // 20 % 61 = 0 GROUP BY 1"
+    " UNION ALL SELECT 'broken_r0.csv.gz', 'no readable line', 0"))
 def s8(spark, sf_dir):
-    return quarantine(with_header(session_lines(spark, sf_dir), R.SESSION_COLUMNS))
+    """What reading leaves out: lines with a field too many, and a file that is no archive."""
+    root = session_files(spark, sf_dir)
+    S.write_text_files(spark.createDataFrame([("broken_r0.csv.gz", 0, 0, "no archive")], "file_path string, block_start long, line_id long, value string"), root)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", UnreadableFile)
+        lines = read_lines(spark, root)
+    left = quarantine(with_header(lines, R.SESSION_COLUMNS)).unionByName(unread_files(spark, root, lines))
+    return left.withColumn("file_path", F.substring_index("file_path", "/", -1))
 
 
 HARMONIZED = ("harm", "SELECT dataset_id, subject_id, CASE WHEN subject_id LIKE '%older%' THEN 'older_adult' WHEN subject_id LIKE '%young%' THEN 'young_adult' WHEN subject_id LIKE 'own%' THEN 'unknown' ELSE 'adult' END AS age_group,"

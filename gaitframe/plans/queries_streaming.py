@@ -15,7 +15,7 @@ from gaitframe.plans.queries_windows import TICKS, device_ticks
 from gaitframe.plans.sensor import clean_samples, table, windows
 from gaitframe.plans.sql import r6, with_ctes
 from gaitframe.schema import ACC, GYR, SENSORS, VALID_LABELS
-from gaitframe.session import scratch_path
+from gaitframe.session import materialize, scratch_path
 from gaitframe.streaming import live as L
 from gaitframe.streaming.replay import replay, start_available, stream_session
 
@@ -28,7 +28,8 @@ def samples(spark, sf_dir):
 
 
 def halves(df, ts="timestamp", cut=CUT_MS, mixed_ms=1_500):
-    """Two parts, swapped by a digest of the row within ``mixed_ms`` of the cut."""
+    """Two parts (of a written table), swapped by a digest of the row within ``mixed_ms`` of the cut."""
+    df = materialize(df, "stream-source")
     near = F.abs(F.col(ts) - cut) <= mixed_ms
     first = F.when(near, F.xxhash64(F.to_json(F.struct(*df.columns))) % 2 == 0).otherwise(F.col(ts) < cut)
     return [df.filter(first), df.filter(~first)]

@@ -58,8 +58,8 @@ def session_rows(lines: DataFrame, segments: bool = True, bounded: bool = False)
     return add_segments(rows, slice_ms=None) if segments and bounded else add_segments(rows) if segments else rows
 
 
-def read_sessions(spark: SparkSession, path: str) -> DataFrame:
-    return session_rows(L.read_lines(spark, path))
+def read_sessions(spark: SparkSession, path: str, **options) -> DataFrame:
+    return session_rows(L.read_lines(spark, path), **options)
 
 
 def read_session(spark: SparkSession, path: str) -> DataFrame:

@@ -1,11 +1,19 @@
-"""Caches, session and archive CSV, reports, split manifests."""
+"""Caches, session and archive CSV, named text files, reports, split manifests."""
 
+import posixpath
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaitframe.operators.splits import assert_no_leakage, subject_split
 from gaitframe.schema import SAMPLE_MS, SENSORS, SESSION_SCHEMA
+from gaitframe.session import materialize
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -40,6 +48,46 @@ def cached(spark: SparkSession, path: str, build) -> DataFrame:
     return found
 
 
+def write_text_files(lines: DataFrame, root: str) -> DataFrame:
+    """Lines (``file_path`` below ``root``, ``block_start``, ``line_id``, ``value``) as one text file per ``file_path``.
+
+    Spark's own writers choose the names of their files; recordings are known by theirs. A file is streamed by one task, in
+    the order of its lines, and moved to its name when it is whole, so a task that is run again leaves no half file. Returns
+    ``file_path, n_lines`` (runs a job). ``root`` is a folder that all executors can reach and pyarrow can open.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(re.sub("^file:/+", "/", root))
+        task, done, at, sink = TaskContext.get().taskAttemptId(), [], None, None
+
+        def hidden(name: str) -> str:
+            folder, last = posixpath.split(name)
+            return posixpath.join(folder, f".{last}.{task}")
+
+        def close() -> None:
+            if sink is not None:
+                sink.close()
+                store.move(f"{base}/{hidden(at)}", f"{base}/{at}")
+
+        for batch in batches:
+            names = batch.column("file_path").to_pylist()
+            for name, value in zip(names, batch.column("value").to_pylist(), strict=True):
+                if name != at:
+                    close()
+                    at = name
+                    store.create_dir(posixpath.dirname(f"{base}/{name}"), recursive=True)
+                    sink = store.open_output_stream(f"{base}/{hidden(name)}", buffer_size=1 << 16)
+                    done.append([name, 0])
+                sink.write(f"{value or ''}\n".encode())
+                done[-1][1] += 1
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], ["file_path", "n_lines"])
+
+    order = ["file_path", "block_start", "line_id"]
+    rows = lines.repartition("file_path").sortWithinPartitions(*order).select("file_path", "value")
+    return materialize(rows.mapInArrow(write, "file_path string, n_lines long"), "written-files")
+
+
 def session_name(ts: Column) -> Column:
     return F.concat(F.lit("activity_"), F.date_format(ts, "yyyyMMdd_HHmmss"))
 

@@ -234,3 +234,27 @@ def test_other_read_failures_are_raised(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(T, "_DECODERS", ("at java.net.",))
     with pytest.raises(Exception, match="FAILED_READ_FILE"):
         T.read_lines(spark, str(tmp_path))
+
+
+def test_named_files_are_written_in_order_and_read_back(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = [(f"kind {k % 3}/f{k}.txt", 0, i, None if i == 3 else f"line {i} é of {k}") for k in range(9) for i in rng.permutation(300 if k else 1).tolist()]
+    lines = spark.createDataFrame(rows, "file_path string, block_start long, line_id long, value string").repartition(5)
+    root = str(tmp_path / "named")
+    got = {r.file_path: r.n_lines for r in S.write_text_files(lines, root).collect()}
+    assert got == {f"kind {k % 3}/f{k}.txt": 300 if k else 1 for k in range(9)}
+    for k in range(9):
+        want = ["" if i == 3 else f"line {i} é of {k}" for i in range(300 if k else 1)]
+        assert (tmp_path / "named" / f"kind {k % 3}" / f"f{k}.txt").read_text().split("\n")[:-1] == want
+    assert S.write_text_files(lines, f"file://{root}").count() == 9
+    assert len(list((tmp_path / "named").rglob("*"))) == 12
+    assert S.write_text_files(lines.limit(0), str(tmp_path / "none")).count() == 0
+    assert T.read_lines(spark, root).count() == 8 * 299 + 1
+
+
+def test_unimib_folders(spark, tmp_path):
+    spark.createDataFrame([("adl", 2, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0], 1, 7), ("fall", 0, [9.0, 9.0, 9.0], 5, 8)],
+                          "kind string, w int, values array<double>, class_index int, subject int").write.parquet(f"{tmp_path}/windows")
+    spark.createDataFrame([("adl", 1, "WAL")], "kind string, class_index int, name string").write.parquet(f"{tmp_path}/names")
+    got = {(r.recording_id, r.ax, r.az, r.unified_label) for r in R.read_unimib(spark, str(tmp_path)).collect()}
+    assert got == {("unimib_07_adl_0002", 1.0, 3.0, "walking"), ("unimib_07_adl_0002", 4.0, 6.0, "walking"), ("unimib_08_fall_0000", 9.0, 9.0, "unknown")}
