@@ -8,16 +8,18 @@ down pair by pair: a pair of intervals farther apart than eps is skipped with al
 pairs of runs, multiplied as matrices; pairs near the limit are decided in double precision on the given
 components.
 
-Scale. Equal vectors are one row with a count. Runs are dealt by pair of runs, so the work of a dense region
-is spread; a task holds two runs. Within a pair of runs only link counts and a spanning set of links leave the
-task, never the links. The tree and the pairs are tables.
+Scale. Equal vectors are one row with a count. Runs are dealt by pairs of tiles (``TILE`` neighbouring runs and ``TILE_BYTES`` at
+most, fewer where that leaves cores idle): a task holds the runs of two tiles and multiplies the pairs of runs that are left, so a
+run is sent once per tile it meets and not once per run, and the work of a dense region is spread. Only link counts and
+a spanning set of links leave the task, never the links. The tree and the pairs are tables.
 
-Cases. Null, empty and zero vectors, vectors with null or non-finite components and vectors of another length
-than most link with nothing: no links, own component, kept. Repeated ids are vectors of their own for counts;
+Cases. Null, empty and zero vectors and vectors with null or non-finite components link with nothing: no links, own
+component, kept. Vectors of different lengths never link; the vectors of each length are joined by themselves. Repeated ids are vectors of their own for counts;
 the component is named by the smallest id. Null ids never name a component (a component of null ids is null).
 """
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,8 @@ from gaitframe.llm.components import connected_components
 from gaitframe.session import materialize
 
 BLOCK = 2048
+TILE = 64
+TILE_BYTES = 64 << 20
 FAN = 16
 AXES = 8
 _NEAR = 1e-4
@@ -126,6 +130,15 @@ def _run_pairs(runs: DataFrame, n_runs: int, eps: float) -> DataFrame:
 
 def similar_vectors(df: DataFrame, cosine: float = 0.9, vector: str = "embedding", vec_id: str = "vec_id") -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row (runs jobs; ``cosine`` must be above 0)."""
+    size = F.size(vector)
+    lengths = sorted(r.n for r in df.filter(size > 0).select(size.alias("n")).distinct().collect())
+    if len(lengths) < 2:
+        return _of_one_length(df, cosine, vector, vec_id)
+    parts = [df.filter(size == n) for n in lengths] + [df.filter(~F.coalesce(size > 0, F.lit(False)))]
+    return reduce(DataFrame.union, [_of_one_length(part, cosine, vector, vec_id) for part in parts])
+
+
+def _of_one_length(df: DataFrame, cosine: float, vector: str, vec_id: str) -> DataFrame:
     eps = float(np.sqrt(2 - 2 * cosine))
     packed, kind = _packed(df, vector, vec_id)
     distinct = packed.filter("v IS NOT NULL").groupBy("v").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("id"))
@@ -176,15 +189,7 @@ def similar_vectors(df: DataFrame, cosine: float = 0.9, vector: str = "embedding
     runs = _numbered(runs)
     n_runs = runs.count()
     pairs = _run_pairs(runs.select("run", *[f"{s}{i}" for s in ("lo", "hi") for i in range(AXES)]), n_runs, eps)
-    whole = runs.select("run", "keys", "copies", "vectors")
-    met = pairs.join(whole.toDF("a", "keys_a", "copies_a", "vectors_a"), "a").join(whole.toDF("b", "keys_b", "copies_b", "vectors_b"), "b")
-
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(len(batch)):
-                yield _links_of_pair(batch, r, cosine, kind)
-
-    counted = materialize(met.mapInArrow(links, "key long, n long, other long"), "links")
+    counted = materialize(_tiles(pairs, runs, n_runs, axes.shape[0]).mapInArrow(_links_of_tiles(cosine, kind), "key long, n long, other long"), "links")
     degree = counted.filter("n > 0").groupBy("key").agg(F.sum("n").alias("n"))
     parts = connected_components(counted.filter("other IS NOT NULL").select(F.col("key").alias("a"), F.col("other").alias("b")))
     named = distinct.join(parts, distinct["key"] == parts["node"], "left").select("v", "key", "id", "copies", F.coalesce("component", "key").alias("component"))
@@ -209,15 +214,41 @@ def _numbered(runs: DataFrame) -> DataFrame:
     return runs.withColumn("run", start + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)))
 
 
-def _links_of_pair(batch: pa.RecordBatch, r: int, cosine: float, kind: str) -> pa.RecordBatch:
-    """Link counts (copies of the linked vectors) and spanning links of one pair of runs."""
-    same = batch.column("a")[r].as_py() == batch.column("b")[r].as_py()
-    keys, copies, units = [], [], []
-    for s in "ab":
-        keys.append(np.frombuffer(batch.column(f"keys_{s}")[r].as_py(), np.int64))
-        copies.append(np.frombuffer(batch.column(f"copies_{s}")[r].as_py(), np.int64))
-        rows = np.frombuffer(batch.column(f"vectors_{s}")[r].as_py(), kind).reshape(len(keys[-1]), -1)
-        units.append(_unit(rows.astype(np.float64)))
+def _tiles(pairs: DataFrame, runs: DataFrame, n_runs: int, dim: int) -> DataFrame:
+    """Rows by pair of tiles: the runs that it needs (kind 0), then its pairs of runs (kind 1)."""
+    cores = runs.sparkSession.sparkContext.defaultParallelism
+    tile = max(1, min(TILE, TILE_BYTES // (BLOCK * dim * 8), int(n_runs / (4 * cores) ** 0.5)))
+    tiled = materialize(pairs.select("a", "b", F.floor(F.col("a") / tile).alias("ta"), F.floor(F.col("b") / tile).alias("tb")), "run-pairs")
+    needed = tiled.select("ta", "tb", F.explode(F.array("a", "b")).alias("run")).distinct()
+    held = needed.join(runs.select("run", "keys", "copies", "vectors"), "run").select(
+        "ta", "tb", F.lit(0).alias("kind"), F.col("run").alias("a"), F.col("run").alias("b"), "keys", "copies", "vectors")
+    none = [F.lit(None).cast("binary").alias(c) for c in ("keys", "copies", "vectors")]
+    met = held.union(tiled.select("ta", "tb", F.lit(1).alias("kind"), "a", "b", *none))
+    return met.repartition("ta", "tb").sortWithinPartitions("ta", "tb", "kind", "a", "b")
+
+
+def _links_of_tiles(cosine: float, kind: str):
+    def run(batch: pa.RecordBatch, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keys, copies = (np.frombuffer(batch.column(c)[r].as_py(), np.int64) for c in ("keys", "copies"))
+        return keys, copies, _unit(np.frombuffer(batch.column("vectors")[r].as_py(), kind).reshape(len(keys), -1).astype(np.float64))
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tiles, held = None, {}
+        for batch in batches:
+            for r, (ta, tb, what, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("ta", "tb", "kind", "a", "b")), strict=True)):
+                if (ta, tb) != tiles:
+                    tiles, held = (ta, tb), {}
+                if what == 0:
+                    held[a] = run(batch, r)
+                else:
+                    yield _links_of_pair(held[a], held[b], a == b, cosine)
+
+    return over
+
+
+def _links_of_pair(a: tuple, b: tuple, same: bool, cosine: float) -> pa.RecordBatch:
+    """Link counts (copies of the linked vectors) and spanning links of one pair of runs (keys, copies, unit vectors)."""
+    keys, copies, units = zip(a, b, strict=True)
     rough = units[0].astype(np.float32) @ units[1].astype(np.float32).T
     i, j = np.nonzero(rough >= cosine - _NEAR)
     ok = rough[i, j] > cosine + _NEAR

@@ -313,7 +313,7 @@ def _met(trees: DataFrame, anchors: DataFrame, groups: int, keep: int, same: boo
         asked = asked.join(kinds, "group").filter("label BETWEEN low AND high")
     asked = asked.select("group", F.lit(1).alias("kind"), "label", F.size("x").alias("dim"), *[F.lit(None).cast(f.split()[1]).alias(f.split()[0]) for f in fields[2:]],
                          "key", "id", "x", "lo", "hi")
-    met = held.union(asked).repartition(groups, "group").sortWithinPartitions("group", "kind")
+    met = held.union(asked).repartitionById(groups, "group").sortWithinPartitions("group", "kind")
     found = met.mapInArrow(_seek(keep, same), "key long, window int, id long, score long")
     place = F.row_number().over(Window.partitionBy("key", "window").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", place).filter(F.col("rank") <= keep)

@@ -34,7 +34,7 @@ from gaitframe.llm import textvec
 from gaitframe.session import materialize
 
 MARK_BITS = 22
-GROUP = 1 << 21
+GROUP = 1 << 20
 PORTION = 256
 
 
@@ -235,7 +235,7 @@ def rank_documents(docs: DataFrame, queries: DataFrame, top: int = 20, text: str
                            F.lit(None).cast("array<int>").alias("often"), "weights", query)
 
     met = held.union(everywhere(pairs, 1, F.lit(None).cast("long").alias("query"))).union(everywhere(ordered, 2, F.col("query")))
-    met = met.repartition(groups, "group").sortWithinPartitions("group", "portion", "kind")
+    met = met.repartitionById(groups, "group").sortWithinPartitions("group", "portion", "kind")
     found = met.mapInArrow(_search(top), "query long, doc_id long, score long")
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))
     ranked = found.withColumn("rank", place).filter(F.col("rank") <= top)

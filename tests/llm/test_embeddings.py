@@ -74,3 +74,13 @@ def test_empty(spark):
     assert embeddings.similar_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     only = embeddings.similar_vectors(spark.createDataFrame([(4, None)], "vec_id long, embedding array<float>")).collect()
     assert [tuple(r) for r in only] == [(4, 0, 4, True)]
+
+
+def test_vectors_of_each_length_link_among_themselves(spark):
+    rng = np.random.default_rng(8)
+    base = {n: rng.normal(size=n).tolist() for n in (4, 9)}
+    rows = [(10 * n + i, base[n][:] if i < 3 else rng.normal(size=n).tolist()) for n in (4, 9) for i in range(40 if n == 4 else 12)] + [(1, None), (2, [])]
+    got = {r.vec_id: r for r in embeddings.similar_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), cosine=0.999).collect()}
+    assert len(got) == len(rows)
+    assert all(got[10 * n + i].component_id == 10 * n and got[10 * n + i].n_links == 2 for n in (4, 9) for i in range(3))
+    assert got[1].kept and got[2].n_links == 0
