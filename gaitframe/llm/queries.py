@@ -37,12 +37,25 @@ def op1_simhash(spark, sf_dir):
     return docs.withColumn("fingerprint", simhash.as_hex(F.col("fingerprint")[0]))
 
 
-@query("op2_embeddings")
+@query("op2_embeddings", """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda e: e::DOUBLE) AS x FROM embeddings),
+usable AS (SELECT * FROM v WHERE vec_id IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0
+             AND len(list_filter(x, lambda e: e <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.9),
+reached(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+parts AS (SELECT a, min(b) AS component_id FROM reached GROUP BY a)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN parts ON a = vec_id
+""")
 def op2_embeddings(spark, sf_dir):
     return embeddings.similar_vectors(table(spark, sf_dir, "embeddings"), cosine=0.9)
 
 
-@query("op3_warc")
+@query("op3_warc", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+g AS (SELECT h, max(page_id) AS m FROM p WHERE strlen(h) >= 1000 GROUP BY h)
+SELECT page_id, strlen(p.h)::BIGINT AS payload_bytes, sha1(p.h) AS payload_digest, CASE WHEN m <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN m <> page_id THEN m END AS refers_to FROM p LEFT JOIN g ON p.h = g.h
+""")
 def op3_warc(spark, sf_dir):
     """Archives of all pages, read back: sizes and digests are those of the payloads read, for revisits those of their headers."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html", F.col("page_id").alias("revisit_order"),
