@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from gaitframe.operators import metrics as M
 from gaitframe.operators import models as MO
+from gaitframe.operators import network as NN
 from gaitframe.operators import windows as W
 from gaitframe.operators.cleaning import add_age_group
 from gaitframe.operators.features import feature_names
@@ -74,6 +75,18 @@ def m7(spark, sf_dir):
     return M.evaluate(MO.predict(MO.fit_perceptron(train), test))
 
 
+def raw_parts(spark, sf_dir):
+    raw = MO.with_window_vector(windows(spark, sf_dir)).select("recording_id", "segment", "k", "subject_id", "label", "features")
+    return [materialize(part, "part") for part in X.holdout(materialize(raw, "raw"))]
+
+
+@query("m7_second_family")
+def m7_family(spark, sf_dir):
+    """The balanced network beside the perceptron on the held-out subjects."""
+    train, test = raw_parts(spark, sf_dir)
+    return M.comparison({"balanced network": NN.predict_network(NN.fit_network(train), test), "perceptron": MO.predict(MO.fit_perceptron(train), test)})
+
+
 def importance(spark, sf_dir):
     _, train, _ = parts(spark, sf_dir)
     permuted = MO.permutation_importance(MO.fit_fall_forest(train), train, feature_names())
@@ -157,6 +170,17 @@ def m5_scored(spark, sf_dir):
     return out
 
 
+@query("m7_network_rows", with_ctes(f"SELECT label, count(*) AS n_rows, count(*) AS n_known, count(*) AS n_summing_to_one {IN_TEST} GROUP BY 1", TEST_ROWS))
+def m7_rows(spark, sf_dir):
+    """The balanced network labels every test row with a known class and a distribution over all."""
+    train, test = raw_parts(spark, sf_dir)
+    net = NN.fit_network(train, hidden=8, rounds=10)
+    total = F.aggregate("probabilities", F.lit(0.0), lambda a, p: a + p)
+    return NN.predict_network(net, test).groupBy("label").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("prediction").isin(net.labels)).alias("n_known"),
+        F.count_if(F.abs(total - 1) < 1e-9).alias("n_summing_to_one"))
+
+
 @query("m9_importance_sums", with_ctes("SELECT 134 AS n_features, 1.0 AS total, (SELECT count(DISTINCT label) FROM win) AS n_labels"))
 def m9_sums(spark, sf_dir):
     _, train, _ = parts(spark, sf_dir)
