@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaitframe.schema import PAUSE_MS, SLICE_MS
+from gaitframe.session import materialize
 
 
 def time_slice(ts: str = "timestamp", slice_ms: int | None = SLICE_MS) -> Column | None:
@@ -158,15 +159,16 @@ def add_segments(df: DataFrame, keys: Sequence[str] = ("recording_id",), ts: str
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
-                    width: float = 1 / 256) -> DataFrame:
-    """Exact linear-interpolated quantiles per key, one column per entry of ``probs``.
+                    width: float = 1 / 256, levels: int = 3) -> DataFrame:
+    """Exact linear-interpolated quantiles per key, one column per entry of ``probs`` (runs a job).
 
     ``percentile`` keeps every distinct value of a key in one buffer. Here a histogram of fixed
-    width finds the few buckets that hold the wanted ranks, and only their rows are ordered.
+    width finds the few buckets that hold the wanted ranks; their rows are written once, and the buckets are cut
+    256-fold ``levels - 1`` times, so that a million values that lie close together are not ordered in one task
+    either. Only the rows of the last buckets are ordered. ``width`` is a power of two, so that cuts are exact.
     """
     keys = list(keys)
-    rows = df.filter(F.col(value).isNotNull()).select(
-        *keys, F.col(value).alias("_v"), F.floor(F.col(value) / width).alias("_b"))
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), F.floor(F.col(value) / width).alias("_b"))
     over_key = Window.partitionBy(*keys)
     before = over_key.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     hist = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n")).select(
@@ -177,16 +179,23 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
                  ((F.col("_total") - 1) * F.lit(float(p))).alias("_h"),
                  (F.floor if side == 0 else F.ceil)((F.col("_total") - 1) * F.lit(float(p))).alias("_rank"))
         for name, p in probs.items() for side in (0, 1)]))
-    wanted = hist.select("*", ranks.alias("_w")).select(*keys, "_b", "_base", "_n", "_w.*").filter(
-        (F.col("_rank") >= F.col("_base")) & (F.col("_rank") < F.col("_base") + F.col("_n")))
+    inside = (F.col("_rank") >= F.col("_base")) & (F.col("_rank") < F.col("_base") + F.col("_n"))
+    rank = (F.col("_rank") - F.col("_base")).alias("_rank")
+    wanted = hist.select("*", ranks.alias("_w")).select(*keys, "_b", "_base", "_n", "_w.*").filter(inside)
+    wanted = materialize(wanted.select(*keys, "_b", "_q", "_side", "_h", rank), "quantile-ranks")
+    rows = materialize(rows.join(wanted.select(*keys, "_b").distinct(), [*keys, "_b"], "left_semi"), "quantile-rows")
+    for level in range(1, levels):
+        finer = rows.withColumn("_c", F.floor(F.col("_v") / (width / 256 ** level)))
+        parts = finer.groupBy(*keys, "_b", "_c").agg(F.count(F.lit(1)).alias("_n")).withColumn(
+            "_base", F.coalesce(F.sum("_n").over(Window.partitionBy(*keys, "_b").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        wanted = wanted.join(parts, [*keys, "_b"]).filter(inside).select(*keys, F.col("_c").alias("_b"), "_q", "_side", "_h", rank)
+        rows = finer.select(*keys, "_v", F.col("_c").alias("_b")).join(wanted.select(*keys, "_b").distinct(), [*keys, "_b"], "left_semi")
     in_bucket = Window.partitionBy(*keys, "_b").orderBy("_v")
     values = (
-        rows.join(wanted.select(*keys, "_b").distinct(), [*keys, "_b"], "left_semi")
-        .groupBy(*keys, "_b", "_v").agg(F.count(F.lit(1)).alias("_m"))
+        rows.groupBy(*keys, "_b", "_v").agg(F.count(F.lit(1)).alias("_m"))
         .withColumn("_hi", F.sum("_m").over(in_bucket))
         .select(*keys, "_b", "_v", (F.col("_hi") - F.col("_m")).alias("_lo"), "_hi"))
-    picked = wanted.join(values, [*keys, "_b"]).filter(
-        (F.col("_rank") - F.col("_base") >= F.col("_lo")) & (F.col("_rank") - F.col("_base") < F.col("_hi")))
+    picked = wanted.join(values, [*keys, "_b"]).filter((F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi")))
     out = []
     for name in probs:
         here = F.col("_q") == name

@@ -88,3 +88,11 @@ def test_suppliers_are_ordered_in_several_slices(spark):
     lines = sensor.table(spark, "/root/testdata/sf0.01", "lineitem")
     slices = lines.groupBy("l_suppkey").agg(F.countDistinct(F.floor(F.col("l_orderkey") / sensor.ORDER_KEYS_PER_SLICE)).alias("n"))
     assert slices.agg(F.min("n")).first()[0] >= 2
+
+
+def test_quantiles_of_a_million_values_close_together(spark):
+    """All values lie inside one bucket of the first histogram; no window orders more than a few of them."""
+    values = spark.range(1_000_000).select(F.lit("k").alias("k"), (F.xxhash64("id") / float(2**72) + 1.001).alias("v"))
+    got = exact_quantiles(values, ["k"], "v", {"low": 0.25, "mid": 0.5, "top": 0.999}).first()
+    want = np.quantile([r.v for r in values.select("v").collect()], [0.25, 0.5, 0.999])
+    np.testing.assert_allclose([got.low, got.mid, got.top], want, rtol=0, atol=1e-15)
