@@ -9,10 +9,9 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gaitframe.functions import columns as C
 from gaitframe.functions.spectrum import SPECTRAL, spectrum, spectrum_udf
@@ -78,17 +77,23 @@ def window_features(x: np.ndarray) -> np.ndarray:
                                np.stack(_motion(x), axis=1)], axis=1)
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _features_udf(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for channels in batches:
-        size = channels[0].map(len).to_numpy()
-        out = pd.Series([None] * len(size), dtype=object)
-        for n in np.unique(size[size > 0]):
-            rows = np.flatnonzero(size == n)
-            block = np.stack([np.stack(c.to_numpy()[rows]) for c in channels], axis=1).astype(float)
-            for i, values in zip(rows, window_features(block), strict=True):
-                out[i] = values
-        yield out
+def _feature_columns(n_meta: int):
+    """mapInArrow: the first ``n_meta`` columns as they are, then the features of the six channel arrays behind them."""
+    names = feature_names()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            channels = [batch.column(n_meta + i) for i in range(len(SENSORS))]
+            size = channels[0].value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            start, out = np.cumsum(size) - size, np.full((len(batch), len(names)), np.nan)
+            flat = np.stack([c.flatten().to_numpy(zero_copy_only=False) for c in channels]).astype(float)
+            for n in np.unique(size[size > 0]):
+                rows = np.flatnonzero(size == n)
+                out[rows] = window_features(flat[:, start[rows][:, None] + np.arange(n)].transpose(1, 0, 2))
+            made = [pa.array(column, mask=np.isnan(column)) for column in np.ascontiguousarray(out.T)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n_meta], *made], [*batch.schema.names[:n_meta], *names])
+
+    return run
 
 
 def spectral_features(windows: DataFrame) -> DataFrame:
@@ -113,8 +118,10 @@ def extract_features(windows: DataFrame) -> DataFrame:
 
     A constant channel has no skewness, kurtosis or correlation: those are NULL, as all are of a window without samples.
     """
-    meta = [c for c in windows.columns if c != "samples"]
-    return named_features(windows.select(*meta, _features_udf(*[F.col(f"samples.{c}") for c in SENSORS]).alias("_features")), "_features")
+    meta = windows.drop("samples").schema.fields
+    rows = windows.select(*[F.col(f"`{f.name}`") for f in meta], *[F.col(f"samples.{c}").alias(f"_{c}") for c in SENSORS])
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in meta] + [f"{n} double" for n in feature_names()]
+    return rows.mapInArrow(_feature_columns(len(meta)), ", ".join(kinds))
 
 
 def device_metrics() -> list[Column]:
