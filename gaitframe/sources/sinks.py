@@ -2,7 +2,8 @@
 
 import posixpath
 import re
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyarrow import fs
@@ -24,19 +25,45 @@ def exists(spark: SparkSession, path: str) -> bool:
         return False
 
 
+_POINTER = "version string, published_at long"
+
+
+def publish(df: DataFrame, path: str, fmt: str = "parquet", by: Sequence[str] = ()) -> None:
+    """Writes ``df`` as a new version below ``path`` and names it in a pointer table when it is whole.
+
+    Readers see the version published last. A writer that is lost leaves a version that nobody reads, and two
+    writers at a time leave two whole versions of which one is read, never a mixture. Older versions stay for those
+    who still read them.
+    """
+    version = f"v-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").partitionBy(*by).format(fmt).save(f"{path}/{version}")
+    now = df.sparkSession.range(1, numPartitions=1).select(F.lit(version).alias("version"), F.unix_micros(F.current_timestamp()).alias("published_at"))
+    now.write.mode("append").parquet(f"{path}/published")
+
+
+def published(spark: SparkSession, path: str) -> str | None:
+    """Folder of the version published last, if there is one."""
+    try:
+        last = spark.read.schema(_POINTER).parquet(f"{path}/published").orderBy(F.desc("published_at"), "version").first()
+    except AnalysisException:
+        return None
+    return f"{path}/{last.version}" if last else None
+
+
 def cache_write(df: DataFrame, path: str) -> None:
     """Harmonized rows partitioned by dataset. Rows of one dataset keep their tasks, so a large
     dataset is written by many."""
-    df.write.mode("overwrite").partitionBy("dataset_id").parquet(path)
+    publish(df, path, by=["dataset_id"])
 
 
 def cache_read(spark: SparkSession, path: str) -> DataFrame | None:
-    return spark.read.parquet(path) if exists(spark, path) else None
+    found = published(spark, path)
+    return spark.read.parquet(found) if found else None
 
 
 def invalidate(df: DataFrame, path: str) -> None:
-    """Empty the cache: an overwrite without rows, which also drops its partitions."""
-    df.limit(0).write.mode("overwrite").parquet(path)
+    """Empty the cache: a version without rows is published."""
+    publish(df.limit(0), path)
 
 
 def cached(spark: SparkSession, path: str, build) -> DataFrame:

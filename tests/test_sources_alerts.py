@@ -258,3 +258,20 @@ def test_unimib_folders(spark, tmp_path):
     spark.createDataFrame([("adl", 1, "WAL")], "kind string, class_index int, name string").write.parquet(f"{tmp_path}/names")
     got = {(r.recording_id, r.ax, r.az, r.unified_label) for r in R.read_unimib(spark, str(tmp_path)).collect()}
     assert got == {("unimib_07_adl_0002", 1.0, 3.0, "walking"), ("unimib_07_adl_0002", 4.0, 6.0, "walking"), ("unimib_08_fall_0000", 9.0, 9.0, "unknown")}
+
+
+def test_a_lost_writer_leaves_the_cache_whole(spark, tmp_path):
+    """A version without its pointer is not read, whether the writer was the first or a later one."""
+    path, df = str(tmp_path / "cache"), spark.createDataFrame([("a", 1), ("b", 2)], "dataset_id string, x int")
+    half = df.withColumn("x", F.when(F.col("x") == 2, F.raise_error(F.lit("lost"))).otherwise(F.col("x")))
+    for build, want in ((half, None), (df, 2), (half, 2)):
+        try:
+            S.cache_write(build, path)
+        except Exception as lost:
+            assert "lost" in str(lost)
+        found = S.cache_read(spark, path)
+        assert (found and found.count()) == want
+    df.write.partitionBy("dataset_id").parquet(f"{path}/v-unfinished")
+    assert S.cache_read(spark, path).count() == 2
+    S.cache_write(df.union(df), path)
+    assert S.cache_read(spark, path).count() == 4 and S.published(spark, str(tmp_path / "none")) is None
