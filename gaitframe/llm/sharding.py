@@ -8,7 +8,7 @@ group to a shard that holds at least as many of it: the sum of squares of the gr
 most (the ``rows`` law) whatever moves; a group larger than a shard fills several.
 
 Scale. DataFrame operations only. Ranks within a shard come from bucket totals and a window within (shard,
-bucket), so no window holds a shard. Per-group state is a few counts, written before its members meet it, so that
+bucket), so no window holds a shard; of the unlinked rows only as many buckets are ordered as places are wanted. Per-group state is a few counts, written before its members meet it, so that
 Spark knows its size and may split the join by skew (it can't split a join that shares a stage with a grouping). The driver sees counts per pair of shards only. Every round is a written table.
 
 Cases. A null text has size 1 (no bytes), crc 0 and no links; empty texts are equal to each other. Ids may be
@@ -24,12 +24,16 @@ from gaitframe.session import materialize
 BUCKET_ROWS = 4_000
 
 
-def _ranked(df: DataFrame, keys: list[str], buckets: int, out: str) -> DataFrame:
-    """``df`` with its rank from 0 among the rows of equal ``keys`` (in order of bucket, then ``row``)."""
+def _ranked(df: DataFrame, keys: list[str], buckets: int, out: str, upto: Column | None = None) -> DataFrame:
+    """``df`` with its rank from 0 among the rows of equal ``keys`` (in order of bucket, then ``row``). With ``upto`` only
+    buckets that begin below that rank are ordered, and the rows of the others are left out."""
     cut = df.withColumn("_bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)))
     sizes = cut.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    if upto is not None:
+        starts = starts.filter(F.col("_start") < upto)
+        cut = cut.join(starts.select(*keys, "_bucket"), [*keys, "_bucket"], "left_semi")
     within = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy("row")) - 1
     return cut.withColumn("_in", within).join(starts, [*keys, "_bucket"]).withColumn(out, (F.col("_start") + F.col("_in")).cast("long")).drop(
         "_bucket", "_start", "_in")
@@ -67,7 +71,11 @@ def _round(rows: DataFrame, buckets: int) -> tuple[DataFrame | None, int]:
     dealt = _ranked(movers, ["shard", "to"], buckets, "k").withColumn("even", F.col("k") < _table(swapped, "shard", "to"))
     dealt = materialize(dealt, "dealt")
     rest = _ranked(dealt.filter("NOT even").select("row", "shard", "to"), ["to"], buckets, "k")
-    spare = _ranked(rows.filter("NOT linked").select(F.col("row"), F.col("shard").alias("to")), ["to"], buckets, "k").withColumnRenamed("row", "spare")
+    wanted: dict[tuple[int, ...], int] = {}
+    for (s, t), n in asked.items():
+        wanted[t,] = wanted.get((t,), 0) + n - swapped[s, t]
+    free_rows = rows.filter("NOT linked").select(F.col("row"), F.col("shard").alias("to"))
+    spare = _ranked(free_rows, ["to"], buckets, "k", upto=_table(wanted, "to")).withColumnRenamed("row", "spare")
     pairs = rest.join(spare, ["to", "k"]).select(F.explode(F.array(
         F.struct("row", F.col("to").alias("to")), F.struct(F.col("spare").alias("row"), F.col("shard").alias("to")))).alias("m"))
     moves = materialize(dealt.filter("even").select("row", "to").union(pairs.select("m.row", "m.to")), "moves")
