@@ -4,11 +4,13 @@ The detector's rules are a small step function, used by the stateful stream and
 twin. The batch twin does not put a device's whole life in one group: once no tick has started or
 prolonged a suspicion for longer than all phase limits together, the detector is idle again, and
 the next quiet tick gives it a fresh gravity baseline. Ticks between such points form
-independent episodes.
+independent episodes. Episodes are not gathered either: their ticks pass in order through sorted
+partitions, so a device that never calms costs time but no memory.
 """
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import repeat
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -84,11 +86,15 @@ def step(state: tuple, tick: tuple, limits: tuple) -> tuple:
     return (phase, entered, 0, gx, gy, gz, now) if std > QUIET_STD else same
 
 
-def run_ticks(state: tuple, ticks: pd.DataFrame, limits: tuple, cooldown_ms: int | None = None) -> tuple[tuple, pd.DataFrame]:
+def run_ticks(state: tuple, ticks: pd.DataFrame, limits: tuple, cooldown_ms: int | None = None,
+              starts: Iterable[bool] | None = None) -> tuple[tuple, pd.DataFrame]:
     """Feed ordered ticks to the detector. ``cooldown_ms`` after confirming, the alert has been
-    escalated and the detector is reset; ``None`` keeps it confirmed."""
+    escalated and the detector is reset; ``None`` keeps it confirmed. ``starts`` marks the ticks
+    that begin anew from :data:`START`."""
     out = []
-    for tick in ticks[TICK_COLUMNS].itertuples(index=False, name=None):
+    for tick, new in zip(ticks[TICK_COLUMNS].itertuples(index=False, name=None), starts if starts is not None else repeat(False)):
+        if new:
+            state = START
         if state[0] == CONFIRMED and cooldown_ms is not None and tick[0] - state[1] > cooldown_ms:
             state = (IDLE, 0, 0, *state[3:])
         before, state = state[0], step(state, tick, limits)
@@ -141,19 +147,29 @@ def confirm_falls(ticks: DataFrame, limits: tuple, keys: Sequence[str] = ("recor
                   slot_ms: int = SLICE_MS, slice_ms: int | None = SLICE_MS) -> DataFrame:
     """Batch twin of the streaming detector: phase before and after every tick.
 
-    Groups are (key, episode); an episode's ticks are the only rows brought together.
+    An episode's ticks stand in one partition in the order of their clocks, and only the detector's state is
+    carried from one Arrow batch to the next: memory does not depend on the length of an episode.
     """
     keys = list(keys)
-    cut = episodes(ticks, limits, keys, cooldown_ms, slot_ms, slice_ms).select(*keys, "episode", *TICK_COLUMNS)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, trace = run_ticks(START, pdf.sort_values("tick_ts"), limits, cooldown_ms)
-        for i, k in enumerate(keys):
-            trace.insert(i, k, pdf[k].iloc[0])
-        return trace
+    group = [*keys, "episode"]
+    cut = episodes(ticks, limits, keys, cooldown_ms, slot_ms, slice_ms).select(*group, *TICK_COLUMNS)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state, last = START, None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            at = pdf[group]
+            before = at.shift()
+            starts = ((at != before) & ~(at.isna() & before.isna())).any(axis=1).to_numpy()
+            first = at.iloc[:1].reset_index(drop=True)
+            starts[0] = last is None or not first.equals(last)
+            last = at.iloc[-1:].reset_index(drop=True)
+            state, trace = run_ticks(state, pdf, limits, cooldown_ms, starts)
+            yield pd.concat([pdf[keys].reset_index(drop=True), trace], axis=1)
 
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ticks.select(*keys).schema.fields)
-    return cut.groupBy(*keys, "episode").applyInPandas(run, f"{types}, {TRACE_SCHEMA}")
+    return cut.repartition(*group).sortWithinPartitions(*group, "tick_ts").mapInPandas(run, f"{types}, {TRACE_SCHEMA}")
 
 
 def confirmations(trace: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from gaitframe.operators import detector as D
 from gaitframe.operators import features as FE
 from gaitframe.operators import windows as W
 from gaitframe.schema import SENSORS
+from gaitframe.session import materialize
 from gaitframe.streaming import live as L
 from gaitframe.streaming.replay import replay
 
@@ -127,6 +128,25 @@ def test_episodes_equal_one_long_run(spark, preset):
     assert D.confirmations(spark.createDataFrame(want)).count() > 0
 
 
+def test_a_device_that_never_calms(spark):
+    """A million ticks in one episode pass in order through one partition; a second device with a null name beside it."""
+    n = 1_000_000
+    i = F.col("id")
+    ticks = spark.range(0, n, 1, 8).select(
+        F.lit("d").alias("device_id"), (i * 400).alias("tick_ts"), F.when(i % 7 < 3, "falling").otherwise("walking").alias("label"),
+        (i % 5 / 10).alias("p_fall"), F.lit(0.0).alias("p_lying"), (F.lit(20.0) + i % 11).alias("acc_peak"), F.lit(4.0).alias("acc_min"),
+        (i % 3).cast("double").alias("gyr_peak"), (i % 4).cast("double").alias("acc_std"), F.lit(0.0).alias("ox"), F.lit(1.0).alias("oy"), F.lit(0.0).alias("oz"))
+    limits = D.preset("balanced")
+    both = ticks.unionByName(ticks.limit(50).withColumn("device_id", F.lit(None).cast("string")))
+    assert D.episodes(both, limits, ["device_id"], 30_000).select("device_id", "episode").distinct().count() == 2
+    got = materialize(D.confirm_falls(both, limits, ["device_id"]), "never-calm")
+    _, head = D.run_ticks(D.START, ticks.filter(i < 5_000).toPandas(), limits, 30_000)
+    first = got.filter("device_id = 'd' AND tick_ts < 2000000").orderBy("tick_ts").toPandas()
+    assert (first[head.columns] == head).all().all() and len(first) == 5_000
+    counts = {r["device_id"]: r["n"] for r in got.groupBy("device_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert counts == {"d": n, None: 50}
+
+
 def test_stream_detector_equals_batch_over_many_batches(spark):
     ticks, limits = random_ticks(400, 11), D.preset("balanced")
     df = spark.createDataFrame(ticks)
