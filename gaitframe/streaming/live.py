@@ -1,9 +1,12 @@
 """Live fusion, ticks, gates, fall confirmation and escalation as stateful streams.
 
-Every operator is one keyed state per device. Rows wait in state until the watermark has passed them and are
-processed in event order then, so the result does not depend on where micro-batches fall. Only rows older than
-the watermark on arrival are dropped. State holds the rows of one watermark delay and a fixed number of values
-per device (the escalation: open alerts), and ends when a device has been silent for ``IDLE_MS``.
+Every operator is one keyed state per device (``transformWithState``; the session needs the RocksDB state store,
+see :func:`gaitframe.streaming.replay.stream_session`). Rows wait in a map state by slots of ``SLOT_MS`` of their clock; a
+slot is read once, when the watermark has passed its end, and processed in event order then, so the result does
+not depend on where micro-batches fall and nothing that still waits is written again. Only rows older than the
+watermark on arrival are dropped. State holds the rows of one watermark delay and a fixed number of values per
+device (the escalation: open alerts); event-time timers release it, and end it when a device has been silent for
+``IDLE_MS``.
 """
 
 from collections.abc import Callable, Iterator, Sequence
@@ -15,7 +18,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from gaitframe.operators import detector as D
 from gaitframe.operators.features import feature_names, named_features, window_features
@@ -27,6 +30,8 @@ WATERMARK = "10 seconds"
 IDLE_MS = 3_600_000
 #: Rows of a device that are processed at a time.
 CHUNK_ROWS = 10_000
+#: Rows wait together by slots of their clock; results come at most this much later than the watermark.
+SLOT_MS = 2_000
 
 
 def stream_samples(spark: SparkSession, path: str, schema: T.StructType | str, fmt: str = "parquet",
@@ -48,43 +53,106 @@ def _types(df: DataFrame, cols: Sequence[str]) -> str:
 
 def _held(rows: pd.DataFrame) -> bytes:
     sink = pa.BufferOutputStream()
-    batch = pa.RecordBatch.from_pandas(rows, preserve_index=False)
+    batch = pa.RecordBatch.from_pandas(rows, preserve_index=False).replace_schema_metadata()
     with pa.ipc.new_stream(sink, batch.schema) as writer:
         writer.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
 
+class _Timed(StatefulProcessor):
+    """A processor with one event-time timer per device, whose time stands in the device's state."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        yield from self.advance(key, pd.concat(list(rows), ignore_index=True), timerValues.getCurrentWatermarkInMs(), None)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self.advance(key, None, timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+
+    def advance(self, key: tuple, rows: pd.DataFrame | None, mark: int, expired: int | None) -> Iterator[pd.DataFrame]:
+        raise NotImplementedError
+
+    def move_timer(self, old: int | None, new: int | None, expired: int | None) -> None:
+        """An expired timer has gone by itself."""
+        if old is not None and old not in (new, expired):
+            self.handle.deleteTimer(old)
+        if new is not None and new != old:
+            self.handle.registerTimer(new)
+
+
+class _EventOrder(_Timed):
+    """Rows by slot in ``held``; ``now`` is the operator's state, the waiting slots with their number of parts, and the timer."""
+
+    def __init__(self, names: Sequence[str], ts: str, then: Sequence[str], state: str, start: tuple, step: Callable):
+        self.names, self.ts, self.order, self.state, self.start, self.step = names, ts, [ts, *then], state, start, step
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.now = handle.getValueState("now", f"{self.state}, slots array<long>, parts array<int>, timer long")
+        self.held = handle.getMapState("held", "slot long, part int", "rows binary")
+
+    def due(self, waiting: dict[int, int], fresh: dict[int, pd.DataFrame], mark: int) -> Iterator[pd.DataFrame]:
+        """Rows of the slots that have passed, in event order, some thousands at a time; they leave the state."""
+        held, new = [], []
+        for slot in sorted({*waiting, *fresh}):
+            if (slot + 1) * SLOT_MS > mark:
+                break
+            for part in range(waiting.pop(slot, 0)):
+                held.append(pa.ipc.open_stream(self.held.getValue((slot, part))[0]).read_all())
+                self.held.removeKey((slot, part))
+            if slot in fresh:
+                new.append(fresh.pop(slot))
+            if sum(map(len, [*held, *new])) >= CHUNK_ROWS:
+                yield self.ordered(held, new)
+                held, new = [], []
+        if held or new:
+            yield self.ordered(held, new)
+
+    def ordered(self, held: list[pa.Table], new: list[pd.DataFrame]) -> pd.DataFrame:
+        parts = [pa.concat_tables(held, promote_options="permissive").to_pandas(), *new] if held else new
+        rows = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+        return rows.sort_values(self.order, kind="stable", ignore_index=True)
+
+    def advance(self, key: tuple, rows: pd.DataFrame | None, mark: int, expired: int | None) -> Iterator[pd.DataFrame]:
+        *now, slots, parts, timer = self.now.get() or (*self.start, [], [], None)
+        waiting, fresh = dict(zip(slots, parts)), {}
+        if rows is not None:
+            rows = rows.set_axis(self.names, axis=1).sort_values(self.ts, kind="stable")
+            slot = rows[self.ts].to_numpy() // SLOT_MS
+            ends = [*(np.flatnonzero(np.diff(slot)) + 1).tolist(), len(rows)]
+            fresh = {int(slot[a]): rows.iloc[a:b] for a, b in zip([0, *ends], ends)}
+        idle = rows is None
+        for chunk in self.due(waiting, fresh, mark):
+            idle = False
+            for i in range(0, len(chunk), CHUNK_ROWS):
+                now, made = self.step(key, tuple(now), chunk.iloc[i:i + CHUNK_ROWS].reset_index(drop=True))
+                if made is not None and len(made):
+                    yield made
+        for slot, some in fresh.items():
+            part = waiting.get(slot, 0)
+            self.held.updateValue((slot, part), (_held(some),))
+            waiting[slot] = part + 1
+        if idle and not waiting:
+            self.now.clear()
+            self.move_timer(timer, None, expired)
+            return
+        new = (min(waiting) + 1) * SLOT_MS if waiting else max(mark, 0) + IDLE_MS
+        self.move_timer(timer, new, expired)
+        self.now.update((*now, list(waiting), list(waiting.values()), new))
+
+
 def in_event_order(df: DataFrame, device: str, ts: str, out: str, state: str, start: tuple,
                    step: Callable[[tuple, tuple, pd.DataFrame], tuple[tuple, pd.DataFrame | None]],
                    then: Sequence[str] = (), watermark: str = WATERMARK) -> DataFrame:
     """``step(key, state, rows)`` over each device's rows, sorted by ``ts`` and ``then``, once the watermark has
-    passed them. Rows without a clock are dropped."""
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-        *now, held = group.get if group.exists else (*start, None)
-        parts = [] if group.hasTimedOut else list(frames)
-        if held:
-            parts.insert(0, pa.ipc.open_stream(bytes(held)).read_pandas())
-        mark = group.getCurrentWatermarkMs()
-        rows = pd.concat(parts, ignore_index=True) if parts else None
-        ready = None if rows is None else rows[ts] <= mark
-        due = pd.DataFrame() if rows is None else rows[ready].sort_values([ts, *then], kind="stable")
-        for i in range(0, len(due), CHUNK_ROWS):
-            now, made = step(key, tuple(now), due.iloc[i:i + CHUNK_ROWS].reset_index(drop=True))
-            if made is not None and len(made):
-                yield made
-        if rows is not None and not ready.all():
-            waiting = rows[~ready]
-            group.update((*now, _held(waiting)))
-            group.setTimeoutTimestamp(int(waiting[ts].min()))
-        elif group.hasTimedOut and due.empty:
-            group.remove()
-        else:
-            group.update((*now, None))
-            group.setTimeoutTimestamp(max(mark, 0) + IDLE_MS)
-
-    timed = df.filter(F.col(ts).isNotNull()).withColumn("event_time", F.timestamp_millis(ts)).withWatermark("event_time", watermark)
-    return timed.groupBy(device).applyInPandasWithState(run, out, f"{state}, held binary", "append", GroupStateTimeout.EventTimeTimeout)
+    passed the slot they are of. Rows without a clock are dropped."""
+    timed = df.filter(F.col(ts).isNotNull()).withColumn("event_time", F.timestamp_millis(ts))
+    # rows arrive in the processor as named tuples, which rename columns like "_x" or "class"
+    plain = timed.toDF(*[c if c in (device, "event_time") else f"c{i}" for i, c in enumerate(timed.columns)])
+    ordered = _EventOrder(timed.columns, ts, then, state, start, step)
+    return plain.withWatermark("event_time", watermark).groupBy(device).transformWithStateInPandas(ordered, out, "Append", "EventTime")
 
 
 def stream_fuse(feed: DataFrame, device: str = "device_id", ts: str = "timestamp") -> DataFrame:
@@ -197,46 +265,58 @@ def stream_confirm(ticks: DataFrame, limits: tuple, device: str = "device_id", c
     return in_event_order(ticks, device, "tick_ts", f"{_types(ticks, [device])}, {D.TRACE_SCHEMA}", D.STATE_SCHEMA, D.START, confirm)
 
 
-def stream_escalate(events: DataFrame, countdown_s: int = 30, device: str = "device_id", watermark: str = WATERMARK) -> DataFrame:
-    """Outcome of every alert, at the first answer or when the countdown ends in event time.
+class _Escalation(_Timed):
+    """Open alerts of a device as list state; the timer stands at the first deadline."""
 
-    ``events`` mixes alerts (``action`` alert, with ``id``) and answers (dismiss, sos, stop) and has
-    ``event_time``. Open alerts of a device wait in state until answered or overdue.
-    """
-    outcome = {"dismiss": "DISMISSED_SAFE", "stop": "CANCELLED_EARLY", "sos": "SOS_DISPATCHED"}
-    limit = countdown_s * 1000
+    def __init__(self, device: str, limit: int):
+        self.device, self.limit = device, limit
 
-    def decide(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ids, starts = (list(v) for v in state.get) if state.exists else ([], [])
-        done = []
-        rows = None if state.hasTimedOut else pd.concat(list(frames), ignore_index=True)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.open = handle.getListState("open", "id string, started long")
+        self.timer = handle.getValueState("timer", "at long")
+
+    def advance(self, key: tuple, rows: pd.DataFrame | None, mark: int, expired: int | None) -> Iterator[pd.DataFrame]:
+        outcome = {"dismiss": "DISMISSED_SAFE", "stop": "CANCELLED_EARLY", "sos": "SOS_DISPATCHED"}
+        known = [tuple(r) for r in self.open.get()] if self.open.exists() else []
+        waiting, done = list(known), []
         if rows is not None:
             rows = rows.assign(_side=(rows["action"] != "alert").astype(int)).sort_values(["timestamp", "_side"], kind="stable")
             for ts, action, alert in rows[["timestamp", "action", "id"]].itertuples(index=False, name=None):
                 if action == "alert":
-                    ids.append(alert)
-                    starts.append(int(ts))
+                    waiting.append((alert, int(ts)))
                     continue
-                late = [i for i, s in enumerate(starts) if ts > s + limit]
-                for i, s in enumerate(starts):
-                    done.append((ids[i], s + limit if i in late else int(ts), "SOS_DISPATCHED" if i in late else outcome[action]))
-                ids, starts = [], []
-        mark = state.getCurrentWatermarkMs()
-        overdue = [i for i, s in enumerate(starts) if s + limit <= mark]
-        done += [(ids[i], starts[i] + limit, "SOS_DISPATCHED") for i in overdue]
-        ids = [v for i, v in enumerate(ids) if i not in overdue]
-        starts = [v for i, v in enumerate(starts) if i not in overdue]
-        if ids:
-            state.update((ids, starts))
-            state.setTimeoutTimestamp(min(starts) + limit)
-        elif state.exists:
-            state.remove()
+                done += [(i, s + self.limit, "SOS_DISPATCHED") if ts > s + self.limit else (i, int(ts), outcome[action]) for i, s in waiting]
+                waiting = []
+        done += [(i, s + self.limit, "SOS_DISPATCHED") for i, s in waiting if s + self.limit <= mark]
+        waiting = [(i, s) for i, s in waiting if s + self.limit > mark]
+        if waiting[:len(known)] == known:
+            if len(waiting) > len(known):
+                self.open.appendList(waiting[len(known):])
+        elif waiting:
+            self.open.put(waiting)
+        else:
+            self.open.clear()
+        at = self.timer.get()
+        new = min(s for _, s in waiting) + self.limit if waiting else None
+        self.move_timer(at[0] if at else None, new, expired)
+        if new is not None:
+            self.timer.update((new,))
+        elif at:
+            self.timer.clear()
         if done:
-            yield pd.DataFrame(done, columns=["id", "decided_at", "outcome"]).assign(**{device: key[0]})
+            yield pd.DataFrame(done, columns=["id", "decided_at", "outcome"]).assign(**{self.device: key[0]})
+
 
-    return events.withWatermark("event_time", watermark).groupBy(device).applyInPandasWithState(
-        decide, f"{_types(events, [device])}, id string, decided_at long, outcome string", "ids array<string>, starts array<long>",
-        "append", GroupStateTimeout.EventTimeTimeout)
+def stream_escalate(events: DataFrame, countdown_s: int = 30, device: str = "device_id", watermark: str = WATERMARK) -> DataFrame:
+    """Outcome of every alert, at the first answer or when the countdown ends in event time.
+
+    ``events`` mixes alerts (``action`` alert, with ``id``) and answers (dismiss, sos, stop) and has
+    ``event_time``. Open alerts of a device wait in state until answered or overdue.
+    """
+    return events.withWatermark("event_time", watermark).groupBy(device).transformWithStateInPandas(
+        _Escalation(device, countdown_s * 1000), f"{_types(events, [device])}, id string, decided_at long, outcome string",
+        "Append", "EventTime")
 
 
 def archive_batches(path: str):

@@ -13,8 +13,11 @@ CLOSING_MS = 4_102_444_800_000
 
 def stream_session(spark: SparkSession) -> SparkSession:
     """A session for streams: state is spread over as many tasks as the cluster has cores (the number is fixed
-    in the checkpoint at the first start); the caller's settings are left alone."""
+    in the checkpoint at the first start) and kept in RocksDB, of which only changes are written to the
+    checkpoint; the caller's settings are left alone."""
     session = spark.newSession()
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    session.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     session.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
     return session
 

@@ -13,7 +13,7 @@ from gaitframe.operators import windows as W
 from gaitframe.schema import SENSORS
 from gaitframe.session import materialize
 from gaitframe.streaming import live as L
-from gaitframe.streaming.replay import replay
+from gaitframe.streaming.replay import replay, start_available, stream_session
 
 PI2 = 2 * math.pi
 
@@ -216,6 +216,23 @@ def test_stream_escalation_waits_for_answer_or_deadline(spark):
     assert got == {"a": (20_000, "DISMISSED_SAFE"), "b": (130_000, "SOS_DISPATCHED"), "c": (205_000, "SOS_DISPATCHED"), "x": (30_000, "SOS_DISPATCHED")}
 
 
+def test_what_waits_stands_in_the_state_by_slots(spark, tmp_path):
+    """The state's tables hold the rows of one watermark delay, whole slots that have passed are gone, and a column
+    name that no named tuple takes keeps its rows."""
+    df = sample_frame(spark, 1_000).withColumn("_class", F.lit(1))
+    session, base = stream_session(spark), str(tmp_path)
+    for part in (df.filter(F.col("timestamp") < BEGAN + 15_000), df.filter(F.col("timestamp") >= BEGAN + 15_000)):
+        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
+        start_available(L.stream_ticks(session.readStream.schema(df.schema).parquet(f"{base}/in")), f"{base}/out", f"{base}/checkpoint")
+    held = session.read.format("statestore").option("stateVarName", "held").load(f"{base}/checkpoint")
+    mark = BEGAN + 20 * 999 - 10_000
+    first = mark // L.SLOT_MS
+    assert {r[0] for r in held.selectExpr("user_map_key.slot").collect()} == set(range(first, (BEGAN + 20 * 999) // L.SLOT_MS + 1))
+    now = session.read.format("statestore").option("stateVarName", "now").load(f"{base}/checkpoint").selectExpr("value.*").first()
+    assert now.timer == (first + 1) * L.SLOT_MS and now.seen == (first * L.SLOT_MS - BEGAN) // 20
+    assert spark.read.parquet(f"{base}/out").agg(F.max("tick_ts")).first()[0] < first * L.SLOT_MS
+
+
 def test_presets_table(spark):
     rows = {r["preset"]: r for r in D.presets(spark, spike=24.0, dip_required=False, still_seconds=0.1).collect()}
     assert rows["desk_safe"]["still_windows"] == 3 and rows["custom"]["freefall"] == 7.0 and rows["custom"]["still_windows"] == 1
