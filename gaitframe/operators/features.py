@@ -69,7 +69,10 @@ def _motion(x: np.ndarray) -> list[np.ndarray]:
 
 
 def window_features(x: np.ndarray) -> np.ndarray:
-    """(windows, 6, samples) to (windows, 134) in the order of :func:`feature_names`; NaN stands for no value."""
+    """(windows, 6, samples) to (windows, 134) in the order of :func:`feature_names`; NaN stands for no value.
+
+    Sums run over adjacent samples whatever the layout of ``x``, so live and stored windows agree to the last bit."""
+    x = np.ascontiguousarray(x)
     with np.errstate(divide="ignore", invalid="ignore"):
         per_channel = np.stack(_statistics(x), axis=-1).reshape(len(x), -1)
         sma = [np.abs(x[:, i:i + 3]).sum(1).mean(-1) for i in (0, 3)]

@@ -215,7 +215,7 @@ def stream_ticks(samples: DataFrame, size: int = WINDOW_SIZE, every_ms: int = 40
             made = pd.DataFrame({device: key[0], "tick": (ends - size + 1) // step, "tick_ts": clock[ends - seen],
                                  **tick_metrics(block)})
             if features:
-                made[features] = list(window_features(np.ascontiguousarray(block.transpose(0, 2, 1))))
+                made[features] = list(window_features(block.transpose(0, 2, 1)))
         return (data[-(size - 1):].ravel().tolist(), end), made
 
     out = f"{_types(samples, [device])}, {METRICS}" + (f", {features} array<double>" if features else "")

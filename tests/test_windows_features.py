@@ -149,3 +149,10 @@ def test_softmax_is_stable(spark, p, want):
     from gaitframe.functions.columns import softmax
     got = spark.createDataFrame([(p,)], "x array<double>").select(softmax("x")).first()[0]
     np.testing.assert_allclose(got, want)
+
+
+def test_features_do_not_depend_on_the_memory_layout():
+    x = np.random.default_rng(2).normal(size=(40, 6, 100))
+    for axes in ((1, 2, 0), (2, 0, 1), (2, 1, 0), (1, 0, 2), (0, 2, 1)):
+        other = np.ascontiguousarray(x.transpose(axes)).transpose(np.argsort(axes))
+        np.testing.assert_array_equal(FE.window_features(other), FE.window_features(x))
