@@ -29,6 +29,9 @@ MOTION = ["acc_svm_mean", "acc_svm_std", "acc_svm_peak", "gyr_svm_mean", "gyr_sv
 #: depends on the order of summation.
 AT_MEAN = 1e-9
 
+#: Windows whose features a task computes at a time: the arrays in between take some ten times the samples.
+BLOCK = 256
+
 
 def feature_names() -> list[str]:
     names = [f"{c}_{s}" for c in SENSORS for s in TIME_DOMAIN]
@@ -81,11 +84,12 @@ def window_features(x: np.ndarray) -> np.ndarray:
 
 
 def _feature_columns(n_meta: int):
-    """mapInArrow: the first ``n_meta`` columns as they are, then the features of the six channel arrays behind them."""
+    """mapInArrow: the first ``n_meta`` columns as they are, then the features of the six channel arrays behind them,
+    ``BLOCK`` windows at a time whatever the size of the batches."""
     names = feature_names()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, BLOCK) for b in batches for i in range(0, len(b), BLOCK)):
             channels = [batch.column(n_meta + i) for i in range(len(SENSORS))]
             size = channels[0].value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             start, out = np.cumsum(size) - size, np.full((len(batch), len(names)), np.nan)
