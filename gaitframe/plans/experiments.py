@@ -61,7 +61,7 @@ def stress_table(model: PipelineModel, windows: DataFrame, stresses: dict | None
     """Accuracy and fall recall of a fitted model on changed windows."""
     out = None
     for name, change in (Q.STRESSES if stresses is None else stresses).items():
-        scored = MO.predict(model, MO.with_vector(extract_features(change(windows))))
+        scored = MO.predict(model, MO.with_vector(extract_features(change(windows))).select("label", "features"))
         row = M.evaluate(scored).select(F.lit(name).alias("condition"), "accuracy", "fall_recall", "fpr")
         out = row if out is None else out.unionByName(row)
     return out
@@ -144,8 +144,8 @@ def leave_one_subject_out(vectors: DataFrame, fit: Fit = MO.fit_forest, subjects
 def real_data_report(windows: DataFrame, own_windows: DataFrame, fit: Fit = MO.fit_forest) -> DataFrame:
     """Unseen subjects (A), young to older (C), public to own recordings (D), tilt and speed.
 
-    ``windows`` are public ones with ``age_group``; ``own_windows`` come from own recordings. C and
-    D are left out when a cohort or the own recordings are missing.
+    ``windows`` are public ones with ``age_group``, a written table, as it is read several times; ``own_windows`` come from own
+    recordings. C and D are left out when a cohort or the own recordings are missing.
     """
     cohort = windows.select(*KEYS, "age_group")
     vectors = feature_vectors(windows)
@@ -161,7 +161,7 @@ def real_data_report(windows: DataFrame, own_windows: DataFrame, fit: Fit = MO.f
     if not own.isEmpty():
         parts["D public to own"] = MO.predict(model, own)
     for name, change in (("tilt", Q.tilt_windows), ("speed", Q.speed_windows)):
-        parts[name] = MO.predict(model, MO.with_vector(extract_features(change(test_windows))))
+        parts[name] = MO.predict(model, MO.with_vector(extract_features(change(test_windows))).select("label", "features"))
     out = None
     for name, scored in parts.items():
         row = M.evaluate(scored).withColumn("experiment", F.lit(name))

@@ -269,6 +269,6 @@ def q22(spark, sf_dir):
 
 @query("q23_real_data_report")
 def q23(spark, sf_dir):
-    every = add_age_group(windows(spark, sf_dir))
+    every = materialize(add_age_group(windows(spark, sf_dir)).filter("dataset_id IN ('sisfall', 'own')"), "windows")
     return X.real_data_report(every.filter("dataset_id = 'sisfall'"), every.filter("dataset_id = 'own'"))
 
