@@ -136,14 +136,15 @@ def device_metrics() -> list[Column]:
     acc, gyr = C.acc_magnitude(), C.gyr_magnitude()
     even = F.col("at") % 2 == 0
     l1 = F.abs("gx") + F.abs("gy") + F.abs("gz")
-    last = F.struct("ay", "az")
+    # of plain values: a struct in the buffer would sort the rows of all ticks instead of hashing them
+    last = F.struct(*[F.max_by(c, F.col("at")).alias(c) for c in ("ay", "az")])
     return [
         F.max(acc).alias("acc_peak"), F.min(acc).alias("acc_min"), F.max(gyr).alias("gyr_peak"),
         F.stddev_pop(acc).alias("acc_std"),
         F.avg("ax").alias("mean_ax"), F.avg("ay").alias("mean_ay"), F.avg("az").alias("mean_az"),
         F.var_pop(F.when(even, acc)).alias("even_acc_var"), F.max(F.when(even, l1)).alias("even_gyr_l1"),
         F.max(F.when(even, acc)).alias("even_acc_max"), F.min(F.when(even, acc)).alias("even_acc_min"),
-        F.max_by(last, F.col("at")).alias("last_sample"),
+        last.alias("last_sample"),
     ]
 
 

@@ -5,6 +5,7 @@ import pyarrow as pa
 
 from gaitframe.functions import spectrum as SP
 from gaitframe.operators import features as FE
+from gaitframe.operators import windows as W
 from gaitframe.schema import SENSORS
 
 
@@ -33,3 +34,14 @@ def test_spectrum_of_a_large_batch_is_made_in_blocks(monkeypatch):
     out = list(SP.spectrum_udf.func(iter([tuple(held), tuple(c.slice(0, 0) for c in held)])))
     assert max(seen) <= SP.BLOCK and [len(o) for o in out] == [n, 0]
     assert np.array_equal(np.array(out[0].to_pylist()), whole)
+
+
+def test_ticks_are_hashed_not_sorted(spark):
+    """Sorting holds a row for every sample of every tick, hashing one for every tick."""
+    rows = spark.createDataFrame([("r", i * 20, *[float(i % 7 + j) for j in range(6)]) for i in range(160)],
+                                 "recording_id string, timestamp long, " + ", ".join(f"{c} double" for c in SENSORS))
+    ticks = W.inference_ticks(rows, 400, extra=FE.device_metrics(), slice_ms=None)
+    plan = ticks._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    got = {r.tick: tuple(r.last_sample) for r in ticks.collect()}
+    assert got == {k: (float((20 * k + 99) % 7 + 1), float((20 * k + 99) % 7 + 2)) for k in range(4)}
