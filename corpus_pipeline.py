@@ -25,9 +25,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the smallest id. Words are taken five at a time,
-    and documents of a shingle similarity of 0.8 or more (by the whole sets) are linked."""
-    return simhash.keep_first(docs, **simhash.SIMILAR)
+    """One document of each near-duplicate group stays: the one with the smallest id. Documents are linked where their 64-bit
+    fingerprints differ by four bits or fewer, and, as these miss most pairs of a similarity of 0.8, also where their five-word
+    shingles have one of 0.8 or more (by the whole sets); a group may hold links of both kinds."""
+    return simhash.keep_first_linked(docs, [simhash.near_duplicates(docs), simhash.near_duplicates(docs, **simhash.SIMILAR)])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -294,3 +294,13 @@ def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **op
     gone = near_duplicates(docs, text, doc_id, **options).filter("doc_id != component_id").select(
         F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")
+
+
+def keep_first_linked(docs: DataFrame, parts: list[DataFrame], doc_id: str = "doc_id") -> DataFrame:
+    """Like :func:`keep_first` for the groups that several results of :func:`near_duplicates` make together (runs jobs)."""
+    links = None
+    for part in parts:
+        one = part.filter("doc_id != component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+        links = one if links is None else links.unionByName(one)
+    gone = connected_components(materialize(links, "both-links")).filter("node != component").select(F.col("node").alias("_gone"))
+    return docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")

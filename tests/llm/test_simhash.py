@@ -230,3 +230,22 @@ def test_counts_in_common_and_their_bound():
     assert all(c.sum() == len(s) for c, s in zip(counts, wide, strict=True))
     full = np.frombuffer(similar.strata(np.arange(70_000, dtype=np.uint64)), "<u2")
     assert (full == 65535).all()
+
+
+def test_pipeline_links_by_fingerprint_and_by_similarity(spark):
+    """Equal fingerprints of unlike sets, like sets of unlike fingerprints, and a group that needs both links."""
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    words = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    run = ["tick"] * 200
+    one, two = words(8), words(8)
+    base = words(160)
+    texts = {1: run + one, 2: run + two, 3: base, 4: [*base[:159], "other"], 5: words(90), 6: words(90), 7: None, 8: ""}
+    third = run + two[:4] + words(1) + two[5:]
+    rows = [(d, " ".join(t) if t else t, "en", "s", 0) for d, t in {**texts, 9: third}.items()] + [(None, "tick", "en", "s", 0)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    part = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame, **simhash.SIMILAR).collect()}
+    assert part[2] == 2 and part[4] == 3
+    kept = sorted(r.doc_id or 0 for r in corpus_pipeline.simhash_dedup(spark, frame, "").collect())
+    assert kept == [0, 1, 3, 5, 6, 7]
