@@ -5,6 +5,7 @@ fitting passes over them several times.
 """
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.errors import AnalysisException
@@ -89,6 +90,15 @@ def fit_tree(train: DataFrame, depth: int, seed: int = SEED) -> PipelineModel:
     return _fit(train, DecisionTreeClassifier(maxDepth=depth, seed=seed))
 
 
+class TreeFit(NamedTuple):
+    """:func:`fit_tree` of a depth as a value, so that leave-one-subject-out can fit all its trees together."""
+
+    depth: int
+
+    def __call__(self, train: DataFrame) -> PipelineModel:
+        return fit_tree(train, self.depth)
+
+
 def fit_perceptron(train: DataFrame, hidden: Sequence[int] = (64,), iterations: int = 100, seed: int = SEED) -> PipelineModel:
     """Perceptron over raw windows (``features`` from :func:`with_window_vector`; runs jobs)."""
     first = train.select(F.size(vector_to_array("features")).alias("n")).first()["n"]

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaitframe.operators import audits as Q
+from gaitframe.operators import held_out as H
 from gaitframe.operators import metrics as M
 from gaitframe.operators import models as MO
 from gaitframe.operators import splits as G
@@ -130,14 +131,18 @@ def cross_validate(vectors: DataFrame, k: int = 5, fit: Fit = MO.fit_forest, nam
 def leave_one_subject_out(vectors: DataFrame, fit: Fit = MO.fit_forest, subjects: list[str] | None = None, parallelism: int = 4) -> DataFrame:
     """Scored rows per held-out subject, named by ``fold``. One model per subject: give ``subjects`` to fit fewer (runs jobs).
 
-    Subjects are numbered by rank on the cluster; the driver learns how many there are.
+    Subjects are numbered by rank on the cluster; the driver learns how many there are. Trees (``MO.TreeFit``) are fitted
+    together, sharing the nodes in which they agree (:mod:`gaitframe.operators.held_out`).
     """
     named = vectors.select("subject_id").distinct()
     if subjects is not None:
         named = named.filter(F.col("subject_id").isin(subjects))
     numbered = materialize(G.shuffled_rank(named, [], 42, "subject_id").withColumnRenamed("rank", "fold"), "subjects")
     rows = materialize(vectors.join(numbered, "subject_id", "left"), "folded")
-    scored = scored_folds(rows, numbered.count(), fit, ("val",), parallelism)
+    if isinstance(fit, MO.TreeFit):
+        scored = H.predictions(rows, fit.depth)
+    else:
+        scored = scored_folds(rows, numbered.count(), fit, ("val",), parallelism)
     return scored.select(F.col("subject_id").alias("fold"), "label", "prediction")
 
 

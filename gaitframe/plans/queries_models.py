@@ -238,7 +238,7 @@ def q7_fitted(spark, sf_dir):
 def q10_fitted(spark, sf_dir):
     """One tree per subject, fitted on all others."""
     vectors = X.feature_vectors(windows(spark, sf_dir))
-    scored = X.leave_one_subject_out(vectors, lambda train: MO.fit_tree(train, 6), parallelism=8)
+    scored = X.leave_one_subject_out(vectors, MO.TreeFit(6))
     return scored.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("prediction").isin(VALID_LABELS)).alias("n_known"))
 
 
