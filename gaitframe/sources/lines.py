@@ -8,7 +8,8 @@ are looked up by name. A file of any size is read in splits: the order of its li
 
 import re
 import warnings
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 LINE_ORDER = ["block_start", "line_id"]
 
 
-_COMPRESSED = r"\.(gz|gzip|bz2|zst|lz4|snappy|deflate)$"
+_COMPRESSED = "*.{gz,gzip,bz2,zst,lz4,snappy,deflate}"
+_LISTERS = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
 #: Where a decoder fails on its bytes; a failure of the disk or the network has its first frame elsewhere and is raised.
 _DECODERS = ("at org.apache.hadoop.io.compress.", "at java.util.zip.", "at java.base/java.util.zip.")
 
@@ -52,6 +54,20 @@ def _undecodable(spark: SparkSession, files: list[str]) -> dict[str, str]:
     return {}
 
 
+@contextmanager
+def _few_listers(spark: SparkSession) -> Iterator[None]:
+    """Lists files in some tasks a core: with thousands of small files Spark's own number starts 10,000 tasks of some files each."""
+    before = spark.conf.get(_LISTERS, None)
+    spark.conf.set(_LISTERS, str(min(int(before or 10_000), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_LISTERS)
+        else:
+            spark.conf.set(_LISTERS, before)
+
+
 def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """(file_path, block_start, line_id, value) of every non-empty line.
 
@@ -59,12 +75,14 @@ def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     end is skipped whole with an :class:`UnreadableFile` warning, and :func:`unread_files` lists it. Every other
     failure of reading, then or later, fails the job: no line is lost in silence.
     """
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
-    bad = _undecodable(spark, sorted(r.path for r in listed.filter(F.col("path").rlike(_COMPRESSED)).collect()))
-    for file, reason in bad.items():
-        warnings.warn(UnreadableFile(file, reason), stacklevel=2)
-    good = [_escaped(r.path) for r in listed.collect() if r.path not in bad] if bad else path
-    found = spark.read.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "false").text(good or path)
+    with _few_listers(spark):
+        packed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", _COMPRESSED).load(path).select("path")
+        bad = _undecodable(spark, sorted(r.path for r in packed.collect()))
+        for file, reason in bad.items():
+            warnings.warn(UnreadableFile(file, reason), stacklevel=2)
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path") if bad else None
+        good = [_escaped(r.path) for r in listed.collect() if r.path not in bad] if bad else path
+        found = spark.read.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "false").text(good or path)
     rows = (found if good else found.filter(F.lit(False))).select(
         F.url_decode("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block_start"),
         F.monotonically_increasing_id().alias("line_id"), "value", F.col("_metadata.file_modification_time").alias("modified"))
@@ -74,8 +92,9 @@ def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 def unread_files(spark: SparkSession, path: str | Sequence[str], lines: DataFrame) -> DataFrame:
     """``file_path, reason, n_lines`` of the files with bytes but no line in ``lines`` (of the same path), as
     :func:`quarantine` has them. Only the listing of the files is read."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter("length > 0").select(
-        F.url_decode(F.col("path")).alias("file_path"))
+    with _few_listers(spark):
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    listed = found.filter("length > 0").select(F.url_decode(F.col("path")).alias("file_path"))
     seen = lines.select(F.regexp_replace("file_path", "^file:/+", "/").alias("_seen")).distinct()
     return listed.join(seen, F.regexp_replace("file_path", "^file:/+", "/") == F.col("_seen"), "left_anti").select(
         "file_path", F.lit("no readable line").alias("reason"), F.lit(0).cast("long").alias("n_lines"))

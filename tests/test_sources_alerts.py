@@ -275,3 +275,18 @@ def test_a_lost_writer_leaves_the_cache_whole(spark, tmp_path):
     assert S.cache_read(spark, path).count() == 2
     S.cache_write(df.union(df), path)
     assert S.cache_read(spark, path).count() == 4 and S.published(spark, str(tmp_path / "none")) is None
+
+
+def test_many_files_are_listed_by_few_tasks_and_not_opened(spark, tmp_path):
+    for i in range(100):
+        (tmp_path / f"d{i}").mkdir()
+        (tmp_path / f"d{i}" / "a_1.csv").write_text("x\n")
+    before = spark.conf.get(T._LISTERS)
+    context = spark.sparkContext
+    context.setJobGroup("many-files", "")
+    lines = T.read_lines(spark, f"{tmp_path}/d*/*.csv")
+    tracker = context.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("many-files") for s in tracker.getJobInfo(j).stageIds]
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < sum(s.numTasks for s in stages if s) <= 8 * context.defaultParallelism
+    assert spark.conf.get(T._LISTERS) == before and lines.count() == 100
