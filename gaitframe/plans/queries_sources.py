@@ -22,14 +22,16 @@ def text(c):
 
 def as_files(rows, path, header, value):
     """Root of a new folder with the rows of the view as one file per recording, header first."""
-    body = rows.select(path.alias("file_path"), F.lit(0).cast("long").alias("block_start"), F.col("timestamp").alias("line_id"), value.alias("value"))
     root = scratch_path(rows.sparkSession, "recordings")
+    line = [path.alias("file_path"), F.lit(0).cast("long").alias("block_start"), F.col("timestamp").alias("line_id"), value.alias("value")]
     if header is None:
-        S.write_text_files(body, root)
+        S.write_text_files(rows.select(*line), root)
         return root
-    heads = rows.select(path.alias("file_path"), header.alias("value")).distinct().select(
+    # the view is worked out once for lines and headers
+    made = materialize(rows.select(*line, header.alias("header")), "lines")
+    heads = made.select("file_path", F.col("header").alias("value")).distinct().select(
         "file_path", F.lit(0).cast("long").alias("block_start"), F.lit(-1).cast("long").alias("line_id"), "value")
-    S.write_text_files(body.unionByName(heads), root)
+    S.write_text_files(made.drop("header").unionByName(heads), root)
     return root
 
 
