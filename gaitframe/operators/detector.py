@@ -10,8 +10,9 @@ partitions, so a device that never calms costs time but no memory.
 
 import math
 from collections.abc import Iterable, Iterator, Sequence
-from itertools import repeat
+from itertools import islice, repeat
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,7 +34,6 @@ IMPACT_SHARE, PHASE_LIMIT_MS, REST_LIMIT_MS = 0.75, 2500, 4500
 
 IDLE, SUDDEN, ROTATION, IMPACT, CONFIRMED = "IDLE", "PHASE1_SUDDEN_MOVEMENT", "PHASE2_ROTATION", "PHASE3_IMPACT", "CONFIRMED"
 TICK_COLUMNS = ["tick_ts", "label", "p_fall", "p_lying", "acc_peak", "acc_min", "gyr_peak", "acc_std", "ox", "oy", "oz"]
-STATE_SCHEMA = "phase string, entered long, still int, gx double, gy double, gz double, last_ts long"
 START = (IDLE, 0, 0, 0.0, 1.0, 0.0, -1)
 
 
@@ -92,7 +92,22 @@ def run_ticks(state: tuple, ticks: pd.DataFrame, limits: tuple, cooldown_ms: int
     escalated and the detector is reset; ``None`` keeps it confirmed. ``starts`` marks the ticks
     that begin anew from :data:`START`."""
     out = []
-    for tick, new in zip(ticks[TICK_COLUMNS].itertuples(index=False, name=None), starts if starts is not None else repeat(False)):
+    rows = ticks[TICK_COLUMNS].itertuples(index=False, name=None)
+    state = _run(state, zip(rows, starts if starts is not None else repeat(False)), limits, cooldown_ms, out)
+    return state, pd.DataFrame(out, columns=TRACE_COLUMNS)
+
+
+def run_devices(states: Sequence[tuple], at: Sequence[int], ticks: pd.DataFrame, limits: tuple,
+                cooldown_ms: int | None = None) -> tuple[list[tuple], pd.DataFrame]:
+    """:func:`run_ticks` for many devices: ticks ``at[i]`` to ``at[i + 1]`` go on from ``states[i]``."""
+    out = []
+    rows = zip(ticks[TICK_COLUMNS].itertuples(index=False, name=None), repeat(False))
+    after = [_run(tuple(s), islice(rows, int(n)), limits, cooldown_ms, out) for s, n in zip(states, np.diff(at))]
+    return after, pd.DataFrame(out, columns=TRACE_COLUMNS)
+
+
+def _run(state: tuple, ticks: Iterable[tuple[tuple, bool]], limits: tuple, cooldown_ms: int | None, out: list[tuple]) -> tuple:
+    for tick, new in ticks:
         if new:
             state = START
         if state[0] == CONFIRMED and cooldown_ms is not None and tick[0] - state[1] > cooldown_ms:
@@ -101,9 +116,10 @@ def run_ticks(state: tuple, ticks: pd.DataFrame, limits: tuple, cooldown_ms: int
         gx, gy, gz = state[3:6]
         tilt = math.degrees(math.acos(max(-1.0, min(1.0, gx * tick[8] + gy * tick[9] + gz * tick[10]))))
         out.append((tick[0], before, state[0], state[2], tick[4], tilt, tick[2], tick[1]))
-    return state, pd.DataFrame(out, columns=["tick_ts", "from_phase", "phase", "still", "acc_peak", "tilt", "p_fall", "label"])
+    return state
 
 
+TRACE_COLUMNS = ["tick_ts", "from_phase", "phase", "still", "acc_peak", "tilt", "p_fall", "label"]
 TRACE_SCHEMA = ("tick_ts long, from_phase string, phase string, still int, acc_peak double, tilt double, "
                 "p_fall double, label string")
 

@@ -233,6 +233,42 @@ def test_what_waits_stands_in_the_state_by_slots(spark, tmp_path):
     assert spark.read.parquet(f"{base}/out").agg(F.max("tick_ts")).first()[0] < first * L.SLOT_MS
 
 
+def test_devices_share_states(spark, tmp_path):
+    """Many devices (one without a name) take few states, in several batches, and each gets its own rows in order."""
+    i = F.col("id")
+    df = spark.range(0, 1_500 * 12, 1, 4).select(
+        F.when(i % 1_500 > 0, i % 1_500).alias("device_id"), (F.lit(BEGAN) + F.floor(i / 1_500) * 700 + i % 7).alias("timestamp"),
+        F.when(F.floor(i / 1_500) % 3 == 1, "gyr").otherwise("acc").alias("sensor"), *[(i * n).cast("double").alias(c) for n, c in enumerate("xyz", 1)])
+    session, base = stream_session(spark), str(tmp_path)
+    for part in (df.filter(i % 5 < 2), df.filter(i % 5 >= 2), df.limit(1).withColumn("timestamp", F.lit(BEGAN + 10**6))):
+        part.drop("id").write.mode("append").parquet(f"{base}/in")
+        start_available(L.stream_fuse(session.readStream.schema(df.schema).parquet(f"{base}/in")), f"{base}/out", f"{base}/checkpoint")
+        assert session.read.format("statestore").option("stateVarName", "now").load(f"{base}/checkpoint").count() <= L.BUCKETS
+    got = spark.read.parquet(f"{base}/out").fillna(0, ["device_id"]).toPandas().sort_values(["device_id", "timestamp"], ignore_index=True)
+    rows = df.fillna(0, ["device_id"]).toPandas().sort_values(["device_id", "timestamp"], ignore_index=True)
+    for c, g in zip("xyz", ("gx", "gy", "gz")):
+        rows[g] = rows[c].where(rows["sensor"] == "gyr").groupby(rows["device_id"]).ffill().fillna(0.0)
+    want = rows[rows["sensor"] == "acc"].reset_index(drop=True)
+    assert len(got) == len(want) == 12_000
+    for mine, own in (("device_id", "device_id"), ("timestamp", "timestamp"), ("ax", "x"), ("gx", "gx"), ("gz", "gz")):
+        assert (got[mine] == want[own]).all()
+
+
+def test_a_silent_device_is_forgotten(spark, tmp_path):
+    """Devices of one bucket: the state of the one that is silent for an hour of event time goes, the other's stays."""
+    buckets = {r.id: r.b for r in spark.range(2_000).select("id", F.pmod(F.xxhash64("id"), F.lit(L.BUCKETS)).alias("b")).collect()}
+    one, other = [d for d in buckets if buckets[d] == buckets[0]][:2]
+    session, base = stream_session(spark), str(tmp_path)
+    for hour, here in ((0, [one, other]), (1, [other]), (3, [other]), (4, [other])):
+        rows = [(d, BEGAN + hour * L.IDLE_MS + 20 * k, "gyr", 1.0, 1.0, 1.0) for d in here for k in range(2)] + [(other, BEGAN + hour * L.IDLE_MS + 60_000, "acc", 0.0, 0.0, 0.0)]
+        part = spark.createDataFrame(rows, "device_id long, timestamp long, sensor string, x double, y double, z double")
+        part.write.mode("append").parquet(f"{base}/in")
+        start_available(L.stream_fuse(session.readStream.schema(part.schema).parquet(f"{base}/in")), f"{base}/out", f"{base}/checkpoint")
+        states = session.read.format("statestore").option("stateVarName", "devices").load(f"{base}/checkpoint").select("user_map_value.states").collect()
+        known = {d for r in states for d in L._table(bytes(r.states)).column("device").to_pylist()}
+        assert known == ({other} if hour else {one, other})
+
+
 def test_presets_table(spark):
     rows = {r["preset"]: r for r in D.presets(spark, spike=24.0, dip_required=False, still_seconds=0.1).collect()}
     assert rows["desk_safe"]["still_windows"] == 3 and rows["custom"]["freefall"] == 7.0 and rows["custom"]["still_windows"] == 1
