@@ -1,7 +1,8 @@
 """Byte-level BPE: encode texts by a table of ranked merges, decode ids by concatenating their pieces.
 
 Method. A text is cut by the tokenizer's pattern, each distinct piece is folded once per worker (the pair
-of lowest rank, leftmost first, is merged until none is left) and its ids are reused for every occurrence.
+of lowest rank, leftmost first, is merged until none is left) and its ids are reused for every occurrence. New pieces are
+folded together: every round merges the best pair of each piece of a block in arrays (``Folds``).
 Decoding is one JVM expression. The fold runs in an Arrow UDF: as a Spark higher-order function it is right
 but far beyond the limits (figures in the README); ``fold_expression`` keeps that form for small inputs.
 
@@ -24,6 +25,8 @@ from pyspark.sql import types as T
 
 CACHED_PIECES = 300_000
 HEAP_FROM = 48
+#: Characters of text that are cut and looked up at a time, and pieces whose merges go on together.
+GROUP_CHARS, BLOCK_PIECES = 1_000_000, 4_096
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -76,18 +79,96 @@ def _fold_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i:end[i]]] for i in range(n) if alive[i]]
 
 
-class _Pieces(dict):
+class Folds:
+    """The fold of many pieces at a time. Pairs of ids that merge stand in a sorted array of their joint keys."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks, self.base = ranks, max(ranks.values(), default=0) + 1
+        self.bytes = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
+        cuts = ((ranks.get(p[:i]), ranks.get(p[i:]), r) for p, r in ranks.items() for i in range(1, len(p)))
+        found = sorted((x * self.base + y, r) for x, y, r in cuts if x is not None and y is not None)
+        self.keys, self.merged = np.array([*(k for k, _ in found), _NONE], np.int64), np.array([*(r for _, r in found), _NONE], np.int64)
+
+    def rank(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        key = np.where((x >= 0) & (y >= 0), x * self.base + y, -1)
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.merged[at], _NONE)
+
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words one after the other, and how many each has."""
+        ids: list = [None] * len(words)
+        plain, whole = [], self.bytes.min() >= 0
+        for i, word in enumerate(words):
+            if word in self.ranks or len(word) > HEAP_FROM or not whole:
+                ids[i] = fold(word, self.ranks)
+            else:
+                plain.append(i)
+        plain.sort(key=lambda i: len(words[i]))
+        for a in range(0, len(plain), BLOCK_PIECES):
+            self._merge(words, plain[a:a + BLOCK_PIECES], ids)
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.int32, int(counts.sum())), counts
+
+    def _merge(self, words: list[bytes], at: list[int], ids: list) -> None:
+        """Ids of a block of words; each round takes one pair from every word that still has one, so rows stay of one width."""
+        sizes = np.array([len(words[i]) for i in at])
+        parts = np.full((len(at), sizes.max()), -1, np.int64)
+        parts[np.arange(sizes.max()) < sizes[:, None]] = self.bytes[np.frombuffer(b"".join(words[i] for i in at), np.uint8)]
+        ranks, own = self.rank(parts[:, :-1], parts[:, 1:]), np.array(at)
+        while len(own):
+            rows = np.arange(len(own))
+            best = ranks.argmin(axis=1) if ranks.shape[1] else np.zeros(len(own), np.int64)
+            low = ranks[rows, best] if ranks.shape[1] else np.full(len(own), _NONE)
+            live = low != _NONE
+            if not live.all():
+                for i, row in zip(own[~live].tolist(), parts[~live].tolist()):
+                    ids[i] = row[:row.index(-1)] if row[-1] < 0 else row
+                own, parts, ranks, best, low = own[live], parts[live], ranks[live], best[live], low[live]
+                if not len(own):
+                    return
+                rows = np.arange(len(own))
+            parts[rows, best] = low
+            others, rest = np.ones(parts.shape, bool), np.ones(ranks.shape, bool)
+            others[rows, best + 1] = rest[rows, best] = False
+            parts, ranks = parts[others].reshape(len(own), -1), ranks[rest].reshape(len(own), ranks.shape[1] - 1)
+            for left in (best - 1, best):
+                some = np.flatnonzero((left >= 0) & (left < ranks.shape[1]))
+                ranks[some, left[some]] = self.rank(parts[some, left[some]], parts[some, left[some] + 1])
+
+
+class _Pieces:
     """Ids by piece, filled on demand; emptied when full, so that a worker's memory is bounded."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        super().__init__()
-        self.ranks = ranks
+        self.ranks, self.folds = ranks, Folds(ranks)
+        self.clear()
+
+    def clear(self) -> None:
+        self.places: dict[str, int] = {}
+        self.ids, self.starts, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.places)
+
+    def __getitem__(self, piece: str) -> np.ndarray:
+        return self.encode([piece])[0]
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        if len(self) >= CACHED_PIECES:
+    def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces one after the other, and how many each has."""
+        distinct = set(pieces)
+        new = [p for p in distinct if p not in self.places]
+        if len(self.places) + len(new) > CACHED_PIECES:
             self.clear()
-        ids = self[piece] = tuple(fold(piece.encode(), self.ranks))
-        return ids
+            new = list(distinct)
+        if new:
+            ids, counts = self.folds([p.encode() for p in new])
+            self.places.update(zip(new, range(len(self.places), len(self.places) + len(new))))
+            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
+            self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
+        at = np.fromiter(map(self.places.__getitem__, pieces), np.int64, len(pieces))
+        counts = self.counts[at]
+        ends = np.cumsum(counts)
+        return self.ids[np.repeat(self.starts[at] - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)], counts
 
 
 #: The pieces folded so far by this worker, over all its tasks.
@@ -107,11 +188,18 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
             _READY[:] = [_Pieces(table.value)]
         pieces, find = _READY[0], regex.compile(pattern).findall
         for column in batches:
-            parts = [np.fromiter(chain.from_iterable(map(pieces.__getitem__, find(t.as_py() or ""))), np.int32)
-                     for t in column]
-            at = np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)])
-            flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-            yield pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))
+            flat, sizes, found, chars = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [], 0
+            for i, t in enumerate(column):
+                text = t.as_py() or ""
+                found.append(find(text))
+                chars += len(text)
+                if chars >= GROUP_CHARS or i + 1 == len(column):
+                    some, counts = pieces.encode(list(chain.from_iterable(found)))
+                    flat.append(some)
+                    sizes.append(np.diff(np.r_[0, np.cumsum(counts)][np.r_[0, np.cumsum(list(map(len, found)))]]))
+                    found, chars = [], 0
+            at = np.concatenate([[0], np.cumsum(np.concatenate(sizes), dtype=np.int64)])
+            yield pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(flat)))
 
     return df.withColumn(ids, encoded(F.col(text)))
 

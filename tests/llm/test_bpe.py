@@ -1,3 +1,4 @@
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -40,6 +41,23 @@ def test_fold_of_long_runs(ranks, known):
         assert bpe.fold(word.encode(), ranks) == known.encode_ordinary(word)
 
 
+def test_pieces_fold_together(ranks, known):
+    """Pieces of all lengths, many in a block, as the fold one by one gives them; few rounds look at all pieces of a block."""
+    rng = np.random.default_rng(7)
+    letters = [*"etaoinshrdlu", "th", "ing", "é", "ß", "\U0001f600", " "]
+    words = ["", "a", "zq", *("".join(rng.choice(letters, n)) for n in rng.integers(1, 60, 9_000))]
+    folds, rounds = bpe.Folds(ranks), []
+    rank = folds.rank
+    folds.rank = lambda x, y: rounds.append(1) or rank(x, y)
+    ids, counts = folds([w.encode() for w in words])
+    assert [list(i) for i in np.split(ids, np.cumsum(counts)[:-1])] == [bpe.fold(w.encode(), ranks) for w in words]
+    assert len(rounds) < 3 * 3 * bpe.HEAP_FROM
+    pieces = bpe._Pieces(ranks)
+    flat, sizes = pieces.encode([" the", "thing", " the", "zzqx"])
+    assert list(flat) == known.encode_ordinary(" the") + known.encode_ordinary("thing") + known.encode_ordinary(" the") + known.encode_ordinary("zzqx")
+    assert sizes.sum() == len(flat) and len(pieces) == 3
+
+
 def test_expression_folds_alike(spark, ranks, known):
     words = [" the", " extraordinary", "ß", "zzzzz", "a", "12", "éternité", "\U0001f600"]
     rows = spark.createDataFrame([(w,) for w in words], "p string").withColumn(
