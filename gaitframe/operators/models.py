@@ -10,7 +10,7 @@ from typing import NamedTuple
 import numpy as np
 from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, MultilayerPerceptronClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 from pyspark.ml.feature import IndexToString, StandardScaler, StandardScalerModel, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +21,7 @@ from gaitframe.operators import forest as FO
 from gaitframe.operators import metrics as M
 from gaitframe.operators.features import feature_names
 from gaitframe.operators.ordered import carry_forward, time_slice
+from gaitframe.operators.perceptron import ArrayPerceptron
 from gaitframe.operators.reports import balanced_weights
 from gaitframe.operators.splits import shuffled_rank
 from gaitframe.schema import FALL, SENSORS, SLICE_MS, VALID_LABELS
@@ -100,10 +101,11 @@ class TreeFit(NamedTuple):
 
 
 def fit_perceptron(train: DataFrame, hidden: Sequence[int] = (64,), iterations: int = 100, seed: int = SEED) -> PipelineModel:
-    """Perceptron over raw windows (``features`` from :func:`with_window_vector`; runs jobs)."""
+    """Perceptron over raw windows (``features`` from :func:`with_window_vector`), fitted by arrays
+    (:mod:`gaitframe.operators.perceptron`; runs jobs)."""
     first = train.select(F.size(vector_to_array("features")).alias("n")).first()["n"]
     classes = train.select("label").distinct().count()
-    return _fit(train, MultilayerPerceptronClassifier(layers=[first, *hidden, classes], maxIter=iterations, seed=seed))
+    return _fit(train, ArrayPerceptron(layers=[first, *hidden, classes], maxIter=iterations, seed=seed))
 
 
 def predict(model: PipelineModel | FO.ForestModel, df: DataFrame) -> DataFrame:
