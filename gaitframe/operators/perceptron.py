@@ -72,7 +72,7 @@ def pack(rows: DataFrame) -> RDD:
                 cells = [some.column("x").flatten().to_numpy().astype(np.float32).tobytes(), some.column("y").to_numpy().tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cells], ["x", "y"])
 
-    even = rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism)
+    even = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
     return even.mapInArrow(blocks, "x binary, y binary").rdd.map(lambda r: (bytes(r.x), bytes(r.y)))
 
 
