@@ -99,9 +99,13 @@ def label_windows(df: DataFrame, size: int = WINDOW_SIZE, step: int = WINDOW_STE
 
 
 def explode_windows(windows: DataFrame) -> DataFrame:
-    """Back from window arrays to one row per sample; keeps the window's label as ``label``."""
+    """Back from window arrays to one row per sample; keeps the window's label as ``label``.
+
+    Of a plain explode Spark infers a filter on the size of the array and moves it below the columns that the array is made
+    of: a change of samples by the window's label would work out the label anew for every sample. Outer generators have none.
+    """
     other = [c for c in windows.columns if c != "samples"]
-    return windows.select(*other, F.explode("samples").alias("s")).select(
+    return windows.select(*other, F.posexplode_outer("samples").alias("_nth", "s")).filter(F.col("_nth").isNotNull()).select(
         *other, F.col("s.at").alias("at"), F.col("s.timestamp").alias("timestamp"),
         *[F.col(f"s.{c}").alias(c) for c in SENSORS])
 

@@ -156,3 +156,14 @@ def test_features_do_not_depend_on_the_memory_layout():
     for axes in ((1, 2, 0), (2, 0, 1), (2, 1, 0), (1, 0, 2), (0, 2, 1)):
         other = np.ascontiguousarray(x.transpose(axes)).transpose(np.argsort(axes))
         np.testing.assert_array_equal(FE.window_features(other), FE.window_features(x))
+
+
+def test_changed_samples_are_worked_out_once_per_window(spark):
+    """No filter on the number of samples is moved below the window's label, where the label would be made per sample."""
+    windows = W.collect_windows(frame(spark, recording("a", 150), recording("f", 100, lambda i: "falling")))
+    rows = W.explode_windows(Q.slump_windows(windows))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not [line for line in plan if "Filter" in line and "0.55" in line]
+    assert {r["recording_id"]: r["count"] for r in rows.groupBy("recording_id").count().collect()} == {"a": 200, "f": 100}
+    empty = windows.withColumn("samples", F.when(F.col("recording_id") == "a", F.slice("samples", 1, 0)))
+    assert W.explode_windows(empty).count() == 0
