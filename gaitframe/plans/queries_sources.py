@@ -10,7 +10,7 @@ from gaitframe.plans.queries_reports import SPLIT, report_rows
 from gaitframe.plans.sensor import clean_samples, sensor_view, windows
 from gaitframe.plans.sql import r6, with_ctes
 from gaitframe.schema import SENSORS
-from gaitframe.session import materialize, scratch_path
+from gaitframe.session import scratch_path
 from gaitframe.sources import recordings as R
 from gaitframe.sources import sinks as S
 from gaitframe.sources.lines import UnreadableFile, quarantine, read_lines, unread_files, with_header
@@ -24,14 +24,7 @@ def as_files(rows, path, header, value):
     """Root of a new folder with the rows of the view as one file per recording, header first."""
     root = scratch_path(rows.sparkSession, "recordings")
     line = [path.alias("file_path"), F.lit(0).cast("long").alias("block_start"), F.col("timestamp").alias("line_id"), value.alias("value")]
-    if header is None:
-        S.write_text_files(rows.select(*line), root)
-        return root
-    # the view is worked out once for lines and headers
-    made = materialize(rows.select(*line, header.alias("header")), "lines")
-    heads = made.select("file_path", F.col("header").alias("value")).distinct().select(
-        "file_path", F.lit(0).cast("long").alias("block_start"), F.lit(-1).cast("long").alias("line_id"), "value")
-    S.write_text_files(made.drop("header").unionByName(heads), root)
+    S.write_text_files(rows.select(*line, *([] if header is None else [header.alias("header")])), root)
     return root
 
 

@@ -16,10 +16,13 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaitframe.sources.files import can_open, listed, read_plain, sizes
+
 LINE_ORDER = ["block_start", "line_id"]
 
 
-_COMPRESSED = "*.{gz,gzip,bz2,zst,lz4,snappy,deflate}"
+_PACKED = "gz,gzip,bz2,zst,lz4,snappy,deflate"
+_COMPRESSED = f"*.{{{_PACKED}}}"
 _LISTERS = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
 #: Where a decoder fails on its bytes; a failure of the disk or the network has its first frame elsewhere and is raised.
 _DECODERS = ("at org.apache.hadoop.io.compress.", "at java.util.zip.", "at java.base/java.util.zip.")
@@ -73,30 +76,60 @@ def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 
     Compressed files are decoded once before (a job; other bytes are always text). One that can't be decoded to its
     end is skipped whole with an :class:`UnreadableFile` warning, and :func:`unread_files` lists it. Every other
-    failure of reading, then or later, fails the job: no line is lost in silence.
+    failure of reading, then or later, fails the job: no line is lost in silence. Files are listed and plain ones read by tasks
+    (:mod:`gaitframe.sources.files`); Spark reads the compressed ones, and all where tasks can't open the path.
     """
+    paths = [path] if isinstance(path, str) else list(path)
+    if not can_open(spark, paths):
+        with _few_listers(spark):
+            packed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", _COMPRESSED).load(path).select("path")
+            bad = _unreadable(spark, [r.path for r in packed.collect()])
+            found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path") if bad else None
+            return _with_text(_spark_text(spark, [_escaped(r.path) for r in found.collect() if r.path not in bad] if bad else path))
+    files = listed(spark, paths)
+    compressed = F.substring_index("path", ".", -1).isin(_PACKED.split(",")) & F.col("path").contains(".")
+    blocks, size, packed = sizes(spark, files, compressed)
+    bad = _unreadable(spark, packed)
+    rows = read_plain(spark, files.filter(~compressed), blocks, size)
+    if len(bad) < len(packed):
+        rows = rows.unionByName(_spark_text(spark, [_escaped(p) for p in packed if p not in bad]))
+    return _with_text(rows)
+
+
+def _unreadable(spark: SparkSession, packed: list[str]) -> dict[str, str]:
+    bad = _undecodable(spark, sorted(packed))
+    for file, reason in bad.items():
+        warnings.warn(UnreadableFile(file, reason), stacklevel=3)
+    return bad
+
+
+def _spark_text(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """The lines of ``path`` by Spark's reader; no line for an empty list."""
     with _few_listers(spark):
-        packed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", _COMPRESSED).load(path).select("path")
-        bad = _undecodable(spark, sorted(r.path for r in packed.collect()))
-        for file, reason in bad.items():
-            warnings.warn(UnreadableFile(file, reason), stacklevel=2)
-        listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path") if bad else None
-        good = [_escaped(r.path) for r in listed.collect() if r.path not in bad] if bad else path
-        found = spark.read.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "false").text(good or path)
-    rows = (found if good else found.filter(F.lit(False))).select(
+        found = spark.read.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "false").text(path) if path else None
+    if found is None:
+        return spark.createDataFrame([], "file_path string, block_start long, line_id long, value string, modified timestamp")
+    return found.select(
         F.url_decode("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block_start"),
         F.monotonically_increasing_id().alias("line_id"), "value", F.col("_metadata.file_modification_time").alias("modified"))
-    return rows.filter(F.length(F.trim("value")) > 0)
+
+
+def _with_text(lines: DataFrame) -> DataFrame:
+    return lines.filter(F.length(F.trim("value")) > 0)
 
 
 def unread_files(spark: SparkSession, path: str | Sequence[str], lines: DataFrame) -> DataFrame:
     """``file_path, reason, n_lines`` of the files with bytes but no line in ``lines`` (of the same path), as
     :func:`quarantine` has them. Only the listing of the files is read."""
-    with _few_listers(spark):
-        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    listed = found.filter("length > 0").select(F.url_decode(F.col("path")).alias("file_path"))
+    paths = [path] if isinstance(path, str) else list(path)
+    if can_open(spark, paths):
+        found = listed(spark, paths)
+    else:
+        with _few_listers(spark):
+            found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    sized = found.filter("length > 0").select(F.url_decode(F.col("path")).alias("file_path"))
     seen = lines.select(F.regexp_replace("file_path", "^file:/+", "/").alias("_seen")).distinct()
-    return listed.join(seen, F.regexp_replace("file_path", "^file:/+", "/") == F.col("_seen"), "left_anti").select(
+    return sized.join(seen, F.regexp_replace("file_path", "^file:/+", "/") == F.col("_seen"), "left_anti").select(
         "file_path", F.lit("no readable line").alias("reason"), F.lit(0).cast("long").alias("n_lines"))
 
 

@@ -12,6 +12,7 @@ from gaitframe.operators import cleaning as K
 from gaitframe.operators.ordered import add_segments, ordered_position
 from gaitframe.operators.registry import map_labels, own_label
 from gaitframe.schema import ACC, BASE_TIMESTAMP_MS, SAMPLE_MS, SENSORS, TARGET_HZ
+from gaitframe.session import materialize
 from gaitframe.sources import lines as L
 
 # Accepted column names per channel.
@@ -34,8 +35,12 @@ def _clock():
 
 
 def _on_target_clock(rows: DataFrame, rate_hz: int, average: bool = False) -> DataFrame:
-    """Lines of a file numbered once: synthetic clock, then the target rate."""
+    """Lines of a file numbered once: synthetic clock, then the target rate (runs a job).
+
+    The parsed rows are written, as numbering reads them twice and would else parse every line again.
+    """
     nth, every = F.col("_nth"), rate_hz // TARGET_HZ
+    rows = materialize(rows, "parsed", compression="zstd")
     rows = ordered_position(rows, FILE_KEY, L.LINE_ORDER, F.col("block_start"), out="_nth")
     rows = rows.withColumn("timestamp", (F.lit(BASE_TIMESTAMP_MS) + nth * (1000 // rate_hz)).cast("long"))
     return (K.average_runs(rows, every, FILE_KEY) if average else rows.filter(nth % every == 0)).drop("_nth")

@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.errors import AnalysisException
@@ -78,14 +79,17 @@ def cached(spark: SparkSession, path: str, build) -> DataFrame:
 def write_text_files(lines: DataFrame, root: str) -> DataFrame:
     """Lines (``file_path`` below ``root``, ``block_start``, ``line_id``, ``value``) as one text file per ``file_path``.
 
+    Where the lines have a ``header`` that is not null, a file begins with that of its first line.
     Spark's own writers choose the names of their files; recordings are known by theirs. A file is streamed by one task, in
     the order of its lines, and moved to its name when it is whole, so a task that is run again leaves no half file. Returns
     ``file_path, n_lines`` (runs a job). ``root`` is a folder that all executors can reach and pyarrow can open.
     """
 
+    headed = "header" in lines.columns
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(re.sub("^file:/+", "/", root))
-        task, done, at, sink = TaskContext.get().taskAttemptId(), [], None, None
+        task, done, at, sink, made = TaskContext.get().taskAttemptId(), [], None, None, None
 
         def hidden(name: str) -> str:
             folder, last = posixpath.split(name)
@@ -97,21 +101,29 @@ def write_text_files(lines: DataFrame, root: str) -> DataFrame:
                 store.move(f"{base}/{hidden(at)}", f"{base}/{at}")
 
         for batch in batches:
-            names = batch.column("file_path").to_pylist()
-            for name, value in zip(names, batch.column("value").to_pylist(), strict=True):
+            # runs of lines of one file are written at once
+            runs = pc.run_end_encode(batch.column("file_path"))
+            values, start = batch.column("value").to_pylist(), 0
+            for name, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
+                texts = values[start:end]
                 if name != at:
                     close()
-                    at = name
-                    store.create_dir(posixpath.dirname(f"{base}/{name}"), recursive=True)
+                    at, folder = name, posixpath.dirname(f"{base}/{name}")
+                    if folder != made:
+                        store.create_dir(folder, recursive=True)
+                        made = folder
                     sink = store.open_output_stream(f"{base}/{hidden(name)}", buffer_size=1 << 16)
                     done.append([name, 0])
-                sink.write(f"{value or ''}\n".encode())
-                done[-1][1] += 1
+                    if headed and (first := batch.column("header")[start].as_py()) is not None:
+                        texts.insert(0, first)
+                sink.write("".join([f"{t or ''}\n" for t in texts]).encode())
+                done[-1][1] += len(texts)
+                start = end
         close()
         yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], ["file_path", "n_lines"])
 
     order = ["file_path", "block_start", "line_id"]
-    rows = lines.repartition("file_path").sortWithinPartitions(*order).select("file_path", "value")
+    rows = lines.repartition("file_path").sortWithinPartitions(*order).select("file_path", "value", *["header"] * headed)
     return materialize(rows.mapInArrow(write, "file_path string, n_lines long"), "written-files")
 
 

@@ -290,3 +290,36 @@ def test_many_files_are_listed_by_few_tasks_and_not_opened(spark, tmp_path):
     context.setLocalProperty("spark.jobGroup.id", None)
     assert 0 < sum(s.numTasks for s in stages if s) <= 8 * context.defaultParallelism
     assert spark.conf.get(T._LISTERS) == before and lines.count() == 100
+
+
+@pytest.mark.parametrize("block", [1, 3, 11, 1000])
+def test_every_line_belongs_to_one_block(monkeypatch, block):
+    import io
+    import re
+    from gaitframe.sources import files
+    monkeypatch.setattr(files, "_READ", 5)
+    rng = np.random.default_rng(block)
+    for _ in range(200):
+        data = "".join(rng.choice(["a", "b", "\n", "\r", "\r\n", "long line"], rng.integers(0, 40))).encode()
+        want = re.split(rb"\r\n|\r|\n", data)
+        got = [v for at in range(0, len(data), block) for lines in files.block_lines(io.BytesIO(data), at, min(at + block, len(data))) for v in lines]
+        assert got == (want if want[-1] else want[:-1])
+
+
+def test_files_are_listed_and_read_by_tasks(spark, tmp_path):
+    """Neither the listing nor the lines hold Spark's index of files, which lies on the driver; the same files are found."""
+    from pyspark.errors import AnalysisException
+    for name in ("S1/a_1.csv", "S1/.hidden.csv", "S1/_part.csv", "S2/b 2.csv", "T3/c.csv", "S4/deep/d.csv", "S4/x.txt"):
+        write(tmp_path / name, "\ufeffx,y\r\n1,é\n\n2,3")
+    for path in (f"{tmp_path}/S*/*.csv", f"file://{tmp_path}/S*/*.csv", f"{tmp_path}/S[12]/?*.csv", f"{tmp_path}/S*", str(tmp_path), f"{tmp_path}/S1/a_1.csv"):
+        lines = T.read_lines(spark, path)
+        known = spark.read.option("recursiveFileLookup", "true").text(path).selectExpr("url_decode(_metadata.file_path) AS file_path", "value").filter("value <> ''")
+        assert sorted(map(tuple, lines.select("file_path", "value").collect())) == sorted(map(tuple, known.collect())) != []
+        plan = lines._jdf.queryExecution().optimizedPlan().toString() + T.unread_files(spark, path, lines)._jdf.queryExecution().optimizedPlan().toString()
+        assert " text" not in plan and "binaryFile" not in plan
+    for path in (f"{tmp_path}/no", f"{tmp_path}/S*/*.dat"):
+        with pytest.raises(AnalysisException):
+            T.read_lines(spark, path)
+    lines = spark.createDataFrame([("a/f.csv", 0, 2, "2", "head"), ("a/f.csv", 0, 1, "1", "head"), ("g.csv", 0, 1, "1", None)], "file_path string, block_start long, line_id long, value string, header string")
+    assert sorted(map(tuple, S.write_text_files(lines, str(tmp_path / "headed")).collect())) == [("a/f.csv", 3), ("g.csv", 1)]
+    assert (tmp_path / "headed" / "a" / "f.csv").read_text() == "head\n1\n2\n"
