@@ -3,7 +3,8 @@
 Growing. Values are binned at quantiles of at most ``SAMPLE`` rows, as Spark ML does; every row takes part in every tree with a
 Poisson weight, the digest of (seed, tree, row). Nodes with more than ``ROWS`` drawn rows are split from histograms that tasks
 add up; only the chosen splits reach the driver. Once a node is small its rows meet in one group, in which the subtree below is
-grown to its end. So a deep level costs no pass over the table, and what is shuffled is every row once per tree, a byte a value.
+grown to its end. So a deep level costs no pass over the table, and what is shuffled is every row once per tree, a byte a value,
+for as many trees at a time as ``SHUFFLED`` allows; the files of a portion are removed before the next.
 
 Walking. Rows travel in blocks of a byte a value to groups of ``GROUP`` trees; a task holds the trees of one group, and the votes
 of a block are added up afterwards. For permuted features a task holds all trees, as a row's votes are needed together: a row
@@ -26,7 +27,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaitframe.session import materialize, scratch_path
+from gaitframe.session import materialize, scratch_path, shuffles_freed
 
 SAMPLE, BINS = 10_000, 32
 #: Drawn rows of a node below which its subtree is grown in one group.
@@ -37,6 +38,8 @@ GROUP = 10
 #: Rows that travel together, and rows of a task of walks.
 BLOCK, SHARE = 8_192, 262_144
 _PART_BYTES = 1 << 27
+#: Bytes of rows, each once per tree, that are shuffled at a time.
+SHUFFLED = 1 << 31
 _NODES = 128
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(16)])
 
@@ -298,6 +301,12 @@ def _upper_trees(tops: list[dict], classes: int, depth: int) -> Trees:
                  np.concatenate([np.reshape(t["counts"], (-1, classes)) for t in tops]), roots, depth)
 
 
+def portions(n: int, size: float) -> list[range]:
+    """``0`` to ``n - 1`` in ranges whose members, of ``size`` bytes each, come to ``SHUFFLED`` at most, if one does."""
+    step = max(1, min(n, int(SHUFFLED // max(size, 1))))
+    return [range(i, min(i + step, n)) for i in range(0, n, step)]
+
+
 def fit(train: DataFrame, labels: list[str], class_weights: list[float], scale: StandardScalerModel, trees: int, depth: int, min_leaf: int, seed: int) -> ForestModel:
     """``train`` has ``features`` and ``_label``, the place of the label (runs jobs)."""
     spark, weights, d = train.sparkSession, np.array(class_weights), len(scale.mean)
@@ -308,11 +317,11 @@ def fit(train: DataFrame, labels: list[str], class_weights: list[float], scale:
     tops = _upper_splits(rows, total, d, trees, depth, min_leaf, weights, seed)
     shared = spark.sparkContext.broadcast((tuple(_upper_trees(tops, len(weights), depth)), [np.array(t["grown"]) for t in tops], [t["level"] for t in tops]))
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch], some: range) -> Iterator[pa.RecordBatch]:
         upper, grown = Trees(*shared.value[0]), shared.value[1]
         for batch in (b.slice(i, BLOCK) for b in batches for i in range(0, len(b), BLOCK)):
             bins, y, row = _matrix(batch.column("bins")), batch.column("y").to_numpy().astype(np.uint16), batch.column("row").to_numpy()
-            for t in range(trees):
+            for t in some:
                 w, at = drawn(seed, t, row), walk(upper, upper.roots[t], bins) - upper.roots[t]
                 mine = np.flatnonzero((w > 0) & grown[t][at])
                 if not len(mine):
@@ -331,10 +340,12 @@ def fit(train: DataFrame, labels: list[str], class_weights: list[float], scale:
         return pa.table({"tree": pa.array([t], pa.int32()), "node": pa.array([node], pa.int32()),
                          **{k: pa.array([made[k].tobytes()], pa.binary()) for k in ("feature", "cut", "left", "counts")}, "gains": pa.array([made["gains"]], pa.list_(pa.float64()))})
 
-    parts = max(4 * spark.sparkContext.defaultParallelism, math.ceil(0.64 * total * trees * (d + 3) / _PART_BYTES))
-    dealt = rows.mapInArrow(deal, "tree int, node int, bins binary, y binary, w binary").repartition(parts, "tree", "node")
-    path = scratch_path(spark, "forest")
-    dealt.groupBy("tree", "node").applyInArrow(below, TREES_SCHEMA).write.parquet(path)
+    path, of_tree = scratch_path(spark, "forest"), 0.64 * total * (d + 3)
+    for some in portions(trees, of_tree):
+        parts = max(4 * spark.sparkContext.defaultParallelism, math.ceil(len(some) * of_tree / _PART_BYTES))
+        with shuffles_freed(spark):
+            dealt = rows.mapInArrow(lambda batches, some=some: deal(batches, some), "tree int, node int, bins binary, y binary, w binary").repartition(parts, "tree", "node")
+            dealt.groupBy("tree", "node").applyInArrow(below, TREES_SCHEMA).write.mode("append").parquet(path)
     kinds = {"feature": np.int16, "cut": np.uint8, "left": np.int32, "counts": np.int32}
     upper = [(t, -1, *(np.array(top[k], v).tobytes() for k, v in kinds.items()), top["gains"].tolist()) for t, top in enumerate(tops)]
     spark.createDataFrame(upper, TREES_SCHEMA).write.mode("append").parquet(path)

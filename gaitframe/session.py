@@ -2,7 +2,10 @@
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -26,6 +29,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """What runs inside leaves no shuffle files: Spark else keeps them until the driver's garbage is collected, so that the disk
+    holds those of all jobs of a query. For frames that are made and run inside once, as a write is."""
+    try:
+        before = spark.conf.get(_FREE_SHUFFLES)
+    except PySparkException:    # not known to this Spark
+        before = "true"
+    if before == "true":        # or wanted by the caller anyway
+        yield
+        return
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_FREE_SHUFFLES, before)
+
+
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None, compression: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back (runs a job).
 
@@ -34,10 +58,11 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None,
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    writer = df.write.mode("errorifexists")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    if compression:
-        writer = writer.option("compression", compression)
-    writer.parquet(path)
+    with shuffles_freed(spark):
+        writer = df.select("*").write.mode("errorifexists")     # a frame made here
+        if partition_by:
+            writer = writer.partitionBy(*partition_by)
+        if compression:
+            writer = writer.option("compression", compression)
+        writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,5 +1,7 @@
 """Forests grown from a table: no row is lost between tasks, and walks in tasks agree with one walk over all trees."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gaitframe.operators import forest as FO
 from gaitframe.operators import models as MO
+from gaitframe.session import materialize
 
 
 @pytest.fixture(scope="module")
@@ -47,3 +50,33 @@ def test_subtrees_are_small_and_hold_every_drawn_row(spark, table, monkeypatch,
 def test_empty_rows_are_scored(table):
     model = MO.fit_forest(table, trees=2, depth=3)
     assert MO.predict(model, table.limit(0)).collect() == []
+
+
+def test_portions_of_trees_and_repeats_give_the_same(spark, table, monkeypatch):
+    assert [list(p) for p in FO.portions(5, 3)] == [[0, 1, 2, 3, 4]] and [len(p) for p in FO.portions(5, FO.SHUFFLED)] == [1] * 5
+    assert [len(p) for p in FO.portions(5, FO.SHUFFLED / 2)] == [2, 2, 1] and FO.portions(0, 9.0) == []
+    written = materialize(table, "forest-table")
+
+    def made():
+        model = MO.fit_forest(written, trees=5, depth=6, min_leaf=2)
+        drops = MO.permutation_importance(model, written, ["p", "q", "r", "s"], "a", 3, ["id"])
+        return sorted(map(str, FO.subtrees(spark, model).collect())), sorted((r[0], round(r[1], 9)) for r in drops.collect())
+
+    whole = made()
+    monkeypatch.setattr(FO, "SHUFFLED", 3000)
+    assert made() == whole
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    held, key = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def shuffled():
+        found = held.getAllFiles()
+        return {n for n in (found.apply(i).getName() for i in range(found.size())) if n.startswith("shuffle_")}
+
+    before, known = spark.conf.get(key), shuffled()
+    materialize(spark.range(50_000).repartition(3, "id"), "freed")
+    deadline = time.time() + 20
+    while shuffled() - known and time.time() < deadline:
+        time.sleep(0.2)
+    assert not shuffled() - known and spark.conf.get(key) == before
